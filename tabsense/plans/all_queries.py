@@ -1,3 +1,4 @@
 """Import every query module so that the registry is complete."""
 
 from tabsense.plans import q_profile  # noqa: F401
+from tabsense.plans import q_cleaning  # noqa: F401
