@@ -245,12 +245,13 @@ def kde(df: DataFrame, cols: list[str] | None = None, cells: int = KDE_CELLS,
                   .select((F.lit(lo) + (F.col("cell") + 0.5) * w).alias("center"), "w"))
         g0, g1 = mn - 3 * h, mx + 3 * h
         step = (g1 - g0) / (points - 1)
-        grid = spark.range(points).select(F.col("id").alias("point"),
-                                          (F.lit(g0) + F.col("id") * step).alias("x"))
-        # the cell table is bounded by ``cells`` rows: broadcast it
-        dens = grid.join(F.broadcast(binned)).groupBy("point", "x").agg(
-            (F.sum(F.col("w") * F.exp(-0.5 * F.pow((F.col("x") - F.col("center")) / h, 2)))
-             / F.lit(n * h * math.sqrt(2 * math.pi))).alias("density"))
+        # every cell (at most ``cells`` rows) contributes to each grid point
+        dens = (binned.select("center", "w", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+                .withColumn("x", F.lit(g0) + F.col("point").cast("double") * F.lit(step))
+                .groupBy("point", "x").agg(
+                    (F.sum(F.col("w") * F.exp(-0.5 * F.pow((F.col("x") - F.col("center")) / F.lit(h), 2)))
+                     / F.lit(n * h * math.sqrt(2 * math.pi))).alias("density"))
+                .withColumn("point", F.col("point").cast("long")))
         parts.append(dens.select(F.lit(c).alias("column"), "point", "x", "density"))
     if not parts:
         return spark.createDataFrame([], "column string, point long, x double, density double")

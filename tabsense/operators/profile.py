@@ -175,4 +175,6 @@ def duplicate_summary(df: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS) ->
     scattered = duplicate_scattered(df, bucket_rows).agg(F.count(F.lit(1)).alias("scattered_rows"))
     total = row_counts(df).where(F.col("__count") > 1).agg(
         F.coalesce(F.sum("__count"), F.lit(0)).cast("long").alias("duplicated_rows"))
-    return runs.crossJoin(scattered).crossJoin(total)
+    one = F.lit(1).alias("__k")
+    return (runs.select("*", one).join(scattered.select("*", one), "__k")
+            .join(total.select("*", one), "__k").drop("__k"))

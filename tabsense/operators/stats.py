@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsense.functions.numeric import col, kurt_unbiased, skew_unbiased
@@ -79,8 +79,8 @@ def outlier_counts(df: DataFrame, cols: list[str] | None = None, whisker: float
         aggs += [F.count_if(flag).alias(f"outliers{i}"), F.lit(lo).cast("double").alias(f"lower{i}"),
                  F.lit(hi).cast("double").alias(f"upper{i}")]
     per_col = _one_row_per_column(df.agg(*aggs), cols, {"outliers": "long", "lower": "double", "upper": "double"})
-    anyflag = per_col.agg(F.max(F.col("outliers") > 0).alias("has_outliers"))
-    return per_col.join(anyflag)
+    # one row per column: a window over the whole (tiny) table is fine here
+    return per_col.withColumn("has_outliers", F.max(F.col("outliers") > 0).over(Window.partitionBy()))
 
 
 def _stack_text(df: DataFrame, cols: list[str]) -> DataFrame:
