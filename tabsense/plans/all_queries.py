@@ -6,3 +6,4 @@ from tabsense.plans import q_import  # noqa: F401
 from tabsense.plans import q_features  # noqa: F401
 from tabsense.plans import q_plot  # noqa: F401
 from tabsense.plans import q_models  # noqa: F401
+from tabsense.plans import q_report  # noqa: F401
