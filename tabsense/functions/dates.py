@@ -24,9 +24,21 @@ SPARK_ISO_TIMES = ["yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s"]
 PY_ISO_TIMES = ["%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S"]
 
 
+# Shapes of the formats above (years have 4 digits).  A value is only handed
+# to the parser when its shape fits, which keeps failed parses cheap.
+_SHAPES = {
+    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$", "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$", "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+    "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
+    "yyyyMMdd": r"^\d{8}$", "d.M.yyyy": r"^\d{1,2}\.\d{1,2}\.\d{4}$", "M.d.yyyy": r"^\d{1,2}\.\d{1,2}\.\d{4}$",
+    "yyyy-M-d H:m:s": r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$",
+    "yyyy-M-d'T'H:m:s": r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$",
+}
+
+
 def parse_with(c: Column, spark_fmt: str) -> Column:
     """Whole-string parse with one format; null when it does not fit."""
-    return F.try_to_timestamp(c, F.lit(spark_fmt))
+    return F.when(c.rlike(_SHAPES[spark_fmt]), F.try_to_timestamp(c, F.lit(spark_fmt)))
 
 
 def parse_any(c: Column) -> Column:

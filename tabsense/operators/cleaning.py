@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsense.functions.numeric import col
+from tabsense.session import materialize
 from tabsense.functions.schema import ROW_ID, data_fields, is_numeric, is_temporal, numeric_cols
 from tabsense.operators.profile import _null_safe_join, row_counts
 from tabsense.operators.quantiles import column_modes, quartile_fences
-from tabsense.operators.rows import DEFAULT_BUCKET_ROWS, scan_last, with_row_index
+from tabsense.operators.rows import DEFAULT_BUCKET_ROWS, scan_last, scan_neighbors, with_row_index
 
 # Fixed values of the reference's cleaning policy.
 DROP_COLUMN_SHARE = 0.6      # keep a column with at least 60 % non-null values
@@ -99,8 +100,7 @@ def fill_interpolate(df: DataFrame, c: str, bucket_rows: int = DEFAULT_BUCKET_RO
                 .withColumnRenamed(ROW_ID, "__rid").withColumnRenamed("__pos", ROW_ID))
     x = col(c).cast("double")
     point = F.when(x.isNotNull(), F.struct(F.col(ROW_ID).cast("double").alias("p"), x.alias("v")))
-    scanned = scan_last(base, point, "__prev", bucket_rows, forward=True)
-    scanned = scan_last(scanned, point, "__next", bucket_rows, forward=False)
+    scanned = scan_neighbors(base, point, "__prev", "__next", bucket_rows)
     p = F.col(ROW_ID).cast("double")
     p0, v0, p1, v1 = F.col("__prev.p"), F.col("__prev.v"), F.col("__next.p"), F.col("__next.v")
     slope = (v1 - v0) / (p1 - p0)
@@ -148,48 +148,66 @@ def clean_missing(df: DataFrame, share: float = DROP_COLUMN_SHARE, bucket_rows:
     """The reference's per-column missing-value policy, in column order.
 
     Ratios use the original row count; null counts, means and modes are
-    taken on the rows left at that column's turn.  Fills do not change the
-    row set, so one aggregate serves every column up to the next row
-    deletion; after a deletion the remaining columns are re-aggregated.
+    taken on the rows left at that column's turn.  Fills never change the
+    row set, so one aggregate (null counts + means) and one mode job serve
+    every column up to the next row deletion ("stage"); after a deletion
+    the rest is re-aggregated on the rows left.
     """
-    r0 = df.agg(F.count(F.lit(1)).alias("n"), F.min(ROW_ID).alias("lo"), F.max(ROW_ID).alias("hi")).first()
-    n_rows = r0["n"]
-    cur = drop_sparse_columns(df, share)
-    cols = _keys(cur)
+    keys = _keys(df)
+    r0 = df.agg(F.count(F.lit(1)).alias("__n"), F.min(ROW_ID).alias("__lo"), F.max(ROW_ID).alias("__hi"),
+                *[F.count(col(k)).alias(f"c{i}") for i, k in enumerate(keys)]).first()
+    n_rows = r0["__n"]
+    keep = [k for i, k in enumerate(keys) if r0[f"c{i}"] >= share * n_rows]
+    cur = df.select(*([ROW_ID] if ROW_ID in df.columns else []), *[col(k) for k in keep])
     # positions are the current row order: row_ids with gaps are renumbered
-    deleted = bool(n_rows) and (r0["hi"] - r0["lo"] + 1 != n_rows)
-    nulls: dict[str, int] = {}
-    stale = True
-    for c in cols:
-        if stale:
-            rest = cols[cols.index(c):]
-            r = cur.agg(*[F.count_if(col(k).isNull()).alias(f"n{i}") for i, k in enumerate(rest)]).first()
-            nulls = {k: r[f"n{i}"] for i, k in enumerate(rest)}
-            stale = False
-        ratio = nulls[c] / n_rows if n_rows else 0.0
-        if ratio == 0:
-            continue
-        dt = cur.schema[c].dataType
-        if is_numeric(dt):
-            if ratio < INTERPOLATE_BELOW:
-                cur = fill_interpolate(cur, c, bucket_rows, dense_positions=deleted)
-            elif ratio < MEAN_BELOW:
-                cur = fill_mean(cur, c)
+    deleted = bool(n_rows) and (r0["__hi"] - r0["__lo"] + 1 != n_rows)
+    i = 0
+    while i < len(keep):
+        rest = keep[i:]
+        types = {c: cur.schema[c].dataType for c in rest}
+        r = cur.agg(*[F.count_if(col(c).isNull()).alias(f"n{j}") for j, c in enumerate(rest)],
+                    *[F.avg(col(c)).alias(f"m{j}") for j, c in enumerate(rest) if is_numeric(types[c])]).first()
+        plan, stop = [], None
+        for j, c in enumerate(rest):
+            ratio = r[f"n{j}"] / n_rows if n_rows else 0.0
+            i += 1
+            if ratio == 0:
+                continue
+            dt = types[c]
+            if is_numeric(dt):
+                if ratio < INTERPOLATE_BELOW:
+                    plan.append(("interp", c, None))
+                elif ratio < MEAN_BELOW:
+                    plan.append(("value", c, r[f"m{j}"]))
+                else:
+                    stop = c
+            elif is_temporal(dt):
+                plan.append(("mode_or_ffill", c, None))
+            elif ratio < TEXT_MODE_BELOW:
+                plan.append(("mode_or_unknown", c, None))
             else:
-                cur = drop_null_rows(cur, c)
-                deleted = stale = True
-        elif is_temporal(dt):
-            mode = column_modes(cur, [c])[c]
-            cur = fill_value(cur, c, mode) if mode is not None else fill_forward(cur, c, bucket_rows)
-        else:
-            if ratio < TEXT_MODE_BELOW:
-                cur = fill_mode(cur, c)
+                stop = c
+            if stop:
+                break
+        mode_cols = [c for kind, c, _ in plan if kind.startswith("mode")]
+        modes = column_modes(cur, mode_cols) if mode_cols else {}
+        for kind, c, v in plan:
+            if kind == "interp":
+                cur = fill_interpolate(cur, c, bucket_rows, dense_positions=deleted)
+            elif kind == "value":
+                cur = fill_value(cur, c, v)
+            elif kind == "mode_or_ffill":
+                cur = fill_value(cur, c, modes[c]) if modes[c] is not None else fill_forward(cur, c, bucket_rows)
+            elif modes[c] is not None:
+                cur = fill_value(cur, c, modes[c])
             else:
-                cur = drop_null_rows(cur, c)
-                deleted = stale = True
-        if stale and checkpoint_deletions:
-            # cut the lineage after a deletion: later passes re-read it
-            cur = cur.checkpoint(eager=True)
+                cur = fill_value(cur, c, UNKNOWN_TEXT)
+        if stop:
+            cur = drop_null_rows(cur, stop)
+            deleted = True
+            if checkpoint_deletions:
+                # cut the lineage after a deletion: the next stage re-reads it
+                cur = materialize(cur)
     return cur
 
 
@@ -260,6 +278,6 @@ def treat_outliers(df: DataFrame, share: float = OUTLIER_SHARE,
 
 def preprocess_full(df: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS) -> tuple[DataFrame, str]:
     """Duplicates -> missing values -> outliers."""
-    dedup = drop_duplicates(df).checkpoint(eager=True)
+    dedup = materialize(drop_duplicates(df))
     cleaned = clean_missing(dedup, bucket_rows=bucket_rows)
     return treat_outliers(cleaned)

@@ -26,6 +26,7 @@ from tabsense.functions.numeric import col
 from tabsense.functions.schema import ROW_ID
 from tabsense.operators.models import SEED, assemble
 from tabsense.operators.rows import with_row_index
+from tabsense.session import materialize
 
 N_CLUSTERS = 3
 EPS = 0.5
@@ -98,8 +99,8 @@ def _components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 100) -> Da
     """Connected components (label = smallest node id) by min-label
     propagation with pointer jumping; each round is checkpointed."""
     und = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    lab = nodes.select(F.col("id"), F.col("id").alias("lab")).checkpoint(eager=True)
-    und = und.checkpoint(eager=True)
+    lab = materialize(nodes.select(F.col("id"), F.col("id").alias("lab")))
+    und = materialize(und, "edges")
     for _ in range(max_rounds):
         nb = (und.join(lab.withColumnRenamed("id", "b").withColumnRenamed("lab", "lb"), "b")
               .groupBy("a").agg(F.min("lb").alias("m")))
@@ -108,7 +109,7 @@ def _components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 100) -> Da
         # pointer jumping: follow the label's own label once
         hop = new.select(F.col("id").alias("lab"), F.col("lab").alias("lab2"))
         new = new.join(hop, "lab", "left").select("id", F.least("lab", F.coalesce("lab2", "lab")).alias("lab"))
-        new = new.checkpoint(eager=True)
+        new = materialize(new)
         changed = new.join(lab.withColumnRenamed("lab", "old"), "id").where(F.col("lab") != F.col("old")).limit(1).count()
         lab = new
         if changed == 0:
@@ -126,15 +127,15 @@ def cluster_dbscan(df: DataFrame, features: list[str], eps: float = EPS, min_sam
     # of all rows is a single node
     uniq = pts.groupBy("v").agg(F.min(ROW_ID).alias("id"), F.count(F.lit(1)).alias("w"))
     cell = F.array(*[F.floor(F.col("v")[j] / eps).cast("long") for j in range(m)])
-    uniq = uniq.withColumn("cell", cell).checkpoint(eager=True)
+    uniq = materialize(uniq.withColumn("cell", cell))
     offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=m)]
     probe = uniq.select(F.col("id").alias("a"), F.col("v").alias("va"),
                         F.explode(F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets])).alias("off"),
                         F.col("cell").alias("ca"))
     probe = probe.withColumn("cell", F.zip_with("ca", "off", lambda x, y: x + y))
     dist2 = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
-    pairs = (probe.join(uniq.select(F.col("id").alias("b"), F.col("v").alias("vb"), "cell", "w"), "cell")
-             .where(dist2 <= eps * eps).select("a", "b", "w")).checkpoint(eager=True)
+    pairs = materialize(probe.join(uniq.select(F.col("id").alias("b"), F.col("v").alias("vb"), "cell", "w"), "cell")
+                        .where(dist2 <= eps * eps).select("a", "b", "w"), "pairs")
     counts = pairs.groupBy("a").agg(F.sum("w").alias("nbrs"))
     core = counts.where(F.col("nbrs") >= min_samples).select(F.col("a").alias("id"))
     core_edges = (pairs.join(core.withColumnRenamed("id", "a"), "a", "left_semi")
@@ -229,8 +230,8 @@ def cluster_report(df: DataFrame, features: list[str], models: tuple[str, ...] =
     rows = []
     for name in models:
         try:
-            lab = {"KMeans": cluster_kmeans, "AgglomerativeClustering": cluster_agglomerative,
-                   "DBSCAN": cluster_dbscan}[name](df, features).checkpoint(eager=True)
+            lab = materialize({"KMeans": cluster_kmeans, "AgglomerativeClustering": cluster_agglomerative,
+                               "DBSCAN": cluster_dbscan}[name](df, features), "labels")
             k = lab.where("cluster <> -1").select("cluster").distinct().count()
             if k >= 2:
                 rows.append((name, k, silhouette(lab, features), davies_bouldin(lab, features),

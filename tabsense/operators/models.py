@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsense.functions.numeric import col
+from tabsense.session import materialize
 from tabsense.functions.schema import ROW_ID
 
 # Fixed values of the reference's training setup.
@@ -201,7 +202,7 @@ def model_leaderboard(df: DataFrame, target: str | None, features: list[str], ml
         data, classes = with_label(data, target)
         names = models or CLASSIFIERS
         n_classes = len(classes)
-    data = data.checkpoint(eager=True)
+    data = materialize(data)
     train, test = data.where("split = 'train'"), data.where("split = 'test'")
     for name in names:
         try:

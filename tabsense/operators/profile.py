@@ -20,6 +20,7 @@ from tabsense.functions.dates import DATE_SHARE_FOR_CATEGORY, parse_any
 from tabsense.functions.numeric import col
 from tabsense.functions.schema import (ROW_ID, data_fields, is_numeric, is_temporal, storage_type)
 from tabsense.operators.rows import DEFAULT_BUCKET_ROWS, scan_last, with_previous
+from tabsense.session import materialize
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -144,36 +145,43 @@ def _runs(df: DataFrame, bucket_rows: int) -> DataFrame:
     return scan_last(flagged, start, "__run", bucket_rows)
 
 
-def duplicate_runs(df: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
+def duplicate_runs(df: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS,
+                   labelled: DataFrame | None = None) -> DataFrame:
     """Consecutive equal rows: first row of each run + ``count_in_group``."""
     keys = _keys(df)
-    labelled = _runs(df, bucket_rows)
+    labelled = labelled if labelled is not None else _runs(df, bucket_rows)
     sizes = labelled.groupBy("__run").agg(F.count(F.lit(1)).alias("count_in_group")) \
         .where(F.col("count_in_group") > 1)
     first = labelled.where(F.col(ROW_ID) == F.col("__run"))
     return first.join(sizes, "__run").select(ROW_ID, *keys, F.col("count_in_group").cast("long"))
 
 
-def duplicate_scattered(df: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
+def duplicate_scattered(df: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS,
+                        labelled: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Duplicated rows that are not part of a consecutive run, one per
     distinct row (first occurrence), with the true total count."""
     keys = _keys(df)
-    labelled = _runs(df, bucket_rows)
+    labelled = labelled if labelled is not None else _runs(df, bucket_rows)
     sizes = labelled.groupBy("__run").agg(F.count(F.lit(1)).alias("__size"))
     in_run = labelled.join(sizes.where(F.col("__size") > 1), "__run", "left_semi").select(ROW_ID)
-    dups = duplicate_rows(df).join(in_run, ROW_ID, "left_anti")
+    counts = counts if counts is not None else row_counts(df)
+    dup_keys = counts.where(F.col("__count") > 1).select(*keys, "__count")
+    dups = _null_safe_join(df, dup_keys, keys).drop("__count").join(in_run, ROW_ID, "left_anti")
     firsts = dups.groupBy(*[col(k) for k in keys]).agg(F.min(ROW_ID).alias(ROW_ID))
-    counts = row_counts(df).select(*keys, F.col("__count").alias("count_duplicates"))
-    return _null_safe_join(firsts, counts, keys).select(ROW_ID, *keys, "count_duplicates")
+    totals = counts.select(*keys, F.col("__count").alias("count_duplicates"))
+    return _null_safe_join(firsts, totals, keys).select(ROW_ID, *keys, "count_duplicates")
 
 
 def duplicate_summary(df: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
     """Run groups, rows inside runs, scattered distinct rows, all duplicated rows."""
-    runs = duplicate_runs(df, bucket_rows).agg(
+    # the run labels and the row counts are computed once and reused
+    labelled = materialize(_runs(df, bucket_rows).select(ROW_ID, "__run", *_keys(df)))
+    counts = materialize(row_counts(df), "rowcounts")
+    runs = duplicate_runs(df, bucket_rows, labelled).agg(
         F.count(F.lit(1)).alias("run_groups"),
         F.coalesce(F.sum("count_in_group"), F.lit(0)).cast("long").alias("rows_in_runs"))
-    scattered = duplicate_scattered(df, bucket_rows).agg(F.count(F.lit(1)).alias("scattered_rows"))
-    total = row_counts(df).where(F.col("__count") > 1).agg(
+    scattered = duplicate_scattered(df, bucket_rows, labelled, counts).agg(F.count(F.lit(1)).alias("scattered_rows"))
+    total = counts.where(F.col("__count") > 1).agg(
         F.coalesce(F.sum("__count"), F.lit(0)).cast("long").alias("duplicated_rows"))
     one = F.lit(1).alias("__k")
     return (runs.select("*", one).join(scattered.select("*", one), "__k")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsense.functions.schema import ROW_ID, q
-from tabsense.session import checkpoint_dir
+from tabsense.session import checkpoint_dir, materialize
 
 DEFAULT_BUCKET_ROWS = 1 << 20
 
@@ -32,7 +32,7 @@ def with_row_index(df: DataFrame, order_cols: list[str], num_partitions: int | N
 
     The range bounds come from sampling and are not guaranteed to repeat
     when the plan is evaluated again, so the range-partitioned data is
-    checkpointed once (reliable storage under ``spark.checkpoint.dir``):
+    written once as Parquet under ``spark.checkpoint.dir`` (shared storage):
     the partition sizes and the rows are then read from the same files,
     and a lost executor cannot renumber rows.  The index is meant to be
     made once when a dataset is imported and kept from then on.
@@ -41,11 +41,11 @@ def with_row_index(df: DataFrame, order_cols: list[str], num_partitions: int | N
     checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(q(c)) for c in order_cols]
-    ordered = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-               .withColumn("__pid", F.spark_partition_id())
-               # monotonically_increasing_id = (partition << 33) + position
-               .withColumn("__local", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-               .checkpoint(eager=True))
+    ordered = materialize(
+        df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+        .withColumn("__pid", F.spark_partition_id())
+        # monotonically_increasing_id = (partition << 33) + position
+        .withColumn("__local", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "rowindex")
     counts = ordered.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select(
         "__pid",
@@ -81,11 +81,14 @@ def scan_last(df: DataFrame, value: Column, out: str, bucket_rows: int = DEFAULT
         wc = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
         carry_expr = F.last("__edge", ignorenulls=True).over(wc)
     else:
-        w = Window.partitionBy(b).orderBy(ROW_ID).rowsBetween(0, Window.unboundedFollowing)
-        inner = F.first(v, ignorenulls=True).over(w)
+        # "first non-null at or after" == "last non-null at or before" in
+        # descending order; frames that start at the current row and end at
+        # the partition end are recomputed per row in Spark (quadratic)
+        w = Window.partitionBy(b).orderBy(F.col(ROW_ID).desc()).rowsBetween(Window.unboundedPreceding, 0)
+        inner = F.last(v, ignorenulls=True).over(w)
         edge = F.min_by(v, F.when(F.col(v).isNotNull(), F.col(ROW_ID)))
-        wc = Window.orderBy(b).rowsBetween(1, Window.unboundedFollowing)
-        carry_expr = F.first("__edge", ignorenulls=True).over(wc)
+        wc = Window.orderBy(F.col(b).desc()).rowsBetween(Window.unboundedPreceding, -1)
+        carry_expr = F.last("__edge", ignorenulls=True).over(wc)
     carry = (base.groupBy(b).agg(edge.alias("__edge"))
              .select(b, carry_expr.alias("__carry")))
     res = (base.withColumn("__inner", inner)
@@ -100,3 +103,31 @@ def with_previous(df: DataFrame, cols: list[str], prefix: str = "__prev_") -> Da
     row_id: evenly hashed, no global order needed)."""
     prev = df.select((F.col(ROW_ID) + 1).alias(ROW_ID), *[F.col(q(c)).alias(prefix + c) for c in cols])
     return df.join(prev, ROW_ID, "left")
+
+
+def scan_neighbors(df: DataFrame, value: Column, prev_out: str, next_out: str,
+                   bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
+    """Previous (row_id <= own) and next (row_id >= own) non-null ``value``
+    in one pass: both windows share the bucket partitioning and ordering,
+    and one carry table holds the last and first non-null of each bucket."""
+    b, v = "__bucket", "__scan_v"
+    base = df.withColumn(b, _bucket(bucket_rows)).withColumn(v, value)
+    w = Window.partitionBy(b).orderBy(ROW_ID)
+    wr = Window.partitionBy(b).orderBy(F.col(ROW_ID).desc())
+    inner_prev = F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    # reverse order keeps the frame running (O(n)); see scan_last
+    inner_next = F.last(v, ignorenulls=True).over(wr.rowsBetween(Window.unboundedPreceding, 0))
+    has = F.when(F.col(v).isNotNull(), F.col(ROW_ID))
+    wc = Window.orderBy(b)
+    carry = (base.groupBy(b).agg(F.max_by(v, has).alias("__last"), F.min_by(v, has).alias("__first"))
+             .select(b,
+                     F.last("__last", ignorenulls=True).over(wc.rowsBetween(Window.unboundedPreceding, -1))
+                     .alias("__cprev"),
+                     F.last("__first", ignorenulls=True).over(
+                         Window.orderBy(F.col(b).desc()).rowsBetween(Window.unboundedPreceding, -1))
+                     .alias("__cnext")))
+    return (base.withColumn("__iprev", inner_prev).withColumn("__inext", inner_next)
+            .join(F.broadcast(carry), b, "left")
+            .withColumn(prev_out, F.coalesce("__iprev", "__cprev"))
+            .withColumn(next_out, F.coalesce("__inext", "__cnext"))
+            .drop(b, v, "__iprev", "__inext", "__cprev", "__cnext"))

@@ -53,3 +53,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)
     return current
+
+
+def materialize(df, label: str = "stage"):
+    """Cut the lineage of ``df`` by writing it once as Parquet under the
+    shared checkpoint folder and reading it back.  Unlike an RDD checkpoint
+    the plan runs only once, the files are columnar, and a lost executor
+    re-reads files instead of recomputing the lineage."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tabsense-mat/{label}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
