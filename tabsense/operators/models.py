@@ -107,26 +107,33 @@ class RandomFourierFeatures:
         return VectorAssembler(inputCols=names, outputCol=out).transform(tmp).drop(*names)
 
 
+# Deep trees: keep node ids cached between levels and give each pass room
+# for many nodes (fewer passes over the data per level).
+_DEEP_TREES = {"cacheNodeIds": True, "maxMemoryInMB": 1024, "checkpointInterval": 10}
+
+
 def make_estimator(name: str, n_rows: int, n_classes: int = 2):
     if name == "LogisticRegression":
         # scikit-learn's C = 1 on a summed loss == Spark's mean loss with regParam 1/n
         return LogisticRegression(maxIter=500, regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0,
                                   standardization=False, family="multinomial")
     if name == "RandomForestClassifier":
-        return RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", maxDepth=MAX_TREE_DEPTH, seed=SEED)
+        return RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", maxDepth=MAX_TREE_DEPTH, seed=SEED,
+                                      **_DEEP_TREES)
     if name == "DecisionTreeClassifier":
-        return DecisionTreeClassifier(maxDepth=MAX_TREE_DEPTH, seed=SEED)
+        return DecisionTreeClassifier(maxDepth=MAX_TREE_DEPTH, seed=SEED, **_DEEP_TREES)
     if name == "SVC":
-        return OneVsRest(classifier=LinearSVC(maxIter=100, regParam=1.0 / max(n_rows, 1)))
+        return OneVsRest(classifier=LinearSVC(maxIter=100, regParam=1.0 / max(n_rows, 1)), parallelism=4)
     if name == "LGBMClassifier":
         gbt = GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=5, seed=SEED)
-        return gbt if n_classes <= 2 else OneVsRest(classifier=gbt)
+        return gbt if n_classes <= 2 else OneVsRest(classifier=gbt, parallelism=4)
     if name == "LinearRegression":
         return LinearRegression(regParam=0.0, solver="normal")
     if name == "RandomForestRegressor":
-        return RandomForestRegressor(numTrees=100, featureSubsetStrategy="all", maxDepth=MAX_TREE_DEPTH, seed=SEED)
+        return RandomForestRegressor(numTrees=100, featureSubsetStrategy="all", maxDepth=MAX_TREE_DEPTH, seed=SEED,
+                                     **_DEEP_TREES)
     if name == "DecisionTreeRegressor":
-        return DecisionTreeRegressor(maxDepth=MAX_TREE_DEPTH, seed=SEED)
+        return DecisionTreeRegressor(maxDepth=MAX_TREE_DEPTH, seed=SEED, **_DEEP_TREES)
     if name == "SVR":
         return LinearRegression(loss="huber", regParam=1.0 / max(n_rows, 1))
     if name == "LGBMRegressor":

@@ -21,9 +21,10 @@ DEFAULT_BUCKET_ROWS = 1 << 20
 
 
 def with_row_index(df: DataFrame, order_cols: list[str], num_partitions: int | None = None,
-                   name: str = ROW_ID) -> DataFrame:
-    """Add a dense 0-based ``row_id`` following ``order_cols`` (which should
-    form a unique key, otherwise ties are broken arbitrarily).
+                   name: str = ROW_ID, tie_break: bool = True) -> DataFrame:
+    """Add a dense 0-based ``row_id`` following ``order_cols``.  With
+    ``tie_break`` the remaining (orderable) columns break ties, so the
+    numbering is deterministic whenever rows are distinct.
 
     Range-partition + local sort, then a per-partition offset from a table
     with one row per partition (broadcast).  Equivalent to
@@ -40,7 +41,12 @@ def with_row_index(df: DataFrame, order_cols: list[str], num_partitions: int | N
     spark = df.sparkSession
     checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(q(c)) for c in order_cols]
+    extra = []
+    if tie_break:
+        from pyspark.sql import types as T
+        extra = [f.name for f in df.schema.fields if f.name not in order_cols
+                 and not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
+    keys = [F.col(q(c)) for c in list(order_cols) + extra]
     ordered = materialize(
         df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
         .withColumn("__pid", F.spark_partition_id())
