@@ -126,7 +126,11 @@ def q_encoding_check(spark, d):
     return files.encoding_check(spark, f"{root}/*/part-*")
 
 
-@query("map_types")
+@query("map_types", oracle="""
+SELECT column_name AS "column", CASE WHEN column_type IN ('BIGINT', 'INTEGER', 'SMALLINT', 'TINYINT') THEN 'BIGINT'
+  WHEN column_type IN ('DOUBLE', 'FLOAT') OR column_type LIKE 'DECIMAL%' THEN 'DOUBLE PRECISION'
+  WHEN column_type = 'BOOLEAN' THEN 'BOOLEAN' WHEN column_type LIKE 'TIMESTAMP%' OR column_type = 'DATE' THEN 'TIMESTAMP'
+  ELSE 'TEXT' END AS storage_type FROM (DESCRIBE lineitem)""")
 def q_map_types(spark, d):
     return files.map_types(read_table(spark, d, "lineitem"))
 

@@ -173,6 +173,22 @@ def q_calinski_harabasz(spark, d):
     return _metric_row(spark, "calinski_harabasz", clusters.calinski_harabasz(_embedded(spark, d), _E3, "label"))
 
 
+@query("dbscan_noise", oracle=f"""
+WITH p AS (SELECT * FROM {_EMB_Z}),
+nb AS (SELECT a.row_id AS a, b.row_id AS b FROM p a JOIN p b
+       ON power(a.e0 - b.e0, 2) + power(a.e1 - b.e1, 2) + power(a.e2 - b.e2, 2) <= 0.25),
+core AS (SELECT a FROM nb GROUP BY a HAVING count(*) >= 5),
+reach AS (SELECT DISTINCT nb.a FROM nb JOIN core ON nb.b = core.a)
+SELECT CAST(count(*) FILTER (WHERE reach.a IS NULL) AS BIGINT) AS noise_points,
+       CAST(count(*) FILTER (WHERE reach.a IS NOT NULL) AS BIGINT) AS clustered_points
+FROM p LEFT JOIN reach ON reach.a = p.row_id""")
+def q_dbscan_noise(spark, d):
+    """Noise / clustered point counts of DBSCAN (eps 0.5, 5 samples)."""
+    lab = clusters.cluster_dbscan(_embedded(spark, d), _E3)
+    return lab.agg(F.count_if(F.col("cluster") == -1).alias("noise_points"),
+                   F.count_if(F.col("cluster") != -1).alias("clustered_points"))
+
+
 @query("silhouette")
 def q_silhouette(spark, d):
     return _metric_row(spark, "silhouette_sq_euclidean", clusters.silhouette(_embedded(spark, d), _E3, "label"))

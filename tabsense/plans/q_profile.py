@@ -22,7 +22,12 @@ def q_shape(spark, d):
     return profile.shape(read_table(spark, d, "lineitem"))
 
 
-@query("dtypes")
+@query("dtypes", oracle="""
+SELECT CAST(row_number() OVER () - 1 AS BIGINT) AS ordinal, column_name AS "column",
+  CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
+    WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS dtype,
+  CASE WHEN column_type IN ('BIGINT', 'INTEGER') THEN 'BIGINT' WHEN column_type = 'DOUBLE' THEN 'DOUBLE PRECISION'
+    WHEN column_type = 'TIMESTAMP' THEN 'TIMESTAMP' ELSE 'TEXT' END AS storage_type FROM (DESCRIBE lineitem)""")
 def q_dtypes(spark, d):
     return profile.dtypes(read_table(spark, d, "lineitem"))
 
