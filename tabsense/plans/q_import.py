@@ -213,3 +213,16 @@ def q_retention_candidates(spark, d):
     return catalog.retention_candidates(fixture(spark, d, "fx_catalog_original"),
                                         fixture(spark, d, "fx_catalog_cleaned"),
                                         fixture(spark, d, "fx_catalog_transformed"))
+
+
+@query("stream_import", oracle="SELECT c_custkey, lower(c_name) AS c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, "
+                               "c_acctbal, lower(c_mktsegment) AS c_mktsegment FROM customer", floats=("c_acctbal",))
+def q_stream_import(spark, d):
+    """Customer rows dropped as CSV into a landing folder, imported by the stream."""
+    from tabsense.streaming.imports import read_imported, stream_import
+    root = files.scratch_path(spark, "stream")
+    read_table(spark, d, "customer").write.option("header", True).csv(f"{root}/landing")
+    q = stream_import(spark, f"{root}/landing", f"{root}/out", f"{root}/ckpt")
+    q.awaitTermination()
+    out = read_imported(spark, f"{root}/out")
+    return out.select("c_custkey", "c_name", F.col("c_nationkey").cast("long"), "c_acctbal", "c_mktsegment")
