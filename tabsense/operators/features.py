@@ -225,5 +225,5 @@ def candidate_values(df: DataFrame, cols: list[str] | None = None, k: int = 50)
     firsts = (df.select(ROW_ID, F.explode(F.array(*items)).alias("s"))
               .where(F.col("s.value").isNotNull())
               .groupBy("s.column", "s.value").agg(F.min(ROW_ID).alias("first_row_id")))
-    return reduce(DataFrame.unionByName,
-                  [firsts.where(F.col("column") == c).orderBy("first_row_id").limit(k) for c in cols])
+    from tabsense.operators.stats import top_k_per_group
+    return top_k_per_group(firsts, "column", [F.col("first_row_id")], k)

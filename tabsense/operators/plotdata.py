@@ -224,13 +224,14 @@ def kde(df: DataFrame, cols: list[str] | None = None, cells: int = KDE_CELLS,
         points: int = KDE_POINTS) -> DataFrame:
     """Gaussian density curve (Scott bandwidth ``n^(-1/5) * std``) on
     ``points`` grid points from min - 3h to max + 3h.  Values are first
-    binned to ``cells`` cells (weight = count at the cell centre), so the
-    kernel sum costs cells x points per column, whatever the row count."""
+    binned to ``cells`` cells (weight = count at the cell centre) in one
+    scan for all columns, so the kernel sum costs cells x points per column
+    whatever the row count."""
     cols = cols if cols is not None else numeric_cols(df)
+    spark = df.sparkSession
     ranges = column_ranges(df, cols)
     stds = df.agg(*[F.stddev_samp(col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]).first()
-    spark = df.sparkSession
-    parts = []
+    params, items = [], []
     for i, c in enumerate(cols):
         n, mn, mx = ranges[c]
         sd = stds[f"s{i}"]
@@ -238,24 +239,25 @@ def kde(df: DataFrame, cols: list[str] | None = None, cells: int = KDE_CELLS,
             continue
         h = sd * n ** (-0.2)
         lo, hi = _edges(mn, mx)
-        w = (hi - lo) / cells
-        binned = (df.where(col(c).isNotNull())
-                  .groupBy(_bin_expr(col(c).cast("double"), lo, hi, cells).alias("cell"))
-                  .agg(F.count(F.lit(1)).alias("w"))
-                  .select((F.lit(lo) + (F.col("cell") + 0.5) * w).alias("center"), "w"))
         g0, g1 = mn - 3 * h, mx + 3 * h
-        step = (g1 - g0) / (points - 1)
-        # every cell (at most ``cells`` rows) contributes to each grid point
-        dens = (binned.select("center", "w", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-                .withColumn("x", F.lit(g0) + F.col("point").cast("double") * F.lit(step))
-                .groupBy("point", "x").agg(
-                    (F.sum(F.col("w") * F.exp(-0.5 * F.pow((F.col("x") - F.col("center")) / F.lit(h), 2)))
-                     / F.lit(n * h * math.sqrt(2 * math.pi))).alias("density"))
-                .withColumn("point", F.col("point").cast("long")))
-        parts.append(dens.select(F.lit(c).alias("column"), "point", "x", "density"))
-    if not parts:
+        params.append((c, float(n), h, lo, (hi - lo) / cells, g0, (g1 - g0) / (points - 1)))
+        x = col(c).cast("double")
+        items.append(F.when(x.isNotNull(), F.struct(F.lit(c).alias("column"), _bin_expr(x, lo, hi, cells).alias("cell"))))
+    if not items:
         return spark.createDataFrame([], "column string, point long, x double, density double")
-    return reduce(DataFrame.unionByName, parts)
+    info = spark.createDataFrame(params, "column string, n double, h double, lo double, w double, g0 double, step double")
+    binned = (df.select(F.explode(F.array(*items)).alias("s")).where(F.col("s").isNotNull())
+              .groupBy("s.column", "s.cell").agg(F.count(F.lit(1)).alias("cnt"))
+              .join(F.broadcast(info), "column"))
+    # every cell (at most ``cells`` per column) contributes to each grid point
+    return (binned.select("column", "cnt", "n", "h", "g0", "step",
+                          (F.col("lo") + (F.col("cell") + 0.5) * F.col("w")).alias("center"),
+                          F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+            .withColumn("x", F.col("g0") + F.col("point").cast("double") * F.col("step"))
+            .groupBy("column", "point", "x").agg(
+                (F.sum(F.col("cnt") * F.exp(-0.5 * F.pow((F.col("x") - F.col("center")) / F.col("h"), 2)))
+                 / (F.first("n") * F.first("h") * F.lit(math.sqrt(2 * math.pi)))).alias("density"))
+            .select("column", F.col("point").cast("long").alias("point"), "x", "density"))
 
 
 def violin(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -277,17 +279,21 @@ def pair_two(df: DataFrame, x: str, y: str, max_points: int = 100_000) -> DataFr
 
 
 def pair_all(df: DataFrame, cols: list[str] | None = None, grid: int = 20) -> DataFrame:
-    """Lower triangle of all numeric pairs as grid counts (one aggregate per
-    pair, bounded output grid x grid)."""
+    """Lower triangle of all numeric pairs as grid counts: one scan emits a
+    (pair, bx, by) cell per row and pair; output is bounded by pairs x grid^2."""
     cols = cols if cols is not None else numeric_cols(df)
     ranges = column_ranges(df, cols)
-    parts = []
+    items = []
     for i, a in enumerate(cols):
         for b in cols[:i]:
             if not ranges[a][0] or not ranges[b][0]:
                 continue
-            g = grid_counts(df, b, a, _edges(*ranges[b][1:]), _edges(*ranges[a][1:]), grid)
-            parts.append(g.select(F.lit(b).alias("x_column"), F.lit(a).alias("y_column"), "bx", "by", "count"))
-    if not parts:
+            xa, xb = col(a).cast("double"), col(b).cast("double")
+            items.append(F.when(xa.isNotNull() & xb.isNotNull(), F.struct(
+                F.lit(b).alias("x_column"), F.lit(a).alias("y_column"),
+                _bin_expr(xb, *_edges(*ranges[b][1:]), grid).alias("bx"),
+                _bin_expr(xa, *_edges(*ranges[a][1:]), grid).alias("by"))))
+    if not items:
         return df.sparkSession.createDataFrame([], "x_column string, y_column string, bx long, by long, count long")
-    return reduce(DataFrame.unionByName, parts)
+    return (df.select(F.explode(F.array(*items)).alias("s")).where(F.col("s").isNotNull())
+            .groupBy("s.x_column", "s.y_column", "s.bx", "s.by").agg(F.count(F.lit(1)).alias("count")))

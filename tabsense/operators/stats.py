@@ -18,6 +18,16 @@ from tabsense.functions.schema import numeric_cols, text_cols
 from tabsense.operators.quantiles import column_ranges, exact_quantiles, quartile_fences
 
 
+def top_k_per_group(df: DataFrame, group: str, order: list, k: int) -> DataFrame:
+    """The first ``k`` rows of every group by ``order`` (ties broken by the
+    order columns).  ``row_number() <= k`` lets Spark insert a partial
+    WindowGroupLimit before the shuffle, so at most k rows per group and
+    partition move, and a group with a huge number of rows is cut down
+    where it lies instead of being gathered into one task."""
+    w = Window.partitionBy(group).orderBy(*order)
+    return df.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= k).drop("__rank")
+
+
 def _one_row_per_column(agg: DataFrame, cols: list[str], fields: dict[str, str]) -> DataFrame:
     """Turn a one-row wide aggregate (``{metric}{i}`` columns) into one row
     per input column, lazily."""
@@ -91,13 +101,11 @@ def _stack_text(df: DataFrame, cols: list[str]) -> DataFrame:
 def text_uniques(df: DataFrame, cols: list[str] | None = None, k: int = 20) -> DataFrame:
     """Number of distinct non-null values and the first ``k`` in sorted order
     (joined by ", ").  The distinct set is one shuffle; the k smallest per
-    column are a top-k each (bounded), sharing that shuffle."""
+    column come from a per-column top-k (see :func:`top_k_per_group`)."""
     cols = cols if cols is not None else text_cols(df)
     distinct = _stack_text(df, cols).where(F.col("value").isNotNull()).groupBy("column", "value").count()
     counts = distinct.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
-    firsts = reduce(DataFrame.unionByName,
-                    [distinct.where(F.col("column") == c).orderBy("value").limit(k).select("column", "value")
-                     for c in cols])
+    firsts = top_k_per_group(distinct, "column", [F.col("value")], k).select("column", "value")
     listed = firsts.groupBy("column").agg(
         F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("first_values"))
     return counts.join(listed, "column")
@@ -134,9 +142,7 @@ def word_frequency(df: DataFrame, cols: list[str] | None = None, k: int = 50) ->
     cols = cols if cols is not None else text_cols(df)
     words = _stack_text(df, cols).select("column", F.explode(_words(F.lower(F.col("value")))).alias("word"))
     counts = words.groupBy("column", "word").agg(F.count(F.lit(1)).alias("frequency"))
-    return reduce(DataFrame.unionByName,
-                  [counts.where(F.col("column") == c).orderBy(F.desc("frequency"), "word").limit(k)
-                   for c in cols])
+    return top_k_per_group(counts, "column", [F.desc("frequency"), F.col("word")], k)
 
 
 def text_length_distribution(df: DataFrame, cols: list[str] | None = None, bins: int = 30) -> DataFrame:
