@@ -46,29 +46,33 @@ def cluster_kmeans(df: DataFrame, features: list[str], k: int = N_CLUSTERS) -> D
 
 
 def _ward(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """Exact Ward merge of weighted points (Lance-Williams on centroids)."""
-    n = len(points)
-    members = {i: [i] for i in range(n)}
-    cent = {i: points[i].astype(float) for i in range(n)}
-    size = {i: float(weights[i]) for i in range(n)}
-    nxt = n
-    while len(members) > k:
-        best, pair = None, None
-        keys = sorted(members)
-        for a, b in itertools.combinations(keys, 2):
-            d = size[a] * size[b] / (size[a] + size[b]) * float(np.sum((cent[a] - cent[b]) ** 2))
-            if best is None or d < best:
-                best, pair = d, (a, b)
-        a, b = pair
-        s = size[a] + size[b]
-        cent[nxt] = (cent[a] * size[a] + cent[b] * size[b]) / s
-        size[nxt] = s
-        members[nxt] = members.pop(a) + members.pop(b)
-        for x in (a, b):
-            cent.pop(x)
-            size.pop(x)
-        nxt += 1
-    labels = np.empty(n, dtype=int)
+    """Exact Ward merge of weighted points.  The merge cost
+    n_a n_b / (n_a + n_b) |c_a - c_b|^2 is kept in a matrix and updated by
+    the Lance-Williams rule after each merge (O(m^2) per merge, m <= MICRO)."""
+    m = len(points)
+    pts = points.astype(float)
+    size = weights.astype(float).copy()
+    sq = ((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1)
+    cost = size[:, None] * size[None, :] / (size[:, None] + size[None, :]) * sq
+    np.fill_diagonal(cost, np.inf)
+    alive = np.ones(m, dtype=bool)
+    members = {i: [i] for i in range(m)}
+    for _ in range(m - k):
+        flat = np.argmin(np.where(alive[:, None] & alive[None, :], cost, np.inf))
+        a, b = divmod(int(flat), m)
+        if a > b:
+            a, b = b, a
+        na, nb, nk = size[a], size[b], size
+        new = ((na + nk) * cost[a] + (nb + nk) * cost[b] - nk * cost[a, b]) / (na + nb + nk)
+        cost[a, :] = new
+        cost[:, a] = new
+        cost[a, a] = np.inf
+        cost[b, :] = np.inf
+        cost[:, b] = np.inf
+        size[a] = na + nb
+        alive[b] = False
+        members[a] += members.pop(b)
+    labels = np.empty(m, dtype=int)
     for lab, key in enumerate(sorted(members, key=lambda key: min(members[key]))):
         labels[members[key]] = lab
     return labels
