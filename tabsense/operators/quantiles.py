@@ -28,16 +28,17 @@ EXACT_LIMIT = 4096
 MAX_PASSES = 40
 
 
-def column_ranges(df: DataFrame, cols: list[str]) -> dict[str, tuple[int, float, float]]:
-    """(count, min, max) per column in one aggregate."""
-    if not cols:
-        return {}
-    aggs = []
+def column_ranges(df: DataFrame, cols: list[str], extra: list | None = None):
+    """(count, min, max) per column in one aggregate.  With ``extra``
+    aggregate expressions, returns ``(ranges, row)`` so callers fold their
+    own statistics into the same scan."""
+    aggs = list(extra or [])
     for i, c in enumerate(cols):
         x = col(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    row = df.agg(*aggs).first()
-    return {c: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(cols)}
+        aggs += [F.count(x).alias(f"__n{i}"), F.min(x).alias(f"__lo{i}"), F.max(x).alias(f"__hi{i}")]
+    row = df.agg(*aggs).first() if aggs else None
+    ranges = {c: (row[f"__n{i}"], row[f"__lo{i}"], row[f"__hi{i}"]) for i, c in enumerate(cols)}
+    return (ranges, row) if extra is not None else ranges
 
 
 def order_statistics(df: DataFrame, wanted: dict[str, set[int]],

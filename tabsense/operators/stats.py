@@ -38,42 +38,38 @@ def _one_row_per_column(agg: DataFrame, cols: list[str], fields: dict[str, str])
 
 
 def describe_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """count, mean, std (n-1), min, 25 %, 50 %, 75 %, max per numeric column."""
+    """count, mean, std (n-1), min, 25 %, 50 %, 75 %, max per numeric column.
+    Moments, counts and ranges come from one scan; the quartiles from the
+    refinement passes."""
     cols = cols if cols is not None else numeric_cols(df)
-    spark = df.sparkSession
-    if not cols:
-        return spark.createDataFrame([], "column string, count long, mean double, std double, min double, "
-                                         "q25 double, q50 double, q75 double, max double")
-    aggs = []
+    schema = ("column string, count long, mean double, std double, min double, "
+              "q25 double, q50 double, q75 double, max double")
+    extra = []
     for i, c in enumerate(cols):
         x = col(c).cast("double")
-        aggs += [F.count(x).alias(f"count{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
-                 F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
-    ranges = column_ranges(df, cols)
+        extra += [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}")]
+    ranges, r = column_ranges(df, cols, extra)
     qs = exact_quantiles(df, cols, [0.25, 0.5, 0.75], ranges)
-    for i, c in enumerate(cols):
-        for j, name in enumerate(("q25", "q50", "q75")):
-            aggs.append(F.lit(qs[c][j]).cast("double").alias(f"{name}{i}"))
-    agg = df.agg(*aggs)
-    return _one_row_per_column(agg, cols, {"count": "long", "mean": "double", "std": "double", "min": "double",
-                                           "q25": "double", "q50": "double", "q75": "double",
-                                           "max": "double"})
+    rows = [(c, ranges[c][0], r[f"mean{i}"], r[f"std{i}"], ranges[c][1], *qs[c], ranges[c][2])
+            for i, c in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def describe_advanced(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """median, variance, std, coefficient of variation, skew, kurtosis."""
     cols = cols if cols is not None else numeric_cols(df)
-    qs = exact_quantiles(df, cols, [0.5])
-    aggs = []
+    extra = []
     for i, c in enumerate(cols):
         x = col(c).cast("double")
-        aggs += [F.lit(qs[c][0]).cast("double").alias(f"median{i}"), F.var_samp(x).alias(f"variance{i}"),
-                 F.stddev_samp(x).alias(f"std{i}"),
-                 F.try_divide(F.stddev_samp(x), F.avg(x)).alias(f"cv{i}"),
-                 skew_unbiased(c).alias(f"skew{i}"), kurt_unbiased(c).alias(f"kurtosis{i}")]
-    agg = df.agg(*aggs)
-    return _one_row_per_column(agg, cols, {m: "double" for m in
-                                           ("median", "variance", "std", "cv", "skew", "kurtosis")})
+        extra += [F.var_samp(x).alias(f"variance{i}"), F.stddev_samp(x).alias(f"std{i}"),
+                  F.try_divide(F.stddev_samp(x), F.avg(x)).alias(f"cv{i}"),
+                  skew_unbiased(c).alias(f"skew{i}"), kurt_unbiased(c).alias(f"kurtosis{i}")]
+    ranges, r = column_ranges(df, cols, extra)
+    qs = exact_quantiles(df, cols, [0.5], ranges)
+    rows = [(c, qs[c][0], r[f"variance{i}"], r[f"std{i}"], r[f"cv{i}"], r[f"skew{i}"], r[f"kurtosis{i}"])
+            for i, c in enumerate(cols)]
+    return df.sparkSession.createDataFrame(
+        rows, "column string, median double, variance double, std double, cv double, skew double, kurtosis double")
 
 
 def outlier_counts(df: DataFrame, cols: list[str] | None = None, whisker: float = 1.5) -> DataFrame:
