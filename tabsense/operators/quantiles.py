@@ -4,9 +4,9 @@
 in the final (single) task of a global aggregate, which does not survive
 a column with billions of distinct values.  Here quantiles are found by
 histogram refinement: each pass is one scan with map-side aggregation
-into ``bins`` equal-width bins per open interval; the driver only sees
-``intervals x bins`` counts and narrows every interval to the bin holding
-the wanted rank.  A hot value (a third of all rows) ends in a bin whose
+into ``bins`` equal-width bins per open interval; a running sum over the bins
+(on the executors) picks the bin holding each wanted rank, so the driver
+only sees one row per wanted rank and narrows the interval to that bin.  A hot value (a third of all rows) ends in a bin whose
 min equals its max and is resolved at once.  Results equal pandas'
 linear-interpolation quantiles.
 """
@@ -16,12 +16,12 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsense.functions.numeric import col
 
-BINS = 2048
+BINS = 1 << 15
 # An interval with at most this many rows is finished by counting its
 # distinct values (bounded by this number).
 EXACT_LIMIT = 4096
@@ -43,7 +43,14 @@ def column_ranges(df: DataFrame, cols: list[str], extra: list | None = None):
 
 def order_statistics(df: DataFrame, wanted: dict[str, set[int]],
                      ranges: dict[str, tuple[int, float, float]]) -> dict[tuple[str, int], float]:
-    """Exact k-th smallest non-null value (0-based k) for each column/rank."""
+    """Exact k-th smallest non-null value (0-based k) for each column/rank.
+
+    Each pass histograms every open interval into ``BINS`` bins (one scan,
+    map-side combine), finds the bin holding each wanted rank with a running
+    sum over the bins of its interval (on the executors), and returns only
+    those bins: the driver receives one row per wanted rank per pass.
+    """
+    spark = df.sparkSession
     # state: (column, rank) -> [lo, hi, offset, exact_mode]
     state: dict[tuple[str, int], list] = {}
     done: dict[tuple[str, int], float] = {}
@@ -59,13 +66,13 @@ def order_statistics(df: DataFrame, wanted: dict[str, set[int]],
     passes = 0
     while state:
         passes += 1
-        # share one histogram between ranks whose interval is the same
+        # ranks whose interval is the same share one histogram
         intervals: dict[tuple, list[tuple[str, int]]] = defaultdict(list)
         for (c, k), (lo, hi, off, exact) in state.items():
             intervals[(c, lo, hi, off, exact)].append((c, k))
         keys = list(intervals)
-        items = []
-        for i, (c, lo, hi, _off, exact) in enumerate(keys):
+        items, targets, tkeys = [], [], []
+        for i, (c, lo, hi, off, exact) in enumerate(keys):
             x = col(c).cast("double")
             if exact or passes > MAX_PASSES:
                 b = x
@@ -74,32 +81,32 @@ def order_statistics(df: DataFrame, wanted: dict[str, set[int]],
                             F.lit(BINS - 1)).cast("double")
             items.append(F.when((x >= F.lit(lo)) & (x <= F.lit(hi)),
                                 F.struct(F.lit(i).alias("iv"), b.alias("b"), x.alias("v"))))
+            for t in intervals[(c, lo, hi, off, exact)]:
+                targets.append((i, len(tkeys), t[1] - off))
+                tkeys.append(t)
         hist = (df.select(F.explode(F.array(*items)).alias("s"))
                 .where(F.col("s").isNotNull())
                 .groupBy("s.iv", "s.b")
-                .agg(F.count(F.lit(1)).alias("cnt"), F.min("s.v").alias("mn"), F.max("s.v").alias("mx"))
-                .collect())
-        per_iv: dict[int, list] = defaultdict(list)
-        for r in hist:
-            per_iv[r["iv"]].append((r["b"], r["cnt"], r["mn"], r["mx"]))
-        for i, key in enumerate(keys):
-            c, lo, hi, off, exact = key
-            bins = sorted(per_iv[i])
-            for target in intervals[key]:
-                k = target[1]
-                cum = off
-                for _b, cnt, mn, mx in bins:
-                    if k < cum + cnt:
-                        if mn == mx:
-                            done[target] = mn
-                            del state[target]
-                        else:
-                            stuck = (mn == lo and mx == hi)
-                            state[target] = [mn, mx, cum, cnt <= EXACT_LIMIT or stuck]
-                        break
-                    cum += cnt
-                else:  # pragma: no cover - rank outside data (should not happen)
-                    del state[target]
+                .agg(F.count(F.lit(1)).alias("cnt"), F.min("s.v").alias("mn"), F.max("s.v").alias("mx")))
+        run = Window.partitionBy("iv").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+        hist = hist.withColumn("cum", F.sum("cnt").over(run))
+        tdf = spark.createDataFrame(targets, "iv int, tid int, kl long")
+        picked = (hist.join(F.broadcast(tdf), "iv")
+                  .where((F.col("cum") - F.col("cnt") <= F.col("kl")) & (F.col("kl") < F.col("cum")))
+                  .select("tid", "cnt", "mn", "mx", "cum").collect())
+        for r in picked:
+            target = tkeys[r["tid"]]
+            lo, hi, off, _exact = state[target]
+            before = off + r["cum"] - r["cnt"]
+            if r["mn"] == r["mx"]:
+                done[target] = r["mn"]
+                del state[target]
+            else:
+                stuck = (r["mn"] == lo and r["mx"] == hi)
+                state[target] = [r["mn"], r["mx"], before, r["cnt"] <= EXACT_LIMIT or stuck]
+        for t in tkeys:           # a rank outside the data cannot happen; guard the loop anyway
+            if t in state and t not in {tkeys[r["tid"]] for r in picked}:
+                del state[t]
     return done
 
 
