@@ -39,3 +39,15 @@ def test_modes_smallest_on_ties(spark):
     m = column_modes(df, ["a", "n"])
     assert m["a"] == "a"
     assert m["n"] == 1.0
+
+
+def test_refinement_path_matches_numpy(spark, monkeypatch):
+    from tabsense.operators import quantiles
+    monkeypatch.setattr(quantiles, "MAP_DISTINCT_LIMIT", 0)      # force histogram refinement
+    monkeypatch.setattr(quantiles, "EXACT_LIMIT", 16)
+    monkeypatch.setattr(quantiles, "BINS", 8)
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.lognormal(size=5000), np.full(2500, 7.5)])
+    df = _df(spark, {"x": x})
+    got = exact_quantiles(df, ["x"], [0.01, 0.25, 0.5, 0.75, 0.99])["x"]
+    np.testing.assert_allclose(got, np.quantile(x, [0.01, 0.25, 0.5, 0.75, 0.99]), rtol=1e-12)
