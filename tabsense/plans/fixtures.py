@@ -70,6 +70,8 @@ FROM orders JOIN customer ON o_custkey = c_custkey""",
     "fx_catalog_original": """
 SELECT concat('dataset_', lower(replace(c_name, '#', '_'))) AS table_name, concat(c_name, '.csv') AS original_filename,
   'csv' AS file_type, 'utf-8' AS encoding, CAST(c_custkey AS BIGINT) AS uploaded_seq FROM customer""",
+    # every other original has a cleaned version (both branches of the
+    # latest-dataset lookup are exercised); all catalog rows are read
     "fx_catalog_cleaned": """
 SELECT concat('dataset_', lower(replace(c_name, '#', '_')), '_nettoye') AS table_name_cleaned,
   concat('dataset_', lower(replace(c_name, '#', '_'))) AS original_table, CAST(c_custkey AS BIGINT) AS uploaded_seq

@@ -165,6 +165,8 @@ def q_register_dataset(spark, d):
 
 
 # re-registering every fourth cleaned table later: the newer row must win
+# (the modulo chooses which catalog rows are updated; it is the test data
+# model, not a size cap -- every catalog row is read)
 _UPD = f"(SELECT table_name_cleaned, original_table, uploaded_seq + 100000 AS uploaded_seq FROM {_CLEAN} WHERE uploaded_seq % 4 = 0)"
 
 

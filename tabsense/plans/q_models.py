@@ -12,6 +12,12 @@ from tabsense.sources.tables import read_table
 _ML = duck_fixture("fx_ml")
 _FEATS = ["price", "cust_mod", "bal"]
 _H = "((row_id % 2147483648) * 2654435761 + 42) % 4294967296"
+_EMB_Z = """(SELECT vec_id AS row_id, label,
+  (e0 - avg(e0) OVER ()) / stddev_pop(e0) OVER () AS e0, (e1 - avg(e1) OVER ()) / stddev_pop(e1) OVER () AS e1,
+  (e2 - avg(e2) OVER ()) / stddev_pop(e2) OVER () AS e2
+  FROM (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS e0, CAST(embedding[2] AS DOUBLE) AS e1,
+        CAST(embedding[3] AS DOUBLE) AS e2 FROM embeddings))"""
+_CENT = f"(SELECT label AS k, count(*) AS n, avg(e0) AS c0, avg(e1) AS c1, avg(e2) AS c2 FROM {_EMB_Z} GROUP BY label)"
 
 
 @query("train_test_split", oracle=f"SELECT *, CASE WHEN {_H} < {int(0.2 * 2**32)} THEN 'test' ELSE 'train' END AS split FROM {_ML}",
@@ -137,7 +143,22 @@ def q_cluster_agglomerative(spark, d):
     return clusters.cluster_agglomerative(_embedded(spark, d), _E3)
 
 
-@query("cluster_dbscan")
+_DB_LABELS = f"""WITH RECURSIVE p AS (SELECT * FROM {_EMB_Z}),
+nb AS (SELECT a.row_id AS a, b.row_id AS b FROM p a JOIN p b
+       ON power(a.e0 - b.e0, 2) + power(a.e1 - b.e1, 2) + power(a.e2 - b.e2, 2) <= 0.25),
+core AS (SELECT a FROM nb GROUP BY a HAVING count(*) >= 5),
+ce AS (SELECT nb.a, nb.b FROM nb JOIN core c1 ON nb.a = c1.a JOIN core c2 ON nb.b = c2.a),
+reach(id, root) AS (SELECT a, a FROM core UNION SELECT ce.b, r.root FROM reach r JOIN ce ON ce.a = r.id),
+comp AS (SELECT id, min(root) AS lab FROM reach GROUP BY id),
+border AS (SELECT nb.a AS id, min(comp.lab) AS lab FROM nb JOIN comp ON nb.b = comp.id
+           WHERE nb.a NOT IN (SELECT a FROM core) GROUP BY nb.a),
+labels AS (SELECT * FROM comp UNION ALL SELECT * FROM border),
+ord AS (SELECT lab, CAST(dense_rank() OVER (ORDER BY min(id)) - 1 AS INTEGER) AS cluster FROM labels GROUP BY lab)"""
+
+
+@query("cluster_dbscan", oracle=_DB_LABELS + """
+SELECT p.row_id, p.e0, p.e1, p.e2, coalesce(ord.cluster, -1) AS cluster
+FROM p LEFT JOIN labels ON labels.id = p.row_id LEFT JOIN ord ON ord.lab = labels.lab""", floats=("e0", "e1", "e2"))
 def q_cluster_dbscan(spark, d):
     return clusters.cluster_dbscan(_embedded(spark, d), _E3)
 
@@ -146,12 +167,6 @@ def _metric_row(spark, name, value):
     return spark.createDataFrame([(name, value)], "metric string, value double")
 
 
-_EMB_Z = """(SELECT vec_id AS row_id, label,
-  (e0 - avg(e0) OVER ()) / stddev_pop(e0) OVER () AS e0, (e1 - avg(e1) OVER ()) / stddev_pop(e1) OVER () AS e1,
-  (e2 - avg(e2) OVER ()) / stddev_pop(e2) OVER () AS e2
-  FROM (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS e0, CAST(embedding[2] AS DOUBLE) AS e1,
-        CAST(embedding[3] AS DOUBLE) AS e2 FROM embeddings))"""
-_CENT = f"(SELECT label AS k, count(*) AS n, avg(e0) AS c0, avg(e1) AS c1, avg(e2) AS c2 FROM {_EMB_Z} GROUP BY label)"
 
 
 @query("davies_bouldin", oracle=f"""
@@ -189,7 +204,13 @@ def q_dbscan_noise(spark, d):
                    F.count_if(F.col("cluster") != -1).alias("clustered_points"))
 
 
-@query("silhouette")
+@query("silhouette", oracle=f"""
+WITH p AS (SELECT * FROM {_EMB_Z}),
+s AS (SELECT a.row_id AS i, a.label AS li, b.label AS lj,
+        sum(power(a.e0 - b.e0, 2) + power(a.e1 - b.e1, 2) + power(a.e2 - b.e2, 2)) AS d, count(*) AS n
+      FROM p a JOIN p b ON true GROUP BY ALL),
+ab AS (SELECT i, max(CASE WHEN li = lj THEN d / (n - 1) END) AS a, min(CASE WHEN li <> lj THEN d / n END) AS b FROM s GROUP BY i)
+SELECT 'silhouette_sq_euclidean' AS metric, avg((b - a) / greatest(a, b)) AS value FROM ab""", floats=("value",))
 def q_silhouette(spark, d):
     return _metric_row(spark, "silhouette_sq_euclidean", clusters.silhouette(_embedded(spark, d), _E3, "label"))
 
@@ -243,7 +264,7 @@ def q_encode_new_rows(spark, d):
 @query("predict")
 def q_predict(spark, d):
     ml = fixture(spark, d, "fx_ml")
-    return models.predict(ml, ml.where("row_id % 7 = 0"), _FEATS, "y_class", "classification", "DecisionTreeClassifier")
+    return models.predict(ml, ml, _FEATS, "y_class", "classification", "DecisionTreeClassifier")
 
 
 @query("predict_probabilities")
