@@ -152,8 +152,10 @@ def transform_dataset(df: DataFrame, target: str | None = None, clean: bool = Tr
         kw = {"bucket_rows": bucket_rows} if bucket_rows else {}
         cur = preprocess_full(df, **kw)[0]
     cur = date_features(cur, exclude=(target,) if target else ())
+    # label codes are not scaled afterwards: only columns numeric before encoding
+    numeric_before = [c for c in numeric_cols(cur) if c != target]
     cur, mapping = label_encode(cur, target=target)
-    cur, sc = standardize(cur, target=target)
+    cur, sc = standardize(cur, numeric_before)
     return cur, mapping, sc
 
 

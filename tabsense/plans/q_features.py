@@ -88,7 +88,48 @@ def q_scaler(spark, d):
     return features.standardize(fixture(spark, d, "fx_ml"), target="y_reg")[1]
 
 
-@query("transform_dataset")
+_TD_NUM = ["price", "cust_mod", "bal", "y_reg"]
+_TD_SCALED = ["price", "cust_mod", "bal", "y_reg", "odate_year1", "odate_month1", "odate_day1"]
+
+
+def _lo(c: str) -> str:
+    return f"(f.{c}_q1 - 1.5 * (f.{c}_q3 - f.{c}_q1))"
+
+
+def _hi(c: str) -> str:
+    return f"(f.{c}_q3 + 1.5 * (f.{c}_q3 - f.{c}_q1))"
+
+
+def _codes_of(c: str) -> str:
+    return (f"(SELECT {c} AS cls, CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS BIGINT) AS idx FROM "
+            f"(SELECT DISTINCT coalesce(CAST({c} AS VARCHAR), 'None') AS {c} FROM d))")
+
+
+# transform_dataset on fx_ml (target y_class): keep-first dedup, no nulls,
+# outlier fences on the four numeric columns (delete at <= 10 %, else clip),
+# date parts of odate, label codes of segment/priority, then the columns that
+# were numeric before encoding are standardised.
+_TD_SQL = f"""
+WITH m AS {_ML},
+dd AS (SELECT min(row_id) AS row_id, price, cust_mod, bal, segment, priority, odate, y_class, y_reg FROM m GROUP BY ALL),
+f AS (SELECT {", ".join(f"quantile_cont({c}, 0.25) AS {c}_q1, quantile_cont({c}, 0.75) AS {c}_q3" for c in _TD_NUM)} FROM dd),
+fl AS (SELECT dd.*, {" OR ".join(f"coalesce({c} < {_lo(c)} OR {c} > {_hi(c)}, false)" for c in _TD_NUM)} AS is_out FROM dd, f),
+r AS (SELECT avg(CASE WHEN is_out THEN 1.0 ELSE 0.0 END) AS ratio FROM fl),
+o AS (SELECT row_id, price, cust_mod, bal, segment, priority, odate, y_class, y_reg FROM fl, r WHERE ratio <= 0.1 AND NOT is_out
+      UNION ALL
+      SELECT row_id, {", ".join(f"CASE WHEN {c} < {_lo(c)} THEN {_lo(c)} WHEN {c} > {_hi(c)} THEN {_hi(c)} ELSE CAST({c} AS DOUBLE) END AS {c}" for c in ["price", "cust_mod", "bal"])},
+        segment, priority, odate, y_class,
+        CASE WHEN y_reg < {_lo('y_reg')} THEN {_lo('y_reg')} WHEN y_reg > {_hi('y_reg')} THEN {_hi('y_reg')} ELSE y_reg END AS y_reg
+      FROM fl, f, r WHERE ratio > 0.1),
+d AS (SELECT *, CAST(year(odate) AS BIGINT) AS odate_year1, CAST(month(odate) AS BIGINT) AS odate_month1,
+        CAST(day(odate) AS BIGINT) AS odate_day1 FROM o),
+st AS (SELECT {", ".join(f"avg({c}) AS {c}_m, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS {c}_s" for c in _TD_SCALED)} FROM d)
+SELECT d.row_id, {", ".join(f"(CAST(d.{c} AS DOUBLE) - st.{c}_m) / st.{c}_s AS {c}" for c in _TD_SCALED)},
+  cs.idx AS segment, cp.idx AS priority, d.odate, d.y_class
+FROM d JOIN {_codes_of('segment')} cs ON cs.cls = d.segment JOIN {_codes_of('priority')} cp ON cp.cls = d.priority, st"""
+
+
+@query("transform_dataset", oracle=_TD_SQL, floats=tuple(_TD_SCALED))
 def q_transform_dataset(spark, d):
     return features.transform_dataset(fixture(spark, d, "fx_ml"), target="y_class", bucket_rows=4096)[0]
 
