@@ -177,34 +177,35 @@ def _centroids(df: DataFrame, features: list[str], label: str) -> DataFrame:
 
 
 def davies_bouldin(df: DataFrame, features: list[str], label: str = "cluster") -> float | None:
-    """mean over i of max over j != i of (S_i + S_j) / d(c_i, c_j)."""
+    """mean over i of max over j != i of (S_i + S_j) / d(c_i, c_j).  Points
+    are aggregated on Spark (centroids, scatter); the k x k centroid part is
+    evaluated on the driver in blocks (memory bounded, exact for any k)."""
     cents = _centroids(df, features, label)
     d = F.sqrt(sum((col(c) - F.col(f"__c{i}")) ** 2 for i, c in enumerate(features)))
-    scat = (df.join(F.broadcast(cents), col(label) == F.col("__k"))
-            .groupBy("__k").agg(F.avg(d).alias("s"))).collect()
-    cs = {r["__k"]: r for r in cents.collect()}
-    s = {r["__k"]: r["s"] for r in scat}
-    keys = sorted(cs)
-    if len(keys) < 2:
+    scat = {r["__k"]: r["s"] for r in
+            df.join(cents, col(label) == F.col("__k")).groupBy("__k").agg(F.avg(d).alias("s")).collect()}
+    rows = sorted(cents.collect(), key=lambda r: r["__k"])
+    k = len(rows)
+    if k < 2:
         return None
-    tot = 0.0
-    for i in keys:
-        best = 0.0
-        for j in keys:
-            if i == j:
-                continue
-            dij = float(np.sqrt(sum((cs[i][f"__c{t}"] - cs[j][f"__c{t}"]) ** 2 for t in range(len(features)))))
-            r = (s[i] + s[j]) / dij if dij > 0 else float("inf")
-            best = max(best, r)
-        tot += best
-    return tot / len(keys)
+    c = np.array([[r[f"__c{t}"] for t in range(len(features))] for r in rows], dtype=float)
+    s = np.array([scat[r["__k"]] for r in rows], dtype=float)
+    worst = np.zeros(k)
+    block = 2048
+    for a in range(0, k, block):
+        dist = np.sqrt(((c[a:a + block, None, :] - c[None, :, :]) ** 2).sum(-1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = (s[a:a + block, None] + s[None, :]) / dist
+        r[np.arange(r.shape[0]), np.arange(a, a + r.shape[0])] = -np.inf     # j != i
+        worst[a:a + block] = r.max(1)
+    return float(worst.mean())
 
 
 def calinski_harabasz(df: DataFrame, features: list[str], label: str = "cluster") -> float | None:
     """(B / (k - 1)) / (W / (n - k)); 1.0 when W is 0."""
     cents = _centroids(df, features, label)
     overall = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(col(c)).alias(f"g{i}") for i, c in enumerate(features)]).first()
-    w = (df.join(F.broadcast(cents), col(label) == F.col("__k"))
+    w = (df.join(cents, col(label) == F.col("__k"))
          .agg(F.sum(sum((col(c) - F.col(f"__c{i}")) ** 2 for i, c in enumerate(features))).alias("w")).first()["w"])
     rows = cents.collect()
     k, n = len(rows), overall["n"]

@@ -228,15 +228,17 @@ def encode_new_rows(raw: DataFrame, features: list[str], mapping: DataFrame, sca
     ``error`` column (first problem, in feature order) instead of raising."""
     out = raw
     errors = []
-    sc = {r["column"]: (r["mean"], r["scale"]) for r in scaler.collect()}
-    mapped = {r[0] for r in mapping.select("column").distinct().collect()}
+    sc = {r["column"]: (r["mean"], r["scale"]) for r in scaler.collect()}   # one row per column
+    sizes = {r["column"]: r["n"] for r in mapping.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    mapped = set(sizes)
     for c in features:
         v = F.trim(col(c).cast("string"))
         missing = v.isNull() | (v == "")
         if c in mapped:
             m = mapping.where(F.col("column") == c).select(F.col("class").alias(f"__cls_{c}"),
                                                             F.col("idx").cast("double").alias(f"__idx_{c}"))
-            out = out.join(F.broadcast(m), v == F.col(f"__cls_{c}"), "left")
+            from tabsense.operators.features import BROADCAST_MAP_ROWS
+            out = out.join(F.broadcast(m) if sizes[c] <= BROADCAST_MAP_ROWS else m, v == F.col(f"__cls_{c}"), "left")
             val = F.col(f"__idx_{c}")
             err = (F.when(missing, F.lit(f"missing value for '{c}'"))
                    .when(val.isNull(), F.concat(F.lit("unknown value '"), v, F.lit(f"' for {c}"))))

@@ -74,8 +74,9 @@ def scan_last(df: DataFrame, value: Column, out: str, bucket_rows: int = DEFAULT
 
     Level 1: window inside each bucket.  Level 2: a carry table with one
     row per bucket (last/first non-null of the bucket) scanned over
-    buckets; it has ``rows / bucket_rows`` rows and is joined back by
-    broadcast.  ``value`` may be a struct to carry several fields.
+    buckets; it has ``rows / bucket_rows`` rows and is joined back (AQE
+    broadcasts it when its measured size allows).  ``value`` may be a
+    struct to carry several fields.
     """
     b = "__bucket"
     v = "__scan_v"
@@ -97,8 +98,10 @@ def scan_last(df: DataFrame, value: Column, out: str, bucket_rows: int = DEFAULT
         carry_expr = F.last("__edge", ignorenulls=True).over(wc)
     carry = (base.groupBy(b).agg(edge.alias("__edge"))
              .select(b, carry_expr.alias("__carry")))
+    # the carry table has rows / bucket_rows rows; AQE broadcasts it when its
+    # runtime size is under the broadcast threshold, else it is a shuffle join
     res = (base.withColumn("__inner", inner)
-           .join(F.broadcast(carry), b, "left")
+           .join(carry, b, "left")
            .withColumn(out, F.coalesce(F.col("__inner"), F.col("__carry")))
            .drop(b, v, "__inner", "__carry"))
     return res
@@ -133,7 +136,7 @@ def scan_neighbors(df: DataFrame, value: Column, prev_out: str, next_out: str,
                          Window.orderBy(F.col(b).desc()).rowsBetween(Window.unboundedPreceding, -1))
                      .alias("__cnext")))
     return (base.withColumn("__iprev", inner_prev).withColumn("__inext", inner_next)
-            .join(F.broadcast(carry), b, "left")
+            .join(carry, b, "left")
             .withColumn(prev_out, F.coalesce("__iprev", "__cprev"))
             .withColumn(next_out, F.coalesce("__inext", "__cnext"))
             .drop(b, v, "__iprev", "__inext", "__cprev", "__cnext"))
