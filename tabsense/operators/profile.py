@@ -3,23 +3,24 @@
 All per-column numbers come from one aggregate over the table, turned into
 one row per column with ``inline`` (lazy, never collected).  Duplicate
 detection groups on all data columns with map-side combine; consecutive
-runs compare each row with its predecessor through an equi-join on
-``row_id`` and a two-level scan, so no window ever spans the table and a
-value repeated in a third of all rows is spread over many tasks.
+runs compare each row with its predecessor by ``lag`` inside fixed-size
+row_id buckets (plus a one-row-per-bucket carry) and a two-level scan, so no
+window ever spans the table and a value repeated in a third of all rows is
+spread over many tasks.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsense.functions.dates import DATE_SHARE_FOR_CATEGORY, parse_any
 from tabsense.functions.numeric import col
 from tabsense.functions.schema import (ROW_ID, data_fields, is_numeric, is_temporal, storage_type)
-from tabsense.operators.rows import DEFAULT_BUCKET_ROWS, scan_last, with_previous
+from tabsense.operators.rows import DEFAULT_BUCKET_ROWS, scan_last
 from tabsense.session import materialize
 
 
@@ -135,12 +136,22 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def _runs(df: DataFrame, bucket_rows: int) -> DataFrame:
     """Label every row with the row_id of its run start; a row continues a
-    run when it equals its predecessor in every column (a null never does)."""
+    run when it equals the previous row in every column (a null never does).
+
+    The previous row comes from ``lag`` inside fixed-size row_id buckets; the
+    first row of a bucket takes the last row of the previous non-empty bucket
+    from a carry table (one row per bucket).  No self-join of the data, and
+    gaps in row_id (deleted rows) are skipped like pandas positions."""
     keys = _keys(df)
-    with_prev = with_previous(df, keys)
-    same = reduce(lambda a, b: a & b, [F.coalesce(col(k) == F.col("`__prev_" + k + "`"), F.lit(False))
-                                       for k in keys])
-    flagged = with_prev.withColumn("__same", same).drop(*["__prev_" + k for k in keys])
+    row = F.struct(*[col(k).alias(k) for k in keys])
+    base = df.withColumn("__b", F.floor(F.col(ROW_ID) / F.lit(bucket_rows)).cast("long"))
+    last_rows = base.groupBy("__b").agg(F.max_by(row, F.col(ROW_ID)).alias("__lr"))
+    carry = last_rows.select("__b", F.lag("__lr").over(Window.orderBy("__b")).alias("__cp"))
+    w = Window.partitionBy("__b").orderBy(ROW_ID)
+    x = base.withColumn("__p", F.lag(row).over(w)).join(carry, "__b", "left")
+    prev = F.coalesce(F.col("__p"), F.col("__cp"))
+    same = reduce(lambda a, b: a & b, [F.coalesce(col(k) == prev[k], F.lit(False)) for k in keys])
+    flagged = x.withColumn("__same", same).drop("__p", "__cp", "__b")
     start = F.when(~F.col("__same"), F.col(ROW_ID))
     return scan_last(flagged, start, "__run", bucket_rows)
 

@@ -89,3 +89,12 @@ def test_results_do_not_depend_on_partitioning(spark):
     df = fixture(spark, SF, "fx_dups")
     base = sorted(map(tuple, profile.duplicate_summary(df, bucket_rows=50).collect()))
     assert base == sorted(map(tuple, profile.duplicate_summary(df.repartition(3), bucket_rows=1 << 20).collect()))
+
+
+def test_runs_follow_positions_across_gaps_and_buckets(spark):
+    pdf = pd.DataFrame({"row_id": [0, 2, 5, 6, 9, 10, 11], "a": ["x", "y", "y", "z", "z", "z", None]})
+    df = spark.createDataFrame(pdf)
+    for b in (1, 2, 4, 1 << 20):
+        runs = profile.duplicate_runs(df, bucket_rows=b).orderBy("row_id").toPandas()
+        assert runs["row_id"].tolist() == [2, 6]
+        assert runs["count_in_group"].tolist() == [2, 3]
