@@ -26,26 +26,31 @@ BINS = 1 << 15
 # distinct values (bounded by this number).
 EXACT_LIMIT = 4096
 MAX_PASSES = 40
-# Columns with at most this many distinct values (HyperLogLog estimate) use
-# Spark's exact ``percentile``: its value->count map is then bounded, and the
-# answer comes from a single scan.  Larger columns use the refinement.
-MAP_DISTINCT_LIMIT = 200_000
-_DISTINCT: dict[tuple[int, str], int] = {}
-
-
-def column_ranges(df: DataFrame, cols: list[str], extra: list | None = None):
-    """(count, min, max) per column in one aggregate.  With ``extra``
-    aggregate expressions, returns ``(ranges, row)`` so callers fold their
-    own statistics into the same scan."""
-    aggs = list(extra or [])
-    for i, c in enumerate(cols):
-        x = col(c).cast("double")
-        aggs += [F.count(x).alias(f"__n{i}"), F.min(x).alias(f"__lo{i}"), F.max(x).alias(f"__hi{i}"),
-                 F.approx_count_distinct(x, 0.05).alias(f"__d{i}")]
-    row = df.agg(*aggs).first() if aggs else None
+
+
+# Aggregation buffers above ~100 fields switch whole-stage codegen off
+# (spark.sql.codegen.maxFields); wide aggregates are split into column
+# chunks below this budget.  Each chunk scan reads only its own columns, so
+# the I/O is the same as one scan.
+FIELD_BUDGET = 90
+
+
+def column_ranges(df: DataFrame, cols: list[str], extra=None, extra_fields: int = 0):
+    """(count, min, max) per column.  ``extra(i, c)`` may return more
+    aggregate expressions for column ``i`` (``extra_fields`` buffer fields in
+    total); then ``(ranges, row)`` is returned with those results too."""
+    per = 3 + extra_fields
+    size = max(1, FIELD_BUDGET // per)
+    row: dict = {}
+    for start in range(0, len(cols), size):
+        aggs = []
+        for i in range(start, min(start + size, len(cols))):
+            x = col(cols[i]).cast("double")
+            aggs += [F.count(x).alias(f"__n{i}"), F.min(x).alias(f"__lo{i}"), F.max(x).alias(f"__hi{i}")]
+            if extra is not None:
+                aggs += extra(i, cols[i])
+        row.update(df.agg(*aggs).first().asDict())
     ranges = {c: (row[f"__n{i}"], row[f"__lo{i}"], row[f"__hi{i}"]) for i, c in enumerate(cols)}
-    for i, c in enumerate(cols):
-        _DISTINCT[(id(df), c)] = row[f"__d{i}"]
     return (ranges, row) if extra is not None else ranges
 
 
@@ -122,26 +127,18 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                     ranges: dict[str, tuple[int, float, float]] | None = None) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles (pandas / numpy default) per column."""
     ranges = ranges or column_ranges(df, cols)
-    small = [c for c in cols if ranges[c][0] and _DISTINCT.get((id(df), c), MAP_DISTINCT_LIMIT + 1) <= MAP_DISTINCT_LIMIT]
-    by_map: dict[str, list[float]] = {}
-    if small:
-        r = df.agg(*[F.percentile(col(c).cast("double"), F.array(*[F.lit(float(p)) for p in probs])).alias(f"p{i}")
-                     for i, c in enumerate(small)]).first()
-        by_map = {c: list(r[f"p{i}"]) for i, c in enumerate(small)}
     wanted: dict[str, set[int]] = {}
     for c in cols:
         n = ranges[c][0]
-        if n and c not in by_map:
+        if n:
             ks = set()
             for p in probs:
                 h = (n - 1) * p
                 ks.update({math.floor(h), math.ceil(h)})
             wanted[c] = ks
     stats = order_statistics(df, wanted, ranges)
-    out: dict[str, list[float | None]] = dict(by_map)
+    out: dict[str, list[float | None]] = {}
     for c in cols:
-        if c in by_map:
-            continue
         n = ranges[c][0]
         vals: list[float | None] = []
         for p in probs:

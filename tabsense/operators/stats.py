@@ -8,6 +8,7 @@ so hot values are cheap) and per-column top-k.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -44,11 +45,10 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = cols if cols is not None else numeric_cols(df)
     schema = ("column string, count long, mean double, std double, min double, "
               "q25 double, q50 double, q75 double, max double")
-    extra = []
-    for i, c in enumerate(cols):
+    def extra(i, c):
         x = col(c).cast("double")
-        extra += [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}")]
-    ranges, r = column_ranges(df, cols, extra)
+        return [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}")]
+    ranges, r = column_ranges(df, cols, extra, extra_fields=5)
     qs = exact_quantiles(df, cols, [0.25, 0.5, 0.75], ranges)
     rows = [(c, ranges[c][0], r[f"mean{i}"], r[f"std{i}"], ranges[c][1], *qs[c], ranges[c][2])
             for i, c in enumerate(cols)]
@@ -56,22 +56,43 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def describe_advanced(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """median, variance, std, coefficient of variation, skew, kurtosis."""
+    """median, variance, std, coefficient of variation, skew, kurtosis.
+
+    The scan computes plain moments only (Spark's central-moment
+    aggregates); the bias corrections of pandas are applied to the one
+    aggregated row.  Wrapping many aggregates in conditional expressions
+    makes the generated code too large for whole-stage codegen."""
     cols = cols if cols is not None else numeric_cols(df)
-    extra = []
-    for i, c in enumerate(cols):
+    def extra(i, c):
         x = col(c).cast("double")
-        extra += [F.var_samp(x).alias(f"variance{i}"), F.stddev_samp(x).alias(f"std{i}"),
-                  F.try_divide(F.stddev_samp(x), F.avg(x)).alias(f"cv{i}"),
-                  skew_unbiased(c).alias(f"skew{i}"), kurt_unbiased(c).alias(f"kurtosis{i}")]
-    ranges, r = column_ranges(df, cols, extra)
+        return [F.avg(x).alias(f"mean{i}"), F.var_pop(x).alias(f"vpop{i}"),
+                F.skewness(x).alias(f"g1_{i}"), F.kurtosis(x).alias(f"g2_{i}")]
+    ranges, r = column_ranges(df, cols, extra, extra_fields=14)
     qs = exact_quantiles(df, cols, [0.5], ranges)
-    rows = [(c, qs[c][0], r[f"variance{i}"], r[f"std{i}"], r[f"cv{i}"], r[f"skew{i}"], r[f"kurtosis{i}"])
-            for i, c in enumerate(cols)]
+    rows = []
+    for i, c in enumerate(cols):
+        n = ranges[c][0] or 0
+        mean, vpop = r[f"mean{i}"], r[f"vpop{i}"]
+        var = vpop * n / (n - 1) if vpop is not None and n > 1 else None
+        std = math.sqrt(var) if var is not None else None
+        pstd = math.sqrt(vpop) if vpop is not None else None
+        r[f"variance{i}"] = var
+        cv = std / mean if std is not None and mean not in (None, 0.0) else None
+        skew = kurt = None
+        if n >= 3:
+            skew = 0.0 if pstd == 0 else _finite(r[f"g1_{i}"], lambda g: g * math.sqrt(n * (n - 1)) / (n - 2))
+        if n >= 4:
+            kurt = 0.0 if pstd == 0 else _finite(
+                r[f"g2_{i}"], lambda g: (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g + 6))
+        rows.append((c, qs[c][0], r[f"variance{i}"], std, cv, skew, kurt))
     return df.sparkSession.createDataFrame(
         rows, "column string, median double, variance double, std double, cv double, skew double, kurtosis double")
 
 
+def _finite(v, f):
+    return None if v is None or math.isnan(v) else f(v)
+
+
 def outlier_counts(df: DataFrame, cols: list[str] | None = None, whisker: float = 1.5) -> DataFrame:
     """Rows outside [Q1 - 1.5 IQR, Q3 + 1.5 IQR] per numeric column, and
     whether any column has one."""

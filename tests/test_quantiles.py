@@ -43,7 +43,6 @@ def test_modes_smallest_on_ties(spark):
 
 def test_refinement_path_matches_numpy(spark, monkeypatch):
     from tabsense.operators import quantiles
-    monkeypatch.setattr(quantiles, "MAP_DISTINCT_LIMIT", 0)      # force histogram refinement
     monkeypatch.setattr(quantiles, "EXACT_LIMIT", 16)
     monkeypatch.setattr(quantiles, "BINS", 8)
     rng = np.random.default_rng(2)
