@@ -3,7 +3,8 @@
 Nulls, duplicates, outliers, dirty text and dates are injected by arithmetic
 on natural keys: deterministic, no random numbers, and every view covers its
 whole source table.  Each view is one SQL body that runs unchanged in Spark
-SQL and in DuckDB.  The only difference is the positional ``row_id`` of
+SQL and in DuckDB.  Nullable numeric columns are DOUBLE (``fx_dups.d``) so
+that both engines hand back the same value type for a null-bearing column.  The only difference is the positional ``row_id`` of
 ``lineitem``: DuckDB numbers rows with a window, Spark with
 :func:`with_row_index` (no single-partition window).
 """
@@ -34,7 +35,7 @@ SELECT row_id,
 FROM {lineitem_rows}""",
     "fx_dups": """
 SELECT row_id, l_returnflag AS a, l_linestatus AS b, CAST(floor(row_id / 3) % 40 AS BIGINT) AS c,
-  CASE WHEN row_id % 50 = 0 THEN NULL ELSE CAST(l_linenumber % 2 AS BIGINT) END AS d
+  CASE WHEN row_id % 50 = 0 THEN NULL ELSE CAST(l_linenumber % 2 AS DOUBLE) END AS d
 FROM {lineitem_rows}""",
     "fx_outliers_few": """
 SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 50 = 0 THEN o_totalprice * 100 ELSE o_totalprice END AS x,

@@ -22,7 +22,7 @@ def q_drop_columns(spark, d):
     return cleaning.drop_columns(fixture(spark, d, "fx_missing"), ["d_drop_col", "not_a_column"])
 
 
-@query("drop_duplicates", oracle=f"SELECT min(row_id) AS row_id, {_DK} FROM {_D} GROUP BY ALL")
+@query("drop_duplicates", floats=("d",), oracle=f"SELECT min(row_id) AS row_id, {_DK} FROM {_D} GROUP BY ALL")
 def q_drop_duplicates(spark, d):
     return cleaning.drop_duplicates(fixture(spark, d, "fx_dups"))
 
@@ -30,17 +30,17 @@ def q_drop_duplicates(spark, d):
 _DELETED = f"SELECT r.row_id, r.a, r.b, r.c, r.d FROM {_D} r JOIN {_FIRSTS} g ON {_DJ} WHERE r.row_id <> g.first_id"
 
 
-@query("deleted_duplicates", oracle=_DELETED)
+@query("deleted_duplicates", floats=("d",), oracle=_DELETED)
 def q_deleted_duplicates(spark, d):
     return cleaning.deleted_duplicates(fixture(spark, d, "fx_dups"))
 
 
-@query("unique_deleted", oracle=f"SELECT min(row_id) AS row_id, {_DK} FROM ({_DELETED}) GROUP BY ALL")
+@query("unique_deleted", floats=("d",), oracle=f"SELECT min(row_id) AS row_id, {_DK} FROM ({_DELETED}) GROUP BY ALL")
 def q_unique_deleted(spark, d):
     return cleaning.unique_deleted(fixture(spark, d, "fx_dups"))
 
 
-@query("duplicate_groups", oracle=f"""
+@query("duplicate_groups", floats=("d",), oracle=f"""
 SELECT g.first_id AS kept_row_id, r.row_id, r.row_id = g.first_id AS is_kept, r.a, r.b, r.c, r.d,
   CAST(g.cnt AS BIGINT) AS group_size
 FROM {_D} r JOIN {_FIRSTS} g ON {_DJ} WHERE g.cnt > 1""")

@@ -33,14 +33,22 @@ def _parts(c: str, e: str) -> str:
             f"CAST(day({e}) AS BIGINT) AS {c}_day1")
 
 
+_PART_COLS = [f"{b}{s}" for b in ["date_fr", "maybe_day", "ymd_int", "native_ts"] for s in ["_year1", "_month1", "_day1"]]
+
+
 _DF = f"""(SELECT row_id, {_parts('date_fr', duck_parse_any('date_fr'))}, {_parts('maybe_day', duck_parse_any('maybe_day'))},
   {_parts('ymd_int', "try_strptime(CAST(ymd_int AS VARCHAR), '%Y%m%d')")}, update_count, {_parts('native_ts', 'native_ts')}
   FROM {_DATES})"""
 
 
-@query("date_features", oracle=f"SELECT * FROM {_DF}")
+@query("date_features", oracle=f"SELECT * REPLACE ({', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _PART_COLS)}) FROM {_DF}",
+       floats=tuple(_PART_COLS))
 def q_date_features(spark, d):
-    return features.date_features(fixture(spark, d, "fx_dates"))
+    """Date parts are reported as DOUBLE here (they hold nulls) so that both
+    engines return the same value type."""
+    from pyspark.sql import functions as F
+    out = features.date_features(fixture(spark, d, "fx_dates"))
+    return out.withColumns({c: F.col(c).cast("double") for c in _PART_COLS})
 
 
 @query("date_feature_profile", oracle=union_all([

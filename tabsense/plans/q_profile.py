@@ -90,7 +90,7 @@ _DUP_JOIN = " AND ".join(f"r.{c} IS NOT DISTINCT FROM g.{c}" for c in DUPS_COLS)
 _DUP_COUNTS = f"(SELECT {_DUP_KEYS}, count(*) AS cnt FROM {_DUPS} GROUP BY ALL)"
 
 
-@query("duplicate_rows", oracle=f"""
+@query("duplicate_rows", floats=("d",), oracle=f"""
 SELECT r.row_id, r.a, r.b, r.c, r.d FROM {_DUPS} r JOIN {_DUP_COUNTS} g ON {_DUP_JOIN} WHERE g.cnt > 1""")
 def q_duplicate_rows(spark, d):
     return profile.duplicate_rows(fixture(spark, d, "fx_dups"))
@@ -102,7 +102,7 @@ _RUNS = f"""(SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (ORDER BY row_
 _RUN_GROUPS = f"(SELECT grp, min(row_id) AS start, count(*) AS n FROM {_RUNS} GROUP BY grp HAVING count(*) > 1)"
 
 
-@query("duplicate_runs", oracle=f"""
+@query("duplicate_runs", floats=("d",), oracle=f"""
 SELECT r.row_id, r.a, r.b, r.c, r.d, CAST(g.n AS BIGINT) AS count_in_group
 FROM {_DUPS} r JOIN {_RUN_GROUPS} g ON r.row_id = g.start""")
 def q_duplicate_runs(spark, d):
@@ -117,7 +117,7 @@ WHERE g.cnt > 1 AND r.row_id NOT IN (SELECT row_id FROM {_IN_RUNS})
 GROUP BY r.a, r.b, r.c, r.d"""
 
 
-@query("duplicate_scattered", oracle=_SCATTERED)
+@query("duplicate_scattered", floats=("d",), oracle=_SCATTERED)
 def q_duplicate_scattered(spark, d):
     return profile.duplicate_scattered(fixture(spark, d, "fx_dups"), bucket_rows=4096)
 
