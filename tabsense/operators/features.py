@@ -10,8 +10,6 @@ single-task window); the map is broadcast only below a checked size.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T

@@ -107,13 +107,6 @@ def scan_last(df: DataFrame, value: Column, out: str, bucket_rows: int = DEFAULT
     return res
 
 
-def with_previous(df: DataFrame, cols: list[str], prefix: str = "__prev_") -> DataFrame:
-    """Attach the values of the row with ``row_id - 1`` (an equi-join on
-    row_id: evenly hashed, no global order needed)."""
-    prev = df.select((F.col(ROW_ID) + 1).alias(ROW_ID), *[F.col(q(c)).alias(prefix + c) for c in cols])
-    return df.join(prev, ROW_ID, "left")
-
-
 def scan_neighbors(df: DataFrame, value: Column, prev_out: str, next_out: str,
                    bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
     """Previous (row_id <= own) and next (row_id >= own) non-null ``value``
