@@ -37,8 +37,3 @@ def kurt_unbiased(name: str) -> Column:
     g2 = F.when(F.stddev_pop(c) == 0, F.lit(-3.0)).otherwise(F.kurtosis(c))
     k = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
     return F.when(n >= 4, F.when(F.stddev_pop(c) == 0, F.lit(0.0)).otherwise(k))
-
-
-def quartiles(name: str) -> Column:
-    """Exact Q1/median/Q3 with linear interpolation (pandas default)."""
-    return F.percentile(col(name), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
