@@ -179,14 +179,19 @@ def pca_scaled(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def profile_all(df: DataFrame) -> DataFrame:
-    """Every statistic above as one tidy table (section, column, metric, value)."""
+    """Every statistic above as one tidy table (section, column, metric,
+    value, text): numbers in ``value`` (double), words in ``text``."""
     from tabsense.operators.profile import categories_of, null_profile
     cats = categories_of(df)
     num, txt = cats["numeric"], cats["text"]
     parts = []
 
     def tidy(section: str, frame: DataFrame, metrics: list[str]) -> DataFrame:
-        items = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("string").alias("value")) for m in metrics]
+        types = dict(frame.dtypes)
+        items = [F.struct(F.lit(m).alias("metric"),
+                          (F.lit(None).cast("double") if types[m] == "string" else F.col(m).cast("double")).alias("value"),
+                          (F.col(m) if types[m] == "string" else F.lit(None).cast("string")).alias("text"))
+                 for m in metrics]
         return frame.select(F.lit(section).alias("section"), "column", F.inline(F.array(*items)))
 
     if num:

@@ -237,7 +237,48 @@ def q_text_length_distribution(spark, d):
     return stats.text_length_distribution(read_table(spark, d, "documents"))
 
 
-@query("profile_all")
+def _profile_all_sql() -> str:
+    src = duck_fixture("fx_missing")
+    num = ["q_interp", "p_mean", "t_drop_rows", "d_drop_col"]
+    txt = ["f_mode", "full_col"]
+    parts = []
+
+    def add(section, c, metric, value=None, text=None, scalar=False):
+        v = f"CAST({value} AS DOUBLE)" if value is not None else "CAST(NULL AS DOUBLE)"
+        t = text if text is not None else "CAST(NULL AS VARCHAR)"
+        frm = "(SELECT 1) AS one" if scalar else src
+        parts.append(f"SELECT '{section}' AS section, '{c}' AS \"column\", '{metric}' AS metric, {v} AS value, {t} AS text FROM {frm}")
+
+    for c in num:
+        q = qi(c)
+        for m, e in (("count", f"count({q})"), ("mean", f"avg({q})"), ("std", f"stddev_samp({q})"), ("min", f"min({q})"),
+                     ("q25", f"quantile_cont({q}, 0.25)"), ("q50", f"quantile_cont({q}, 0.5)"),
+                     ("q75", f"quantile_cont({q}, 0.75)"), ("max", f"max({q})")):
+            add("describe", c, m, e)
+        for m, e in (("median", f"quantile_cont({q}, 0.5)"), ("variance", f"var_samp({q})"), ("std", f"stddev_samp({q})"),
+                     ("cv", f"CASE WHEN avg({q}) <> 0 THEN stddev_samp({q}) / avg({q}) END"),
+                     ("skew", skew_sql(q)), ("kurtosis", kurt_sql(q))):
+            add("advanced", c, m, e)
+        q1, q3 = f"(SELECT quantile_cont({q}, 0.25) FROM {src})", f"(SELECT quantile_cont({q}, 0.75) FROM {src})"
+        add("outliers", c, "outliers", f"count(*) FILTER (WHERE {q} < {q1} - 1.5 * ({q3} - {q1}) OR {q} > {q3} + 1.5 * ({q3} - {q1}))")
+    for c in txt:
+        q = qi(c)
+        first = (f"(SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT {q} AS v FROM {src} WHERE {q} IS NOT NULL "
+                 f"ORDER BY v LIMIT 20))")
+        add("text_uniques", c, "n_unique", f"count(DISTINCT {q})")
+        add("text_uniques", c, "first_values", text=first, scalar=True)
+        freq = f"(SELECT {q} AS v, count(*) AS n FROM {src} WHERE {q} IS NOT NULL GROUP BY {q})"
+        add("text_describe", c, "count", f"count({q})")
+        add("text_describe", c, "unique", f"count(DISTINCT {q})")
+        add("text_describe", c, "top", text=f"(SELECT arg_min(v, (-n, v)) FROM {freq})", scalar=True)
+        add("text_describe", c, "freq", f"(SELECT max(n) FROM {freq})", scalar=True)
+        add("text_words", c, "avg_words", f"avg(len({words_sql(q)}))")
+    for c in MISSING_COLS:
+        add("missing", c, "null_count", f"count(*) - count({qi(c)})")
+    return union_all(parts)
+
+
+@query("profile_all", oracle=_profile_all_sql(), floats=("value",))
 def q_profile_all(spark, d):
     return stats.profile_all(fixture(spark, d, "fx_missing"))
 
