@@ -1,7 +1,9 @@
-"""Report content as tidy rows (section, item, metric, value).
+"""Report content as tidy rows (section, item, metric, value, text).
 
 The numbered sections of the reference's PDF report, computed with the
-profiling operators and unioned; layout/rendering is left to the caller.
+profiling operators and unioned; numbers stay numbers (``value``), words go
+to ``text``.  Layout, rounding for display and rendering are left to the
+caller.
 """
 
 from __future__ import annotations
@@ -19,9 +21,11 @@ EXAMPLE_VALUES = 5      # first 5 sorted distinct values per text column
 
 
 def _tidy(section: str, frame: DataFrame, item: str, metrics: list[str]) -> DataFrame:
+    types = dict(frame.dtypes)
     items = [F.struct(F.lit(m).alias("metric"),
-                      (F.format_number(F.col(m), 2) if dict(frame.dtypes)[m] == "double" else F.col(m).cast("string"))
-                      .alias("value")) for m in metrics]
+                      (F.lit(None).cast("double") if types[m] == "string" else F.col(m).cast("double")).alias("value"),
+                      (F.col(m) if types[m] == "string" else F.lit(None).cast("string")).alias("text"))
+             for m in metrics]
     return frame.select(F.lit(section).alias("section"), F.col(item).cast("string").alias("item"),
                         F.inline(F.array(*items)))
 
@@ -71,5 +75,5 @@ def report_sections(df: DataFrame) -> DataFrame:
         parts.append(_tidy("8 text analysis", report_text_examples(df, cats["text"]), "column",
                            ["n_unique", "examples"]))
     if not parts:
-        return spark.createDataFrame([], "section string, item string, metric string, value string")
+        return spark.createDataFrame([], "section string, item string, metric string, value double, text string")
     return reduce(DataFrame.unionByName, parts)

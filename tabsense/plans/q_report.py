@@ -34,9 +34,6 @@ def q_report_text_examples(spark, d):
     return report.report_text_examples(read_table(spark, d, "documents"))
 
 
-@query("report_sections")
-def q_report_sections(spark, d):
-    return report.report_sections(fixture(spark, d, "fx_missing"))
 
 
 _ML = duck_fixture("fx_ml")
@@ -52,3 +49,74 @@ def q_export_transformed(spark, d):
     encoded = features.label_encode(fixture(spark, d, "fx_ml"))[0]
     path = files.export_parquet(encoded, files.scratch_path(spark, "transformed"))
     return spark.read.parquet(path)
+
+
+def _report_sections_sql() -> str:
+    """report_sections on fx_missing, section by section."""
+    from tabsense.functions.dates import duck_parse_any
+    from tabsense.plans.sqlgen import kurt_sql, skew_sql
+    src = _M
+    num = ["q_interp", "p_mean", "t_drop_rows", "d_drop_col"]
+    txt = ["f_mode", "full_col"]
+    parts = []
+
+    def add(section, item, metric, value=None, text=None, frm=None):
+        v = f"CAST({value} AS DOUBLE)" if value is not None else "CAST(NULL AS DOUBLE)"
+        t = text if text is not None else "CAST(NULL AS VARCHAR)"
+        parts.append(f"SELECT '{section}' AS section, '{item}' AS item, '{metric}' AS metric, {v} AS value, "
+                     f"{t} AS text FROM {frm or src}")
+
+    one = "(SELECT 1) AS one"
+    add("1 general", "dataset", "rows", "count(*)")
+    add("1 general", "dataset", "columns", str(len(_MCOLS)), frm=one)
+    for c in _MCOLS:
+        q = qi(c)
+        add("2 column types", c, "dtype", text=f"CASE any_value(typeof({q})) WHEN 'DOUBLE' THEN 'double' WHEN 'BIGINT' "
+                                             f"THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN "
+                                             f"'timestamp_ntz' END")
+        if c in num:
+            add("3 categories", c, "category", text="'numeric'", frm=one)
+        elif c == "s_mode":
+            add("3 categories", c, "category", text="'date'", frm=one)
+        else:
+            add("3 categories", c, "category",
+                text=f"CASE WHEN count({duck_parse_any(q)}) >= 0.8 * count(*) THEN 'date' ELSE 'text' END")
+        add("4 missing values", c, "null_count", f"count(*) - count({q})")
+        add("4 missing values", c, "null_pct", f"round((count(*) - count({q})) * 100.0 / count(*), 2)")
+    keys = ", ".join(_MCOLS)
+    same = " AND ".join(f"{c} = lag({c}) OVER w" for c in _MCOLS)
+    join = " AND ".join(f"r.{c} IS NOT DISTINCT FROM g.{c}" for c in _MCOLS)
+    counts = f"(SELECT {keys}, count(*) AS cnt FROM {src} GROUP BY ALL)"
+    runs = (f"(SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (ORDER BY row_id) AS grp FROM ("
+            f"SELECT *, coalesce({same}, false) AS same FROM {src} WINDOW w AS (ORDER BY row_id)))")
+    groups = f"(SELECT grp, count(*) AS n FROM {runs} GROUP BY grp HAVING count(*) > 1)"
+    in_runs = f"(SELECT r.row_id FROM {runs} r JOIN {groups} g ON r.grp = g.grp)"
+    scattered = (f"(SELECT DISTINCT {', '.join('r.' + c for c in _MCOLS)} FROM {src} r JOIN {counts} g ON {join} "
+                 f"WHERE g.cnt > 1 AND r.row_id NOT IN (SELECT row_id FROM {in_runs}))")
+    add("5 duplicates", "dataset", "scattered_rows", f"(SELECT count(*) FROM {scattered})", frm=one)
+    add("5 duplicates", "dataset", "run_groups", f"(SELECT count(*) FROM {groups})", frm=one)
+    add("5 duplicates", "dataset", "rows_in_runs", f"(SELECT coalesce(sum(n), 0) FROM {groups})", frm=one)
+    add("5 duplicates", "dataset", "duplicated_rows", f"(SELECT coalesce(sum(cnt), 0) FROM {counts} WHERE cnt > 1)", frm=one)
+    for c in num:
+        q = qi(c)
+        for m, e in (("count", f"count({q})"), ("mean", f"avg({q})"), ("std", f"stddev_samp({q})"), ("min", f"min({q})"),
+                     ("q25", f"quantile_cont({q}, 0.25)"), ("q50", f"quantile_cont({q}, 0.5)"),
+                     ("q75", f"quantile_cont({q}, 0.75)"), ("max", f"max({q})")):
+            add("6 descriptive statistics", c, m, e)
+        for m, e in (("median", f"quantile_cont({q}, 0.5)"), ("variance", f"var_samp({q})"), ("std", f"stddev_samp({q})"),
+                     ("cv", f"CASE WHEN avg({q}) <> 0 THEN stddev_samp({q}) / avg({q}) END"),
+                     ("skew", skew_sql(q)), ("kurtosis", kurt_sql(q))):
+            add("7 advanced statistics", c, m, e)
+    for c in txt:
+        q = qi(c)
+        first = (f"(SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT {q} AS v FROM {src} WHERE {q} IS NOT NULL "
+                 f"ORDER BY v LIMIT 5))")
+        add("8 text analysis", c, "n_unique", f"count(DISTINCT {q})")
+        add("8 text analysis", c, "examples",
+            text=f"CASE WHEN length({first}) > 120 THEN substr({first}, 1, 120) || '...' ELSE {first} END", frm=one)
+    return union_all(parts)
+
+
+@query("report_sections", oracle=_report_sections_sql(), floats=("value",))
+def q_report_sections(spark, d):
+    return report.report_sections(fixture(spark, d, "fx_missing"))
