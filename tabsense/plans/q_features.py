@@ -160,7 +160,26 @@ def q_target_correlation(spark, d):
     return features.target_correlation(fixture(spark, d, "fx_ml").drop("row_id"), "y_class")
 
 
-@query("transformation_report")
+_TR_COLS = ["price", "cust_mod", "bal", "segment", "priority", "odate", "y_class", "y_reg",
+            "odate_year1", "odate_month1", "odate_day1"]
+
+
+def _transformation_sql() -> str:
+    src = (f"(SELECT *, year(odate) AS odate_year1, month(odate) AS odate_month1, day(odate) AS odate_day1 FROM {_ML})")
+    parts = []
+    for c in _TR_COLS:
+        if c == "y_class":
+            what = "'target (not transformed)'"
+        else:
+            what = (f"CASE WHEN any_value(typeof({c})) IN ('DOUBLE', 'BIGINT', 'INTEGER') THEN 'standardisation' "
+                    f"WHEN any_value(typeof({c})) LIKE 'TIMESTAMP%' THEN '{c}_year1, {c}_month1, {c}_day1' "
+                    f"WHEN any_value(typeof({c})) = 'VARCHAR' THEN 'label encoding' ELSE 'none' END")
+        parts.append(f"SELECT '{c}' AS \"column\", {what} AS transformation FROM {src}" if c != "y_class"
+                     else f"SELECT '{c}' AS \"column\", {what} AS transformation")
+    return union_all(parts)
+
+
+@query("transformation_report", oracle=_transformation_sql())
 def q_transformation_report(spark, d):
     df = features.date_features(fixture(spark, d, "fx_ml"), exclude=("y_class",))
     return features.transformation_report(df, "y_class")
