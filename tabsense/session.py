@@ -47,6 +47,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     current = spark.conf.get(_CKPT_KEY, None)
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (every executor writes there)")
+        # local runs and tests only: a scratch folder on this machine
         current = tempfile.mkdtemp(prefix="tabsense-ckpt-", dir="/tmp")
         spark.conf.set(_CKPT_KEY, current)
     sc = spark.sparkContext
