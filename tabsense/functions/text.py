@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,17 +26,24 @@ def snake_case(name: str) -> str:
     return re.sub(r"\s+", "_", name)
 
 
-def _strip_marks(s: str | None) -> str | None:
-    if s is None:
-        return None
-    s = unicodedata.normalize("NFKD", s)
-    return "".join(ch for ch in s if not unicodedata.combining(ch)).lower().strip()
+def _make_normalize_udf():
+    """The Arrow UDF is built in a closure so that it is shipped to the
+    Python workers by value: executors need no copy of this package."""
+    import unicodedata as ud
 
+    def strip_marks(v: str) -> str:
+        v = ud.normalize("NFKD", v)
+        return "".join(ch for ch in v if not ud.combining(ch)).lower().strip()
 
-@F.pandas_udf(T.StringType())
-def normalize_text_udf(s: pd.Series) -> pd.Series:
-    """NFKD, drop combining marks, lower, trim (Arrow batches)."""
-    return s.map(_strip_marks, na_action="ignore")
+    @F.pandas_udf(T.StringType())
+    def normalize_text_udf(s: pd.Series) -> pd.Series:
+        """NFKD, drop combining marks, lower, trim (Arrow batches)."""
+        return s.map(strip_marks, na_action="ignore")
+
+    return normalize_text_udf
+
+
+normalize_text_udf = _make_normalize_udf()
 
 
 # characters Python's str.strip() removes in the ASCII range
