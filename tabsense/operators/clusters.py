@@ -28,11 +28,13 @@ from tabsense.operators.models import SEED, assemble
 from tabsense.operators.rows import with_row_index
 from tabsense.session import materialize
 
-N_CLUSTERS = 3
-EPS = 0.5
-MIN_SAMPLES = 5
-MICRO = 256
-GRID_DIMS = 3
+# Fixed values of the reference's clustering setup.
+N_CLUSTERS = 3          # k-means and Ward
+EPS = 0.5               # DBSCAN radius
+MIN_SAMPLES = 5         # DBSCAN core threshold (the point itself included)
+# Our own parameters.
+MICRO = 256             # Ward micro-clusters above this many rows
+GRID_DIMS = 3           # dimensions used for DBSCAN grid cells
 
 
 def kmeans_model(df: DataFrame, features: list[str], k: int = N_CLUSTERS, seed: int = SEED):

@@ -18,6 +18,7 @@ from tabsense.functions.numeric import col, pair_corr
 from tabsense.functions.schema import ROW_ID, numeric_cols
 from tabsense.operators.quantiles import column_modes, column_ranges, exact_quantiles
 
+# Fixed value of the reference's histograms.
 HIST_BINS = 30
 
 
@@ -216,6 +217,8 @@ def line_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
                                          for i, c in enumerate(cols)])))
 
 
+# Our own parameters: cells the values are binned to before the kernel sum,
+# and grid points of the density curve.
 KDE_CELLS = 2048
 KDE_POINTS = 200
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tabsense.functions.schema import data_fields
 from tabsense.operators import profile, stats
 
+# Fixed values of the reference's report.
 EXAMPLE_CHARS = 120     # text examples are cut at 120 characters + "..."
 EXAMPLE_VALUES = 5      # first 5 sorted distinct values per text column
 
