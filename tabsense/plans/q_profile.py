@@ -173,6 +173,18 @@ def q_outlier_counts(spark, d):
     return stats.outlier_counts(fixture(spark, d, "fx_outliers_many"))
 
 
+@query("pca_scaled_2d", oracle="""
+WITH s AS (SELECT CAST(count(*) AS DOUBLE) AS n, corr(l_quantity, l_extendedprice) AS r FROM lineitem)
+SELECT 'PC1' AS component, n / (n - 1) * (1 + abs(r)) AS eigenvalue, (1 + abs(r)) / 2 * 100 AS explained_pct,
+  (1 + abs(r)) / 2 * 100 AS cumulative_pct FROM s
+UNION ALL SELECT 'PC2', n / (n - 1) * (1 - abs(r)), (1 - abs(r)) / 2 * 100, 100.0 FROM s""",
+       floats=("eigenvalue", "explained_pct", "cumulative_pct"))
+def q_pca_scaled_2d(spark, d):
+    """PCA of two standardised columns: the 2 x 2 case has a closed form
+    (eigenvalues n/(n-1) (1 +- |r|)), which makes the PCA path SQL-checkable."""
+    return stats.pca_scaled(read_table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"])
+
+
 @query("pca_scaled")
 def q_pca_scaled(spark, d):
     return stats.pca_scaled(read_table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
