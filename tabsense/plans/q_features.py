@@ -142,6 +142,19 @@ def q_transform_dataset(spark, d):
     return features.transform_dataset(fixture(spark, d, "fx_ml"), target="y_class", bucket_rows=4096)[0]
 
 
+@query("pca_features_2d", oracle=f"""
+WITH c AS (SELECT var_samp(coalesce(price, 0)) AS a, var_samp(coalesce(bal, 0)) AS d,
+                  covar_samp(coalesce(price, 0), coalesce(bal, 0)) AS b FROM {_ML}),
+e AS (SELECT (a + d) / 2 + sqrt(power((a - d) / 2, 2) + b * b) AS l1, (a + d) / 2 - sqrt(power((a - d) / 2, 2) + b * b) AS l2,
+             a + d AS t FROM c)
+SELECT 'PC1' AS component, l1 AS eigenvalue, l1 / t * 100 AS explained_pct, l1 / t * 100 AS cumulative_pct FROM e
+UNION ALL SELECT 'PC2', greatest(l2, 0), greatest(l2, 0) / t * 100, (l1 + greatest(l2, 0)) / t * 100 FROM e""",
+       floats=("eigenvalue", "explained_pct", "cumulative_pct"))
+def q_pca_features_2d(spark, d):
+    """Unscaled PCA of two columns (closed-form 2 x 2 eigenvalues in SQL)."""
+    return features.pca_features(fixture(spark, d, "fx_ml"), ["price", "bal"])
+
+
 @query("pca_features")
 def q_pca_features(spark, d):
     return features.pca_features(fixture(spark, d, "fx_ml").drop("row_id"))
