@@ -72,6 +72,23 @@ def _leader(spark, d, target, ml_type, names):
     return models.model_leaderboard(df, target, _FEATS, ml_type, names)
 
 
+_LIN = f"""WITH z AS (SELECT *, (y_reg - (SELECT avg(y_reg) FROM {_ML})) / (SELECT stddev_pop(y_reg) FROM {_ML}) AS y,
+  CASE WHEN {_H} < {int(0.2 * 2**32)} THEN 'test' ELSE 'train' END AS split FROM {_ML}),
+fit AS (SELECT regr_slope(y, price) AS b, regr_intercept(y, price) AS a FROM z WHERE split = 'train'),
+e AS (SELECT y, (fit.a + fit.b * price) - y AS err FROM z, fit WHERE split = 'test')"""
+
+
+@query("linear_leaderboard_1d", oracle=_LIN + """
+SELECT 'LinearRegression' AS model, 'mae' AS metric, avg(abs(err)) AS value, CAST(NULL AS VARCHAR) AS error FROM e
+UNION ALL SELECT 'LinearRegression', 'mse', avg(err * err), NULL FROM e
+UNION ALL SELECT 'LinearRegression', 'rmse', sqrt(avg(err * err)), NULL FROM e
+UNION ALL SELECT 'LinearRegression', 'r2', 1 - sum(err * err) / (count(y) * var_pop(y)), NULL FROM e""", floats=("value",))
+def q_linear_leaderboard_1d(spark, d):
+    """The regression leaderboard path (scaled target, hash split, fit on
+    train, metrics on test) with one feature, where OLS has a SQL form."""
+    return models.model_leaderboard(fixture(spark, d, "fx_ml"), "y_reg", ["price"], "regression", ["LinearRegression"])
+
+
 @query("train_logistic")
 def q_train_logistic(spark, d):
     return _leader(spark, d, "y_class", "classification", ["LogisticRegression"])
