@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsense.llm import bpe, mixing, token_counts
+from tabsense.llm import bpe, langid, mixing, quality, token_counts
+from tabsense.llm.samples import fold
 from tabsense.session import checkpoint_dir
 from tabsense.sources.tables import read_table
 
@@ -49,6 +50,23 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from the folds other than 2."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held = F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    return langid.predict(docs.select("doc_id", "text", held), langid.fit(docs), keep=["doc_id", "held_out"])
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text, learned from labels of the folds other than 0."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    scored = quality.score(docs.select("doc_id", "text", held), quality.fit(docs, read_table(spark, sf_dir, "labels")), keep=["doc_id", "held_out"])
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 5, 2, 1, at most three epochs a source."""
