@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsense.llm import bpe, langid, mixing, quality, token_counts
+from tabsense.llm import bpe, fingerprints, id_files, langid, mixing, quality, token_counts
 from tabsense.llm.samples import fold
 from tabsense.session import checkpoint_dir
 from tabsense.sources.tables import read_table
@@ -40,6 +40,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
 
 
+@query
+def op2_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lempel-Ziv fingerprints of every text and of its edited text, and their likeness."""
+    return fingerprints.fingerprint_chain(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every text through a digest cache (a new cache each call, so every distinct text is encoded)."""
@@ -72,3 +78,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 5, 2, 1, at most three epochs a source."""
     mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text with the end id, written to coded blocks in doc_id order and read back from them."""
+    folder = scratch(spark, "token-ids")
+    id_files.write_ids(documents(spark, sf_dir).select("doc_id", "text"), folder, public_tokenizers.path("word_bpe_49k.json"),
+                       vocabulary=49_408, end_id=2)
+    return id_files.read_ids(spark, folder, with_ids=False)
