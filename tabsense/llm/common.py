@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
@@ -81,6 +82,13 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps: Spark drops them when the driver's JVM collects the plans that
+    made them, which a job of few, large steps may not see happen in time.  Call it after results are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str, batch_rows: int = 256) -> DataFrame:
     """``mapInArrow`` over batches of at most ``batch_rows`` rows; ``fn`` turns a batch into columns by name."""
     ship_package(df.sparkSession)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsense.llm import bpe, fingerprints, id_files, langid, mixing, quality, token_counts
+from tabsense.llm import bpe, fingerprints, id_files, langid, mixing, quality, substrings, token_counts
 from tabsense.llm.samples import fold
 from tabsense.session import checkpoint_dir
 from tabsense.sources.tables import read_table
@@ -56,6 +56,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+@query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the words of 20-word windows that also start earlier."""
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("doc"), "text")
+    left = substrings.remove_repeats(docs)
+    return left.select(F.col("doc").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text, learned from the folds other than 2."""
