@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsense.llm import bpe, fingerprints, id_files, langid, mixing, quality, substrings, token_counts
+from tabsense.llm import bpe, fingerprints, id_files, langid, mixing, near_dups, quality, substrings, token_counts
 from tabsense.llm.samples import fold
 from tabsense.session import checkpoint_dir
 from tabsense.sources.tables import read_table
@@ -72,6 +72,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", held), langid.fit(docs), keep=["doc_id", "held_out"])
 
 
+@query
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every text: five-word shingles, weighted Jaccard similarity of 0.8 or more."""
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("doc"), "text")
+    return near_dups.near_duplicates(docs).withColumnRenamed("doc", "doc_id")
+
+
 @query
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every text, learned from labels of the folds other than 0."""
