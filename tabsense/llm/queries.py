@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsense.llm import bpe, fingerprints, id_files, langid, mixing, near_dups, quality, substrings, token_counts
+from tabsense.llm import bpe, fingerprints, id_files, langid, mixing, near_dups, neighbors, quality, substrings, token_counts
 from tabsense.llm.samples import fold
 from tabsense.session import checkpoint_dir
 from tabsense.sources.tables import read_table
@@ -95,6 +95,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20."""
+    checkpoint_dir(spark)
+    return neighbors.nearest(read_table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
 @query
 def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text with the end id, written to coded blocks in doc_id order and read back from them."""
