@@ -300,6 +300,32 @@ def round_trip_digests(df: DataFrame, path: str, pattern: str, key: str = "doc_i
     return arrow_map(df.select(key, text), run, schema)
 
 
+def encoded_documents(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """The other columns of ``df`` with ids, n_tokens and decoded_sha256 (of the bytes that the ids decode to) of each
+    text; null texts have no ids.  Columns of those names are replaced."""
+    made = ["ids", "n_tokens", "decoded_sha256"]
+    kept = [f for f in df.schema.fields if f.name not in (*made, text)]
+    schema = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept]
+                       + ["ids array<int>", "n_tokens long", "decoded_sha256 string"])
+
+    def run(batch: pa.RecordBatch) -> dict:
+        codec = load(path, pattern)
+        arrays, digests = [], []
+        for runs in codec.encode_batch(batch.column(text).to_pylist()):
+            over, own = hashlib.sha256(), []
+            for ids in runs:
+                over.update(codec.decode(ids))
+                own.append(np.array(ids, np.int32))
+            arrays.append(np.concatenate(own) if own else np.zeros(0, np.int32))
+            digests.append(over.hexdigest())
+        sizes = np.array([len(a) for a in arrays], np.int64)
+        flat = pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int32))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), flat)
+        return {f.name: batch.column(f.name) for f in kept} | {"ids": lists, "n_tokens": sizes, "decoded_sha256": digests}
+
+    return arrow_map(df, run, schema)
+
+
 _DECIMALS: list[str] = []
 
 

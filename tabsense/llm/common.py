@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabsense.operators.rows import with_row_index
+
 #: Words are runs of anything but these six ASCII characters.
 WORD = r"[^\x20\x09-\x0D]+"
 _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
@@ -113,6 +115,16 @@ def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def number_rows(df: DataFrame, key: str, out: str = "doc") -> DataFrame:
+    """``df`` with distinct longs ``out`` in the order of ``key``: the key itself where all keys are distinct longs and
+    none is null, else row numbers in the order of the key (null first), ties by the other columns."""
+    whole = df.schema[key].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    rows, known = df.agg(F.count(F.lit(1)), F.count_distinct(F.col(key))).first()
+    if whole and rows == known:
+        return df.withColumn(out, F.col(key).cast("long"))
+    return with_row_index(df, [key], name=out)
+
+
 def ordered_parts(df: DataFrame, key: str, payload: list[str], parts: int | None = None, trailer: bool = False) -> DataFrame:
     """Deal rows to ``parts`` ranges of ``key`` (null first) and sort each range by key, then the payload.
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsense.llm.common import arrow_map, release, ship_package, splitmix
+from tabsense.llm.common import arrow_map, number_rows, release, ship_package, splitmix
 from tabsense.llm.graphs import components
 from tabsense.llm.wordhash import RunHasher, batch_hashes
 from tabsense.session import materialize
@@ -219,6 +219,16 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMIL
             .select("doc", F.coalesce("_class", "doc").alias("class_id"), F.col("total").alias("n_shingles")))
 
 
+def classified(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``df`` with ``doc`` (a distinct number in the order of ``key``), ``class_id`` (the smallest doc of its class) and
+    ``n_shingles``; see ``near_duplicates``.  Columns of those names are replaced.  Rows with null or repeated keys are
+    told apart and ordered by the key (null first), then by the other columns."""
+    made = ["doc", "class_id", "n_shingles"]
+    numbered = number_rows(df.select(*[F.col(f"`{c}`") for c in df.columns if c not in made]), key)
+    classes = near_duplicates(numbered.select("doc", F.col(f"`{text}`").alias("text")))
+    return numbered.join(classes, "doc")
+
+
 def apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs whose ends are in different classes (a node without a class is its own)."""
     for end in ("a", "b"):

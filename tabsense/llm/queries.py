@@ -59,9 +59,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text without the words of 20-word windows that also start earlier."""
-    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("doc"), "text")
-    left = substrings.remove_repeats(docs)
-    return left.select(F.col("doc").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    left = substrings.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 @query
@@ -75,8 +74,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every text: five-word shingles, weighted Jaccard similarity of 0.8 or more."""
-    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("doc"), "text")
-    return near_dups.near_duplicates(docs).withColumnRenamed("doc", "doc_id")
+    return near_dups.classified(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "class_id", "n_shingles")
 
 
 @query

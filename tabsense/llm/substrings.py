@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsense.llm.common import arrow_map, release
+from tabsense.llm.common import arrow_map, number_rows, release
 from tabsense.llm.wordhash import RunHasher, batch_hashes
 from tabsense.session import materialize
 
@@ -123,21 +123,30 @@ def _windows(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
     return arrow_map(rows, run, "w1 long, w2 long, doc long, at int")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
-    """``docs`` (doc: distinct longs, not null; text) without the words covered by windows that also start earlier.
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
+    """``df`` without the words covered by windows that also start earlier (a smaller key, or earlier in the same text).
 
-    Returns doc, n_words, n_removed and ``kept`` (the words left, joined by single spaces; null texts have none).  Texts
-    under ``window`` words lose nothing; a text of one repeated word keeps its first ``window`` words; texts without
-    words give an empty ``kept``.
+    Adds ``n_words``, ``n_removed`` and ``kept`` (the words left, joined by single spaces), replacing columns of those
+    names.  Null texts have no words; texts under ``window`` words lose nothing; a text of one repeated word keeps its
+    first ``window`` words.  Rows with null or repeated keys are told apart and ordered by the key (null first), then
+    by the other columns.
     """
-    spans = repeated_spans(docs, window, k).groupBy("doc").agg(F.collect_list(F.struct("first", "count")).alias("spans"))
-    rows = docs.join(spans, "doc", "left")
+    made = ["n_words", "n_removed", "kept"]
+    plain = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in made])
+    numbered = number_rows(plain, key, "_doc")
+    docs = numbered.select(F.col("_doc").alias("doc"), F.col(f"`{text}`").alias("text"))
+    spans = repeated_spans(docs, window, k).groupBy("doc").agg(F.collect_list(F.struct("first", "count")).alias("_spans"))
+    rows = numbered.join(spans.withColumnRenamed("doc", "_doc"), "_doc", "left")
+    schema = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in plain.schema.fields]
+                       + ["n_words long", "n_removed long", "kept string"])
+
+    names = list(plain.columns)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        ids, texts, lists = batch.column("doc").to_pylist(), batch.column("text").to_pylist(), batch.column("spans").to_pylist()
-        for numbers, data, hashes, offsets, first, end in batch_hashes(texts):
+        lists = batch.column("_spans").to_pylist()
+        for numbers, data, hashes, offsets, first, end in batch_hashes(batch.column(text).to_pylist()):
             base = np.cumsum([0] + [len(d) + 1 for d in data])
-            out = {"doc": [], "n_words": [], "n_removed": [], "kept": []}
+            out = {"n_words": [], "n_removed": [], "kept": []}
             for j, i in enumerate(numbers):
                 n = int(offsets[j + 1] - offsets[j])
                 gone = np.zeros(n + 1, np.int64)
@@ -146,12 +155,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> Da
                     gone[min(n, s["first"] + s["count"] - 1 + window)] -= 1
                 stays = np.cumsum(gone[:n]) == 0
                 a, b = first[offsets[j]:offsets[j + 1]][stays] - base[j], end[offsets[j]:offsets[j + 1]][stays] - base[j]
-                out["doc"].append(ids[i])
                 out["n_words"].append(n)
                 out["n_removed"].append(n - int(stays.sum()))
                 out["kept"].append(b" ".join([data[j][x:y] for x, y in zip(a.tolist(), b.tolist())]).decode("utf-8", "surrogatepass"))
-            yield out
-
-    return arrow_map(rows, run, "doc long, n_words long, n_removed long, kept string")
-
+            own = batch.take(pa.array(numbers))
+            yield out | {c: own.column(c) for c in names}
 
+    return arrow_map(rows, run, schema)
