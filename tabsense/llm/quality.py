@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tabsense.llm.common import arrow_map
 from tabsense.llm.samples import fold, sample_texts
 
-BLOCK = 4096
+BLOCK = 1024
 LEVEL = 3
 DICTIONARY_BYTES = 112_640
 #: Bounds of the labelled sample: rows of each label, and bytes of a text in it.
@@ -88,12 +88,20 @@ def train(sample: list[tuple[int, bytes]]) -> QualityModel:
     y = np.repeat([0.0, 1.0], [len(by[0][1::2]), len(by[1][1::2])])
     mean, scale = x.mean(0), x.std(0) + 1e-9
     t = _terms((x - mean) / scale)
-    w = np.zeros(t.shape[1])
-    for _ in range(50):  # Newton steps, a little shrinkage against separable samples
-        p = 1 / (1 + np.exp(-np.clip(t @ w, -30, 30)))
-        step = np.linalg.solve((t * (p * (1 - p))[:, None]).T @ t + 0.01 * np.eye(len(w)), t.T @ (p - y) + 0.01 * w)
-        w -= step
-        if np.abs(step).max() < 1e-9:
+    w, shrink = np.zeros(t.shape[1]), 0.1
+
+    def loss(w: np.ndarray) -> float:
+        z = t @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + shrink / 2 * w @ w)
+
+    for _ in range(100):  # Newton steps, halved until the loss falls (separable samples push far)
+        p = 1 / (1 + np.exp(-np.clip(t @ w, -500, 500)))
+        step = np.linalg.solve((t * (p * (1 - p))[:, None]).T @ t + shrink * np.eye(len(w)), t.T @ (p - y) + shrink * w)
+        now, size = loss(w), 1.0
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-8:
             break
     return QualityModel(good, bad, mean, scale, w)
 
