@@ -36,8 +36,8 @@ def extend_cache(df: DataFrame, cache: str, path: str, rule: str, text: str = "t
     the append is one job, so it is there whole or not at all)."""
     spark, version = df.sparkSession, library_tokens.version(path)
     contents = df.select(content_digest(text).alias("content"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    # copies meet before and after the shuffle: a group of any size moves one text a task
-    missing = contents.join(read_cache(spark, cache, version), "content", "left_anti").dropDuplicates(["content"])
+    # copies are dropped before the shuffle, too: a group of any size moves one text a task
+    missing = contents.dropDuplicates(["content"]).join(read_cache(spark, cache, version), "content", "left_anti")
 
     def count(batch: pa.RecordBatch) -> dict:
         counts = library_tokens.load(path, rule, counts=True).encode(batch.column("text").to_pylist())
