@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsense.operators.rows import with_row_index
+from tabsense.session import materialize
 
 #: Words are runs of anything but these six ASCII characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -91,6 +92,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``materialize`` with no more files than keep every core busy (four a core): a table of many tiny partitions
+    would cost a file, its checksum file and their permissions each."""
+    return materialize(df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism), label)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str, batch_rows: int = 256) -> DataFrame:
     """``mapInArrow`` over batches of at most ``batch_rows`` rows; ``fn`` turns a batch into columns by name."""
     ship_package(df.sparkSession)

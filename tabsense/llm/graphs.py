@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsense.session import materialize
+from tabsense.llm.common import stored
+
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -31,10 +32,10 @@ def components(edges: DataFrame) -> DataFrame:
     Loops and repeated edges are fine; no edges give no rows.
     """
     state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % F.lit(1 << 40))).first())
-    now = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before, after = None, state(now)
     while before != after:
-        now = materialize(_stars(_stars(now, True), False), "stars")
+        now = stored(_stars(_stars(now, True), False), "stars")
         before, after = after, state(now)
     roots = now.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     loops = edges.where("a = b").select(F.col("a").alias("node")).distinct()

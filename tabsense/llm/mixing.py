@@ -13,9 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsense.llm.common import WORD
+from tabsense.llm.common import WORD, stored
 from tabsense.operators.rows import with_row_index
-from tabsense.session import materialize
 
 #: Hash buckets a source; each holds this share of its documents.
 BUCKETS = 4096
@@ -68,7 +67,7 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: float
     rows = df.select(*[F.col(f"`{c}`") for c in kept], word_count(text).alias("size"), F.pmod(h, F.lit(BUCKETS)).cast("int").alias("_bucket"))
     # counted from a scan of its own: only the key, the source and the text's length are read
     cells = (rows.groupBy(F.col(f"`{source}`").alias("source"), "_bucket").agg(F.sum("size").alias("_words")))
-    cells = materialize(cells, "mix-cells")
+    cells = stored(cells, "mix-cells")
     targets = source_targets(cells.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, max_epochs, total)
     by = Window.partitionBy("source").orderBy("_bucket")
     before = F.coalesce(F.sum("_words").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -79,7 +78,7 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: float
             .select(F.col("source").alias("_source"), F.col("_bucket").alias("_b"), "source_size", "target", share.alias("_whole"),
                     F.when(F.col("_words") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (extra - F.col("_before")) / F.col("_words"))))
                     .otherwise(0.0).alias("_part")))
-    plan = materialize(plan, "mix-plan")
+    plan = stored(plan, "mix-plan")
     joined = rows.join(plan, F.col(f"`{source}`").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b")))
     whole = F.col("_whole").cast("long") * F.col("size")
     # rounding by a second hash keeps the expected number of words

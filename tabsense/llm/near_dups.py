@@ -23,10 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsense.llm.common import arrow_map, number_rows, release, ship_package, splitmix
+from tabsense.llm.common import arrow_map, number_rows, release, ship_package, splitmix, stored
 from tabsense.llm.graphs import components
 from tabsense.llm.wordhash import RunHasher, batch_hashes
-from tabsense.session import materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -185,33 +184,33 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMIL
     class; texts without words (null, empty) are each their own class.
     """
     spark = docs.sparkSession
-    sigs = materialize(signatures(docs, n, bands, rows), "near-signatures")
+    sigs = stored(signatures(docs, n, bands, rows), "near-signatures")
     known = sigs.where("d1 IS NOT NULL")
-    firsts = materialize(known.groupBy("d1", "d2").agg(F.min("doc").alias("rep")), "near-firsts")
+    firsts = stored(known.groupBy("d1", "d2").agg(F.min("doc").alias("rep")), "near-firsts")
     distinct = known.join(firsts.select(F.col("rep").alias("doc")), "doc", "left_semi")
     exploded = distinct.select("doc", F.col("keys").alias("k"), F.posexplode("keys").alias("band", "key"))
     in_bands = exploded.select("key", F.get("k", F.pmod(F.col("band") + 1, F.lit(bands))).alias("next"), "doc")
     buckets = in_bands.groupBy("key").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
-    members = materialize(in_bands.join(buckets, "key"), "near-members")
+    members = stored(in_bands.join(buckets, "key"), "near-members")
     release(spark)
     to_hub = members.where("doc != hub").select(F.col("doc").alias("a"), F.col("hub").alias("b"))
-    pairs = materialize(to_hub.unionByName(neighbours(members)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "near-pairs")
-    texts = materialize(docs.join(members.select("doc").distinct(), "doc", "left_semi").select("doc", "text"), "near-texts")
+    pairs = stored(to_hub.unionByName(neighbours(members)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "near-pairs")
+    texts = stored(docs.join(members.select("doc").distinct(), "doc", "left_semi").select("doc", "text"), "near-texts")
     release(spark)
 
     # first the most promising links of each text, which settle most classes
     best = Window.partitionBy("a").orderBy(F.desc("n"), "b")
     chosen = pairs.withColumn("place", F.row_number().over(best)).where("place <= 2").select("a", "b")
-    links = materialize(verified(chosen, texts, n, similarity), "near-links")
+    links = stored(verified(chosen, texts, n, similarity), "near-links")
     classes = components(links)
     # then the other candidates whose ends are not in one class yet
-    rest = materialize(apart(pairs.join(chosen, ["a", "b"], "left_anti").select("a", "b"), classes), "near-rest")
-    links = materialize(links.unionByName(verified(rest, texts, n, similarity)), "near-links")
+    rest = stored(apart(pairs.join(chosen, ["a", "b"], "left_anti").select("a", "b"), classes), "near-rest")
+    links = stored(links.unionByName(verified(rest, texts, n, similarity)), "near-links")
     classes = components(links)
     # then what mixed buckets still hold apart
-    left = materialize(across(members.select("key", "doc"), classes).join(pairs, ["a", "b"], "left_anti"), "near-across")
+    left = stored(across(members.select("key", "doc"), classes).join(pairs, ["a", "b"], "left_anti"), "near-across")
     links = links.unionByName(verified(left, texts, n, similarity))
-    classes = components(materialize(links, "near-links"))
+    classes = components(stored(links, "near-links"))
     release(spark)
     reps = firsts.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left")
     reps = reps.select("d1", "d2", F.coalesce("component", "rep").alias("_class"))
@@ -241,7 +240,7 @@ def across(members: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a > b) of different classes in one bucket: members outside the bucket's largest class with all others."""
     placed = (members.join(classes.withColumnRenamed("node", "doc"), "doc", "left")
               .select("key", "doc", F.coalesce("component", "doc").alias("c")))
-    placed = materialize(placed, "near-placed")
+    placed = stored(placed, "near-placed")
     sizes = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
     largest = (sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count(F.lit(1)).alias("classes"))
                .where("classes > 1").select("key", "main"))

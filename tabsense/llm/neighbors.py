@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsense.llm.common import arrow_map, arrow_schema, ship_package
-from tabsense.session import materialize
+from tabsense.llm.common import arrow_map, arrow_schema, ship_package, stored
 
 TABLES, PROBES = 14, 16
 #: Rows of a cell: stored vectors, queries.
@@ -83,7 +82,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
     copies = Window.partitionBy("v").orderBy("id")
     stored = rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select("id", "v")
     asked = rows.where(is_query(F.col("id")))
-    reps = materialize(asked.groupBy("v").agg(F.min("id").alias("id")), "ann-queries")
+    reps = stored(asked.groupBy("v").agg(F.min("id").alias("id")), "ann-queries")
 
     def bucketed(df: DataFrame, query: bool) -> DataFrame:
         def run(batch: pa.RecordBatch):
@@ -100,14 +99,14 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
                        "d": np.full(len(at), d), "buckets": pa.array(places.reshape(len(at), -1).tolist(), pa.list_(pa.int64()))}
 
         made = arrow_map(df.select("id", "v"), run, "id long, v binary, d int, buckets array<long>", batch_rows=2048)
-        return materialize(made, "ann-hashed")
+        return stored(made, "ann-hashed")
 
     data, queries = bucketed(stored, False), bucketed(reps, True)
     spread = lambda df: df.select("id", "v", "d", F.explode("buckets").alias("bucket"))
     # one row a bucket: how many cells it needs each way
     cells = spread(data).groupBy("d", "bucket").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("nd"))
     cells = cells.join(spread(queries).groupBy("d", "bucket").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).cast("int").alias("nq")), ["d", "bucket"])
-    cells = materialize(cells, "ann-cells")
+    cells = stored(cells, "ann-cells")
     salt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     left = (spread(data).join(cells, ["d", "bucket"]).withColumn("sd", salt("nd"))
             .withColumn("sq", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).select("d", "bucket", "sd", "sq", "id", "v"))
@@ -123,7 +122,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
     found = left.groupBy(cell).cogroup(right.groupBy(cell)).applyInArrow(block, schema)
     found = found.groupBy("q", "id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    found = materialize(found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("q", "id", "score"), "ann-found")
+    found = stored(found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("q", "id", "score"), "ann-found")
     # every query takes its vector's list, without itself
     members = asked.select(F.col("id").alias("query_id"), "v").join(reps.select(F.col("id").alias("q"), "v"), "v").select("query_id", "q")
     lists = members.join(found, "q").where("id != query_id")

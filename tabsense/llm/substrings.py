@@ -21,9 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsense.llm.common import arrow_map, number_rows, release
+from tabsense.llm.common import arrow_map, number_rows, release, stored
 from tabsense.llm.wordhash import RunHasher, batch_hashes
-from tabsense.session import materialize
 
 WINDOW = 20
 ANCHOR = 8
@@ -82,24 +81,24 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> Da
     ``count`` windows starting at words ``first``, ``first + 1``, ...  "Earlier" is a smaller doc, or an earlier start."""
     runs = all_runs(docs, window, k)
     often = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    seeds = materialize(runs.join(often, "anchor", "left_semi"), "substring-seeds")
+    seeds = stored(runs.join(often, "anchor", "left_semi"), "substring-seeds")
     release(docs.sparkSession)
     earliest = F.min(F.struct("doc", "first"))
-    groups = materialize(seeds.groupBy("anchor", "run").agg(earliest.alias("e"), F.count(F.lit(1)).alias("n")), "substring-groups")
+    groups = stored(seeds.groupBy("anchor", "run").agg(earliest.alias("e"), F.count(F.lit(1)).alias("n")), "substring-groups")
     # anchors whose runs differ: their earliest runs are compared window by window
     mixed = groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor")
     shared = groups.where("n > 1").select("anchor", "run", F.col("e.doc").alias("e_doc"), F.col("e.first").alias("e_first"))
     again = seeds.join(shared, ["anchor", "run"]).where("doc != e_doc OR first != e_first").select("doc", "first", "count")
-    whole = materialize(again, "substring-runs")
-    edges = materialize(groups.join(mixed, "anchor", "left_semi").select("e.doc", "e.first")
+    whole = stored(again, "substring-runs")
+    edges = stored(groups.join(mixed, "anchor", "left_semi").select("e.doc", "e.first")
                         .join(seeds.select("doc", "first", "count"), ["doc", "first"]), "substring-edges")
     release(docs.sparkSession)
-    windows = materialize(_windows(docs, edges, window), "substring-windows")
+    windows = stored(_windows(docs, edges, window), "substring-windows")
     release(docs.sparkSession)
     two = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "at")).alias("e"), F.count(F.lit(1)).alias("n")).where("n > 1")
     two = two.select("w1", "w2", F.col("e.doc").alias("e_doc"), F.col("e.at").alias("e_at"))
     single = windows.join(two, ["w1", "w2"]).where("doc != e_doc OR at != e_at").select("doc", F.col("at").alias("first"), F.lit(1).alias("count"))
-    single = materialize(single, "substring-single")
+    single = stored(single, "substring-single")
     release(docs.sparkSession)
     return whole.unionByName(single)
 
@@ -127,8 +126,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     """``df`` without the words covered by windows that also start earlier (a smaller key, or earlier in the same text).
 
     Adds ``n_words``, ``n_removed`` and ``kept`` (the words left, joined by single spaces), replacing columns of those
-    names.  Null texts have no words; texts under ``window`` words lose nothing; a text of one repeated word keeps its
-    first ``window`` words.  Rows with null or repeated keys are told apart and ordered by the key (null first), then
+    names.  Null texts have no words; texts under ``window`` words lose nothing; of one word
+    repeated ``window`` times or more the first stays (every later window starts earlier, too).  Rows with null or repeated keys are told apart and ordered by the key (null first), then
     by the other columns.
     """
     made = ["n_words", "n_removed", "kept"]

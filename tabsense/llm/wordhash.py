@@ -12,7 +12,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BYTE_BASE = 0x9FB21C651E98DF25
 #: Bytes hashed at once.
-RUN_BYTES = 8_000_000
+RUN_BYTES = 4_000_000
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
