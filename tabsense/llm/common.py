@@ -174,12 +174,7 @@ def ordered_parts(df: DataFrame, key: str, payload: list[str], parts: int | None
 
 
 def _rank_in(bounds, value, n: int):
-    """Number of bounds <= value, by binary search written as an expression (log2(n) steps)."""
-    lo, step = F.lit(0), 1
-    while step * 2 <= n:
-        step *= 2
-    while step:
-        probe = lo + F.lit(step)
-        lo = F.when((probe <= n) & (F.get(bounds, probe - 1) <= value), probe).otherwise(lo)
-        step //= 2
-    return lo
+    """Number of sorted bounds <= value: a binary search over the powers of two below ``n``."""
+    steps = [1 << b for b in reversed(range(n.bit_length()))]
+    return F.aggregate(F.lit(np.array(steps, np.int32)), F.lit(0), lambda lo, step: F.when(
+        (lo + step <= n) & (F.get(bounds, lo + step - 1) <= value), lo + step).otherwise(lo))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tabsense.llm.common import stored
 
 
-
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """Large star: every larger neighbour moves to a node's smallest neighbour (or the node); small star: a node and
     its smaller neighbours move to the smallest of them.  Minima are combined before the shuffle."""
