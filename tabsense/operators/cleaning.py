@@ -88,28 +88,45 @@ def drop_sparse_columns(df: DataFrame, share: float = DROP_COLUMN_SHARE) -> Data
     return df.select(*([ROW_ID] if ROW_ID in df.columns else []), *[col(k) for k in keep])
 
 
-def fill_interpolate(df: DataFrame, c: str, bucket_rows: int = DEFAULT_BUCKET_ROWS,
-                     dense_positions: bool = False) -> DataFrame:
-    """Linear interpolation by position, forward only: leading nulls stay,
-    trailing nulls take the last value.  Positions are row_ids; with
+def fill_positional(df: DataFrame, interpolate: list[str], forward: list[str] = (), bucket_rows: int = DEFAULT_BUCKET_ROWS,
+                    dense_positions: bool = False) -> DataFrame:
+    """Linear interpolation and forward fill by position, all columns in one
+    pass.  Interpolation goes forward only: leading nulls stay, trailing
+    nulls take the last value.  Positions are row_ids; with
     ``dense_positions`` (rows were deleted before) they are re-numbered
-    0..n-1 first, as pandas interpolates on the current row positions."""
+    0..n-1 first, once, as pandas interpolates on the current positions."""
+    if not interpolate and not forward:
+        return df
     base = df
     if dense_positions:
-        base = (with_row_index(df, [ROW_ID], name="__pos")
+        # row_id is unique: no tie-break columns in the sort
+        base = (with_row_index(df, [ROW_ID], name="__pos", tie_break=False)
                 .withColumnRenamed(ROW_ID, "__rid").withColumnRenamed("__pos", ROW_ID))
-    x = col(c).cast("double")
-    point = F.when(x.isNotNull(), F.struct(F.col(ROW_ID).cast("double").alias("p"), x.alias("v")))
-    scanned = scan_neighbors(base, point, "__prev", "__next", bucket_rows)
     p = F.col(ROW_ID).cast("double")
-    p0, v0, p1, v1 = F.col("__prev.p"), F.col("__prev.v"), F.col("__next.p"), F.col("__next.v")
-    slope = (v1 - v0) / (p1 - p0)
-    filled = F.when(x.isNotNull(), x).when(F.col("__prev").isNull(), F.lit(None)) \
-        .when(F.col("__next").isNull(), v0).otherwise(slope * (p - p0) + v0)
-    out = scanned.withColumn(c, filled).drop("__prev", "__next")
+    values = {}
+    for i, c in enumerate(interpolate):
+        x = col(c).cast("double")
+        values[f"__i{i}"] = F.when(x.isNotNull(), F.struct(p.alias("p"), x.alias("v")))
+    out = scan_neighbors(base, values, bucket_rows) if values else base
+    if forward:
+        out = scan_neighbors(out, {f"__f{i}": col(c) for i, c in enumerate(forward)}, bucket_rows, following=False)
+    exprs = {}
+    for i, c in enumerate(interpolate):
+        x, before, after = col(c).cast("double"), F.col(f"__i{i}__prev"), F.col(f"__i{i}__next")
+        slope = (after.v - before.v) / (after.p - before.p)
+        exprs[c] = F.when(x.isNotNull(), x).when(before.isNull(), F.lit(None)) \
+            .when(after.isNull(), before.v).otherwise(slope * (p - before.p) + before.v)
+    exprs |= {c: F.col(f"__f{i}__prev") for i, c in enumerate(forward)}
+    out = out.withColumns(exprs)
     if dense_positions:
         out = out.drop(ROW_ID).withColumnRenamed("__rid", ROW_ID)
-    return out.select(*df.columns)
+    return out.select(*[col(c) for c in df.columns])
+
+
+def fill_interpolate(df: DataFrame, c: str, bucket_rows: int = DEFAULT_BUCKET_ROWS,
+                     dense_positions: bool = False) -> DataFrame:
+    """:func:`fill_positional` for one interpolated column."""
+    return fill_positional(df, [c], [], bucket_rows, dense_positions)
 
 
 def fill_mean(df: DataFrame, c: str) -> DataFrame:
@@ -143,15 +160,16 @@ def fill_forward(df: DataFrame, c: str, bucket_rows: int = DEFAULT_BUCKET_ROWS)
     return scan_last(df, col(c), "__ff", bucket_rows).withColumn(c, F.col("__ff")).drop("__ff").select(*df.columns)
 
 
-def clean_missing(df: DataFrame, share: float = DROP_COLUMN_SHARE, bucket_rows: int = DEFAULT_BUCKET_ROWS,
-                  checkpoint_deletions: bool = True) -> DataFrame:
+def clean_missing(df: DataFrame, share: float = DROP_COLUMN_SHARE, bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
     """The reference's per-column missing-value policy, in column order.
 
     Ratios use the original row count; null counts, means and modes are
     taken on the rows left at that column's turn.  Fills never change the
     row set, so one aggregate (null counts + means) and one mode job serve
-    every column up to the next row deletion ("stage"); after a deletion
-    the rest is re-aggregated on the rows left.
+    every column up to the next row deletion ("stage"), and one positional
+    pass fills all its interpolated columns; after a deletion the rest is
+    re-aggregated on the rows left.  The plan grows with the number of
+    columns, not with its power.
     """
     keys = _keys(df)
     r0 = df.agg(F.count(F.lit(1)).alias("__n"), F.min(ROW_ID).alias("__lo"), F.max(ROW_ID).alias("__hi"),
@@ -167,46 +185,33 @@ def clean_missing(df: DataFrame, share: float = DROP_COLUMN_SHARE, bucket_rows:
         types = {c: cur.schema[c].dataType for c in rest}
         r = cur.agg(*[F.count_if(col(c).isNull()).alias(f"n{j}") for j, c in enumerate(rest)],
                     *[F.avg(col(c)).alias(f"m{j}") for j, c in enumerate(rest) if is_numeric(types[c])]).first()
-        plan, stop = [], None
+        interpolate, by_mode, values, stop = [], [], {}, None
         for j, c in enumerate(rest):
             ratio = r[f"n{j}"] / n_rows if n_rows else 0.0
             i += 1
             if ratio == 0:
                 continue
             dt = types[c]
-            if is_numeric(dt):
-                if ratio < INTERPOLATE_BELOW:
-                    plan.append(("interp", c, None))
-                elif ratio < MEAN_BELOW:
-                    plan.append(("value", c, r[f"m{j}"]))
-                else:
-                    stop = c
-            elif is_temporal(dt):
-                plan.append(("mode_or_ffill", c, None))
-            elif ratio < TEXT_MODE_BELOW:
-                plan.append(("mode_or_unknown", c, None))
+            if is_numeric(dt) and ratio < INTERPOLATE_BELOW:
+                interpolate.append(c)
+            elif is_numeric(dt) and ratio < MEAN_BELOW:
+                values[c] = r[f"m{j}"]
+            elif is_temporal(dt) or not is_numeric(dt) and ratio < TEXT_MODE_BELOW:
+                by_mode.append(c)
             else:
                 stop = c
-            if stop:
                 break
-        mode_cols = [c for kind, c, _ in plan if kind.startswith("mode")]
-        modes = column_modes(cur, mode_cols) if mode_cols else {}
-        for kind, c, v in plan:
-            if kind == "interp":
-                cur = fill_interpolate(cur, c, bucket_rows, dense_positions=deleted)
-            elif kind == "value":
-                cur = fill_value(cur, c, v)
-            elif kind == "mode_or_ffill":
-                cur = fill_value(cur, c, modes[c]) if modes[c] is not None else fill_forward(cur, c, bucket_rows)
-            elif modes[c] is not None:
-                cur = fill_value(cur, c, modes[c])
-            else:
-                cur = fill_value(cur, c, UNKNOWN_TEXT)
+        modes = column_modes(cur, by_mode) if by_mode else {}
+        forward = [c for c in by_mode if modes[c] is None and is_temporal(types[c])]
+        values |= {c: UNKNOWN_TEXT if modes[c] is None else modes[c] for c in by_mode if c not in forward}
+        cur = fill_positional(cur, interpolate, forward, bucket_rows, dense_positions=deleted)
+        for c, v in values.items():
+            cur = fill_value(cur, c, v)
         if stop:
             cur = drop_null_rows(cur, stop)
             deleted = True
-            if checkpoint_deletions:
-                # cut the lineage after a deletion: the next stage re-reads it
+            if i < len(keep):
+                # the next stage scans its input several times: cut the plan here
                 cur = materialize(cur)
     return cur
 
@@ -247,10 +252,11 @@ def remove_outlier_rows(df: DataFrame, cols: list[str] | None = None) -> DataFra
     return df.where(~_outlier_flag(df, quartile_fences(df, cols)))
 
 
-def winsorize(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Clip every numeric column to its fence; nulls stay null."""
+def winsorize(df: DataFrame, cols: list[str] | None = None, fences: dict | None = None) -> DataFrame:
+    """Clip every numeric column to its fence (``fences`` when they are known
+    already); nulls stay null."""
     cols = cols if cols is not None else numeric_cols(df)
-    fences = quartile_fences(df, cols)
+    fences = fences or quartile_fences(df, cols)
     exprs = {}
     for c in cols:
         _q1, _q2, _q3, lo, hi = fences[c]
@@ -272,12 +278,13 @@ def treat_outliers(df: DataFrame, share: float = OUTLIER_SHARE,
     r = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(flag).alias("k")).first()
     ratio = r["k"] / r["n"] if r["n"] else 0.0
     if ratio > share:
-        return winsorize(df, cols), "Winsorisation"
+        return winsorize(df, cols, fences), "Winsorisation"
     return df.where(~flag), "Suppression"
 
 
 def preprocess_full(df: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS) -> tuple[DataFrame, str]:
     """Duplicates -> missing values -> outliers."""
     dedup = materialize(drop_duplicates(df))
-    cleaned = clean_missing(dedup, bucket_rows=bucket_rows)
+    # the fences take several scans: they read the cleaned rows, not their plan
+    cleaned = materialize(clean_missing(dedup, bucket_rows=bucket_rows))
     return treat_outliers(cleaned)

@@ -107,29 +107,30 @@ def scan_last(df: DataFrame, value: Column, out: str, bucket_rows: int = DEFAULT
     return res
 
 
-def scan_neighbors(df: DataFrame, value: Column, prev_out: str, next_out: str,
-                   bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
-    """Previous (row_id <= own) and next (row_id >= own) non-null ``value``
-    in one pass: both windows share the bucket partitioning and ordering,
-    and one carry table holds the last and first non-null of each bucket."""
-    b, v = "__bucket", "__scan_v"
-    base = df.withColumn(b, _bucket(bucket_rows)).withColumn(v, value)
-    w = Window.partitionBy(b).orderBy(ROW_ID)
-    wr = Window.partitionBy(b).orderBy(F.col(ROW_ID).desc())
-    inner_prev = F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    # reverse order keeps the frame running (O(n)); see scan_last
-    inner_next = F.last(v, ignorenulls=True).over(wr.rowsBetween(Window.unboundedPreceding, 0))
-    has = F.when(F.col(v).isNotNull(), F.col(ROW_ID))
-    wc = Window.orderBy(b)
-    carry = (base.groupBy(b).agg(F.max_by(v, has).alias("__last"), F.min_by(v, has).alias("__first"))
-             .select(b,
-                     F.last("__last", ignorenulls=True).over(wc.rowsBetween(Window.unboundedPreceding, -1))
-                     .alias("__cprev"),
-                     F.last("__first", ignorenulls=True).over(
-                         Window.orderBy(F.col(b).desc()).rowsBetween(Window.unboundedPreceding, -1))
-                     .alias("__cnext")))
-    return (base.withColumn("__iprev", inner_prev).withColumn("__inext", inner_next)
-            .join(carry, b, "left")
-            .withColumn(prev_out, F.coalesce("__iprev", "__cprev"))
-            .withColumn(next_out, F.coalesce("__inext", "__cnext"))
-            .drop(b, v, "__iprev", "__inext", "__cprev", "__cnext"))
+def scan_neighbors(df: DataFrame, values: dict[str, Column], bucket_rows: int = DEFAULT_BUCKET_ROWS,
+                   following: bool = True) -> DataFrame:
+    """For every entry ``name: value`` the previous (row_id <= own) non-null
+    value as ``name__prev`` and, with ``following``, the next (row_id >= own)
+    as ``name__next``.
+
+    One pass for all entries: every window shares the bucket partitioning,
+    and one carry table (a struct per bucket and entry) is joined once, so
+    the plan holds the input twice whatever the number of entries."""
+    b, names = "__bucket", list(values)
+    base = df.withColumn(b, _bucket(bucket_rows)).withColumns({f"__v{i}": values[n] for i, n in enumerate(names)})
+    up, down = Window.partitionBy(b).orderBy(ROW_ID), Window.partitionBy(b).orderBy(F.col(ROW_ID).desc())
+    sides = [("prev", up, F.max_by, Window.orderBy(b))]
+    if following:
+        # descending order keeps the frame running (O(n)); see scan_last
+        sides.append(("next", down, F.min_by, Window.orderBy(F.col(b).desc())))
+    ids = range(len(names))
+    inner = {f"__{side}{i}": F.last(f"__v{i}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+             for side, w, _, _ in sides for i in ids}
+    edges = [by(f"__v{i}", F.when(F.col(f"__v{i}").isNotNull(), F.col(ROW_ID))).alias(f"__edge_{side}{i}")
+             for side, _, by, _ in sides for i in ids]
+    carried = [F.last(f"__edge_{side}{i}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias(f"__carry_{side}{i}")
+               for side, _, _, w in sides for i in ids]
+    carry = base.groupBy(b).agg(*edges).select(b, *carried)
+    found = [F.coalesce(f"__{side}{i}", f"__carry_{side}{i}").alias(f"{names[i]}__{side}") for side, *_ in sides for i in ids]
+    return (base.withColumns(inner).join(carry, b, "left")
+            .select(*[F.col(q(c)) for c in df.columns], *found))

@@ -38,6 +38,6 @@ def test_scan_neighbors_prev_and_next(spark):
     vals = [None, 2.0, None, None, 5.0, None]
     df = _frame(spark, vals)
     for b in (1, 2, 5, 100):
-        out = scan_neighbors(df, F.col("v"), "p", "n", b).orderBy("row_id").toPandas()
-        assert [None if pd.isna(x) else x for x in out["p"]] == [None, 2.0, 2.0, 2.0, 5.0, 5.0]
-        assert [None if pd.isna(x) else x for x in out["n"]] == [2.0, 2.0, 5.0, 5.0, 5.0, None]
+        out = scan_neighbors(df, {"x": F.col("v")}, b).orderBy("row_id").toPandas()
+        assert [None if pd.isna(x) else x for x in out["x__prev"]] == [None, 2.0, 2.0, 2.0, 5.0, 5.0]
+        assert [None if pd.isna(x) else x for x in out["x__next"]] == [2.0, 2.0, 5.0, 5.0, 5.0, None]
