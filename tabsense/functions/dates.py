@@ -12,7 +12,6 @@ PY_DATE_FORMATS = ["%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y",
                    "%Y%m%d", "%d.%m.%Y", "%m.%d.%Y"]
 DATE_SHARE_FOR_CATEGORY = 0.8     # a text column is a date column at >= 80 % parsable rows
 DATE_SHARE_FOR_FEATURES = 0.6     # date features are made at >= 60 % parsable rows
-FORMAT_SAMPLE = 50                # format detection looks at the first 50 non-null values
 
 # The same formats in Spark's pattern language (single d/M accept 1-2 digits
 # like strptime; yyyyMMdd is strict 8 digits).

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,33 +10,30 @@ from pyspark.sql import types as T
 # Fixed values that must equal the reference: the strings read as missing.
 NULL_TOKENS = ["", " ", "NA", "NaN", "nan", "NULL", "null", "None"]
 
+# What pandas' CSV reader takes as missing by default.
+READER_NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+                      "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
 
 def null_token(c: Column) -> Column:
     """The value, or null when it is one of the missing-value tokens."""
     return F.when(c.isin(NULL_TOKENS), F.lit(None).cast("string")).otherwise(c)
 
 
-def snake_case(name: str) -> str:
-    """trim, lower, drop characters that are neither word nor space,
-    whitespace runs -> '_'."""
-    name = str(name).strip().lower()
-    name = re.sub(r"[^\w\s]", "", name)
-    return re.sub(r"\s+", "_", name)
-
-
 def _make_normalize_udf():
     """The Arrow UDF is built in a closure so that it is shipped to the
     Python workers by value: executors need no copy of this package."""
     import unicodedata as ud
 
-    def strip_marks(v: str) -> str:
-        v = ud.normalize("NFKD", v)
-        return "".join(ch for ch in v if not ud.combining(ch)).lower().strip()
-
     @F.pandas_udf(T.StringType())
     def normalize_text_udf(s: pd.Series) -> pd.Series:
-        """NFKD, drop combining marks, lower, trim (Arrow batches)."""
-        return s.map(strip_marks, na_action="ignore")
+        """Each distinct value of the batch once: decompose, leave out the
+        combining marks, then lower and trim the whole column."""
+        values = pd.Series(s.dropna().unique(), dtype=object)
+        decomposed = values.str.normalize("NFKD")
+        plain = decomposed.str.translate({i: None for text in decomposed for i in map(ord, text) if ud.combining(chr(i))})
+        done = dict(zip(values, plain.str.lower().str.strip()))
+        return pd.Series([done.get(v) for v in s], dtype=object)
 
     return normalize_text_udf
 
@@ -51,14 +46,9 @@ _ASCII_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
 
 
 def normalize_text(c: Column) -> Column:
-    """Accent-free, lower-case, trimmed text.  Pure-ASCII values take the
-    JVM path (no Python round trip); others go through one Arrow UDF."""
+    """Accent-free, lower-case, trimmed text.  Pure-ASCII values are done in
+    the JVM; the Arrow UDF works on the others only."""
     ascii_only = c.rlike(r"^[\x00-\x7F]*$")
-    return F.when(c.isNull(), F.lit(None).cast("string")) \
-        .when(ascii_only, F.trim(F.lower(c), F.lit(_ASCII_SPACE))) \
-        .otherwise(normalize_text_udf(c))
-
-
-def words(c: Column) -> Column:
-    """Whitespace-separated words (empty pieces removed)."""
-    return F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != F.lit(""))
+    # a UDF runs on every row of a batch whatever the branch: give it nulls for the rows it need not see
+    marked = normalize_text_udf(F.when(~ascii_only, c))
+    return F.when(ascii_only, F.trim(F.lower(c), F.lit(_ASCII_SPACE))).otherwise(marked)

@@ -1,36 +1,42 @@
 """Import cleaning: column names, null tokens, text normalisation, dates.
 
 All rewrites are single projections; the only aggregates are the date
-parse rates (one pass for every column) and the format vote over the first
-50 non-null values of a column (a top-k, bounded).
+parse rates and the vote for a date format, one pass for every column.
 """
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsense.functions.dates import (DATE_SHARE_FOR_CATEGORY, FORMAT_SAMPLE, PY_DATE_FORMATS,
-                                      SPARK_DATE_FORMATS, parse_any, parse_with)
+from tabsense.functions.dates import (DATE_SHARE_FOR_CATEGORY, PY_DATE_FORMATS, SPARK_DATE_FORMATS,
+                                      parse_any, parse_with)
 from tabsense.functions.numeric import col
 from tabsense.functions.schema import ROW_ID, data_fields, is_numeric, is_temporal
-from tabsense.functions.text import normalize_text, null_token, snake_case
+from tabsense.functions.text import normalize_text, null_token
 
 
 def snake_case_columns(df: DataFrame) -> DataFrame:
-    """Rename columns to snake_case (schema only); a name that collides with
-    an earlier one gets a ``_2``, ``_3`` ... suffix."""
-    seen: dict[str, int] = {}
+    """Rename columns to snake_case (schema only): lower case, letters, digits
+    and underscores kept, runs of white space between them one underscore,
+    everything else dropped.  A name that collides with an earlier one gets a
+    ``_2``, ``_3`` ... suffix."""
+    taken: dict[str, int] = {}
+
+    def renamed(column: str) -> str:
+        if column == ROW_ID:
+            return column
+        kept = filter(lambda ch: ch.isalnum() or ch == "_" or ch.isspace(), column.strip().lower())
+        runs = ("_" if space else "".join(chars) for space, chars in groupby(kept, str.isspace))
+        return "".join(runs)
+
     names = []
-    for c in df.columns:
-        n = c if c == ROW_ID else snake_case(c)
-        if n in seen:
-            seen[n] += 1
-            n = f"{n}_{seen[n]}"
-        else:
-            seen[n] = 1
-        names.append(n)
+    for name in map(renamed, df.columns):
+        taken[name] = taken.get(name, 0) + 1
+        names.append(name if taken[name] == 1 else f"{name}_{taken[name]}")
     return df.toDF(*names)
 
 
@@ -46,26 +52,32 @@ def uniformize_categories(df: DataFrame) -> DataFrame:
                            if isinstance(f.dataType, T.StringType)})
 
 
-def detect_date_format(df: DataFrame, c: str, sample: int = FORMAT_SAMPLE) -> str | None:
-    """The format (strptime notation) that parses more than half of the first
-    ``sample`` non-null values; the earliest format of the list wins ties."""
-    first = (df.where(col(c).isNotNull()).orderBy(ROW_ID).limit(sample)
-             .select(F.trim(col(c).cast("string")).alias("v")))
-    r = first.agg(F.count(F.lit(1)).alias("n"),
-                  *[F.count(parse_with(F.col("v"), f)).alias(f"f{i}") for i, f in enumerate(SPARK_DATE_FORMATS)]).first()
-    best, best_count = None, 0
-    for i, fmt in enumerate(PY_DATE_FORMATS):
-        k = r[f"f{i}"]
-        if k > best_count and k > r["n"] / 2:
-            best, best_count = fmt, k
-    return best
+def date_formats(df: DataFrame, cols: list[str]) -> dict[str, str | None]:
+    """For each column the format (strptime notation) that parses most of its
+    non-null values, if that is more than half of them; the earliest format
+    of the list wins ties.  One aggregate over every value of all columns."""
+    if not cols:
+        return {}
+    counts = [F.count(parse_with(F.trim(col(c).cast("string")), f)).alias(f"c{i}_f{k}")
+              for i, c in enumerate(cols) for k, f in enumerate(SPARK_DATE_FORMATS)]
+    r = df.agg(*[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(cols)], *counts).first()
+    found = {}
+    for i, c in enumerate(cols):
+        parsed = [r[f"c{i}_f{k}"] for k in range(len(PY_DATE_FORMATS))]
+        best = max(range(len(parsed)), key=lambda k: (parsed[k], -k))
+        found[c] = PY_DATE_FORMATS[best] if parsed[best] > r[f"n{i}"] / 2 else None
+    return found
+
+
+def detect_date_format(df: DataFrame, c: str) -> str | None:
+    """:func:`date_formats` of one column."""
+    return date_formats(df, [c])[c]
 
 
 def date_format_table(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(column, format) for the given text columns (format null when none)."""
     cols = cols if cols is not None else [f.name for f in data_fields(df) if isinstance(f.dataType, T.StringType)]
-    rows = [(c, detect_date_format(df, c)) for c in cols]
-    return df.sparkSession.createDataFrame(rows, "column string, format string")
+    return df.sparkSession.createDataFrame(list(date_formats(df, cols).items()), "column string, format string")
 
 
 def _spark_format(py_fmt: str) -> str:
@@ -76,18 +88,16 @@ def convert_date_columns(df: DataFrame) -> DataFrame:
     """Columns whose name contains ``date``: text is parsed with its
     dominant format (or freely when there is none); integers are parsed
     only as 8-digit ``yyyyMMdd``; failures become null."""
+    dated = [f for f in data_fields(df) if "date" in f.name.lower()]
+    formats = date_formats(df, [f.name for f in dated if isinstance(f.dataType, T.StringType)])
     exprs = {}
-    for f in data_fields(df):
-        if "date" not in f.name.lower():
-            continue
-        if isinstance(f.dataType, T.StringType):
-            fmt = detect_date_format(df, f.name)
-            exprs[f.name] = parse_with(F.trim(col(f.name)), _spark_format(fmt)) if fmt else parse_any(col(f.name))
-        elif is_numeric(f.dataType) and not isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            eight = (col(f.name) >= 10000101) & (col(f.name) <= 99991231)
-            r = df.agg(F.count(col(f.name)).alias("n"), F.count_if(eight).alias("k")).first()
-            if r["n"] and r["k"] == r["n"]:
-                exprs[f.name] = parse_with(col(f.name).cast("string"), "yyyyMMdd")
+    for c, fmt in formats.items():
+        exprs[c] = parse_with(F.trim(col(c)), _spark_format(fmt)) if fmt else parse_any(col(c))
+    whole = [f.name for f in dated if is_numeric(f.dataType) and not isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    if whole:
+        eight = [F.count_if((col(c) >= 10000101) & (col(c) <= 99991231)) for c in whole]
+        r = df.agg(*[F.count(col(c)) for c in whole], *eight).first()
+        exprs |= {c: parse_with(col(c).cast("string"), "yyyyMMdd") for i, c in enumerate(whole) if r[i] and r[i] == r[len(whole) + i]}
     return df.withColumns(exprs) if exprs else df
 
 

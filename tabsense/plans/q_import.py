@@ -49,7 +49,7 @@ def q_uniformize_categories(spark, d):
 
 
 def _format_vote_sql(c: str) -> str:
-    first = f"(SELECT trim({c}) AS v FROM {_DATES} WHERE {c} IS NOT NULL ORDER BY row_id LIMIT 50)"
+    first = f"(SELECT trim({c}) AS v FROM {_DATES} WHERE {c} IS NOT NULL)"
     counts = ", ".join(f"count(try_strptime(v, '{f}')) AS f{i}" for i, f in enumerate(PY_DATE_FORMATS))
     # the first format (list order) with the largest count above half wins
     picks = " ".join(

@@ -6,20 +6,22 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsense.functions.numeric import col
 from tabsense.functions.schema import ROW_ID, storage_type, widen
-from tabsense.functions.text import null_token
-from tabsense.session import checkpoint_dir
+from tabsense.functions.text import NULL_TOKENS, READER_NULL_TOKENS
+from tabsense.session import checkpoint_dir, materialize
 
 # Fixed values of the reference's upload rules.
 SUPPORTED_SUFFIXES = (".csv", ".xlsx", ".json")
 FORBIDDEN_SUFFIXES = (".xlsm",)
 MAX_UPLOAD_MB = 80
 
+_NUMBER = r"^(?i)[+-]?(\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?$"
+
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder under the shared checkpoint location (never a
@@ -35,13 +37,13 @@ def infer_types(df: DataFrame) -> DataFrame:
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not texts:
         return df
+    # number shapes first: Java's parsers also take suffixes (1D, 2F) as numbers
+    whole = lambda c: F.when(F.trim(col(c)).rlike(r"^[+-]?\d+$"), F.trim(col(c)).try_cast("long"))
+    number = lambda c: F.when(F.trim(col(c)).rlike(_NUMBER), F.trim(col(c)).try_cast("double"))
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(texts):
-        v = F.trim(col(c))
-        aggs += [F.count(v).alias(f"n{i}"),
-                 F.count(F.expr(f"try_cast(trim(`{c}`) AS BIGINT)")).alias(f"l{i}"),
-                 F.count(F.expr(f"try_cast(trim(`{c}`) AS DOUBLE)")).alias(f"d{i}"),
-                 F.count_if(F.lower(v).isin("true", "false")).alias(f"b{i}")]
+        aggs += [F.count(col(c)).alias(f"n{i}"), F.count(whole(c)).alias(f"l{i}"), F.count(number(c)).alias(f"d{i}"),
+                 F.count_if(F.lower(F.trim(col(c))).isin("true", "false")).alias(f"b{i}")]
     r = df.agg(*aggs).first()
     exprs = {}
     for i, c in enumerate(texts):
@@ -49,20 +51,56 @@ def infer_types(df: DataFrame) -> DataFrame:
         if n == 0:
             exprs[c] = F.lit(None).cast("double")
         elif r[f"l{i}"] == n:
-            exprs[c] = F.expr(f"try_cast(trim(`{c}`) AS BIGINT)").cast("double" if n < r["__rows"] else "long")
+            exprs[c] = whole(c).cast("double") if n < r["__rows"] else whole(c)
         elif r[f"d{i}"] == n:
-            exprs[c] = F.expr(f"try_cast(trim(`{c}`) AS DOUBLE)")
+            exprs[c] = number(c)
         elif r[f"b{i}"] == n:
             exprs[c] = F.lower(F.trim(col(c))) == F.lit("true")
-    return df.withColumns(exprs) if exprs else df
-
-
-def scan_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Header CSV -> null tokens -> inferred types."""
-    raw = (spark.read.option("header", True).option("encoding", encoding)
-           .option("inferSchema", False).option("mode", "PERMISSIVE").csv(path))
-    raw = raw.select(*[null_token(col(c)).alias(c) for c in raw.columns])
-    return infer_types(raw)
+    return df.select(*[exprs[c].alias(c) if c in exprs else col(c) for c in df.columns])
+
+
+def is_utf8(spark: SparkSession, path: str) -> bool:
+    """Whether every line of the files is valid UTF-8 (a distributed scan of
+    lines; no file is held whole)."""
+    return not spark.read.text(path).where("NOT is_valid_utf8(value)").limit(1).collect()
+
+
+def with_file_order(raw: DataFrame) -> DataFrame:
+    """``row_id`` in file order: files by path, then the place in the file.
+
+    A file may be read in several blocks; rows keep their order inside a
+    block, so a row's number is the rows of all blocks before its own plus
+    its place in the block.  Written once, so block sizes and rows agree.
+    """
+    marked = materialize(raw.select(*[col(c) for c in raw.columns], F.col("_metadata.file_path").alias("__file"),
+                                    F.col("_metadata.file_block_start").alias("__block"),
+                                    F.monotonically_increasing_id().alias("__at")), "scan")
+    blocks = marked.groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("__first"))
+    before = F.sum("n").over(Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("__file", "__block", "__first", F.coalesce(before, F.lit(0)).alias("__before"))  # one row a block
+    return (marked.join(blocks, ["__file", "__block"])
+            .select((F.col("__before") + F.col("__at") - F.col("__first")).cast("long").alias(ROW_ID), *[col(c) for c in raw.columns]))
+
+
+def scan_csv(spark: SparkSession, path: str, encoding: str | None = None, multi_line: bool = False,
+             row_ids: bool = False) -> DataFrame:
+    """Header CSV -> missing-value tokens -> inferred types.
+
+    Quotes inside quoted values are doubled, as common writers do.
+    ``multi_line`` allows line ends inside quotes (such a file is read by one
+    task, so it is a choice).  ``encoding`` defaults to UTF-8 when all lines
+    are valid UTF-8, else Latin-1.  ``row_ids`` adds a ``row_id`` in file
+    order.
+    """
+    encoding = encoding or ("UTF-8" if is_utf8(spark, path) else "ISO-8859-1")
+    raw = (spark.read.option("header", True).option("encoding", encoding).option("quote", '"').option("escape", '"')
+           .option("multiLine", multi_line).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path))
+    names = raw.columns
+    if row_ids:
+        raw = with_file_order(raw)
+    tokens = NULL_TOKENS + READER_NULL_TOKENS
+    return infer_types(raw.select(*([ROW_ID] if row_ids else []), *[
+        F.when(~col(c).isin(tokens), col(c)).alias(c) for c in names]))
 
 
 def scan_json(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
@@ -126,8 +164,9 @@ def read_written(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_csv(df: DataFrame, path: str) -> str:
-    """Header CSV without the row index; whitespace kept as is."""
-    (df.drop(ROW_ID).write.mode("overwrite").option("header", True)
+    """Header CSV without the row index; whitespace kept as is, quotes inside
+    values doubled (what common readers expect)."""
+    (df.drop(ROW_ID).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 
