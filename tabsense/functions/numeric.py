@@ -18,22 +18,3 @@ def pair_corr(a: str, b: str) -> Column:
     x = F.when(both, col(a))
     y = F.when(both, col(b))
     return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
-
-
-def skew_unbiased(name: str) -> Column:
-    """pandas ``Series.skew``: adjusted Fisher-Pearson, n >= 3; 0 on a
-    constant column."""
-    c = col(name)
-    n = F.count(c).cast("double")
-    g1 = F.when(F.stddev_pop(c) == 0, F.lit(0.0)).otherwise(F.skewness(c))
-    return F.when(n >= 3, g1 * F.sqrt(n * (n - 1)) / (n - 2))
-
-
-def kurt_unbiased(name: str) -> Column:
-    """pandas ``Series.kurt``: bias-corrected excess kurtosis, n >= 4;
-    0 on a constant column."""
-    c = col(name)
-    n = F.count(c).cast("double")
-    g2 = F.when(F.stddev_pop(c) == 0, F.lit(-3.0)).otherwise(F.kurtosis(c))
-    k = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
-    return F.when(n >= 4, F.when(F.stddev_pop(c) == 0, F.lit(0.0)).otherwise(k))

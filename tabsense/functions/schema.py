@@ -40,10 +40,6 @@ def text_cols(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
     return [f.name for f in data_fields(df) if is_text(f.dataType) and f.name not in exclude]
 
 
-def temporal_cols(df: DataFrame) -> list[str]:
-    return [f.name for f in data_fields(df) if is_temporal(f.dataType)]
-
-
 def q(name: str) -> str:
     """Back-quote a column name for SQL expressions."""
     return "`" + name.replace("`", "``") + "`"

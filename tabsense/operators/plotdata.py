@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsense.functions.numeric import col, pair_corr
@@ -59,13 +59,15 @@ def histogram(df: DataFrame, cols: list[str] | None = None, bins: int = HIST_BIN
         return spark.createDataFrame([], schema)
     counts = (df.select(F.explode(F.array(*items)).alias("s")).where(F.col("s").isNotNull())
               .groupBy("s.column", "s.bin").agg(F.count(F.lit(1)).alias("count")))
+    # the full grid of bins first: an empty bin counts 0
     info = spark.createDataFrame(meta, "column string, lo double, hi double, n long")
+    grid = info.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
     w = (F.col("hi") - F.col("lo")) / F.lit(bins)
-    return (counts.join(F.broadcast(info), "column")
+    return (grid.join(counts, ["column", "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
             .select("column", "bin",
                     (F.col("lo") + F.col("bin") * w).alias("bin_lo"),
                     (F.col("lo") + (F.col("bin") + 1) * w).alias("bin_hi"),
-                    "count", (F.col("count") / (F.col("n") * w)).alias("density")))
+            "count", (F.col("count") / (F.col("n") * w)).alias("density")))
 
 
 def histogram_markers(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -125,17 +127,13 @@ def box_outliers(df: DataFrame, cols: list[str] | None = None, whisker: float =
 
 
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Pearson r for every ordered pair (pairwise complete), one aggregate."""
+    """Pearson r for every ordered pair (pairwise complete, null where a side
+    is constant), from one scan whatever the number of columns."""
+    from tabsense.operators.decomposition import correlations
     cols = cols if cols is not None else numeric_cols(df)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    agg = df.agg(*[pair_corr(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
-    items = []
-    for k, (a, b) in enumerate(pairs):
-        r = F.when(F.lit(a == b) & F.col(f"r{k}").isNotNull(), F.lit(1.0)).otherwise(F.col(f"r{k}"))
-        items.append(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), r.alias("corr")))
-        if a != b:
-            items.append(F.struct(F.lit(b).alias("column_a"), F.lit(a).alias("column_b"), F.col(f"r{k}").alias("corr")))
-    return agg.select(F.inline(F.array(*items)))
+    r = correlations(df, cols)
+    rows = [(a, b, None if math.isnan(r[i, j]) else 1.0 if i == j else float(r[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "column_a string, column_b string, corr double")
 
 
 def high_correlations(df: DataFrame, cols: list[str] | None = None, threshold: float = 0.6) -> DataFrame:
@@ -148,12 +146,15 @@ def high_correlations(df: DataFrame, cols: list[str] | None = None, threshold: f
 
 
 def bar_means(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Column means, largest first (rank 1 = largest)."""
+    """Column means, largest first (rank 1 = largest, ties by name; columns
+    without values last)."""
     cols = cols if cols is not None else numeric_cols(df)
     agg = df.agg(*[F.avg(col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)])
     means = agg.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("mean"))
                                           for i, c in enumerate(cols)])))
-    return means
+    order = [F.desc_nulls_last("mean"), F.col("column")]
+    # one row a column
+    return means.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).orderBy("rank")
 
 
 def regression_line(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -167,16 +168,19 @@ def regression_line(df: DataFrame, x: str, y: str) -> DataFrame:
         .select("n", "slope", (F.col("__my") - F.col("slope") * F.col("__mx")).alias("intercept"), "r")
 
 
-def scatter(df: DataFrame, x: str, y: str, max_points: int = 100_000, grid: int = 200) -> DataFrame:
-    """Complete (x, y) points; when there are more than ``max_points`` they are
-    reduced to a ``grid`` x ``grid`` count table (cell centres + count)."""
-    pts = df.where(col(x).isNotNull() & col(y).isNotNull()).select(
+def scatter(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Complete (x, y) points."""
+    return df.where(col(x).isNotNull() & col(y).isNotNull()).select(
         col(x).cast("double").alias("x"), col(y).cast("double").alias("y"))
-    n, xlo, xhi = column_ranges(pts, ["x"])["x"]
-    if n <= max_points:
-        return pts.withColumn("count", F.lit(1).cast("long"))
-    _, ylo, yhi = column_ranges(pts, ["y"])["y"]
-    return grid_counts(pts, "x", "y", _edges(xlo, xhi), _edges(ylo, yhi), grid).select(
+
+
+def scatter_grid(df: DataFrame, x: str, y: str, grid: int = 200) -> DataFrame:
+    """Complete points counted in a ``grid`` x ``grid`` raster (cell centres and
+    counts): a bounded picture of any number of points."""
+    ranges = column_ranges(scatter(df, x, y), ["x", "y"])
+    if not ranges["x"][0]:
+        return df.sparkSession.createDataFrame([], "x double, y double, count long")
+    return grid_counts(df, x, y, _edges(*ranges["x"][1:]), _edges(*ranges["y"][1:]), grid).select(
         F.col("cx").alias("x"), F.col("cy").alias("y"), "count")
 
 
@@ -191,13 +195,14 @@ def grid_counts(df: DataFrame, x: str, y: str, xr: tuple[float, float], yr: tupl
                     (F.lit(yr[0]) + (F.col("by") + 0.5) * wy).alias("cy"), "count"))
 
 
-def line_series(df: DataFrame, c: str, max_points: int = 100_000) -> DataFrame:
-    """Value by position; above ``max_points`` rows, min/max/mean per
-    position bucket (``row_id div width``) keeps the envelope of the line."""
-    n = df.where(col(c).isNotNull()).count()
-    if n <= max_points:
-        return df.select(ROW_ID, col(c).cast("double").alias("value"))
-    width = math.ceil(n / max_points)
+def line_series(df: DataFrame, c: str) -> DataFrame:
+    """Value by position, every row."""
+    return df.select(ROW_ID, col(c).cast("double").alias("value"))
+
+
+def line_envelope(df: DataFrame, c: str, width: int) -> DataFrame:
+    """Min, max and mean per ``width`` positions: the envelope of a line of any
+    length."""
     b = F.floor(F.col(ROW_ID) / width).cast("long")
     return (df.groupBy(b.alias("bucket"))
             .agg(F.min(ROW_ID).alias(ROW_ID), F.min(col(c)).cast("double").alias("min"),
@@ -272,10 +277,10 @@ def violin(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return curve.join(F.broadcast(marks), "column")
 
 
-def pair_two(df: DataFrame, x: str, y: str, max_points: int = 100_000) -> DataFrame:
+def pair_two(df: DataFrame, x: str, y: str) -> DataFrame:
     """Scatter of two chosen columns with the KDE of each on the diagonal."""
-    pts = scatter(df, x, y, max_points).select(F.lit("scatter").alias("kind"), F.lit(None).cast("string").alias("column"),
-                                               "x", "y", F.col("count").cast("double").alias("value"))
+    pts = scatter(df, x, y).select(F.lit("scatter").alias("kind"), F.lit(None).cast("string").alias("column"),
+                                   "x", "y", F.lit(1.0).alias("value"))
     dens = kde(df, [x, y]).select(F.lit("kde").alias("kind"), "column", "x", F.lit(None).cast("double").alias("y"),
                                   F.col("density").alias("value"))
     return pts.unionByName(dens)

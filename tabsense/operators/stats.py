@@ -152,14 +152,14 @@ def avg_word_count(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return _one_row_per_column(agg, cols, {"avg_words": "double"})
 
 
-def word_frequency(df: DataFrame, cols: list[str] | None = None, k: int = 50) -> DataFrame:
-    """The ``k`` most frequent lower-cased words per text column (ties by
-    word).  Words are counted with map-side combine; every text is split
+def word_frequency(df: DataFrame, cols: list[str] | None = None, k: int | None = None) -> DataFrame:
+    """Lower-cased words per text column with their frequency; with ``k`` only
+    the ``k`` most frequent of each column (ties by word).  Words are counted with map-side combine; every text is split
     whole."""
     cols = cols if cols is not None else text_cols(df)
     words = _stack_text(df, cols).select("column", F.explode(_words(F.lower(F.col("value")))).alias("word"))
     counts = words.groupBy("column", "word").agg(F.count(F.lit(1)).alias("frequency"))
-    return top_k_per_group(counts, "column", [F.desc("frequency"), F.col("word")], k)
+    return counts if k is None else top_k_per_group(counts, "column", [F.desc("frequency"), F.col("word")], k)
 
 
 def text_length_distribution(df: DataFrame, cols: list[str] | None = None, bins: int = 30) -> DataFrame:

@@ -78,7 +78,7 @@ def q_box_outliers(spark, d):
     return plotdata.box_outliers(fixture(spark, d, "fx_outliers_few"))
 
 
-_SCATTER = f"SELECT price AS x, bal AS y, CAST(1 AS BIGINT) AS count FROM {_ML} WHERE price IS NOT NULL AND bal IS NOT NULL"
+_SCATTER = f"SELECT price AS x, bal AS y FROM {_ML} WHERE price IS NOT NULL AND bal IS NOT NULL"
 
 
 @query("scatter", oracle=_SCATTER, floats=("x", "y"))
@@ -94,12 +94,26 @@ def q_regression_line(spark, d):
     return plotdata.regression_line(fixture(spark, d, "fx_ml"), "price", "y_reg")
 
 
-@query("line_series", oracle=f"""
-SELECT CAST(floor(row_id / w) AS BIGINT) AS bucket, min(row_id) AS row_id, CAST(min(q_interp) AS DOUBLE) AS min,
-  CAST(max(q_interp) AS DOUBLE) AS max, avg(q_interp) AS value
-FROM {_M}, (SELECT ceil(count(q_interp) / 10000) AS w FROM {_M}) GROUP BY ALL""", floats=("min", "max", "value"))
+@query("scatter_grid", oracle=f"""
+WITH r AS (SELECT min(price) AS x0, max(price) AS x1, min(bal) AS y0, max(bal) AS y1 FROM {_ML} WHERE price IS NOT NULL AND bal IS NOT NULL),
+c AS (SELECT CAST(least(floor((price - x0) / (x1 - x0) * 200), 199) AS BIGINT) AS i,
+  CAST(least(floor((bal - y0) / (y1 - y0) * 200), 199) AS BIGINT) AS j, CAST(count(*) AS BIGINT) AS count
+  FROM {_ML}, r WHERE price IS NOT NULL AND bal IS NOT NULL GROUP BY ALL)
+SELECT x0 + (i + 0.5) * ((x1 - x0) / 200) AS x, y0 + (j + 0.5) * ((y1 - y0) / 200) AS y, count FROM c, r""", floats=("x", "y"))
+def q_scatter_grid(spark, d):
+    return plotdata.scatter_grid(fixture(spark, d, "fx_ml"), "price", "bal")
+
+
+@query("line_series", oracle=f"SELECT row_id, CAST(q_interp AS DOUBLE) AS value FROM {_M}", floats=("value",))
 def q_line_series(spark, d):
-    return plotdata.line_series(fixture(spark, d, "fx_missing"), "q_interp", max_points=10_000)
+    return plotdata.line_series(fixture(spark, d, "fx_missing"), "q_interp")
+
+
+@query("line_envelope", oracle=f"""
+SELECT CAST(floor(row_id / 6) AS BIGINT) AS bucket, min(row_id) AS row_id, CAST(min(q_interp) AS DOUBLE) AS min,
+  CAST(max(q_interp) AS DOUBLE) AS max, avg(q_interp) AS value FROM {_M} GROUP BY ALL""", floats=("min", "max", "value"))
+def q_line_envelope(spark, d):
+    return plotdata.line_envelope(fixture(spark, d, "fx_missing"), "q_interp", 6)
 
 
 @query("line_summary", oracle=union_all([
@@ -118,7 +132,7 @@ def q_violin(spark, d):
 
 
 @query("pair_two", oracle=f"""
-SELECT 'scatter' AS kind, CAST(NULL AS VARCHAR) AS "column", x, y, CAST(count AS DOUBLE) AS value FROM ({_SCATTER})
+SELECT 'scatter' AS kind, CAST(NULL AS VARCHAR) AS "column", x, y, 1.0 AS value FROM ({_SCATTER})
 UNION ALL SELECT 'kde', "column", x, NULL, density FROM ({union_all([f"SELECT * FROM {_kde_sql(_ML, c)}" for c in ["price", "bal"]])})""",
        floats=("x", "y", "value"))
 def q_pair_two(spark, d):

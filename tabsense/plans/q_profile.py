@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tabsense.operators import plotdata, profile, stats
 from tabsense.plans.fixtures import duck_fixture, duck_table_rows, fixture, table_rows
 from tabsense.plans.registry import query
@@ -220,9 +222,8 @@ def q_avg_word_count(spark, d):
 
 
 @query("word_frequency", oracle=union_all([
-    f"SELECT * FROM (SELECT '{c}' AS \"column\", word, CAST(count(*) AS BIGINT) AS frequency FROM "
-    f"(SELECT unnest({words_sql('lower(' + qi(c) + ')')}) AS word FROM documents) GROUP BY word "
-    f"ORDER BY frequency DESC, word LIMIT 50)" for c in DOC_TEXT]))
+    f"SELECT '{c}' AS \"column\", word, CAST(count(*) AS BIGINT) AS frequency FROM "
+    f"(SELECT unnest({words_sql('lower(' + qi(c) + ')')}) AS word FROM documents) GROUP BY word" for c in DOC_TEXT]))
 def q_word_frequency(spark, d):
     return stats.word_frequency(read_table(spark, d, "documents"))
 
@@ -236,10 +237,10 @@ def _hist_sql(src: str, cols: list[str], bins: int = 30, expr: str = "{c}") -> s
         b = f"CAST(least(floor((CAST({e} AS DOUBLE) - r.lo) / (r.hi - r.lo) * {bins}), {bins - 1}) AS BIGINT)"
         w = f"((r.hi - r.lo) / {bins})"
         parts.append(
-            f"SELECT '{c}' AS \"column\", bin, lo + bin * w AS bin_lo, lo + (bin + 1) * w AS bin_hi, "
-            f"CAST(cnt AS BIGINT) AS count, cnt / (n * w) AS density FROM ("
-            f"SELECT {b} AS bin, r.lo AS lo, {w} AS w, r.n AS n, count(*) AS cnt FROM {src}, {rng} r "
-            f"WHERE {e} IS NOT NULL GROUP BY ALL)")
+            f"SELECT '{c}' AS \"column\", g.bin, r.lo + g.bin * {w} AS bin_lo, r.lo + (g.bin + 1) * {w} AS bin_hi, "
+            f"CAST(coalesce(cnt, 0) AS BIGINT) AS count, coalesce(cnt, 0) / (r.n * {w}) AS density "
+            f"FROM (SELECT CAST(range AS BIGINT) AS bin FROM range({bins})) g CROSS JOIN {rng} r LEFT JOIN "
+            f"(SELECT {b} AS bin, count(*) AS cnt FROM {src}, {rng} r WHERE {e} IS NOT NULL GROUP BY ALL) k ON k.bin = g.bin")
     return union_all(parts)
 
 
@@ -306,13 +307,17 @@ def q_histogram(spark, d):
     return plotdata.histogram(read_table(spark, d, "lineitem"))
 
 
+_CORR = LI_NUM + ["const", "empty_col"]
+_CORR_SRC = "(SELECT *, CAST(5 AS DOUBLE) AS const, CAST(NULL AS DOUBLE) AS empty_col FROM lineitem)"
+
+
 @query("correlation_matrix", oracle=union_all([
     f"SELECT '{a}' AS column_a, '{b}' AS column_b, "
     + (f"CASE WHEN ({corr_sql(qi(a), qi(b))}) IS NOT NULL THEN 1.0 END" if a == b else corr_sql(qi(a), qi(b)))
-    + f" AS corr FROM {duck_fixture('fx_constant')}"
-    for a in ["const", "zero", "empty_col", "v"] for b in ["const", "zero", "empty_col", "v"]]), floats=("corr",))
+    + f" AS corr FROM {_CORR_SRC}" for a in _CORR for b in _CORR]), floats=("corr",))
 def q_correlation_matrix(spark, d):
-    return plotdata.correlation_matrix(fixture(spark, d, "fx_constant"), ["const", "zero", "empty_col", "v"])
+    df = read_table(spark, d, "lineitem").withColumns({"const": F.lit(5.0), "empty_col": F.lit(None).cast("double")})
+    return plotdata.correlation_matrix(df, _CORR)
 
 
 @query("high_correlations", oracle=union_all([
@@ -324,7 +329,7 @@ def q_high_correlations(spark, d):
     return plotdata.high_correlations(fixture(spark, d, "fx_ml"), ["price", "cust_mod", "bal", "y_reg"])
 
 
-@query("bar_means", oracle=per_column("lineitem", LI_NUM, "'{name}' AS \"column\", avg({c}) AS mean"),
-       floats=("mean",))
+@query("bar_means", oracle="SELECT *, row_number() OVER (ORDER BY mean DESC NULLS LAST, \"column\") AS rank FROM ("
+       + per_column("lineitem", LI_NUM, "'{name}' AS \"column\", avg({c}) AS mean") + ")", floats=("mean",))
 def q_bar_means(spark, d):
     return plotdata.bar_means(read_table(spark, d, "lineitem"))

@@ -28,8 +28,3 @@ NATURAL_KEYS = {
 
 def read_table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{data_dir.rstrip('/')}/{name}.parquet")
-
-
-def register_views(spark: SparkSession, data_dir: str) -> None:
-    for t in TABLES:
-        read_table(spark, data_dir, t).createOrReplaceTempView(t)
