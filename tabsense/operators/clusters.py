@@ -2,8 +2,8 @@
 
 k-means is Spark ML.  Ward runs in two stages: k-means micro-clusters on
 Spark, then an exact Ward merge of at most ``MICRO`` weighted centroids on
-the driver, mapped back by a broadcast join (exact Ward when the data has
-at most ``MICRO`` rows).  DBSCAN: identical points are merged into weighted
+the driver, mapped back by a broadcast join; ``ward_exact`` is the exact
+form for at most ``MICRO`` rows.  DBSCAN: identical points are merged into weighted
 points, neighbours are found by an equi-join on grid cells of side eps
 (3^m neighbour cells over the first m <= 3 dimensions, exact distance on
 all of them), components by min-label propagation with pointer jumping,
@@ -33,7 +33,7 @@ N_CLUSTERS = 3          # k-means and Ward
 EPS = 0.5               # DBSCAN radius
 MIN_SAMPLES = 5         # DBSCAN core threshold (the point itself included)
 # Our own parameters.
-MICRO = 256             # Ward micro-clusters above this many rows
+MICRO = 256             # Ward micro-clusters
 GRID_DIMS = 3           # dimensions used for DBSCAN grid cells
 
 
@@ -80,16 +80,24 @@ def _ward(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     return labels
 
 
+def ward_exact(df: DataFrame, features: list[str], k: int = N_CLUSTERS, most: int = MICRO) -> DataFrame:
+    """Exact Ward clustering of at most ``most`` rows (it needs all pairs); more rows
+    raise ValueError."""
+    data = assemble(df, features).select(ROW_ID, vector_to_array("features").alias("v"))
+    rows = data.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"exact Ward clustering takes at most {most} rows")
+    rows.sort(key=lambda r: r[ROW_ID])
+    labels = _ward(np.array([r["v"] for r in rows]), np.ones(len(rows)), min(k, len(rows)))
+    lab = df.sparkSession.createDataFrame([(r[ROW_ID], int(x)) for r, x in zip(rows, labels)], f"{ROW_ID} long, cluster int")
+    return df.join(F.broadcast(lab), ROW_ID).select(ROW_ID, *features, "cluster")
+
+
 def cluster_agglomerative(df: DataFrame, features: list[str], k: int = N_CLUSTERS, micro: int = MICRO) -> DataFrame:
-    """Ward clustering into ``k`` clusters (see module doc)."""
+    """Ward clustering into ``k`` clusters over ``micro`` k-means micro-clusters,
+    at every size (see :func:`ward_exact` for few rows)."""
     spark = df.sparkSession
     data = assemble(df, features)
-    n = data.count()
-    if n <= micro:
-        rows = data.select(ROW_ID, vector_to_array("features").alias("v")).orderBy(ROW_ID).collect()
-        labels = _ward(np.array([r["v"] for r in rows]), np.ones(len(rows)), min(k, len(rows)))
-        lab = spark.createDataFrame([(r[ROW_ID], int(x)) for r, x in zip(rows, labels)], f"{ROW_ID} long, cluster int")
-        return df.join(F.broadcast(lab), ROW_ID).select(ROW_ID, *features, "cluster")
     km = KMeans(k=micro, seed=SEED, featuresCol="features", predictionCol="micro").fit(data)
     assigned = km.transform(data)
     stats = assigned.groupBy("micro").agg(F.count(F.lit(1)).alias("w"), F.min(ROW_ID).alias("first")).collect()
@@ -101,13 +109,14 @@ def cluster_agglomerative(df: DataFrame, features: list[str], k: int = N_CLUSTER
     return assigned.join(F.broadcast(lab), "micro").select(ROW_ID, *features, "cluster")
 
 
-def _components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 100) -> DataFrame:
+def _components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Connected components (label = smallest node id) by min-label
-    propagation with pointer jumping; each round is checkpointed."""
+    propagation with pointer jumping, until nothing changes; each round is
+    checkpointed."""
     und = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     lab = materialize(nodes.select(F.col("id"), F.col("id").alias("lab")))
     und = materialize(und, "edges")
-    for _ in range(max_rounds):
+    while True:
         nb = (und.join(lab.withColumnRenamed("id", "b").withColumnRenamed("lab", "lb"), "b")
               .groupBy("a").agg(F.min("lb").alias("m")))
         new = (lab.join(nb, lab["id"] == nb["a"], "left")
@@ -124,7 +133,7 @@ def _components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 100) -> Da
 
 
 def cluster_dbscan(df: DataFrame, features: list[str], eps: float = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:
-    """DBSCAN labels (noise = -1, clusters 0.. ordered by their first
+    """DBSCAN labels (noise = -1, clusters 0.. ordered by their first core
     row).  Border points take the smallest neighbouring core label."""
     m = min(len(features), GRID_DIMS)
     vec = F.array(*[col(c).cast("double") for c in features])
@@ -152,8 +161,8 @@ def cluster_dbscan(df: DataFrame, features: list[str], eps: float = EPS, min_sam
               .join(comp.withColumnRenamed("id", "b"), "b")
               .groupBy(F.col("a").alias("id")).agg(F.min("lab").alias("lab")))
     labels = comp.unionByName(border)
-    # clusters numbered 0.. by their smallest row_id (a table with one row per cluster)
-    order = with_row_index(labels.groupBy("lab").agg(F.min("id").alias("first")), ["first"], name="cluster")
+    # clusters numbered 0.. by their smallest core row, which is their label (one row per cluster)
+    order = with_row_index(comp.select("lab").distinct(), ["lab"], name="cluster")
     node_label = labels.join(order.select("lab", F.col("cluster").cast("int").alias("cluster")), "lab")
     uniq_lab = uniq.select("v", "id").join(node_label.select("id", "cluster"), "id", "left")
     return (pts.join(uniq_lab, "v", "left")
@@ -181,7 +190,9 @@ def _centroids(df: DataFrame, features: list[str], label: str) -> DataFrame:
 def davies_bouldin(df: DataFrame, features: list[str], label: str = "cluster") -> float | None:
     """mean over i of max over j != i of (S_i + S_j) / d(c_i, c_j).  Points
     are aggregated on Spark (centroids, scatter); the k x k centroid part is
-    evaluated on the driver in blocks (memory bounded, exact for any k)."""
+    evaluated on the driver in blocks of rows; it needs k centroids and
+    2048 x k x p numbers there, so it is for tens of thousands of clusters
+    at most."""
     cents = _centroids(df, features, label)
     d = F.sqrt(sum((col(c) - F.col(f"__c{i}")) ** 2 for i, c in enumerate(features)))
     scat = {r["__k"]: r["s"] for r in
@@ -196,6 +207,7 @@ def davies_bouldin(df: DataFrame, features: list[str], label: str = "cluster") -
     block = 2048
     for a in range(0, k, block):
         dist = np.sqrt(((c[a:a + block, None, :] - c[None, :, :]) ** 2).sum(-1))
+        dist[dist == 0] = np.inf        # equal centroids count as infinitely far apart
         with np.errstate(divide="ignore", invalid="ignore"):
             r = (s[a:a + block, None] + s[None, :]) / dist
         r[np.arange(r.shape[0]), np.arange(a, a + r.shape[0])] = -np.inf     # j != i
@@ -248,4 +260,4 @@ def cluster_report(df: DataFrame, features: list[str], models: tuple[str, ...] =
         except Exception as exc:
             rows.append((name, 0, None, None, None, str(exc).splitlines()[0][:500]))
     return df.sparkSession.createDataFrame(
-        rows, "model string, n_clusters long, silhouette double, davies_bouldin double, calinski_harabasz double, note string")
+        rows, "model string, n_clusters long, silhouette_sq_euclidean double, davies_bouldin double, calinski_harabasz double, note string")

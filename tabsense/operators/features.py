@@ -24,7 +24,6 @@ from tabsense.operators.rows import with_row_index
 CLASS_MAX_DISTINCT = 15      # numeric target with < 15 distinct values ...
 CLASS_MAX_RATIO = 0.1        # ... and distinct / n < 0.1 is a classification target
 DATE_PART_SUFFIXES = ("_year1", "_month1", "_day1")
-BROADCAST_MAP_ROWS = 1_000_000
 
 
 def detect_ml_type(df: DataFrame, target: str | None) -> str:
@@ -94,14 +93,11 @@ def label_map(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def apply_label_map(df: DataFrame, mapping: DataFrame, cols: list[str]) -> DataFrame:
-    """Replace each text column by its code (a join per column; the map is
-    broadcast only when its size is below ``BROADCAST_MAP_ROWS``)."""
-    sizes = {r["column"]: r["n"] for r in mapping.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """Replace each text column by its code: a join per column, without a
+    hint (AQE broadcasts a map whose measured bytes are few)."""
     out = df
     for c in cols:
         m = mapping.where(F.col("column") == c).select(F.col("class").alias("__cls"), F.col("idx").alias("__idx"))
-        if sizes.get(c, 0) <= BROADCAST_MAP_ROWS:
-            m = F.broadcast(m)
         key = F.coalesce(col(c).cast("string"), F.lit("None"))
         out = (out.join(m, key == F.col("__cls"), "left")
                .withColumn(c, F.col("__idx")).drop("__cls", "__idx"))
@@ -177,18 +173,21 @@ def target_correlation(df: DataFrame, target: str | None = None) -> DataFrame:
     return correlation_matrix(cur, keep)
 
 
-def transformation_report(df: DataFrame, target: str | None = None) -> DataFrame:
-    """What happened to each column of a transformed dataset."""
+def transformation_report(df: DataFrame, target: str | None = None, mapping: DataFrame | None = None) -> DataFrame:
+    """What happened to each column of a transformed dataset.  Label-encoded
+    columns hold numbers afterwards; they are told by ``mapping`` (the label
+    map of :func:`label_encode`)."""
+    encoded = {r["column"] for r in mapping.select("column").distinct().collect()} if mapping is not None else set()
     rows = []
     for f in data_fields(df):
         if f.name == target:
             what = "target (not transformed)"
+        elif f.name in encoded or isinstance(f.dataType, T.StringType):
+            what = "label encoding"
         elif is_numeric(f.dataType):
             what = "standardisation"
         elif is_temporal(f.dataType):
             what = ", ".join(f"{f.name}{s}" for s in DATE_PART_SUFFIXES)
-        elif isinstance(f.dataType, T.StringType):
-            what = "label encoding"
         else:
             what = "none"
         rows.append((f.name, what))

@@ -33,6 +33,9 @@ MAX_TREE_DEPTH = 30          # Spark's limit (the reference grows full trees)
 CLASSIFIERS = ["LogisticRegression", "RandomForestClassifier", "DecisionTreeClassifier", "SVC", "LGBMClassifier"]
 REGRESSORS = ["LinearRegression", "RandomForestRegressor", "DecisionTreeRegressor", "SVR", "LGBMRegressor"]
 RFF_DIM = 100                # random Fourier features for the RBF kernels
+# What is really fitted where Spark has no such model.
+TRAINED_AS = {"SVC": "LinearSVC on random Fourier features", "SVR": "Huber LinearRegression on random Fourier features",
+              "LGBMClassifier": "GBTClassifier", "LGBMRegressor": "GBTRegressor"}
 
 _MUL = 2654435761
 _MOD = 1 << 32
@@ -62,11 +65,21 @@ def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataF
         df.withColumns({c: col(c).cast("double") for c in features}))
 
 
-def with_label(df: DataFrame, target: str) -> tuple[DataFrame, list[str]]:
-    """``label`` = dense code of the target (sorted classes)."""
-    classes = [r[0] for r in df.select(col(target).cast("string")).distinct().orderBy(1).collect()]
-    m = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
-    return df.withColumn("label", m[col(target).cast("string")]), classes
+def class_table(df: DataFrame, target: str) -> DataFrame:
+    """(class, label): the distinct values of the target as text, numbered in
+    order (a distributed numbering; nulls have no class)."""
+    from tabsense.operators.rows import with_row_index
+    classes = df.where(col(target).isNotNull()).select(col(target).cast("string").alias("class")).distinct()
+    return with_row_index(classes, ["class"], name="label").select("class", F.col("label").cast("double").alias("label"))
+
+
+def with_label(df: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
+    """``label`` = dense code of the target (sorted classes), and the class table.
+    Rows without a class are left out."""
+    classes = class_table(df, target)
+    key = classes.select(F.col("class").alias("__class"), "label")
+    named = df.withColumn("__target", col(target).cast("string")).drop("label")
+    return named.join(key, F.col("__target") == F.col("__class")).drop("__target", "__class"), classes
 
 
 class RandomFourierFeatures:
@@ -123,7 +136,7 @@ def make_estimator(name: str, n_rows: int, n_classes: int = 2):
     if name == "DecisionTreeClassifier":
         return DecisionTreeClassifier(maxDepth=MAX_TREE_DEPTH, seed=SEED, **_DEEP_TREES)
     if name == "SVC":
-        return OneVsRest(classifier=LinearSVC(maxIter=100, regParam=1.0 / max(n_rows, 1)), parallelism=4)
+        return OneVsRest(classifier=LinearSVC(maxIter=100, regParam=1.0 / max(n_rows, 1), standardization=False), parallelism=4)
     if name == "LGBMClassifier":
         gbt = GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=5, seed=SEED)
         return gbt if n_classes <= 2 else OneVsRest(classifier=gbt, parallelism=4)
@@ -135,7 +148,7 @@ def make_estimator(name: str, n_rows: int, n_classes: int = 2):
     if name == "DecisionTreeRegressor":
         return DecisionTreeRegressor(maxDepth=MAX_TREE_DEPTH, seed=SEED, **_DEEP_TREES)
     if name == "SVR":
-        return LinearRegression(loss="huber", regParam=1.0 / max(n_rows, 1))
+        return LinearRegression(loss="huber", regParam=1.0 / max(n_rows, 1), standardization=False)
     if name == "LGBMRegressor":
         return GBTRegressor(maxIter=100, stepSize=0.1, maxDepth=5, seed=SEED)
     raise ValueError(f"unknown model {name}")
@@ -198,8 +211,9 @@ def model_leaderboard(df: DataFrame, target: str | None, features: list[str], ml
     row instead of a failure.  Clustering models are in clusters.py."""
     spark = df.sparkSession
     rows = []
+    schema = "model string, trained_as string, metric string, value double, error string"
     if ml_type not in ("classification", "regression"):
-        return spark.createDataFrame([], "model string, metric string, value double, error string")
+        return spark.createDataFrame([], schema)
     data = train_test_split(df)
     if ml_type == "regression":
         data = standardize_target(data, target).withColumn("label", col(target).cast("double"))
@@ -208,17 +222,18 @@ def model_leaderboard(df: DataFrame, target: str | None, features: list[str], ml
     else:
         data, classes = with_label(data, target)
         names = models or CLASSIFIERS
-        n_classes = len(classes)
+        n_classes = classes.count()
     data = materialize(data)
     train, test = data.where("split = 'train'"), data.where("split = 'test'")
     for name in names:
+        fitted = TRAINED_AS.get(name, name)
         try:
             pred = fit_predict(train, test, features, name, n_classes=n_classes)
             m = (classification_metrics(pred) if ml_type == "classification" else regression_metrics(pred)).first()
-            rows += [(name, k, float(v) if v is not None else None, None) for k, v in m.asDict().items()]
+            rows += [(name, fitted, k, float(v) if v is not None else None, None) for k, v in m.asDict().items()]
         except Exception as exc:  # reported as a row, like the reference
-            rows.append((name, "error", None, str(exc).splitlines()[0][:500]))
-    return spark.createDataFrame(rows, "model string, metric string, value double, error string")
+            rows.append((name, fitted, "error", None, str(exc).splitlines()[0][:500]))
+    return spark.createDataFrame(rows, schema)
 
 
 def encode_new_rows(raw: DataFrame, features: list[str], mapping: DataFrame, scaler: DataFrame) -> DataFrame:
@@ -229,16 +244,14 @@ def encode_new_rows(raw: DataFrame, features: list[str], mapping: DataFrame, sca
     out = raw
     errors = []
     sc = {r["column"]: (r["mean"], r["scale"]) for r in scaler.collect()}   # one row per column
-    sizes = {r["column"]: r["n"] for r in mapping.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    mapped = set(sizes)
+    mapped = {r["column"] for r in mapping.select("column").distinct().collect()}
     for c in features:
         v = F.trim(col(c).cast("string"))
         missing = v.isNull() | (v == "")
         if c in mapped:
             m = mapping.where(F.col("column") == c).select(F.col("class").alias(f"__cls_{c}"),
                                                             F.col("idx").cast("double").alias(f"__idx_{c}"))
-            from tabsense.operators.features import BROADCAST_MAP_ROWS
-            out = out.join(F.broadcast(m) if sizes[c] <= BROADCAST_MAP_ROWS else m, v == F.col(f"__cls_{c}"), "left")
+            out = out.join(m, v == F.col(f"__cls_{c}"), "left")
             val = F.col(f"__idx_{c}")
             err = (F.when(missing, F.lit(f"missing value for '{c}'"))
                    .when(val.isNull(), F.concat(F.lit("unknown value '"), v, F.lit(f"' for {c}"))))
@@ -258,21 +271,29 @@ def encode_new_rows(raw: DataFrame, features: list[str], mapping: DataFrame, sca
 def predict(train: DataFrame, new_rows: DataFrame, features: list[str], target: str | None, ml_type: str,
             model: str) -> DataFrame:
     """Fit ``model`` once on all training rows and score the batch; adds
-    ``prediction`` (class name for classification) and, when the model has
-    them, ``probability`` as an array."""
+    ``prediction`` (and ``predicted_class`` for classification) and, when the
+    model has them, ``probability`` as an array.  Rows with a missing feature
+    (such as those :func:`encode_new_rows` gives an error) come through
+    without a prediction; training leaves incomplete rows out."""
+    complete = F.lit(True)
+    for c in features:
+        complete = complete & col(c).cast("double").isNotNull()
+    good, rest = new_rows.where(complete), new_rows.where(~complete)
+    train = train.where(complete)
     if ml_type == "clustering":
         from tabsense.operators.clusters import kmeans_model
-        km = kmeans_model(train, features)
-        return km.transform(assemble(new_rows, features)).drop("features")
+        pred = kmeans_model(train, features).transform(assemble(good, features)).drop("features")
+        return pred.unionByName(rest, allowMissingColumns=True)
     if ml_type == "regression":
-        data = train.withColumn("label", col(target).cast("double"))
-        classes = None
+        data, classes = train.where(col(target).isNotNull()).withColumn("label", col(target).cast("double")), None
     else:
         data, classes = with_label(train, target)
-    pred = fit_predict(data, new_rows, features, model, n_classes=len(classes) if classes else 0)
+        data, classes = materialize(data), materialize(classes)
+    pred = fit_predict(data, good.drop("label"), features, model, n_classes=classes.count() if classes else 0)
     if classes is not None:
-        m = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(float(i)), F.lit(c))])
-        pred = pred.withColumn("predicted_class", m[F.col("prediction")])
+        names = classes.select(F.col("label").alias("__label"), F.col("class").alias("predicted_class"))
+        pred = pred.join(names, F.col("prediction") == F.col("__label"), "left").drop("__label")
     if "probability" in pred.columns:
         pred = pred.withColumn("probability", vector_to_array("probability"))
-    return pred.drop(*[c for c in ("features", "rawPrediction") if c in pred.columns])
+    pred = pred.drop(*[c for c in ("features", "rawPrediction") if c in pred.columns])
+    return pred.unionByName(rest, allowMissingColumns=True)

@@ -15,8 +15,9 @@ _H = "((row_id % 2147483648) * 2654435761 + 42) % 4294967296"
 _EMB_Z = """(SELECT vec_id AS row_id, label,
   (e0 - avg(e0) OVER ()) / stddev_pop(e0) OVER () AS e0, (e1 - avg(e1) OVER ()) / stddev_pop(e1) OVER () AS e1,
   (e2 - avg(e2) OVER ()) / stddev_pop(e2) OVER () AS e2
-  FROM (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS e0, CAST(embedding[2] AS DOUBLE) AS e1,
-        CAST(embedding[3] AS DOUBLE) AS e2 FROM embeddings))"""
+  FROM (SELECT vec_id, label, list_sum(CAST(embedding[1:21] AS DOUBLE[])) AS e0,
+        list_sum(CAST(embedding[22:42] AS DOUBLE[])) AS e1,
+        list_sum(CAST(embedding[43:64] AS DOUBLE[])) AS e2 FROM embeddings))"""
 _CENT = f"(SELECT label AS k, count(*) AS n, avg(e0) AS c0, avg(e1) AS c1, avg(e2) AS c2 FROM {_EMB_Z} GROUP BY label)"
 
 
@@ -140,24 +141,33 @@ def q_model_leaderboard(spark, d):
 
 
 def _embedded(spark, d):
-    """embeddings: the first 3 of 64 dimensions as features, standardised."""
+    """embeddings as three standardised features: sums over the dimensions 1-21, 22-42 and 43-64."""
     emb = read_table(spark, d, "embeddings")
-    df = emb.select(F.col("vec_id").alias("row_id"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(3)],
+    total = lambda first, n: F.aggregate(F.slice("embedding", first, n), F.lit(0.0), lambda s, x: s + x.cast("double"))
+    df = emb.select(F.col("vec_id").alias("row_id"), total(1, 21).alias("e0"), total(22, 21).alias("e1"), total(43, 22).alias("e2"),
                     F.col("label"))
-    return features.standardize(df, [f"e{i}" for i in range(3)])[0]
+    return features.standardize(df, _E3)[0]
+
+
+def _dimensions(spark, d):
+    """embeddings with all 64 dimensions as standardised features."""
+    emb = read_table(spark, d, "embeddings")
+    df = emb.select(F.col("vec_id").alias("row_id"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(_E64)], "label")
+    return features.standardize(df, _E64)[0]
 
 
 _E3 = ["e0", "e1", "e2"]
+_E64 = [f"e{i}" for i in range(64)]
 
 
 @query("cluster_kmeans")
 def q_cluster_kmeans(spark, d):
-    return clusters.cluster_kmeans(_embedded(spark, d), _E3)
+    return clusters.cluster_kmeans(_dimensions(spark, d), _E64)
 
 
 @query("cluster_agglomerative")
 def q_cluster_agglomerative(spark, d):
-    return clusters.cluster_agglomerative(_embedded(spark, d), _E3)
+    return clusters.cluster_agglomerative(_dimensions(spark, d), _E64)
 
 
 _DB_LABELS = f"""WITH RECURSIVE p AS (SELECT * FROM {_EMB_Z}),
@@ -170,7 +180,7 @@ comp AS (SELECT id, min(root) AS lab FROM reach GROUP BY id),
 border AS (SELECT nb.a AS id, min(comp.lab) AS lab FROM nb JOIN comp ON nb.b = comp.id
            WHERE nb.a NOT IN (SELECT a FROM core) GROUP BY nb.a),
 labels AS (SELECT * FROM comp UNION ALL SELECT * FROM border),
-ord AS (SELECT lab, CAST(dense_rank() OVER (ORDER BY min(id)) - 1 AS INTEGER) AS cluster FROM labels GROUP BY lab)"""
+ord AS (SELECT lab, CAST(dense_rank() OVER (ORDER BY lab) - 1 AS INTEGER) AS cluster FROM labels GROUP BY lab)"""
 
 
 @query("cluster_dbscan", oracle=_DB_LABELS + """
@@ -234,7 +244,7 @@ def q_silhouette(spark, d):
 
 @query("cluster_projection")
 def q_cluster_projection(spark, d):
-    return clusters.cluster_projection(_embedded(spark, d), _E3, "label")
+    return clusters.cluster_projection(_dimensions(spark, d), _E64, "label")
 
 
 @query("cluster_report")

@@ -146,7 +146,7 @@ def test_ward_exact_on_small_input(spark):
     rng = np.random.default_rng(5)
     pts = np.vstack([rng.normal(0, 1, (15, 2)), rng.normal(6, 1, (15, 2)), rng.normal((0, 8), 1, (10, 2))])
     pdf = pd.DataFrame({"row_id": np.arange(len(pts), dtype="int64"), "x": pts[:, 0], "y": pts[:, 1]})
-    got = clusters.cluster_agglomerative(spark.createDataFrame(pdf), ["x", "y"]).orderBy("row_id").toPandas()["cluster"]
+    got = clusters.ward_exact(spark.createDataFrame(pdf), ["x", "y"]).orderBy("row_id").toPandas()["cluster"]
     assert got.tolist() == _brute_ward(pts, 3).tolist()
 
 
@@ -187,3 +187,60 @@ def test_encode_new_rows_errors(spark):
     assert "missing" in out[2]["error"]
     assert "unknown" in out[3]["error"]
     assert "number" in out[4]["error"]
+
+
+@pytest.mark.parametrize("ml_type,target,floor", [("classification", "y", 0.85), ("regression", "t", 0.8)])
+def test_every_model_learns(spark, ml_type, target, floor):
+    from tabsense.operators.models import model_leaderboard
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 3))
+    t = 3 * x[:, 0] - 2 * x[:, 1]
+    pdf = pd.DataFrame(x, columns=["a", "b", "c"]).assign(row_id=range(600), t=t, y=np.where(t > 1, "high", np.where(t < -1, "low", "mid")))
+    got = model_leaderboard(spark.createDataFrame(pdf), target, ["a", "b", "c"], ml_type).toPandas()
+    assert got["model"].nunique() == 5 and not (got["metric"] == "error").any()
+    score = got[got["metric"] == ("accuracy" if ml_type == "classification" else "r2")].set_index("model")["value"]
+    assert (score > floor).all(), score
+    assert set(got.loc[got["model"].isin(["SVC", "SVR"]), "trained_as"].str.contains("Fourier")) == {True}
+
+
+def test_predict_passes_incomplete_rows_through(spark):
+    from tabsense.operators.models import predict
+    train = spark.createDataFrame([(i, float(i), "lo" if i < 20 else "hi") for i in range(40)], "row_id long, x double, y string")
+    new = spark.createDataFrame([(1, 3.0), (2, None), (3, 35.0)], "row_id long, x double")
+    for model in ("DecisionTreeClassifier", "LogisticRegression"):
+        got = {r["row_id"]: r for r in predict(train, new, ["x"], "y", "classification", model).collect()}
+        assert [got[i]["predicted_class"] for i in (1, 2, 3)] == ["lo", None, "hi"]
+        assert got[2]["probability"] is None and abs(sum(got[1]["probability"]) - 1) < 1e-9
+
+
+def test_davies_bouldin_with_equal_centroids(spark):
+    pdf = pd.DataFrame({"x": [0.0, 2.0, 1.0, 1.0, 9.0, 11.0], "cluster": [0, 0, 1, 1, 2, 2]})
+    got = clusters.davies_bouldin(spark.createDataFrame(pdf), ["x"])
+    assert np.isfinite(got) and got == pytest.approx((2 / 9 + 1 / 9 + 2 / 9) / 3)
+
+
+def test_dbscan_numbers_by_first_core_row(spark):
+    # row 0 is a border point of the cluster whose core rows come later
+    xs = [5.525] + [0.0, 0.01, 0.02, 0.03, 0.04] + [5.0, 5.01, 5.02, 5.03, 5.04]
+    pdf = pd.DataFrame({"row_id": range(len(xs)), "x": xs})
+    got = clusters.cluster_dbscan(spark.createDataFrame(pdf), ["x"]).orderBy("row_id").toPandas()["cluster"].tolist()
+    assert got == [1] + [0] * 5 + [1] * 5
+
+
+def test_gram_matrices_equal_numpy(spark):
+    from tabsense.operators.decomposition import correlations, pca_table
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 40)) @ rng.normal(size=(40, 40)) + 1e4
+    kept = x.copy()
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(40)])
+    pdf["flat"] = 1e6
+    df = spark.createDataFrame(pdf)
+    got = correlations(df, list(pdf.columns))
+    assert np.allclose(got[:40, :40], np.corrcoef(x.T), atol=1e-9) and np.isnan(got[40]).all()
+    pdf.loc[::7, "c1"] = np.nan
+    holes = correlations(spark.createDataFrame(pdf), ["c0", "c1"])
+    assert holes[0, 1] == pytest.approx(pdf["c0"].corr(pdf["c1"]))
+    z = (kept - kept.mean(0)) / kept.std(0)
+    want = np.sort(np.linalg.eigvalsh(np.cov(z.T)))[::-1]
+    eig = pca_table(df, [f"c{i}" for i in range(40)], standardize=True).toPandas()["eigenvalue"]
+    assert np.allclose(eig, want, atol=1e-8)
