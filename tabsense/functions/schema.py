@@ -58,6 +58,13 @@ def storage_type(dt: T.DataType) -> str:
     return "TEXT"
 
 
+def without_nan(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """NaN -> null in the (given) float and double columns: Spark counts NaN as
+    a value, statistics must not."""
+    fields = [f for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType)) and (cols is None or f.name in cols)]
+    return df.withColumns({f.name: F.nanvl(F.col(q(f.name)), F.lit(None).cast(f.dataType)) for f in fields}) if fields else df
+
+
 def widen(df: DataFrame) -> DataFrame:
     """Entry normalisation: integers -> long, fractions -> double with NaN
     mapped to null (pandas has one missing value, Spark two), nested

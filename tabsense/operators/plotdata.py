@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsense.functions.numeric import col, pair_corr
-from tabsense.functions.schema import ROW_ID, numeric_cols
+from tabsense.functions.schema import ROW_ID, numeric_cols, without_nan
 from tabsense.operators.quantiles import column_modes, column_ranges, exact_quantiles
 
 # Fixed value of the reference's histograms.
@@ -42,6 +42,7 @@ def histogram(df: DataFrame, cols: list[str] | None = None, bins: int = HIST_BIN
     """``bins`` equal-width bins from min to max (the max falls in the last
     bin); count and density = count / (n * width) per bin."""
     cols = cols if cols is not None else numeric_cols(df)
+    df = without_nan(df, cols)
     ranges = ranges or column_ranges(df, cols)
     items, meta = [], []
     for c in cols:
@@ -236,6 +237,7 @@ def kde(df: DataFrame, cols: list[str] | None = None, cells: int = KDE_CELLS,
     scan for all columns, so the kernel sum costs cells x points per column
     whatever the row count."""
     cols = cols if cols is not None else numeric_cols(df)
+    df = without_nan(df, cols)
     spark = df.sparkSession
     ranges = column_ranges(df, cols)
     stds = df.agg(*[F.stddev_samp(col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]).first()

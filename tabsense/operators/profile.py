@@ -21,7 +21,6 @@ from tabsense.functions.dates import DATE_SHARE_FOR_CATEGORY, parse_any
 from tabsense.functions.numeric import col
 from tabsense.functions.schema import (ROW_ID, data_fields, is_numeric, is_temporal, storage_type)
 from tabsense.operators.rows import DEFAULT_BUCKET_ROWS, scan_last
-from tabsense.session import materialize
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -184,16 +183,16 @@ def duplicate_scattered(df: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS,
 
 
 def duplicate_summary(df: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
-    """Run groups, rows inside runs, scattered distinct rows, all duplicated rows."""
-    # the run labels and the row counts are computed once and reused
-    labelled = materialize(_runs(df, bucket_rows).select(ROW_ID, "__run", *_keys(df)))
-    counts = materialize(row_counts(df), "rowcounts")
-    runs = duplicate_runs(df, bucket_rows, labelled).agg(
-        F.count(F.lit(1)).alias("run_groups"),
-        F.coalesce(F.sum("count_in_group"), F.lit(0)).cast("long").alias("rows_in_runs"))
-    scattered = duplicate_scattered(df, bucket_rows, labelled, counts).agg(F.count(F.lit(1)).alias("scattered_rows"))
-    total = counts.where(F.col("__count") > 1).agg(
-        F.coalesce(F.sum("__count"), F.lit(0)).cast("long").alias("duplicated_rows"))
-    one = F.lit(1).alias("__k")
-    return (runs.select("*", one).join(scattered.select("*", one), "__k")
-            .join(total.select("*", one), "__k").drop("__k"))
+    """Run groups, rows inside runs, scattered distinct rows (with an
+    occurrence outside any run), all duplicated rows: the sizes of the runs of
+    every distinct row give all four numbers."""
+    keys = [col(k) for k in _keys(df)]
+    runs = _runs(df, bucket_rows).groupBy(*keys, "__run").agg(F.count(F.lit(1)).alias("__size"))
+    in_run = F.col("__size") > 1
+    rows = runs.groupBy(*keys).agg(
+        F.sum("__size").alias("__total"), F.count_if(in_run).alias("__runs"),
+        F.sum(F.when(in_run, F.col("__size")).otherwise(0)).alias("__in"), F.count_if(~in_run).alias("__alone"))
+    return rows.agg(F.coalesce(F.sum("__runs"), F.lit(0)).cast("long").alias("run_groups"),
+                    F.coalesce(F.sum("__in"), F.lit(0)).cast("long").alias("rows_in_runs"),
+                    F.count_if((F.col("__total") > 1) & (F.col("__alone") > 0)).alias("scattered_rows"),
+                    F.coalesce(F.sum(F.when(F.col("__total") > 1, F.col("__total"))), F.lit(0)).cast("long").alias("duplicated_rows"))

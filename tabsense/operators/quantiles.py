@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsense.functions.numeric import col
+from tabsense.functions.schema import without_nan
 
 BINS = 1 << 15
 # An interval with at most this many rows is finished by counting its
@@ -39,6 +40,7 @@ def column_ranges(df: DataFrame, cols: list[str], extra=None, extra_fields: int
     """(count, min, max) per column.  ``extra(i, c)`` may return more
     aggregate expressions for column ``i`` (``extra_fields`` buffer fields in
     total); then ``(ranges, row)`` is returned with those results too."""
+    df = without_nan(df, cols)
     per = 3 + extra_fields
     size = max(1, FIELD_BUDGET // per)
     row: dict = {}
@@ -126,6 +128,7 @@ def order_statistics(df: DataFrame, wanted: dict[str, set[int]],
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                     ranges: dict[str, tuple[int, float, float]] | None = None) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles (pandas / numpy default) per column."""
+    df = without_nan(df, cols)
     ranges = ranges or column_ranges(df, cols)
     wanted: dict[str, set[int]] = {}
     for c in cols:
@@ -154,9 +157,10 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
 
 
 def quartile_fences(df: DataFrame, cols: list[str], whisker: float = 1.5,
-                    ranges: dict | None = None) -> dict[str, tuple]:
-    """(q1, q2, q3, lower fence, upper fence) per column."""
-    qs = exact_quantiles(df, cols, [0.25, 0.5, 0.75], ranges)
+                    ranges: dict | None = None, quartiles: dict | None = None) -> dict[str, tuple]:
+    """(q1, q2, q3, lower fence, upper fence) per column (from ``quartiles``
+    when they are known already)."""
+    qs = quartiles or exact_quantiles(df, cols, [0.25, 0.5, 0.75], ranges)
     out = {}
     for c, (q1, q2, q3) in qs.items():
         if q1 is None:

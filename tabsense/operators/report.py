@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tabsense.functions.schema import data_fields
 from tabsense.operators import profile, stats
+from tabsense.operators.quantiles import exact_quantiles
 
 # Fixed values of the reference's report.
 EXAMPLE_CHARS = 120     # text examples are cut at 120 characters + "..."
@@ -68,9 +69,10 @@ def report_sections(df: DataFrame) -> DataFrame:
                            ["scattered_rows", "run_groups", "rows_in_runs", "duplicated_rows"]))
     cats = profile.categories_of(df)
     if cats["numeric"]:
-        parts.append(_tidy("6 descriptive statistics", stats.describe_numeric(df, cats["numeric"]), "column",
+        quartiles = exact_quantiles(df, cats["numeric"], [0.25, 0.5, 0.75])
+        parts.append(_tidy("6 descriptive statistics", stats.describe_numeric(df, cats["numeric"], quartiles), "column",
                            ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]))
-        parts.append(_tidy("7 advanced statistics", stats.describe_advanced(df, cats["numeric"]), "column",
+        parts.append(_tidy("7 advanced statistics", stats.describe_advanced(df, cats["numeric"], quartiles), "column",
                            ["median", "variance", "std", "cv", "skew", "kurtosis"]))
     if cats["text"]:
         parts.append(_tidy("8 text analysis", report_text_examples(df, cats["text"]), "column",

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsense.functions.numeric import col
-from tabsense.functions.schema import numeric_cols, text_cols
+from tabsense.functions.schema import numeric_cols, text_cols, without_nan
 from tabsense.operators.quantiles import column_ranges, exact_quantiles, quartile_fences
 
 
@@ -38,24 +38,25 @@ def _one_row_per_column(agg: DataFrame, cols: list[str], fields: dict[str, str])
     return agg.select(F.inline(F.array(*items)))
 
 
-def describe_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def describe_numeric(df: DataFrame, cols: list[str] | None = None, quartiles: dict | None = None) -> DataFrame:
     """count, mean, std (n-1), min, 25 %, 50 %, 75 %, max per numeric column.
     Moments, counts and ranges come from one scan; the quartiles from the
-    refinement passes."""
+    refinement passes (or the caller, who may need them elsewhere, too)."""
     cols = cols if cols is not None else numeric_cols(df)
+    df = without_nan(df, cols)
     schema = ("column string, count long, mean double, std double, min double, "
               "q25 double, q50 double, q75 double, max double")
     def extra(i, c):
         x = col(c).cast("double")
         return [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}")]
     ranges, r = column_ranges(df, cols, extra, extra_fields=5)
-    qs = exact_quantiles(df, cols, [0.25, 0.5, 0.75], ranges)
+    qs = quartiles or exact_quantiles(df, cols, [0.25, 0.5, 0.75], ranges)
     rows = [(c, ranges[c][0], r[f"mean{i}"], r[f"std{i}"], ranges[c][1], *qs[c], ranges[c][2])
             for i, c in enumerate(cols)]
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def describe_advanced(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def describe_advanced(df: DataFrame, cols: list[str] | None = None, quartiles: dict | None = None) -> DataFrame:
     """median, variance, std, coefficient of variation, skew, kurtosis.
 
     The scan computes plain moments only (Spark's central-moment
@@ -63,12 +64,13 @@ def describe_advanced(df: DataFrame, cols: list[str] | None = None) -> DataFrame
     aggregated row.  Wrapping many aggregates in conditional expressions
     makes the generated code too large for whole-stage codegen."""
     cols = cols if cols is not None else numeric_cols(df)
+    df = without_nan(df, cols)
     def extra(i, c):
         x = col(c).cast("double")
         return [F.avg(x).alias(f"mean{i}"), F.var_pop(x).alias(f"vpop{i}"),
                 F.skewness(x).alias(f"g1_{i}"), F.kurtosis(x).alias(f"g2_{i}")]
     ranges, r = column_ranges(df, cols, extra, extra_fields=14)
-    qs = exact_quantiles(df, cols, [0.5], ranges)
+    medians = {c: v[1:2] for c, v in quartiles.items()} if quartiles else exact_quantiles(df, cols, [0.5], ranges)
     rows = []
     for i, c in enumerate(cols):
         n = ranges[c][0] or 0
@@ -84,7 +86,7 @@ def describe_advanced(df: DataFrame, cols: list[str] | None = None) -> DataFrame
         if n >= 4:
             kurt = 0.0 if pstd == 0 else _finite(
                 r[f"g2_{i}"], lambda g: (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g + 6))
-        rows.append((c, qs[c][0], r[f"variance{i}"], std, cv, skew, kurt))
+        rows.append((c, medians[c][0], r[f"variance{i}"], std, cv, skew, kurt))
     return df.sparkSession.createDataFrame(
         rows, "column string, median double, variance double, std double, cv double, skew double, kurtosis double")
 
@@ -93,11 +95,13 @@ def _finite(v, f):
     return None if v is None or math.isnan(v) else f(v)
 
 
-def outlier_counts(df: DataFrame, cols: list[str] | None = None, whisker: float = 1.5) -> DataFrame:
+def outlier_counts(df: DataFrame, cols: list[str] | None = None, whisker: float = 1.5,
+                   quartiles: dict | None = None) -> DataFrame:
     """Rows outside [Q1 - 1.5 IQR, Q3 + 1.5 IQR] per numeric column, and
     whether any column has one."""
     cols = cols if cols is not None else numeric_cols(df)
-    fences = quartile_fences(df, cols, whisker)
+    df = without_nan(df, cols)
+    fences = quartile_fences(df, cols, whisker, quartiles=quartiles)
     aggs = []
     for i, c in enumerate(cols):
         _, _, _, lo, hi = fences[c]
@@ -195,11 +199,12 @@ def profile_all(df: DataFrame) -> DataFrame:
         return frame.select(F.lit(section).alias("section"), "column", F.inline(F.array(*items)))
 
     if num:
-        parts.append(tidy("describe", describe_numeric(df, num),
+        quartiles = exact_quantiles(df, num, [0.25, 0.5, 0.75])  # once for all three tables
+        parts.append(tidy("describe", describe_numeric(df, num, quartiles),
                           ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]))
-        parts.append(tidy("advanced", describe_advanced(df, num),
+        parts.append(tidy("advanced", describe_advanced(df, num, quartiles),
                           ["median", "variance", "std", "cv", "skew", "kurtosis"]))
-        parts.append(tidy("outliers", outlier_counts(df, num), ["outliers"]))
+        parts.append(tidy("outliers", outlier_counts(df, num, quartiles=quartiles), ["outliers"]))
     if txt:
         parts.append(tidy("text_uniques", text_uniques(df, txt), ["n_unique", "first_values"]))
         parts.append(tidy("text_describe", text_describe(df, txt), ["count", "unique", "top", "freq"]))

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/tabsense-io/{label}-{uuid.uuid4().hex}"
 
 
+def number(c: Column, kind: T.DataType) -> Column:
+    """Text as a number, null when it is none.  The shape is tested first:
+    Java's parsers also take suffixes (1D, 2F) as numbers."""
+    shape = r"^[+-]?\d+$" if isinstance(kind, T.LongType) else _NUMBER
+    return F.when(F.trim(c).rlike(shape), F.trim(c).try_cast(kind))
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """pandas-like inference on text columns: all integers -> long (double
     when nulls are present), all numbers -> double, all true/false ->
@@ -37,12 +44,11 @@ def infer_types(df: DataFrame) -> DataFrame:
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not texts:
         return df
-    # number shapes first: Java's parsers also take suffixes (1D, 2F) as numbers
-    whole = lambda c: F.when(F.trim(col(c)).rlike(r"^[+-]?\d+$"), F.trim(col(c)).try_cast("long"))
-    number = lambda c: F.when(F.trim(col(c)).rlike(_NUMBER), F.trim(col(c)).try_cast("double"))
+    whole = lambda c: number(col(c), T.LongType())
+    real = lambda c: number(col(c), T.DoubleType())
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(texts):
-        aggs += [F.count(col(c)).alias(f"n{i}"), F.count(whole(c)).alias(f"l{i}"), F.count(number(c)).alias(f"d{i}"),
+        aggs += [F.count(col(c)).alias(f"n{i}"), F.count(whole(c)).alias(f"l{i}"), F.count(real(c)).alias(f"d{i}"),
                  F.count_if(F.lower(F.trim(col(c))).isin("true", "false")).alias(f"b{i}")]
     r = df.agg(*aggs).first()
     exprs = {}
@@ -53,7 +59,7 @@ def infer_types(df: DataFrame) -> DataFrame:
         elif r[f"l{i}"] == n:
             exprs[c] = whole(c).cast("double") if n < r["__rows"] else whole(c)
         elif r[f"d{i}"] == n:
-            exprs[c] = number(c)
+            exprs[c] = real(c)
         elif r[f"b{i}"] == n:
             exprs[c] = F.lower(F.trim(col(c))) == F.lit("true")
     return df.select(*[exprs[c].alias(c) if c in exprs else col(c) for c in df.columns])

@@ -95,3 +95,24 @@ def test_plots_mean_the_same_at_every_size(spark, n):
 def test_bar_means_are_ranked(spark):
     df = spark.createDataFrame([(1.0, 5.0, 3.0, None)], "a double, b double, c double, d double")
     assert [(r["column"], r["rank"]) for r in plotdata.bar_means(df).collect()] == [("b", 1), ("c", 2), ("a", 3), ("d", 4)]
+
+
+def test_statistics_take_nan_for_null(spark):
+    from tabsense.operators import stats
+    df = spark.createDataFrame([(float(i),) for i in range(5)] + [(float("nan"),)], "x double")
+    row = stats.describe_numeric(df).first()
+    assert (row["count"], row["mean"], row["max"], row["q50"]) == (5, 2.0, 4.0, 2.0)
+    assert stats.describe_advanced(df).first()["variance"] == pytest.approx(2.5)
+
+
+def test_stream_keeps_the_first_types(spark, tmp_path):
+    from tabsense.streaming.imports import read_imported, stream_import
+    landing, out, ckpt = (str(tmp_path / n) for n in ("landing", "out", "ckpt"))
+    os.makedirs(landing)
+    _write(landing, "a.csv", "k,a date,v\n1,01/02/2020,x\n2,13/02/2020,Y\n")
+    stream_import(spark, landing, out, ckpt).awaitTermination()
+    _write(landing, "b.csv", "k,a date,v\nseven,2020-05-06,z\n8,03/04/2020,w\n")
+    stream_import(spark, landing, out, ckpt).awaitTermination()
+    got = {r["v"]: r for r in read_imported(spark, out).collect()}
+    assert [got[v]["k"] for v in "xyzw"] == [1, 2, None, 8]
+    assert [got[v]["a_date"] and got[v]["a_date"].day for v in "xyzw"] == [1, 13, None, 3]
