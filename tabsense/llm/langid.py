@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tabsense.llm.common import arrow_map
-from tabsense.llm.samples import fold, sample_texts
+from tabsense.llm.samples import collect_texts, fold, hashed_rows
 
 BUCKETS = 4096
 DIM = 16
@@ -164,8 +164,8 @@ def fit(docs: DataFrame, folds: int = 4, held: int = 2, key: str = "doc_id", tex
     """Learn from rows whose key's fold is not ``held`` and whose language is known: at most ``sample_rows`` of each
     of the ``SAMPLE_LANGS`` commonest languages.  Rows with a null key or text are not learned from."""
     known = docs.select(key, text, lang).where(fold(key, folds) != held)
-    sample = sample_texts(known, lang, key, text, sample_rows, SAMPLE_LANGS, SAMPLE_TEXT_BYTES)
-    order = sorted(sample, key=lambda r: r[1])  # by hash: languages mixed
+    sample = collect_texts(hashed_rows(known, lang, key, sample_rows, SAMPLE_LANGS), lang, text, sample_rows, SAMPLE_TEXT_BYTES)
+    order = sorted(sample, key=lambda r: r[1:])  # by hash: languages mixed
     return train([(k, t) for k, _, t in order])
 
 

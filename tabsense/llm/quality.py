@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsense.llm.common import arrow_map
-from tabsense.llm.samples import fold, sample_texts
+from tabsense.llm.samples import collect_texts, fold, hashed_rows
 
 BLOCK = 1024
 LEVEL = 3
@@ -130,7 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, key:
     Rows with a null key, label or text are not learned from; repeated label rows count once each.
     """
     known = labels.select(key, label).where((fold(key, folds) != held) & F.col(label).isin(0, 1))
-    sample = sample_texts(docs.select(key, text).join(known, key), label, key, text, sample_rows, 2, SAMPLE_TEXT_BYTES)
+    chosen = hashed_rows(known, label, key, sample_rows, 2)  # some thousands of keys
+    sample = collect_texts(docs.select(key, text).join(F.broadcast(chosen), key), label, text, sample_rows, SAMPLE_TEXT_BYTES)
     return train([(k, t.encode("utf-8", "surrogatepass")) for k, _, t in sample])
 
 

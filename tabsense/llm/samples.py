@@ -2,27 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+SEED = 23
+_SPACE = 1 << 40
+
 
 def fold(key: str, modulus: int) -> Column:
     """crc32 of the key as text modulo ``modulus`` (null for a null key)."""
     return F.pmod(F.crc32(F.col(f"`{key}`").cast("string")), F.lit(modulus))
 
 
-def sample_texts(rows: DataFrame, label: str, key: str, text: str, per_label: int, max_labels: int,
-                 max_bytes: int, seed: int = 23) -> list[tuple]:
-    """(label, text) of at most ``per_label`` rows of each of the ``max_labels`` commonest labels: those of smallest
-    seeded hash of key and text, among rows whose label, key and text are not null and whose text has at most
-    ``max_bytes`` bytes.  Only row numbers up to ``per_label`` are shuffled (the limit is pushed below the exchange).
-    """
-    known = rows.where(F.col(label).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull()
-                       & (F.octet_length(text) <= max_bytes) & (F.length(text) > 0))
-    top = known.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).select(label)
-    order = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
-    ranked = (known.select(label, key, text, order.alias("_h"))
-              .join(F.broadcast(top), label, "left_semi")
-              .withColumn("_rank", F.row_number().over(Window.partitionBy(label).orderBy("_h", key)))
-              .where(F.col("_rank") <= per_label))
-    return sorted((r[0], r[1], r[2]) for r in ranked.select(label, "_h", text).collect())
+def hashed_rows(rows: DataFrame, label: str, key: str, per_label: int, max_labels: int) -> DataFrame:
+    """About ``per_label`` rows (a few standard deviations more) of each of the ``max_labels`` commonest labels: those
+    whose seeded key hash ``_h`` lies below the label's share.  One small aggregate and a filter, no shuffle of rows;
+    the result has a bounded number of rows."""
+    known = rows.where(F.col(label).isNotNull() & F.col(key).isNotNull())
+    counts = known.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(max_labels).collect()
+    wanted = per_label + 6 * per_label ** 0.5 + 20
+    cuts = [(r[label], min(_SPACE, int(_SPACE * wanted / r["n"]) + 1)) for r in counts]
+    kind = rows.schema[label].dataType.simpleString()
+    cuts = rows.sparkSession.createDataFrame(cuts, f"`{label}` {kind}, _cut long")
+    h = F.pmod(F.xxhash64(F.lit(SEED), F.col(key)), F.lit(_SPACE))
+    return known.withColumn("_h", h).join(F.broadcast(cuts), label).where(F.col("_h") < F.col("_cut")).drop("_cut")
+
+
+def collect_texts(sample: DataFrame, label: str, text: str, per_label: int, max_bytes: int) -> list[tuple]:
+    """(label, _h, text) of a bounded sample, at most ``per_label`` of smallest ``_h`` a label; texts that are null,
+    empty or over ``max_bytes`` bytes are left out."""
+    usable = F.col(text).isNotNull() & (F.length(text) > 0) & (F.octet_length(text) <= max_bytes)
+    out: list[tuple] = []
+    for r in sorted(tuple(r) for r in sample.where(usable).select(label, "_h", text).collect()):
+        if len(out) < per_label or out[-per_label][0] != r[0]:
+            out.append(r)
+    return out

@@ -40,12 +40,14 @@ def test_language_odd_rows(docs_of, odd_rows):
 
 
 def test_quality_on_held_out(spark):
-    docs, labels = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("documents", "labels"))
+    # the larger tables: the smaller ones hold out a dozen bad texts only
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.join(labels.select("doc_id"), "doc_id")
     model = quality.fit(docs, labels)
     score = {r["doc_id"]: r["score"] for r in quality.score(docs.select("doc_id", "text"), model).collect()}
     test = held_rows(labels.collect(), 5, 0)
     good, bad = ([score[r["doc_id"]] for r in test if r["quality"] == k] for k in (1, 0))
-    assert np.mean([g > b for g in good for b in bad]) > 0.95
+    assert np.mean([g > b for g in good for b in bad]) > 0.98
     assert np.mean([s >= 0.3 for s in good]) > 0.97
 
 
