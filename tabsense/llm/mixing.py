@@ -63,8 +63,10 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: float
     """
     made = ["size", "source_size", "target", "taken", "repeats"]
     kept = [c for c in df.columns if c not in made]
-    h = F.xxhash64(F.lit(seed), F.col(f"`{key}`"))
-    rows = df.select(*[F.col(f"`{c}`") for c in kept], word_count(text).alias("size"), F.pmod(h, F.lit(BUCKETS)).cast("int").alias("_bucket"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null"))))
+    part_of = lambda at, n: F.conv(F.substring(digest, at, n), 16, 10).cast("long")
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], word_count(text).alias("size"), (part_of(1, 8) % BUCKETS).cast("int").alias("_bucket"),
+                     (part_of(9, 5) / F.lit(float(1 << 20))).alias("_u"))
     # counted from a scan of its own: only the key, the source and the text's length are read
     cells = (rows.groupBy(F.col(f"`{source}`").alias("source"), "_bucket").agg(F.sum("size").alias("_words")))
     cells = stored(cells, "mix-cells")
@@ -81,9 +83,8 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: float
     plan = stored(plan, "mix-plan")
     joined = rows.join(plan, F.col(f"`{source}`").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b")))
     whole = F.col("_whole").cast("long") * F.col("size")
-    # rounding by a second hash keeps the expected number of words
-    u = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(f"`{key}`")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    part = F.least(F.col("size"), F.floor(F.col("_part") * F.col("size") + u).cast("long"))
+    # rounding by other bits of the hash keeps the expected number of words
+    part = F.least(F.col("size"), F.floor(F.col("_part") * F.col("size") + F.col("_u")).cast("long"))
     part = F.when(F.col("_part") >= 1, F.col("size")).when(F.col("_part") <= 0, F.lit(0)).otherwise(part)
     taken = whole + part
     return joined.select(*[F.col(f"`{c}`") for c in kept], "size", "source_size", "target", taken.cast("long").alias("taken"),

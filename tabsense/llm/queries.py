@@ -9,13 +9,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsense.llm import bpe, fingerprints, id_files, langid, mixing, near_dups, neighbors, quality, substrings, token_counts
+from tabsense.llm import bpe, fingerprints, id_files, langid, mixing, near_dups, neighbors, oracles, quality, substrings, token_counts
 from tabsense.llm.samples import fold
 from tabsense.session import checkpoint_dir
 from tabsense.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_substring_dedup": oracles.SUBSTRING_DEDUP, "op6_near_duplicates": oracles.NEAR_DUPLICATES,
+                           "op8_mixing": oracles.MIXING}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
