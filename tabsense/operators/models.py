@@ -53,6 +53,17 @@ def train_test_split(df: DataFrame, test_share: float = TEST_SHARE, seed: int =
                          .otherwise(F.lit("train")))
 
 
+def train_test_split_exact(df: DataFrame, test_share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
+    """Like :func:`train_test_split` with exactly ceil(share x n) test rows: those
+    of smallest split hash (ties by ``row_id``), numbered without a global window."""
+    from tabsense.operators.rows import with_row_index
+    order = with_row_index(df.select(split_hash(seed).alias("__h"), F.col(ROW_ID).alias("__rid")), ["__h", "__rid"], name="__place",
+                           tie_break=False)
+    tests = math.ceil(test_share * df.count())
+    place = order.select(F.col("__rid").alias(ROW_ID), F.when(F.col("__place") < tests, F.lit("test")).otherwise(F.lit("train")).alias("split"))
+    return df.join(place, ROW_ID).select(*[col(c) for c in df.columns], "split")
+
+
 def standardize_target(df: DataFrame, target: str) -> DataFrame:
     """Regression target scaled with its population mean/std (before the split)."""
     r = df.agg(F.avg(col(target)).alias("m"), F.stddev_pop(col(target)).alias("s")).first()

@@ -1,9 +1,9 @@
 """The numbers behind each chart (histogram, box, scatter, line, violin,
 pair plots, heatmap, bar plot).  Drawing is left to the caller.
 
-Point clouds are never collected: above ``max_points`` they are reduced to
-grid counts (``groupBy(bx, by)``) so the output size is bounded by the grid,
-not by the data.
+Point clouds are never collected.  ``scatter`` and ``line_series`` give every
+point; ``scatter_grid`` and ``line_envelope`` give bounded pictures of any
+number of points.  Which one is the caller's choice, not the row count's.
 """
 
 from __future__ import annotations

@@ -107,23 +107,29 @@ def q_scan_json(spark, d):
     return files.scan_json(spark, path)
 
 
-@query("admit_inputs")
+@query("admit_inputs", oracle="""
+SELECT * FROM (VALUES (true, CAST(NULL AS VARCHAR), CAST(2 AS BIGINT)), (false, 'unsupported_format', CAST(1 AS BIGINT))) AS t(accepted, reason, files)
+WHERE (SELECT count(*) FROM customer) > 0""")
 def q_admit_inputs(spark, d):
+    """The customer table as one CSV, one JSON and one Parquet upload: files by verdict."""
     root = files.scratch_path(spark, "uploads")
-    cust = read_table(spark, d, "customer")
+    cust = read_table(spark, d, "customer").coalesce(1)
     cust.write.option("header", True).csv(f"{root}/csv")
     cust.write.json(f"{root}/json")
     cust.write.parquet(f"{root}/parquet")
-    return files.admit_inputs(spark, f"{root}/*/part-*")
+    return files.admit_inputs(spark, f"{root}/*/part-*").groupBy("accepted", "reason").agg(F.count(F.lit(1)).alias("files"))
 
 
-@query("encoding_check")
+@query("encoding_check", oracle="""
+SELECT * FROM (VALUES ('utf-8', CAST(1 AS BIGINT)), ('latin-1', CAST(1 AS BIGINT))) AS t(encoding, files)
+WHERE (SELECT count(*) FROM documents WHERE text <> '' AND length(text) < strlen(text)) > 0""")
 def q_encoding_check(spark, d):
+    """The documents' texts written as UTF-8 and as Latin-1: files by encoding."""
     root = files.scratch_path(spark, "enc")
-    read_table(spark, d, "documents").select("text").write.text(f"{root}/utf8")
-    read_table(spark, d, "documents").select("text").write.option("encoding", "ISO-8859-1") \
-        .option("header", False).csv(f"{root}/latin1")
-    return files.encoding_check(spark, f"{root}/*/part-*")
+    texts = read_table(spark, d, "documents").select("text").coalesce(1)
+    texts.write.text(f"{root}/utf8")
+    texts.write.option("encoding", "ISO-8859-1").option("header", False).csv(f"{root}/latin1")
+    return files.encoding_check(spark, f"{root}/*/part-*").groupBy("encoding").agg(F.count(F.lit(1)).alias("files"))
 
 
 @query("map_types", oracle="""

@@ -27,6 +27,12 @@ def q_train_test_split(spark, d):
     return models.train_test_split(fixture(spark, d, "fx_ml"))
 
 
+@query("train_test_split_exact", oracle=f"""SELECT *, CASE WHEN row_number() OVER (ORDER BY {_H}, row_id) <=
+  (SELECT ceil(0.2 * count(*)) FROM {_ML}) THEN 'test' ELSE 'train' END AS split FROM {_ML}""", floats=("price", "cust_mod", "bal", "y_reg"))
+def q_train_test_split_exact(spark, d):
+    return models.train_test_split_exact(fixture(spark, d, "fx_ml"))
+
+
 @query("standardize_target", oracle=f"""SELECT * REPLACE ((y_reg - (SELECT avg(y_reg) FROM {_ML})) /
   (SELECT stddev_pop(y_reg) FROM {_ML}) AS y_reg) FROM {_ML}""", floats=("price", "cust_mod", "bal", "y_reg"))
 def q_standardize_target(spark, d):

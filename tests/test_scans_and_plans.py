@@ -116,3 +116,13 @@ def test_stream_keeps_the_first_types(spark, tmp_path):
     got = {r["v"]: r for r in read_imported(spark, out).collect()}
     assert [got[v]["k"] for v in "xyzw"] == [1, 2, None, 8]
     assert [got[v]["a_date"] and got[v]["a_date"].day for v in "xyzw"] == [1, 13, None, 3]
+
+
+def test_scratch_scope_removes_its_files(spark):
+    from tabsense.session import checkpoint_dir, materialize, scratch_scope
+    folder = checkpoint_dir(spark).removeprefix("file:") + "/tabsense-mat"
+    kept = materialize(spark.range(3), "kept")
+    with scratch_scope(spark):
+        assert materialize(spark.range(5), "scoped").count() == 5
+        assert any(n.startswith("scoped-") for n in os.listdir(folder))
+    assert not any(n.startswith("scoped-") for n in os.listdir(folder)) and kept.count() == 3
