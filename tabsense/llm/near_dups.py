@@ -31,6 +31,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Chance to miss a link of similarity 0.8: (1 - 0.8^7)^44, 3 in 100,000.
 BANDS, ROWS = 44, 7
+#: Places of the signature that estimate a similarity before texts are compared, and the standard deviations that an
+#: estimate may lie below the threshold (a link is passed over with probability below 1 in 100,000).
+SKETCH, SLACK = 256, 4.5
 _SHINGLE_BASE = 0x9E6C63D0876A9A47
 
 
@@ -117,6 +120,7 @@ def signatures(docs: DataFrame, n: int = SHINGLE, bands: int = BANDS, rows: int
             owner = np.repeat(np.arange(len(sets)), sizes)
             element, weight = np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets])
             sig = bag_min_hash(owner, element, weight, len(sets), bands * rows)
+            sketch = np.ascontiguousarray((sig[:, :SKETCH] >> np.uint64(40)).astype(np.uint16)).view("<i2")
             keys = np.zeros((len(sets), bands), np.uint64)
             for r in range(rows):
                 keys = splitmix(keys + sig[:, r::rows])
@@ -129,9 +133,10 @@ def signatures(docs: DataFrame, n: int = SHINGLE, bands: int = BANDS, rows: int
                 digests.append(pa.array(sums.view(np.int64), mask=sizes == 0))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(keys.reshape(-1)))
             yield {"doc": ids.take(pa.array(numbers)), "d1": digests[0], "d2": digests[1],
-                   "total": np.bincount(owner, weights=weight, minlength=len(sets)).astype(np.int64), "keys": flat}
+                   "total": np.bincount(owner, weights=weight, minlength=len(sets)).astype(np.int64), "keys": flat,
+                   "sketch": pa.array(list(sketch), pa.list_(pa.int16()))}
 
-    return arrow_map(docs, run, "doc long, d1 long, d2 long, total long, keys array<long>", batch_rows=1024)
+    return arrow_map(docs, run, "doc long, d1 long, d2 long, total long, keys array<long>, sketch array<smallint>", batch_rows=512)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
@@ -212,10 +217,16 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMIL
     rest = stored(apart(pairs.join(chosen, ["a", "b"], "left_anti").select("a", "b"), classes), "near-rest")
     links = stored(links.unionByName(verified(rest, texts, n, similarity)), "near-links")
     classes = components(links)
-    # then what mixed buckets still hold apart
-    left = stored(across(members.select("key", "doc"), classes).join(pairs, ["a", "b"], "left_anti"), "near-across")
-    links = links.unionByName(verified(left, texts, n, similarity))
-    classes = components(stored(links, "near-links"))
+    # then what mixed buckets still hold apart, again the most promising ones of each text first
+    sketches = distinct.select("doc", "sketch").join(members.select("doc").distinct(), "doc", "left_semi")
+    left = stored(across(members.select("key", "doc"), classes, sketches, similarity).join(pairs, ["a", "b"], "left_anti"), "near-across")
+    if not left.isEmpty():
+        best = Window.partitionBy("a").orderBy(F.desc("agreed"), "b")
+        chosen = stored(left.withColumn("place", F.row_number().over(best)).where("place <= 3").select("a", "b"), "near-chosen")
+        links = stored(links.unionByName(verified(chosen, texts, n, similarity)), "near-links")
+        rest = stored(apart(left.join(chosen, ["a", "b"], "left_anti").select("a", "b"), components(links)), "near-rest")
+        links = stored(links.unionByName(verified(rest, texts, n, similarity)), "near-links")
+        classes = components(links)
     release(spark)
     reps = firsts.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left")
     reps = reps.select("d1", "d2", F.coalesce("component", "rep").alias("_class"))
@@ -241,15 +252,22 @@ def apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.where("ca != cb").select("a", "b")
 
 
-def across(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a > b) of different classes in one bucket: members outside the bucket's largest class with all others."""
+def across(members: DataFrame, classes: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a > b) of different classes in one bucket whose signatures agree about often enough (``agreed`` places):
+    members outside the bucket's largest class with all others."""
     placed = (members.join(classes.withColumnRenamed("node", "doc"), "doc", "left")
               .select("key", "doc", F.coalesce("component", "doc").alias("c")))
     placed = stored(placed, "near-placed")
     sizes = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
     largest = (sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count(F.lit(1)).alias("classes"))
                .where("classes > 1").select("key", "main"))
-    mixed = placed.join(largest, "key")
-    few = mixed.where("c != main").select("key", F.col("doc").alias("x"), F.col("c").alias("cx"))
-    both = few.join(mixed.select("key", "doc", "c"), "key").where("cx != c")
-    return both.select(F.greatest("x", "doc").alias("a"), F.least("x", "doc").alias("b")).distinct()
+    mixed = stored(placed.join(largest, "key").join(sketches, "doc"), "near-mixed")
+    few = mixed.where("c != main").select("key", F.col("doc").alias("x"), F.col("c").alias("cx"), F.col("sketch").alias("sx"))
+    agreed = F.aggregate(F.zip_with("sx", "sketch", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, p: n + p)
+    least = int(SKETCH * similarity - SLACK * (SKETCH * similarity * (1 - similarity)) ** 0.5)
+    # of two minor members only one way round; of a pair outside and inside the largest class the only one there is
+    once = (F.col("c") == F.col("main")) | (F.col("x") > F.col("doc"))
+    both = few.join(mixed.select(F.col("key").alias("k"), "doc", "c", "main", "sketch"),
+                    (F.col("key") == F.col("k")) & (F.col("cx") != F.col("c")) & once & (agreed >= least))
+    return (both.select(F.greatest("x", "doc").alias("a"), F.least("x", "doc").alias("b"), agreed.alias("agreed"))
+            .groupBy("a", "b").agg(F.max("agreed").alias("agreed")))
