@@ -25,6 +25,8 @@ UND = "und"
 SAMPLE_ROWS = 1500
 SAMPLE_LANGS = 200
 SAMPLE_TEXT_BYTES = 200_000
+#: Steps that training takes at least.
+MIN_STEPS = 300
 #: Share of accepted rows that must be right.
 ACCEPTED_RIGHT = 0.995
 
@@ -99,7 +101,9 @@ def train(sample: list[tuple[str, str]], epochs: int = 6, rate: float = 2.0, see
     if len(langs) < 2:
         return model
     model.weights[:] = rng.normal(0, 0.3, model.weights.shape)
-    steps = max(1, epochs * (len(sides[0]) + batch - 1) // batch)
+    rounds = -(-len(sides[0]) // batch)
+    epochs = max(epochs, -(-MIN_STEPS // rounds))  # a small sample is passed over more often
+    steps = epochs * rounds
     done = 0
     for _ in range(epochs):
         order = rng.permutation(len(sides[0]))
