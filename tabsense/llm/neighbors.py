@@ -80,7 +80,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
     top = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).first()[0]
     largest = float(np.sqrt(top)) * (1 + 1e-12) if top else 1.0
     copies = Window.partitionBy("v").orderBy("id")
-    stored = rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select("id", "v")
+    candidates = rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select("id", "v")
     asked = rows.where(is_query(F.col("id")))
     reps = stored(asked.groupBy("v").agg(F.min("id").alias("id")), "ann-queries")
 
@@ -101,7 +101,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
         made = arrow_map(df.select("id", "v"), run, "id long, v binary, d int, buckets array<long>", batch_rows=2048)
         return stored(made, "ann-hashed")
 
-    data, queries = bucketed(stored, False), bucketed(reps, True)
+    data, queries = bucketed(candidates, False), bucketed(reps, True)
     spread = lambda df: df.select("id", "v", "d", F.explode("buckets").alias("bucket"))
     # one row a bucket: how many cells it needs each way
     cells = spread(data).groupBy("d", "bucket").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("nd"))
