@@ -1,9 +1,10 @@
-"""Nearest neighbours by largest inner product: cross-polytope hashing with multiprobe, exact reranking.
+"""Nearest neighbours by largest inner product: cross-polytope hashing with multiprobe by norm bands, exact reranking.
 
-Inner product becomes angle by one more coordinate, sqrt(M^2 - |x|^2) for a stored vector x (M: the largest norm) and 0
-for a query.  Each of ``tables`` pseudo-rotations (three rounds of random signs and a fast Hadamard transform) sends a
-vector to its nearest signed axis; a query also looks into the buckets of its next nearest axes.  Buckets are cut into
-cells of bounded size, both ways, and every cell is one block product in double precision.
+Stored vectors are parted into bands of near equal norm (a factor of 1.25), where the inner product orders much as the
+angle does.  Each of ``tables`` pseudo-rotations (three rounds of random signs and a fast Hadamard transform) sends a
+vector's direction to its nearest signed axis; a query also looks into the buckets of its next nearest axes.  Bands of
+few rows are not hashed: every query searches them whole, unless the band's largest norm cannot reach the query's list.
+Buckets and bands are cut into cells of bounded size, both ways, and every cell is one block product in double precision.
 
 Equal vectors are one search: of any number of copies only the smallest ``k + 1`` ids can be among a query's ``k``
 nearest (ties go to smaller ids), so copies beyond those cannot matter and no bucket fills up with them.
@@ -21,6 +22,8 @@ from tabsense.llm.common import arrow_map, arrow_schema, ship_package, stored
 TABLES, PROBES = 14, 16
 #: Rows of a cell: stored vectors, queries.
 CELL_ROWS, CELL_QUERIES = 8192, 1024
+#: Natural logarithm of the widest ratio of norms in a band.
+BAND = float(np.log(1.25))
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -41,11 +44,11 @@ def rotated(x: np.ndarray, table: int, seed: int) -> np.ndarray:
     return x
 
 
-def axes(x: np.ndarray, last: np.ndarray, table: int, seed: int, probes: int) -> np.ndarray:
-    """The ``probes`` nearest signed axes (2 x axis + sign) of the rows of ``x``, each followed by ``last``."""
+def axes(x: np.ndarray, table: int, seed: int, probes: int) -> np.ndarray:
+    """The ``probes`` nearest signed axes (2 x axis + sign) of the rows of ``x``, filled up to a power of two above."""
     n, d = x.shape
     wide = np.zeros((n, 1 << int(d).bit_length()))
-    wide[:, :d], wide[:, d] = x, last
+    wide[:, :d] = x
     r = rotated(wide, table, seed)
     both = np.empty((n, 2 * r.shape[1]))
     both[:, 0::2], both[:, 1::2] = r, -r
@@ -55,6 +58,14 @@ def axes(x: np.ndarray, last: np.ndarray, table: int, seed: int, probes: int) ->
     return np.argpartition(-both, probes - 1, axis=1)[:, :probes]
 
 
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of ``x`` (none all zero) at length 1, and the logarithms of their norms."""
+    largest = np.abs(x).max(axis=1)
+    x = x / largest[:, None]
+    norm = np.sqrt((x * x).sum(axis=1))
+    return x / norm[:, None], np.log(largest) + np.log(norm)
+
+
 def usable(vector: str):
     """Vectors that take part: not null, no null or non-finite component, not all zero."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
@@ -66,19 +77,18 @@ def _matrix(column: pa.Array, kind: str) -> np.ndarray:
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding", tables: int = TABLES,
-            probes: int = PROBES, seed: int = 11) -> DataFrame:
+            probes: int = PROBES, seed: int = 11, exact_rows: int = CELL_ROWS) -> DataFrame:
     """The ``k`` nearest found for every query row (``is_query``: a condition on ``key``): query_id, rank, vec_id, score.
 
     Candidates are all rows but the query's own, of the query's dimension; nearest first, ties to the smaller key, the
     score being the inner product of the original vectors in double precision.  Rows with a null key, or whose vector
     ``usable`` refuses, take no part; a query with fewer candidates than ``k`` gets those found.  Keys are distinct.
+    Bands of at most ``exact_rows`` rows are searched whole.
     """
     spark = vectors.sparkSession
     ship_package(spark)
     kind = "<f4" if vectors.schema[vector].dataType.elementType.typeName() == "float" else "<f8"
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & usable("v"))
-    top = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).first()[0]
-    largest = float(np.sqrt(top)) * (1 + 1e-12) if top else 1.0
     copies = Window.partitionBy("v").orderBy("id")
     candidates = rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select("id", "v")
     asked = rows.where(is_query(F.col("id")))
@@ -90,39 +100,30 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
             sizes = np.array([len(v) for v in lists])
             for d in np.unique(sizes):
                 at = np.flatnonzero(sizes == d)
-                x = np.array([lists[i] for i in at], np.float64)
-                norm = np.sqrt((x * x).sum(axis=1))
-                x, last = (x / norm[:, None], np.zeros(len(x))) if query else (x / largest, np.sqrt(np.maximum(0, 1 - (norm / largest) ** 2)))
-                near = np.stack([axes(x, last, t, seed, probes if query else 1) for t in range(tables)], axis=1)
+                x, log_norm = directions(np.array([lists[i] for i in at], np.float64))
+                near = np.stack([axes(x, t, seed, probes if query else 1) for t in range(tables)], axis=1)
                 places = near + np.arange(tables)[None, :, None] * (1 << 20)
                 yield {"id": batch.column("id").take(pa.array(at)), "v": [lists[i].tobytes() for i in at],
-                       "d": np.full(len(at), d), "buckets": pa.array(places.reshape(len(at), -1).tolist(), pa.list_(pa.int64()))}
+                       "d": np.full(len(at), d), "log_norm": log_norm, "band": np.floor(log_norm / BAND + 0.5).astype(np.int32),
+                       "buckets": pa.array(places.reshape(len(at), -1).tolist(), pa.list_(pa.int64()))}
 
-        made = arrow_map(df.select("id", "v"), run, "id long, v binary, d int, buckets array<long>", batch_rows=2048)
+        made = arrow_map(df.select("id", "v"), run, "id long, v binary, d int, log_norm double, band int, buckets array<long>", batch_rows=2048)
         return stored(made, "ann-hashed")
 
     data, queries = bucketed(candidates, False), bucketed(reps, True)
-    spread = lambda df: df.select("id", "v", "d", F.explode("buckets").alias("bucket"))
-    # one row a bucket: how many cells it needs each way
-    cells = spread(data).groupBy("d", "bucket").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("nd"))
-    cells = cells.join(spread(queries).groupBy("d", "bucket").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).cast("int").alias("nq")), ["d", "bucket"])
-    cells = stored(cells, "ann-cells")
-    salt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    left = (spread(data).join(cells, ["d", "bucket"]).withColumn("sd", salt("nd"))
-            .withColumn("sq", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).select("d", "bucket", "sd", "sq", "id", "v"))
-    right = (spread(queries).join(cells, ["d", "bucket"]).withColumn("sq", salt("nq"))
-             .withColumn("sd", F.explode(F.sequence(F.lit(0), F.col("nd") - 1))).select("d", "bucket", "sd", "sq", "id", "v"))
-    cell = ["d", "bucket", "sd", "sq"]
-    schema = "q long, id long, score double"
-    arrow = arrow_schema(spark, schema)
-
-    def block(a: pa.Table, b: pa.Table) -> pa.Table:
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(_block(a, b, k, kind), arrow)], schema=arrow)
-
-    found = left.groupBy(cell).cogroup(right.groupBy(cell)).applyInArrow(block, schema)
-    found = found.groupBy("q", "id").agg(F.max("score").alias("score"))
+    # one row a band: its size and largest norm
+    bands = stored(data.groupBy("d", "band").agg(F.count(F.lit(1)).alias("n"), F.max("log_norm").alias("top")), "ann-bands")
+    large = bands.where(F.col("n") > exact_rows).select("d", "band")
+    spread = lambda df: df.select("id", "v", "d", "band", F.explode("buckets").alias("bucket"))
+    found = _search(spread(data.join(large, ["d", "band"])), spread(queries.drop("band").join(large, "d")), ["d", "band", "bucket"], k, kind)
+    # the bands to search whole for a query: those its list says nothing of, if their largest norm can reach it
     order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    found = stored(found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("q", "id", "score"), "ann-found")
+    last = found.withColumn("r", F.row_number().over(order)).where(F.col("r") == k + 1).select(F.col("q").alias("id"), F.col("score").alias("last"))
+    whole = queries.select("id", "d", "log_norm").join(bands.where(F.col("n") <= exact_rows), "d").join(last, "id", "left")
+    whole = whole.where(F.col("last").isNull() | (F.exp(F.col("log_norm") + F.col("top")) * (1 + 1e-9) >= F.col("last")))
+    whole = stored(whole.select("id", "band"), "ann-whole").join(queries.drop("band"), "id")
+    found = found.unionByName(_search(data, whole, ["d", "band"], k, kind)).groupBy("q", "id").agg(F.max("score").alias("score"))
+    found = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("q", "id", "score")
     # every query takes its vector's list, without itself
     members = asked.select(F.col("id").alias("query_id"), "v").join(reps.select(F.col("id").alias("q"), "v"), "v").select("query_id", "q")
     lists = members.join(found, "q").where("id != query_id")
@@ -131,6 +132,32 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
             .select("query_id", "rank", F.col("id").alias("vec_id"), "score"))
 
 
+def _search(data: DataFrame, queries: DataFrame, at: list[str], k: int, kind: str) -> DataFrame:
+    """The k + 1 nearest in each band of what ``data`` holds at a query's places ``at``: q, band, id, score."""
+    # one row a place: how many cells it needs each way
+    cells = data.groupBy(at).agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("nd"))
+    cells = cells.join(queries.groupBy(at).agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).cast("int").alias("nq")), at)
+    cells = stored(cells, "ann-cells")
+    salt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    cell = [*at, "sd", "sq"]
+    left = (data.join(cells, at).withColumn("sd", salt("nd"))
+            .withColumn("sq", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).select(*cell, "id", "v"))
+    right = (queries.join(cells, at).withColumn("sq", salt("nq"))
+             .withColumn("sd", F.explode(F.sequence(F.lit(0), F.col("nd") - 1))).select(*cell, "id", "v"))
+    schema = "q long, band int, id long, score double"
+    arrow = arrow_schema(data.sparkSession, schema)
+
+    def block(a: pa.Table, b: pa.Table) -> pa.Table:
+        q, ids, score = _block(a, b, k, kind)
+        band = np.full(len(q), a.column("band")[0].as_py() if len(q) else 0)
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip((q, band, ids, score), arrow)], schema=arrow)
+
+    found = left.groupBy(cell).cogroup(right.groupBy(cell)).applyInArrow(block, schema)
+    found = found.groupBy("q", "band", "id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("q", "band").orderBy(F.desc("score"), "id")
+    return stored(found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r"), "ann-found")
+
+
 def _block(a: pa.Table, b: pa.Table, k: int, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k + 1 nearest of cell ``a`` for each query of cell ``b``."""
     empty = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)

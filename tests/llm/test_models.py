@@ -144,6 +144,21 @@ def test_neighbours_odd_rows(spark):
     assert neighbors.nearest(vectors_of(spark, []), lambda i: i % 20 == 0).collect() == []
 
 
+@pytest.mark.parametrize("norms", ["outliers", "log-normal"])
+def test_neighbours_recall_of_uneven_norms(spark, norms):
+    x = np.array([r[0] for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").select("embedding").collect()])
+    if norms == "outliers":
+        x[[5, 77]] *= [[10], [1000]]
+    else:
+        x *= np.random.default_rng(0).lognormal(0, 0.5, (2000, 1))
+    rows = {i: x[i].tolist() for i in range(2000)}
+    by = {}
+    got = neighbors.nearest(vectors_of(spark, [(i, v, "s") for i, v in rows.items()]), lambda i: i % 40 == 0, exact_rows=200).collect()
+    for r in got:
+        by.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert np.mean([len(set(brute_nearest(rows, q, 20)) & by[q]) / 20 for q in range(0, 2000, 40)]) > 0.95
+
+
 def test_hadamard():
     x = np.eye(8)
     assert np.allclose(neighbors.hadamard(x) @ neighbors.hadamard(x).T, np.eye(8))
