@@ -3,7 +3,8 @@
 Stored vectors are parted into bands of near equal norm (a factor of 1.25), where the inner product orders much as the
 angle does.  Each of ``tables`` pseudo-rotations (three rounds of random signs and a fast Hadamard transform) sends a
 vector's direction to its nearest signed axis; a query also looks into the buckets of its next nearest axes.  Bands of
-few rows are not hashed: every query searches them whole, unless the band's largest norm cannot reach the query's list.
+few rows are not hashed: every query searches them whole, as it does a band whose buckets gave it too few rows, unless
+the band's largest norm cannot reach the query's list.
 Buckets and bands are cut into cells of bounded size, both ways, and every cell is one block product in double precision.
 
 Equal vectors are one search: of any number of copies only the smallest ``k + 1`` ids can be among a query's ``k``
@@ -82,7 +83,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
 
     Candidates are all rows but the query's own, of the query's dimension; nearest first, ties to the smaller key, the
     score being the inner product of the original vectors in double precision.  Rows with a null key, or whose vector
-    ``usable`` refuses, take no part; a query with fewer candidates than ``k`` gets those found.  Keys are distinct.
+    ``usable`` refuses, take no part; a query with fewer candidates than ``k`` gets them all.  Keys are distinct.
     Bands of at most ``exact_rows`` rows are searched whole.
     """
     spark = vectors.sparkSession
@@ -116,11 +117,13 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
     large = bands.where(F.col("n") > exact_rows).select("d", "band")
     spread = lambda df: df.select("id", "v", "d", "band", F.explode("buckets").alias("bucket"))
     found = _search(spread(data.join(large, ["d", "band"])), spread(queries.drop("band").join(large, "d")), ["d", "band", "bucket"], k, kind)
-    # the bands to search whole for a query: those its list says nothing of, if their largest norm can reach it
+    # the bands to search whole for a query: those that gave it too few rows (the small ones none), if their largest norm
+    # can reach its list
     order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     last = found.withColumn("r", F.row_number().over(order)).where(F.col("r") == k + 1).select(F.col("q").alias("id"), F.col("score").alias("last"))
-    whole = queries.select("id", "d", "log_norm").join(bands.where(F.col("n") <= exact_rows), "d").join(last, "id", "left")
-    whole = whole.where(F.col("last").isNull() | (F.exp(F.col("log_norm") + F.col("top")) * (1 + 1e-9) >= F.col("last")))
+    got = found.groupBy(F.col("q").alias("id"), "band").agg(F.count(F.lit(1)).alias("got"))
+    whole = queries.select("id", "d", "log_norm").join(bands, "d").join(got, ["id", "band"], "left").join(last, "id", "left")
+    whole = whole.where(F.coalesce("got", F.lit(0)) < F.least(F.lit(k + 1), "n")).where(F.col("last").isNull() | (F.exp(F.col("log_norm") + F.col("top")) * (1 + 1e-9) >= F.col("last")))
     whole = stored(whole.select("id", "band"), "ann-whole").join(queries.drop("band"), "id")
     found = found.unionByName(_search(data, whole, ["d", "band"], k, kind)).groupBy("q", "id").agg(F.max("score").alias("score"))
     found = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("q", "id", "score")

@@ -159,6 +159,21 @@ def test_neighbours_recall_of_uneven_norms(spark, norms):
     assert np.mean([len(set(brute_nearest(rows, q, 20)) & by[q]) / 20 for q in range(0, 2000, 40)]) > 0.95
 
 
+@pytest.mark.parametrize("exact_rows", [0, 8192])
+def test_neighbours_full_lists(spark, exact_rows):
+    rng = np.random.default_rng(5)
+    # dimensions 60 to 64: tables of 10 to 40 rows, searched at once
+    rows = {100 * d + i: rng.normal(size=d).tolist() for d, n in zip(range(60, 65), (10, 20, 21, 22, 40)) for i in range(n)}
+    by = {}
+    for r in neighbors.nearest(vectors_of(spark, [(i, v, "s") for i, v in rows.items()]), lambda i: i % 2 == 0, exact_rows=exact_rows).collect():
+        by.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    for q in (i for i in rows if i % 2 == 0):
+        want = brute_nearest(rows, q, 20)
+        assert sorted(by[q]) == list(range(1, len(want) + 1))
+        if len(want) < 20 or exact_rows:
+            assert [by[q][i] for i in sorted(by[q])] == want
+
+
 def test_hadamard():
     x = np.eye(8)
     assert np.allclose(neighbors.hadamard(x) @ neighbors.hadamard(x).T, np.eye(8))
