@@ -107,29 +107,38 @@ def q_scan_json(spark, d):
     return files.scan_json(spark, path)
 
 
+def _folder(path: str):
+    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+
+
 @query("admit_inputs", oracle="""
 SELECT * FROM (VALUES (true, CAST(NULL AS VARCHAR), CAST(2 AS BIGINT)), (false, 'unsupported_format', CAST(1 AS BIGINT))) AS t(accepted, reason, files)
 WHERE (SELECT count(*) FROM customer) > 0""")
 def q_admit_inputs(spark, d):
-    """The customer table as one CSV, one JSON and one Parquet upload: files by verdict."""
+    """The customer table as a CSV, a JSON and a Parquet upload, each a folder of part files: uploads by verdict."""
     root = files.scratch_path(spark, "uploads")
-    cust = read_table(spark, d, "customer").coalesce(1)
-    cust.write.option("header", True).csv(f"{root}/csv")
-    cust.write.json(f"{root}/json")
-    cust.write.parquet(f"{root}/parquet")
-    return files.admit_inputs(spark, f"{root}/*/part-*").groupBy("accepted", "reason").agg(F.count(F.lit(1)).alias("files"))
+    cust = read_table(spark, d, "customer")
+    # parts of at most 100,000 rows stay below the size limit whatever the table
+    cust.write.option("header", True).option("maxRecordsPerFile", 100_000).csv(f"{root}/csv")
+    cust.write.option("maxRecordsPerFile", 100_000).json(f"{root}/json")
+    cust.write.option("maxRecordsPerFile", 100_000).parquet(f"{root}/parquet")
+    parts = files.admit_inputs(spark, f"{root}/*/part-*")
+    return parts.groupBy("accepted", "reason").agg(F.count_distinct(_folder("path")).alias("files"))
 
 
 @query("encoding_check", oracle="""
 SELECT * FROM (VALUES ('utf-8', CAST(1 AS BIGINT)), ('latin-1', CAST(1 AS BIGINT))) AS t(encoding, files)
 WHERE (SELECT count(*) FROM documents WHERE text <> '' AND length(text) < strlen(text)) > 0""")
 def q_encoding_check(spark, d):
-    """The documents' texts written as UTF-8 and as Latin-1: files by encoding."""
+    """The documents' texts written as a UTF-8 and as a Latin-1 upload, each a folder of part files: uploads by encoding
+    (an upload is UTF-8 when all its parts are)."""
     root = files.scratch_path(spark, "enc")
-    texts = read_table(spark, d, "documents").select("text").coalesce(1)
+    texts = read_table(spark, d, "documents").select("text")
     texts.write.text(f"{root}/utf8")
     texts.write.option("encoding", "ISO-8859-1").option("header", False).csv(f"{root}/latin1")
-    return files.encoding_check(spark, f"{root}/*/part-*").groupBy("encoding").agg(F.count(F.lit(1)).alias("files"))
+    parts = files.encoding_check(spark, f"{root}/*/part-*").groupBy(_folder("path").alias("upload"))
+    uploads = parts.agg(F.when(F.bool_or(F.col("encoding") == "latin-1"), "latin-1").otherwise(F.max("encoding")).alias("encoding"))
+    return uploads.groupBy("encoding").agg(F.count(F.lit(1)).alias("files"))
 
 
 @query("map_types", oracle="""

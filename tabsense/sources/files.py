@@ -141,14 +141,17 @@ def admit_inputs(spark: SparkSession, pattern: str, max_mb: int = MAX_UPLOAD_MB)
 
 
 def encoding_check(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, encoding): ``utf-8`` (with or without BOM) when the bytes are
-    valid UTF-8, else the ``latin-1`` fallback.  A Spark job over any number
-    of files; no statistical charset model."""
-    files = spark.read.format("binaryFile").load(pattern).select("path", "content")
-    bom = F.substring("content", 1, 3) == F.unhex(F.lit("EFBBBF"))
-    valid = F.expr("is_valid_utf8(content)")
-    enc = F.when(bom, F.lit("utf-8-sig")).when(valid, F.lit("utf-8")).otherwise(F.lit("latin-1"))
-    return files.select("path", enc.alias("encoding"))
+    """(path, encoding): ``utf-8`` (``utf-8-sig`` with BOM) when the bytes are
+    valid UTF-8, else the ``latin-1`` fallback.  A distributed scan of lines
+    over any number of files; no file is held whole, no statistical charset
+    model.  The line reader drops a BOM, so its three bytes are those missing
+    from the lines (the last one may have no line end)."""
+    files = spark.read.format("binaryFile").load(pattern).select("path", "length", F.col("_metadata.file_path").alias("__file"))
+    lines = spark.read.option("lineSep", "\n").text(pattern).groupBy(F.col("_metadata.file_path").alias("__file")).agg(
+        F.bool_and(F.expr("is_valid_utf8(value)")).alias("valid"), F.sum(F.octet_length("value") + F.lit(1).cast("long")).alias("bytes"))
+    bom = (F.col("length") - F.coalesce("bytes", F.lit(0))).isin(2, 3)
+    enc = F.when(bom, F.lit("utf-8-sig")).when(F.coalesce("valid", F.lit(True)), F.lit("utf-8")).otherwise(F.lit("latin-1"))
+    return files.join(lines, "__file", "left").select("path", enc.alias("encoding"))
 
 
 def map_types(df: DataFrame) -> DataFrame:

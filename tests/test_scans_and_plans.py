@@ -126,3 +126,29 @@ def test_scratch_scope_removes_its_files(spark):
         assert materialize(spark.range(5), "scoped").count() == 5
         assert any(n.startswith("scoped-") for n in os.listdir(folder))
     assert not any(n.startswith("scoped-") for n in os.listdir(folder)) and kept.count() == 3
+
+
+def test_encoding_check_scans_lines(spark, tmp_path):
+    texts = {"a": "é\r\nb\n".encode(), "b": b"\xef\xbb\xbfx\n", "c": b"\xef\xbb\xbfx\ny", "d": b"ok\n" * 9 + b"\xe9", "f": b"\n\n", "g": b"\xef\xbb\xbf"}
+    for name, data in texts.items():
+        (tmp_path / f"part {name}.txt").write_bytes(data)
+    got = files.encoding_check(spark, f"{tmp_path}/part*")
+    assert {r["path"][-5]: r["encoding"] for r in got.collect()} == {
+        "a": "utf-8", "b": "utf-8-sig", "c": "utf-8-sig", "d": "latin-1", "f": "utf-8", "g": "utf-8-sig"}
+    assert "content" not in got._jdf.queryExecution().sparkPlan().toString()  # no file is one row
+
+
+def test_uploads_of_many_parts(spark, tmp_path, monkeypatch):
+    from tabsense.plans import q_import
+    for t in ("documents", "customer"):
+        spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet").repartition(4).write.parquet(f"{tmp_path}/{t}.parquet")
+    written, scratch = [], files.scratch_path
+    monkeypatch.setattr(files, "scratch_path", lambda *a: written.append(scratch(*a)) or written[-1])
+    spark.conf.set("spark.sql.files.openCostInBytes", "64m")
+    try:
+        got = [{tuple(r) for r in q(spark, str(tmp_path)).collect()} for q in (q_import.q_encoding_check, q_import.q_admit_inputs)]
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == [{("utf-8", 1), ("latin-1", 1)}, {(True, None, 2), (False, "unsupported_format", 1)}]
+    for folder in (f"{written[0]}/utf8", f"{written[0]}/latin1", f"{written[1]}/csv", f"{written[1]}/json"):
+        assert spark.read.format("binaryFile").load(f"{folder}/part-*").select("path").count() > 1
