@@ -49,6 +49,7 @@ def test_quality_on_held_out(spark):
     good, bad = ([score[r["doc_id"]] for r in test if r["quality"] == k] for k in (1, 0))
     assert np.mean([g > b for g in good for b in bad]) > 0.98
     assert np.mean([s >= 0.3 for s in good]) > 0.97
+    assert np.mean([s < 0.3 for s in bad]) > 0.9
 
 
 def test_quality_odd_rows(docs_of, odd_rows, spark):
