@@ -5,8 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF = "/root/testdata/sf0.001"
-SF01 = "/root/testdata/sf0.01"
+from tests.paths import SF, SF01  # noqa: E402,F401  (other modules import them from here, too)
 
 
 @pytest.fixture(scope="session")

@@ -5,7 +5,7 @@ import pytest
 from tabsense.operators import cleaning
 from tabsense.plans.fixtures import fixture
 
-from conftest import SF
+from tests.paths import SF
 
 
 def _sorted(df):

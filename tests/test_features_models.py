@@ -9,7 +9,7 @@ from tabsense.operators import clusters, features, models
 from tabsense.plans.fixtures import fixture
 from tabsense.sources.tables import read_table
 
-from conftest import SF, SF01
+from tests.paths import SF, SF01
 
 
 def test_label_codes_are_a_bijection(spark):

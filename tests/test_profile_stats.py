@@ -6,7 +6,7 @@ from tabsense.operators import profile, stats
 from tabsense.plans.fixtures import fixture
 from tabsense.sources.tables import read_table
 
-from conftest import SF
+from tests.paths import SF
 
 
 def _pdf(df):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tabsense.operators.rows import scan_last, scan_neighbors, with_row_index
 from tabsense.sources.tables import NATURAL_KEYS, read_table
 
-from conftest import SF
+from tests.paths import SF
 
 
 def test_row_index_matches_row_number(spark):

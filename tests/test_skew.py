@@ -8,7 +8,7 @@ from tabsense.operators import cleaning, profile, stats
 from tabsense.operators.quantiles import column_modes
 from tabsense.plans.fixtures import table_rows
 
-from conftest import SF
+from tests.paths import SF
 
 
 def _hot(spark):

@@ -10,7 +10,7 @@ from tabsense.operators import importing
 from tabsense.sources import files
 from tabsense.sources.tables import read_table
 
-from conftest import SF
+from tests.paths import SF
 
 
 def test_csv_round_trip_and_types(spark):

@@ -7,7 +7,7 @@ from tabsense.sources import files
 from tabsense.sources.tables import read_table
 from tabsense.streaming.imports import read_imported, stream_import
 
-from conftest import SF
+from tests.paths import SF
 
 
 def test_stream_import_processes_every_file_once(spark):
