@@ -9,14 +9,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsense.llm import bpe, fingerprints, id_files, langid, mixing, near_dups, neighbors, oracles, quality, substrings, token_counts
+from tabsense.llm import bpe, content_sort, filter_audit, fingerprints, id_files, langid, lexical, mixing, near_dups, neighbors, oracles, quality, substrings, token_counts
 from tabsense.llm.samples import fold
 from tabsense.session import checkpoint_dir
 from tabsense.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {"op4_substring_dedup": oracles.SUBSTRING_DEDUP, "op6_near_duplicates": oracles.NEAR_DUPLICATES,
-                           "op8_mixing": oracles.MIXING}
+                           "op8_mixing": oracles.MIXING,
+                           "op11_lexical_search": oracles.LEXICAL_SEARCH, "op12_filter_audit": oracles.FILTER_AUDIT,
+                           "op13_exact_dedup": oracles.EXACT_DEDUP}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -108,3 +110,22 @@ def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     id_files.write_ids(documents(spark, sf_dir).select("doc_id", "text"), folder, public_tokenizers.path("word_bpe_49k.json"),
                        vocabulary=49_408, end_id=2)
     return id_files.read_ids(spark, folder, with_ids=False)
+
+
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return lexical.search(documents(spark, sf_dir).select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of all 120 orders of five filters in every language."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    return filter_audit.audit(filter_audit.document_masks(docs, read_table(spark, sf_dir, "labels")), "ABCDE")
+
+
+@query
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of identical texts; of each the row with the largest id stays."""
+    return content_sort.exact_duplicates(documents(spark, sf_dir).select("doc_id", "text"), keep_largest=True)
