@@ -113,10 +113,11 @@ def index(docs: DataFrame, key: str, text: str, vocabulary: list[bytes]) -> Data
                 binary(count.astype("<i4")), none(pa.list_(pa.int64())), pa.array(ends - starts), none(pa.int64())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-        known, number = Vocabulary(vocabulary), TaskContext.get().partitionId() << 32
+        known, number = Vocabulary(vocabulary), None
         ids, lengths, hits = [], [], []
         for batch in batches:
+            if number is None and batch.num_rows:
+                number = batch.column(2)[0].as_py() << 32
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 if len(ids) + part.num_rows > SEGMENT_DOCS:
@@ -135,7 +136,8 @@ def index(docs: DataFrame, key: str, text: str, vocabulary: list[bytes]) -> Data
         if ids:
             yield from flush(number, ids, lengths, hits)
 
-    return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, _INDEX)
+    return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"),
+                       F.spark_partition_id().alias("part")).mapInArrow(run, _INDEX)
 
 
 def item_terms(items: DataFrame, text: str) -> DataFrame:

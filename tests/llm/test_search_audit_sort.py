@@ -62,6 +62,13 @@ def test_search_equals_brute_force(spark, docs_of, monkeypatch):
         assert order(got) == order(brute_search(docs, items, 7))
 
 
+def test_search_index_of_merged_partitions(spark, docs_of):
+    """Partitions that one task reads together are still segments of their own."""
+    docs = made_documents()
+    made = lexical.index(docs_of(docs).repartition(20), "doc_id", "text", [b"the"]).coalesce(2).where("term IS NULL").collect()
+    assert len({r["segment"] for r in made}) == len(made) > 2 and sum(len(r["ids"]) for r in made) == len(docs)
+
+
 def test_search_of_odd_and_empty_tables(spark, docs_of, odd_rows):
     docs = [(r[0], r[1]) for r in odd_rows]
     items = [(1, "the x y a other"), (2, "")]
