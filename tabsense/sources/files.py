@@ -4,6 +4,8 @@ one aggregate over all columns followed by one projection."""
 
 from __future__ import annotations
 
+import csv
+import io
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +16,7 @@ from tabsense.functions.numeric import col
 from tabsense.functions.schema import ROW_ID, storage_type, widen
 from tabsense.functions.text import NULL_TOKENS, READER_NULL_TOKENS
 from tabsense.session import checkpoint_dir, materialize
+from tabsense.sources import framing
 
 # Fixed values of the reference's upload rules.
 SUPPORTED_SUFFIXES = (".csv", ".xlsx", ".json")
@@ -88,35 +91,102 @@ def with_file_order(raw: DataFrame) -> DataFrame:
             .select((F.col("__before") + F.col("__at") - F.col("__first")).cast("long").alias(ROW_ID), *[col(c) for c in raw.columns]))
 
 
-def scan_csv(spark: SparkSession, path: str, encoding: str | None = None, multi_line: bool = False,
+_CSV = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+
+
+def _line_ends_in_values(spark: SparkSession, path: str) -> DataFrame | None:
+    """What framing needs of each block, or nothing when every line is a record."""
+    lines = framing.pieces(spark, path, framing.CsvLines.separator)
+    if lines.where(F.contains("value", F.lit(b'"'))).isEmpty():
+        return None
+    outcomes = materialize(framing.block_outcomes(lines, framing.CsvLines()), "csv-blocks")
+    # when no block that starts outside of values leaves one open at a line's end, none starts inside
+    return None if outcomes.where("open0").isEmpty() else outcomes
+
+
+def _safe_names(header: list[str]) -> list[str]:
+    """Column names as Spark's CSV reader makes them: empty ones and repeated ones get their place."""
+    low = [h.lower() for h in header]
+    return [f"_c{i}" if not h else f"{h}{i}" if low.count(h.lower()) > 1 else h for i, h in enumerate(header)]
+
+
+def _framed_csv(spark: SparkSession, path: str, encoding: str, outcomes: DataFrame, row_ids: bool) -> DataFrame:
+    """Text columns of CSV records framed by many tasks a file, written once."""
+    found = materialize(framing.records(spark, path, framing.CsvLines(), outcomes), "csv-records")
+    number = F.col("before") + F.col("at")
+    paths = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"))
+    sizes = found.groupBy("file").agg((F.max(number) + 1).alias("n"), F.max(F.when(number == 0, F.decode("text", encoding))).alias("header"))
+    order = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    listed = materialize(paths.withColumn("file", F.xxhash64("path")).join(sizes, "file").select(
+        "file", "path", "header", F.coalesce(F.sum(F.col("n") - 1).over(order), F.lit(0)).alias("files_before")), "csv-files")
+    header = listed.orderBy("path").select("header").first()["header"]
+    names = _safe_names(next(csv.reader(io.StringIO(header, newline=""))))
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names]).toDDL()
+    rows = found.where(number > 0)  # the first record of a file is its header
+    if row_ids:
+        rows = rows.join(listed.select("file", "files_before"), "file").withColumn("id", F.col("files_before") + number - 1)
+    parsed = F.from_csv(F.decode("text", encoding), schema, _CSV)
+    raw = rows.select(*([F.col("id").alias("__id")] if row_ids else []), parsed.alias("r"))
+    return materialize(raw.select(*([F.col("__id").alias(ROW_ID)] if row_ids else []), "r.*"), "csv-rows")
+
+
+def scan_csv(spark: SparkSession, path: str, encoding: str | None = None, multi_line: bool | None = None,
              row_ids: bool = False) -> DataFrame:
     """Header CSV -> missing-value tokens -> inferred types.
 
-    Quotes inside quoted values are doubled, as common writers do.
-    ``multi_line`` allows line ends inside quotes (such a file is read by one
-    task, so it is a choice).  ``encoding`` defaults to UTF-8 when all lines
-    are valid UTF-8, else Latin-1.  ``row_ids`` adds a ``row_id`` in file
-    order.
+    Quotes inside quoted values are doubled, as common writers do; quoted
+    values may hold line ends.  By default the files are looked through for
+    such line ends, block by block; only when there are any, records are
+    framed by a second pass (:mod:`framing`), still by many tasks a file.
+    ``multi_line`` False spares the look, True frames in any case.
+    ``encoding`` defaults to UTF-8 when all lines are valid UTF-8, else
+    Latin-1; framing reads any encoding that keeps ASCII bytes.  ``row_ids``
+    adds a ``row_id`` in file order.
     """
     encoding = encoding or ("UTF-8" if is_utf8(spark, path) else "ISO-8859-1")
-    raw = (spark.read.option("header", True).option("encoding", encoding).option("quote", '"').option("escape", '"')
-           .option("multiLine", multi_line).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path))
-    names = raw.columns
-    if row_ids:
-        raw = with_file_order(raw)
+    outcomes = None
+    if multi_line is None:
+        outcomes = _line_ends_in_values(spark, path)
+    elif multi_line:
+        outcomes = materialize(framing.block_outcomes(framing.pieces(spark, path, framing.CsvLines.separator), framing.CsvLines()), "csv-blocks")
+    if outcomes is not None and not outcomes.isEmpty():
+        raw = _framed_csv(spark, path, encoding, outcomes, row_ids)
+        names = [c for c in raw.columns if not (row_ids and c == ROW_ID)]
+    else:
+        raw = spark.read.options(**_CSV).option("header", True).option("encoding", encoding).option("inferSchema", False).csv(path)
+        names = raw.columns
+        if row_ids:
+            raw = with_file_order(raw)
     tokens = NULL_TOKENS + READER_NULL_TOKENS
     return infer_types(raw.select(*([ROW_ID] if row_ids else []), *[
         F.when(~col(c).isin(tokens), col(c)).alias(c) for c in names]))
 
 
-def scan_json(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
-    """JSON records (one per line, or one array of records per file);
-    nested values become JSON text; integers long, fractions double."""
-    if multi_line is None:
-        first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-        multi_line = bool(first) and first[0][0].lstrip().startswith("[")
-    raw = spark.read.option("multiLine", multi_line).json(path)
-    if "_corrupt_record" in raw.columns:
+def scan_json(spark: SparkSession, path: str, framed: bool | None = None) -> DataFrame:
+    """JSON records, one a line, or objects in arrays or over several lines;
+    nested values become JSON text; integers long, fractions double.
+
+    Arrays and objects over several lines are framed by many tasks a file
+    (:mod:`framing`) and written one a line before Spark's parser sees them.
+    ``framed`` says which; by default the files' first characters and, for
+    lines, the parser's verdict tell.
+    """
+    objects = framing.JsonObjects()
+    if framed is None:
+        first = framing.pieces(spark, path, objects.separator).select(F.ltrim(F.decode("value", "UTF-8"), F.lit(" \t\r\n\ufeff")).alias("v"))
+        framed = not first.where(F.col("v").startswith("[")).isEmpty()
+    raw = None
+    if not framed:
+        raw = spark.read.json(path)
+        framed = "_corrupt_record" in raw.columns
+    if framed:
+        outcomes = materialize(framing.block_outcomes(framing.pieces(spark, path, objects.separator), objects), "json-blocks")
+        found = framing.records(spark, path, objects, outcomes)
+        lines = scratch_path(spark, "json-lines")
+        # line ends between the tokens of a record are white space; those inside strings are escaped
+        found.select(F.regexp_replace(F.decode("text", "UTF-8"), r"[\r\n]+", " ").alias("value")).write.text(lines)
+        raw = spark.read.json(lines)
+    if "_corrupt_record" in raw.columns or not raw.columns:
         raise ValueError("input is not a table of JSON records")
     return widen(raw)
 
