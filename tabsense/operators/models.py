@@ -1,41 +1,39 @@
 """Model training, evaluation, encoding of new rows and prediction.
 
-Training uses Spark ML estimators (distributed fits).  The split is a hash
-of ``row_id`` (same rows whatever the partitioning); metrics are plain
-aggregates over (label, prediction).  Models without a Spark twin are
-approximated and named as such: RBF SVC/SVR -> random Fourier features
-(Rahimi & Recht, 2007) + a linear model; LightGBM -> Spark GBT.
+Linear and logistic regression are Spark ML fits; trees and forests
+(:mod:`trees`), boosting (:mod:`boosting`) and kernel machines
+(:mod:`kernels`) are this package's own distributed jobs, since Spark ML's
+stop at 32 bins, depth 30, depth-wise rounds and linear kernels.  The split
+is a hash of ``row_id`` (same rows whatever the partitioning); metrics are
+plain aggregates over (label, prediction).
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
-                                       OneVsRest, RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
-                                   RandomForestRegressor)
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsense.functions.numeric import col
+from tabsense.operators import boosting, kernels, trees
 from tabsense.session import materialize
 from tabsense.functions.schema import ROW_ID
 
 # Fixed values of the reference's training setup.
 TEST_SHARE = 0.2
 SEED = 42
-MAX_TREE_DEPTH = 30          # Spark's limit (the reference grows full trees)
 CLASSIFIERS = ["LogisticRegression", "RandomForestClassifier", "DecisionTreeClassifier", "SVC", "LGBMClassifier"]
 REGRESSORS = ["LinearRegression", "RandomForestRegressor", "DecisionTreeRegressor", "SVR", "LGBMRegressor"]
-RFF_DIM = 100                # random Fourier features for the RBF kernels
-# What is really fitted where Spark has no such model.
-TRAINED_AS = {"SVC": "LinearSVC on random Fourier features", "SVR": "Huber LinearRegression on random Fourier features",
-              "LGBMClassifier": "GBTClassifier", "LGBMRegressor": "GBTRegressor"}
+FOREST_TREES = 100
+# What is fitted in a form of our own (README: the bounds of each).
+TRAINED_AS = {"SVC": "SVC on Nystroem landmarks", "SVR": "SVR on Nystroem landmarks",
+              "LGBMClassifier": "leaf-wise histogram boosting", "LGBMRegressor": "leaf-wise histogram boosting"}
 
 _MUL = 2654435761
 _MOD = 1 << 32
@@ -93,90 +91,71 @@ def with_label(df: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
     return named.join(key, F.col("__target") == F.col("__class")).drop("__target", "__class"), classes
 
 
-class RandomFourierFeatures:
-    """RBF kernel map z(x) = sqrt(2/D) cos(Wx + b), W ~ N(0, 2 gamma),
-    gamma = 1 / (p * var(X)) (scikit-learn's 'scale').  Pure column
-    expressions, so it stays inside whole-stage codegen."""
-
-    def __init__(self, features: list[str], dim: int = RFF_DIM, seed: int = SEED):
-        self.features, self.dim, self.seed = features, dim, seed
-        self.gamma = None
-
-    def fit(self, df: DataFrame) -> "RandomFourierFeatures":
-        # var(X) over all feature values: E[x^2] - E[x]^2 pooled across columns
-        aggs = []
-        for c in self.features:
-            aggs += [F.sum(col(c)), F.sum(col(c) * col(c)), F.count(col(c))]
-        r = df.agg(*aggs).first()
-        s1 = sum(r[3 * i] or 0 for i in range(len(self.features)))
-        s2 = sum(r[3 * i + 1] or 0 for i in range(len(self.features)))
-        n = sum(r[3 * i + 2] for i in range(len(self.features)))
-        var = s2 / n - (s1 / n) ** 2 if n else 1.0
-        self.gamma = 1.0 / (len(self.features) * var) if var > 0 else 1.0
-        rng = np.random.default_rng(self.seed)
-        self.w = rng.normal(0.0, math.sqrt(2 * self.gamma), size=(self.dim, len(self.features)))
-        self.b = rng.uniform(0, 2 * math.pi, size=self.dim)
-        return self
-
-    def transform(self, df: DataFrame, out: str = "features") -> DataFrame:
-        scale = math.sqrt(2.0 / self.dim)
-        zs = []
-        for k in range(self.dim):
-            lin = F.lit(float(self.b[k]))
-            for j, c in enumerate(self.features):
-                lin = lin + F.lit(float(self.w[k, j])) * col(c).cast("double")
-            zs.append((F.lit(scale) * F.cos(lin)).alias(f"__rff{k}"))
-        tmp = df.select("*", *zs)
-        names = [f"__rff{k}" for k in range(self.dim)]
-        return VectorAssembler(inputCols=names, outputCol=out).transform(tmp).drop(*names)
-
-
-# Deep trees: keep node ids cached between levels and give each pass room
-# for many nodes (fewer passes over the data per level).
-_DEEP_TREES = {"cacheNodeIds": True, "maxMemoryInMB": 1024, "checkpointInterval": 10}
-
-
-def make_estimator(name: str, n_rows: int, n_classes: int = 2):
-    if name == "LogisticRegression":
-        # scikit-learn's C = 1 on a summed loss == Spark's mean loss with regParam 1/n
-        return LogisticRegression(maxIter=500, regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0,
-                                  standardization=False, family="multinomial")
+class FitError(ValueError):
+    """Data on which a model can't be fitted; a leaderboard reports it as a row."""
+
+
+def vector_rows(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """(id, x, y) for the trainers: NaN is missing, that is null.  Written once, since fits read it many times."""
+    number = lambda c: F.nanvl(col(c).cast("double"), F.lit(None).cast("double"))
+    row = F.col(ROW_ID).cast("long") if ROW_ID in df.columns else F.monotonically_increasing_id()
+    return materialize(df.where(number(label).isNotNull()).select(
+        row.alias("id"), F.array(*[number(c) for c in features]).alias("x"), number(label).alias("y")), "train-rows")
+
+
+def _check(rows: DataFrame, name: str, n_classes: int) -> None:
+    """Reasons not to fit, told before any work: no rows, one class, missing values where the model takes none."""
+    r = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.exists("x", lambda v: v.isNull())).alias("holes"),
+                 F.count_distinct("y").alias("classes")).first()
+    if not r["n"]:
+        raise FitError("no training rows")
+    if r["holes"] and not name.startswith("LGBM"):
+        raise FitError(f"{r['holes']} training rows have missing values")
+    if n_classes and r["classes"] < 2 and name in ("LogisticRegression", "SVC"):
+        raise FitError("training rows hold one class only")
+
+
+def fit(rows: DataFrame, features: int, name: str, n_classes: int = 0):
+    """A trained model with ``scores(rows)``; ``rows``: (id, x, y) of :func:`vector_rows`."""
+    _check(rows, name, n_classes)
+    if name in ("DecisionTreeClassifier", "DecisionTreeRegressor"):
+        return trees.train(rows, features, n_classes, seed=SEED)
     if name == "RandomForestClassifier":
-        return RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", maxDepth=MAX_TREE_DEPTH, seed=SEED,
-                                      **_DEEP_TREES)
-    if name == "DecisionTreeClassifier":
-        return DecisionTreeClassifier(maxDepth=MAX_TREE_DEPTH, seed=SEED, **_DEEP_TREES)
-    if name == "SVC":
-        return OneVsRest(classifier=LinearSVC(maxIter=100, regParam=1.0 / max(n_rows, 1), standardization=False), parallelism=4)
-    if name == "LGBMClassifier":
-        gbt = GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=5, seed=SEED)
-        return gbt if n_classes <= 2 else OneVsRest(classifier=gbt, parallelism=4)
-    if name == "LinearRegression":
-        return LinearRegression(regParam=0.0, solver="normal")
+        return trees.train(rows, features, n_classes, FOREST_TREES, max(1, math.isqrt(features)), True, SEED)
     if name == "RandomForestRegressor":
-        return RandomForestRegressor(numTrees=100, featureSubsetStrategy="all", maxDepth=MAX_TREE_DEPTH, seed=SEED,
-                                     **_DEEP_TREES)
-    if name == "DecisionTreeRegressor":
-        return DecisionTreeRegressor(maxDepth=MAX_TREE_DEPTH, seed=SEED, **_DEEP_TREES)
-    if name == "SVR":
-        return LinearRegression(loss="huber", regParam=1.0 / max(n_rows, 1), standardization=False)
-    if name == "LGBMRegressor":
-        return GBTRegressor(maxIter=100, stepSize=0.1, maxDepth=5, seed=SEED)
+        return trees.train(rows, features, n_classes, FOREST_TREES, None, True, SEED)
+    if name in ("LGBMClassifier", "LGBMRegressor"):
+        return boosting.train(rows, features, n_classes)
+    if name in ("SVC", "SVR"):
+        return kernels.train(rows, features, n_classes)
     raise ValueError(f"unknown model {name}")
 
 
 def fit_predict(train: DataFrame, test: DataFrame, features: list[str], name: str, label: str = "label",
                 n_classes: int = 2) -> DataFrame:
-    """Fit ``name`` on ``train`` and return ``test`` with ``prediction``."""
-    n = train.count()
-    if name in ("SVC", "SVR"):
-        rff = RandomFourierFeatures(features).fit(train)
-        tr, te = rff.transform(train), rff.transform(test)
-    else:
-        tr, te = assemble(train, features), assemble(test, features)
-    model = make_estimator(name, n, n_classes).setLabelCol(label).setFeaturesCol("features")
-    fitted = model.fit(tr)
-    return fitted.transform(te)
+    """Fit ``name`` on ``train`` and return ``test`` with ``prediction`` and, for classifiers that have them,
+    ``probability`` (an array by class)."""
+    rows = vector_rows(train, features, label)
+    if name in ("LogisticRegression", "LinearRegression"):
+        _check(rows, name, n_classes if name == "LogisticRegression" else 0)
+        if name == "LogisticRegression":
+            # scikit-learn's C = 1 on a summed loss == Spark's mean loss with regParam 1/n
+            model = LogisticRegression(maxIter=500, regParam=1.0 / max(rows.count(), 1), elasticNetParam=0.0,
+                                       standardization=False, family="multinomial")
+        else:
+            model = LinearRegression(regParam=0.0, solver="normal")
+        out = model.setLabelCol(label).setFeaturesCol("features").fit(assemble(train, features)).transform(assemble(test, features))
+        return (out.withColumn("probability", vector_to_array("probability")) if "probability" in out.columns else out).drop(
+            *[c for c in ("features", "rawPrediction") if c in out.columns])
+    model = fit(rows, len(features), name, n_classes if name in CLASSIFIERS else 0)
+    scored = model.scores(test.withColumn("x", F.array(*[col(c).cast("double") for c in features]))) if "x" not in test.columns else \
+        model.scores(test.withColumnRenamed("x", "__x").withColumn("x", F.array(*[col("__x" if c == "x" else c).cast("double") for c in features])))
+    scored = scored.drop("x").withColumnRenamed("__x", "x")
+    if name not in CLASSIFIERS:
+        return scored.withColumn("prediction", F.get("scores", F.lit(0))).drop("scores")
+    first = (F.array_position("scores", F.array_max("scores")) - 1).cast("double")  # the first of equal ones
+    scored = scored.withColumn("prediction", first)
+    return scored.drop("scores") if name == "SVC" else scored.withColumnRenamed("scores", "probability")
 
 
 def classification_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -218,8 +197,9 @@ def linear_coefficients(df: DataFrame, features: list[str], target: str) -> Data
 
 def model_leaderboard(df: DataFrame, target: str | None, features: list[str], ml_type: str,
                       models: list[str] | None = None) -> DataFrame:
-    """All models of the type: one row per (model, metric) and an error
-    row instead of a failure.  Clustering models are in clusters.py."""
+    """All models of the type: one row per (model, metric), and an error row
+    for data that a model can't be fitted on (any other failure is raised).
+    Clustering models are in clusters.py."""
     spark = df.sparkSession
     rows = []
     schema = "model string, trained_as string, metric string, value double, error string"
@@ -242,7 +222,7 @@ def model_leaderboard(df: DataFrame, target: str | None, features: list[str], ml
             pred = fit_predict(train, test, features, name, n_classes=n_classes)
             m = (classification_metrics(pred) if ml_type == "classification" else regression_metrics(pred)).first()
             rows += [(name, fitted, k, float(v) if v is not None else None, None) for k, v in m.asDict().items()]
-        except Exception as exc:  # reported as a row, like the reference
+        except FitError as exc:
             rows.append((name, fitted, "error", None, str(exc).splitlines()[0][:500]))
     return spark.createDataFrame(rows, schema)
 
@@ -304,7 +284,4 @@ def predict(train: DataFrame, new_rows: DataFrame, features: list[str], target:
     if classes is not None:
         names = classes.select(F.col("label").alias("__label"), F.col("class").alias("predicted_class"))
         pred = pred.join(names, F.col("prediction") == F.col("__label"), "left").drop("__label")
-    if "probability" in pred.columns:
-        pred = pred.withColumn("probability", vector_to_array("probability"))
-    pred = pred.drop(*[c for c in ("features", "rawPrediction") if c in pred.columns])
     return pred.unionByName(rest, allowMissingColumns=True)

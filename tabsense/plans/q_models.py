@@ -86,10 +86,10 @@ e AS (SELECT y, (fit.a + fit.b * price) - y AS err FROM z, fit WHERE split = 'te
 
 
 @query("linear_leaderboard_1d", oracle=_LIN + """
-SELECT 'LinearRegression' AS model, 'mae' AS metric, avg(abs(err)) AS value, CAST(NULL AS VARCHAR) AS error FROM e
-UNION ALL SELECT 'LinearRegression', 'mse', avg(err * err), NULL FROM e
-UNION ALL SELECT 'LinearRegression', 'rmse', sqrt(avg(err * err)), NULL FROM e
-UNION ALL SELECT 'LinearRegression', 'r2', 1 - sum(err * err) / (count(y) * var_pop(y)), NULL FROM e""", floats=("value",))
+SELECT 'LinearRegression' AS model, 'LinearRegression' AS trained_as, 'mae' AS metric, avg(abs(err)) AS value, CAST(NULL AS VARCHAR) AS error FROM e
+UNION ALL SELECT 'LinearRegression', 'LinearRegression', 'mse', avg(err * err), NULL FROM e
+UNION ALL SELECT 'LinearRegression', 'LinearRegression', 'rmse', sqrt(avg(err * err)), NULL FROM e
+UNION ALL SELECT 'LinearRegression', 'LinearRegression', 'r2', 1 - sum(err * err) / (count(y) * var_pop(y)), NULL FROM e""", floats=("value",))
 def q_linear_leaderboard_1d(spark, d):
     """The regression leaderboard path (scaled target, hash split, fit on
     train, metrics on test) with one feature, where OLS has a SQL form."""
@@ -143,7 +143,8 @@ def q_train_gbt_regressor(spark, d):
 
 @query("model_leaderboard")
 def q_model_leaderboard(spark, d):
-    return _leader(spark, d, "y_reg", "regression", None)
+    """All models of both types: the number y_reg and the class y_class."""
+    return _leader(spark, d, "y_reg", "regression", None).unionByName(_leader(spark, d, "y_class", "classification", None))
 
 
 def _embedded(spark, d):

@@ -73,6 +73,27 @@ def materialize(df, label: str = "stage"):
     return spark.read.parquet(path)
 
 
+_SHIPPED = "_tabsense_shipped"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session: functions that run
+    there import it by name.  Only code goes through the driver's folder."""
+    import zipfile
+    sc = spark.sparkContext
+    if getattr(sc, _SHIPPED, False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="tabsense-core-"), "tabsense_core.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                z.write(full, os.path.join("tabsense", os.path.relpath(full, root)))
+    sc.addPyFile(target)
+    setattr(sc, _SHIPPED, True)
+
+
 _SCOPES: list[list[str]] = []
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabsense.session import materialize
+from tabsense.session import materialize, ship_package
 
 _KEYS = ["file", "start", "length"]
 _BLOCKS = "file long, start long, length long, to0 int, to1 int, depth0 long, depth1 long, records0 long, records1 long, open0 boolean, open1 boolean"
@@ -138,6 +138,7 @@ class JsonObjects:
 
 def pieces(spark: SparkSession, path: str, separator: str) -> DataFrame:
     """Rows (value, file, start, length): the pieces of the files in order inside each block."""
+    ship_package(spark)
     file = F.xxhash64(F.col("_metadata.file_path"))
     return spark.read.option("lineSep", separator).text(path).select(
         F.col("value").cast("binary").alias("value"), file.alias("file"), F.col("_metadata.file_block_start").alias("start"),

@@ -200,7 +200,33 @@ def test_every_model_learns(spark, ml_type, target, floor):
     assert got["model"].nunique() == 5 and not (got["metric"] == "error").any()
     score = got[got["metric"] == ("accuracy" if ml_type == "classification" else "r2")].set_index("model")["value"]
     assert (score > floor).all(), score
-    assert set(got.loc[got["model"].isin(["SVC", "SVR"]), "trained_as"].str.contains("Fourier")) == {True}
+    assert set(got.loc[got["model"].isin(["SVC", "SVR"]), "trained_as"].str.contains("Nystroem")) == {True}
+
+
+def test_three_class_probabilities_of_every_model_that_has_them(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 2))
+    pdf = pd.DataFrame(x, columns=["x", "b"]).assign(row_id=range(300), y=np.where(x[:, 0] > 0.5, "p", np.where(x[:, 0] < -0.5, "q", "r")))
+    train = spark.createDataFrame(pdf)
+    for name in ("DecisionTreeClassifier", "RandomForestClassifier", "LGBMClassifier", "LogisticRegression"):
+        got = models.predict(train, train, ["x", "b"], "y", "classification", name).toPandas()
+        p = np.array(got["probability"].tolist())
+        assert p.shape == (300, 3) and np.allclose(p.sum(axis=1), 1) and (got["predicted_class"] == got["y"]).mean() > 0.9
+        assert got["x"].tolist() and set(got.columns) >= {"x", "b", "prediction"}
+    svc = models.predict(train, train, ["x", "b"], "y", "classification", "SVC")
+    assert "probability" not in svc.columns and svc.where("predicted_class = y").count() > 270
+
+
+def test_leaderboard_reports_fit_errors_only(spark, monkeypatch):
+    holes = spark.createDataFrame([(i, float(i) if i % 5 else float("nan"), float(i)) for i in range(200)], "row_id long, x double, t double")
+    board = models.model_leaderboard(holes, "t", ["x"], "regression", ["SVR", "LGBMRegressor"]).toPandas().set_index("model")
+    assert "missing values" in board.loc["SVR", "error"] and board.loc["LGBMRegressor", "error"].isna().all()
+
+    def lost(*_):
+        raise RuntimeError("executor lost")
+    monkeypatch.setattr(models, "fit", lost)
+    with pytest.raises(RuntimeError):
+        models.model_leaderboard(holes, "t", ["x"], "regression", ["SVR"])
 
 
 def test_predict_passes_incomplete_rows_through(spark):
