@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tabsense.functions.numeric import col
 from tabsense.session import materialize
-from tabsense.functions.schema import ROW_ID, data_fields, is_numeric, is_temporal, numeric_cols
+from tabsense.functions.schema import ROW_ID, data_fields, is_numeric, is_temporal, numeric_cols, without_nan
 from tabsense.operators.profile import _null_safe_join, row_counts
 from tabsense.operators.quantiles import column_modes, quartile_fences
 from tabsense.operators.rows import DEFAULT_BUCKET_ROWS, scan_last, scan_neighbors, with_row_index
@@ -130,6 +130,8 @@ def fill_interpolate(df: DataFrame, c: str, bucket_rows: int = DEFAULT_BUCKET_RO
 
 
 def fill_mean(df: DataFrame, c: str) -> DataFrame:
+    """Missing values (null and NaN) become the mean of the others."""
+    df = without_nan(df, [c])
     mean = df.agg(F.avg(col(c))).first()[0]
     return fill_value(df, c, mean)
 
@@ -141,12 +143,13 @@ def fill_value(df: DataFrame, c: str, value) -> DataFrame:
 
 
 def drop_null_rows(df: DataFrame, c: str) -> DataFrame:
-    return df.where(col(c).isNotNull())
+    return without_nan(df, [c]).where(col(c).isNotNull())
 
 
 def fill_mode(df: DataFrame, c: str, unknown: str | None = UNKNOWN_TEXT) -> DataFrame:
     """Most frequent value (smallest on ties); ``unknown`` for text columns
     without any value."""
+    df = without_nan(df, [c])
     mode = column_modes(df, [c])[c]
     if mode is None:
         if isinstance(df.schema[c].dataType, T.StringType) and unknown is not None:
@@ -169,8 +172,9 @@ def clean_missing(df: DataFrame, share: float = DROP_COLUMN_SHARE, bucket_rows:
     every column up to the next row deletion ("stage"), and one positional
     pass fills all its interpolated columns; after a deletion the rest is
     re-aggregated on the rows left.  The plan grows with the number of
-    columns, not with its power.
+    columns, not with its power.  NaN is missing, that is null.
     """
+    df = without_nan(df)
     keys = _keys(df)
     r0 = df.agg(F.count(F.lit(1)).alias("__n"), F.min(ROW_ID).alias("__lo"), F.max(ROW_ID).alias("__hi"),
                 *[F.count(col(k)).alias(f"c{i}") for i, k in enumerate(keys)]).first()
@@ -218,7 +222,8 @@ def clean_missing(df: DataFrame, share: float = DROP_COLUMN_SHARE, bucket_rows:
 
 def cleaning_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows and columns before/after, removed columns, and columns whose
-    nulls were all filled."""
+    nulls (NaN is one) were all filled."""
+    before, after = without_nan(before), without_nan(after)
     kb, ka = _keys(before), _keys(after)
     removed = [c for c in kb if c not in ka]
     nb = before.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(col(c).isNull()).alias(f"x{i}") for i, c in enumerate(kb)])
@@ -242,13 +247,16 @@ def _outlier_flag(df: DataFrame, fences: dict) -> F.Column:
 
 
 def outlier_rows(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Rows outside the 1.5 IQR fence in any numeric column."""
+    """Rows outside the 1.5 IQR fence in any numeric column.  NaN is missing,
+    that is null, in this and the following operators: never an outlier."""
     cols = cols if cols is not None else numeric_cols(df)
+    df = without_nan(df, cols)
     return df.where(_outlier_flag(df, quartile_fences(df, cols)))
 
 
 def remove_outlier_rows(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = cols if cols is not None else numeric_cols(df)
+    df = without_nan(df, cols)
     return df.where(~_outlier_flag(df, quartile_fences(df, cols)))
 
 
@@ -256,6 +264,7 @@ def winsorize(df: DataFrame, cols: list[str] | None = None, fences: dict | None
     """Clip every numeric column to its fence (``fences`` when they are known
     already); nulls stay null."""
     cols = cols if cols is not None else numeric_cols(df)
+    df = without_nan(df, cols)
     fences = fences or quartile_fences(df, cols)
     exprs = {}
     for c in cols:
@@ -273,6 +282,7 @@ def treat_outliers(df: DataFrame, share: float = OUTLIER_SHARE,
     """Delete outlier rows when they are at most ``share`` of all rows,
     else winsorise.  Returns the frame and the method used."""
     cols = cols if cols is not None else numeric_cols(df)
+    df = without_nan(df, cols)
     fences = quartile_fences(df, cols)
     flag = _outlier_flag(df, fences)
     r = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(flag).alias("k")).first()

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tabsense.functions.dates import DATE_SHARE_FOR_FEATURES, parse_any, parse_with
 from tabsense.functions.numeric import col
-from tabsense.functions.schema import ROW_ID, data_fields, is_numeric, is_temporal, numeric_cols
+from tabsense.functions.schema import ROW_ID, data_fields, is_numeric, is_temporal, numeric_cols, without_nan
 from tabsense.operators.decomposition import pca_table
 from tabsense.operators.rows import with_row_index
 
@@ -113,7 +113,8 @@ def label_encode(df: DataFrame, cols: list[str] | None = None, target: str | Non
 
 def scaler_table(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, mean, scale) with population std; a constant column has
-    scale 1 (scikit-learn's rule)."""
+    scale 1 (scikit-learn's rule); NaN is missing."""
+    df = without_nan(df, cols)
     agg = df.agg(*[e for i, c in enumerate(cols) for e in (
         F.avg(col(c).cast("double")).alias(f"m{i}"), F.stddev_pop(col(c).cast("double")).alias(f"s{i}"))])
     items = [F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("mean"),
@@ -124,7 +125,7 @@ def scaler_table(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def apply_scaler(df: DataFrame, scaler: DataFrame) -> DataFrame:
     rows = scaler.collect()   # one row per column
-    return df.withColumns({r["column"]: (col(r["column"]).cast("double") - F.lit(r["mean"])) / F.lit(r["scale"])
+    return without_nan(df, [r["column"] for r in rows]).withColumns({r["column"]: (col(r["column"]).cast("double") - F.lit(r["mean"])) / F.lit(r["scale"])
                            for r in rows if r["mean"] is not None})
 
 

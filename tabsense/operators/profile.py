@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from tabsense.functions.dates import DATE_SHARE_FOR_CATEGORY, parse_any
 from tabsense.functions.numeric import col
-from tabsense.functions.schema import (ROW_ID, data_fields, is_numeric, is_temporal, storage_type)
+from tabsense.functions.schema import (ROW_ID, data_fields, is_numeric, is_temporal, storage_type, without_nan)
 from tabsense.operators.rows import DEFAULT_BUCKET_ROWS, scan_last
 
 
@@ -76,7 +76,8 @@ def categories_of(df: DataFrame) -> dict[str, list[str]]:
 
 
 def null_profile(df: DataFrame) -> DataFrame:
-    """Per column: null count and percentage of all rows (2 dp)."""
+    """Per column: null count (NaN is missing, too) and percentage of all rows (2 dp)."""
+    df = without_nan(df)
     fields = data_fields(df)
     counts = df.agg(F.count(F.lit(1)).alias("__n"),
                     *[F.count_if(col(f.name).isNull()).alias(f"n{i}") for i, f in enumerate(fields)])
