@@ -2,9 +2,9 @@
 
 Stored vectors are parted into bands of near equal norm (a factor of 1.25), where the inner product orders much as the
 angle does.  Each of ``tables`` pseudo-rotations (three rounds of random signs and a fast Hadamard transform) sends a
-vector's direction to its nearest signed axis; a query also looks into the buckets of its next nearest axes.  Bands of
-few rows are not hashed: every query searches them whole, as it does a band whose buckets gave it too few rows, unless
-the band's largest norm cannot reach the query's list.
+vector's direction to its nearest signed axis; a query also looks into the buckets of its next nearest axes.  A band
+whose buckets gave a query too few rows is searched whole for it, unless the band's largest norm cannot reach the
+query's list.
 Buckets and bands are cut into cells of bounded size, both ways, and every cell is one block product in double precision.
 
 Equal vectors are one search: of any number of copies only the smallest ``k + 1`` ids can be among a query's ``k``
@@ -78,18 +78,21 @@ def _matrix(column: pa.Array, kind: str) -> np.ndarray:
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding", tables: int = TABLES,
-            probes: int = PROBES, seed: int = 11, exact_rows: int = CELL_ROWS) -> DataFrame:
+            probes: int = PROBES, seed: int = 11) -> DataFrame:
     """The ``k`` nearest found for every query row (``is_query``: a condition on ``key``): query_id, rank, vec_id, score.
 
     Candidates are all rows but the query's own, of the query's dimension; nearest first, ties to the smaller key, the
     score being the inner product of the original vectors in double precision.  Rows with a null key, or whose vector
-    ``usable`` refuses, take no part; a query with fewer candidates than ``k`` gets them all.  Keys are distinct.
-    Bands of at most ``exact_rows`` rows are searched whole.
+    ``usable`` refuses, take no part; a query with fewer candidates than ``k`` gets them all.  Of rows that share a key
+    the one with the smallest vector takes part.  An empty table gives no rows; other columns don't matter.
     """
     spark = vectors.sparkSession
     ship_package(spark)
     kind = "<f4" if vectors.schema[vector].dataType.elementType.typeName() == "float" else "<f8"
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & usable("v"))
+    total, keys = rows.agg(F.count("id"), F.count_distinct("id")).first()
+    if keys < total:
+        rows = stored(rows.groupBy("id").agg(F.min("v").alias("v")), "ann-keys")
     copies = Window.partitionBy("v").orderBy("id")
     candidates = rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select("id", "v")
     asked = rows.where(is_query(F.col("id")))
@@ -114,11 +117,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
     data, queries = bucketed(candidates, False), bucketed(reps, True)
     # one row a band: its size and largest norm
     bands = stored(data.groupBy("d", "band").agg(F.count(F.lit(1)).alias("n"), F.max("log_norm").alias("top")), "ann-bands")
-    large = bands.where(F.col("n") > exact_rows).select("d", "band")
     spread = lambda df: df.select("id", "v", "d", "band", F.explode("buckets").alias("bucket"))
-    found = _search(spread(data.join(large, ["d", "band"])), spread(queries.drop("band").join(large, "d")), ["d", "band", "bucket"], k, kind)
-    # the bands to search whole for a query: those that gave it too few rows (the small ones none), if their largest norm
-    # can reach its list
+    found = _search(spread(data), spread(queries.drop("band").join(bands.select("d", "band"), "d")), ["d", "band", "bucket"], k, kind)
+    # the bands to search whole for a query: those that gave it too few rows, if their largest norm can reach its list
     order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     last = found.withColumn("r", F.row_number().over(order)).where(F.col("r") == k + 1).select(F.col("q").alias("id"), F.col("score").alias("last"))
     got = found.groupBy(F.col("q").alias("id"), "band").agg(F.count(F.lit(1)).alias("got"))
