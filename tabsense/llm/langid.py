@@ -21,10 +21,9 @@ from tabsense.llm.samples import collect_texts, fold, hashed_rows
 BUCKETS = 4096
 DIM = 16
 UND = "und"
-#: Bounds of the sample: rows of each language, languages (the commonest), bytes of a text in it.
+#: Bounds of the sample: rows of each language (all languages are learned), bytes of all its texts together.
 SAMPLE_ROWS = 1500
-SAMPLE_LANGS = 200
-SAMPLE_TEXT_BYTES = 200_000
+SAMPLE_BYTES = 64_000_000
 #: Steps that training takes at least.
 MIN_STEPS = 300
 #: Share of accepted rows that must be right.
@@ -54,14 +53,17 @@ def letters() -> np.ndarray:
     return _LETTERS[0]
 
 
-def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket counts (texts x BUCKETS) and the number of letters of each text."""
-    lowered = [t.lower() for t in texts]
+def subwords(texts: list[str], inside: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket counts (texts x BUCKETS) and the number of letters of each text.  With ``inside`` (for one text, in lower
+    case already) only letters at those places count; the others are their neighbours."""
+    lowered = [t.lower() for t in texts] if inside is None else texts
     lengths = np.fromiter((len(t) + 1 for t in lowered), np.int64, len(lowered))
     codes = np.frombuffer(("\0" + "\0".join(lowered) + "\0").encode("utf-32-le", "surrogatepass"), "<u4")
     is_letter = letters()[codes]
     codes = np.where(is_letter, codes, 0).astype(np.uint32)
     at = np.flatnonzero(is_letter)
+    if inside is not None:
+        at = at[(at > inside[0]) & (at <= inside[1])]
     row = np.repeat(np.arange(len(texts)), lengths)[at - 1]
     here, left, right = codes[at], codes[at - 1], codes[at + 1]
     one = here * np.uint32(0x9E3779B1)
@@ -156,19 +158,22 @@ def predict_texts(model: LangModel, texts: list[str | None]) -> tuple[list[str],
 
 
 def _count_whole(texts: list[str], run: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """``subwords``, with a very long text counted in runs that overlap by no letter."""
+    """``subwords``, with a very long text counted in runs that see one letter over each cut, so the counts are the same."""
     if len(texts) > 1 or len(texts[0]) <= run:
         return subwords(texts)
-    made = [subwords([texts[0][i:i + run]]) for i in range(0, len(texts[0]), run)]
+    text, made = texts[0].lower(), []
+    for i in range(0, len(text), run):
+        before = min(i, 1)
+        made.append(subwords([text[i - before:i + run + 1]], (before, before + min(run, len(text) - i))))
     return sum(c for c, _ in made), sum(n for _, n in made)
 
 
 def fit(docs: DataFrame, folds: int = 4, held: int = 2, key: str = "doc_id", text: str = "text", lang: str = "lang",
-        sample_rows: int = SAMPLE_ROWS) -> LangModel:
+        sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> LangModel:
     """Learn from rows whose key's fold is not ``held`` and whose language is known: at most ``sample_rows`` of each
-    of the ``SAMPLE_LANGS`` commonest languages.  Rows with a null key or text are not learned from."""
+    language, and ``sample_bytes`` of text in all.  Rows with a null key or text are not learned from."""
     known = docs.select(key, text, lang).where(fold(key, folds) != held)
-    sample = collect_texts(hashed_rows(known, lang, key, sample_rows, SAMPLE_LANGS), lang, text, sample_rows, SAMPLE_TEXT_BYTES)
+    sample = collect_texts(hashed_rows(known, lang, key, sample_rows), lang, text, sample_rows, sample_bytes)
     order = sorted(sample, key=lambda r: r[1:])  # by hash: languages mixed
     return train([(k, t) for k, _, t in order])
 

@@ -1,9 +1,11 @@
 """Quality by compression: zstandard dictionaries from good and from bad text.
 
-A text is compressed twice, in blocks of ``BLOCK`` bytes that each start from the dictionary alone (so a long text does
-not drown it): with the dictionary trained on good text and with the one trained on bad text.  The normalised
-difference of the two sizes says which kind it is like.  A logistic fit on labelled rows that neither dictionary saw
-turns the difference, together with the redundancy and the length it was measured at, into a probability.
+A text is compressed in blocks of ``BLOCK`` bytes that each start from a dictionary alone (so a long text does not drown
+it): with a dictionary trained on good text and with one trained on bad text.  The normalised difference of the two
+sizes, averaged over ``PAIRS`` such pairs that were trained on different parts of the sample, says which kind it is
+like, and nothing else does: a rising curve (isotonic regression, both labels weighing the same) over labelled rows that
+no dictionary saw turns the difference into a probability.  Blocks and dictionaries are small, so that a block is coded
+mostly by matches with the dictionary and not with itself.
 """
 
 from __future__ import annotations
@@ -20,25 +22,25 @@ from pyspark.sql import functions as F
 from tabsense.llm.common import arrow_map
 from tabsense.llm.samples import collect_texts, fold, hashed_rows
 
-BLOCK = 1024
+BLOCK = 256
+PAIRS = 4
 LEVEL = 3
-DICTIONARY_BYTES = 112_640
-#: Bounds of the labelled sample: rows of each label, and bytes of a text in it.
+DICTIONARY_BYTES = 32_768
+#: Bounds of the labelled sample: rows of each label, and bytes of all its texts together.
 SAMPLE_ROWS = 4000
-SAMPLE_TEXT_BYTES = 200_000
+SAMPLE_BYTES = 64_000_000
 
 
 @dataclass
 class QualityModel:
-    good: bytes
-    bad: bytes
-    mean: np.ndarray
-    scale: np.ndarray
-    weights: np.ndarray
+    good: list[bytes]  # dictionaries
+    bad: list[bytes]
+    at: np.ndarray  # differences, rising
+    value: np.ndarray  # and the probability of label 1 there
     constant: float | None = None  # score of every text when one label had no rows
 
     def key(self) -> str:
-        return hashlib.sha256(self.good + self.bad + self.weights.tobytes()).hexdigest()
+        return hashlib.sha256(b"".join(self.good + self.bad) + self.at.tobytes() + self.value.tobytes()).hexdigest()
 
 
 def blocks(data: bytes) -> list[bytes]:
@@ -60,53 +62,48 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=packed, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def features(data: bytes, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> tuple[float, float, float]:
-    """Normalised size difference (positive: more like good text), log2 of the compression ratio, log2 of the length."""
-    a = b = 0
-    for block in blocks(data):
-        a += len(good.compress(block))
-        b += len(bad.compress(block))
-    n = len(data)
-    return (b - a) / (a + b), float(np.log2((n + 1) / min(a, b))), float(np.log2(n + 1))
+Pairs = list[tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]]
 
 
-def _terms(x: np.ndarray) -> np.ndarray:
-    d, r, n = x.T
-    return np.column_stack([np.ones(len(x)), x, x * x, d * r, r * n, d * n])
+def difference(data: bytes, pairs: Pairs) -> float:
+    """Mean normalised size difference: positive when good text's dictionaries code the text in fewer bytes."""
+    parts, total = blocks(data), 0.0
+    for good, bad in pairs:
+        a, b = sum(len(good.compress(p)) for p in parts), sum(len(bad.compress(p)) for p in parts)
+        total += (b - a) / (a + b)
+    return total / max(1, len(pairs))
+
+
+def rising(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic regression by pooling adjacent violators, both labels weighing the same: the pools' mean ``x`` and ``y``,
+    each pool with one more half row, so that no pool is certain."""
+    order = np.argsort(x, kind="stable")
+    weight = np.where(y == 1, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, len(y) - y.sum())))
+    pools: list[list[float]] = []  # sums of weighted x, of weighted y, of weights
+    for a, b, w in zip(x[order], y[order], weight[order]):
+        pools.append([a * w, b * w, w])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            last = pools.pop()
+            pools[-1] = [p + q for p, q in zip(pools[-1], last)]
+    sums = np.array(pools)
+    return sums[:, 0] / sums[:, 2], np.maximum.accumulate((sums[:, 1] + 0.5) / (sums[:, 2] + 1))
 
 
 def train(sample: list[tuple[int, bytes]]) -> QualityModel:
-    """From (label, text) rows: even rows make the dictionaries, odd rows the calibration."""
+    """From (label, text) rows: even rows make the dictionaries (each pair leaves out another part of them), odd rows the
+    calibration."""
     by = {k: [t for label, t in sample if label == k] for k in (0, 1)}
-    empty = np.zeros(3)
     if len(by[0]) < 2 or len(by[1]) < 2:
         share = len(by[1]) / len(sample) if sample else 0.5
-        return QualityModel(b"", b"", empty, empty + 1, np.zeros(10), share)
-    good, bad = dictionary(by[1][::2]), dictionary(by[0][::2])
-    a, b = compressor(good), compressor(bad)
-    x = np.array([features(t, a, b) for k in (0, 1) for t in by[k][1::2]])
+        return QualityModel([], [], np.zeros(1), np.zeros(1), share)
+    good, bad = ([dictionary([t for i, t in enumerate(by[k][::2]) if i % PAIRS != j or len(by[k]) < 4 * PAIRS]) for j in range(PAIRS)] for k in (1, 0))
+    pairs = [(compressor(a), compressor(b)) for a, b in zip(good, bad)]
+    x = np.array([difference(t, pairs) for k in (0, 1) for t in by[k][1::2]])
     y = np.repeat([0.0, 1.0], [len(by[0][1::2]), len(by[1][1::2])])
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    t = _terms((x - mean) / scale)
-    w, shrink = np.zeros(t.shape[1]), 0.1
-
-    def loss(w: np.ndarray) -> float:
-        z = t @ w
-        return float(np.logaddexp(0, z).sum() - y @ z + shrink / 2 * w @ w)
-
-    for _ in range(100):  # Newton steps, halved until the loss falls (separable samples push far)
-        p = 1 / (1 + np.exp(-np.clip(t @ w, -500, 500)))
-        step = np.linalg.solve((t * (p * (1 - p))[:, None]).T @ t + shrink * np.eye(len(w)), t.T @ (p - y) + shrink * w)
-        now, size = loss(w), 1.0
-        while size > 1e-6 and loss(w - size * step) > now:
-            size /= 2
-        w = w - size * step
-        if np.abs(size * step).max() < 1e-8:
-            break
-    return QualityModel(good, bad, mean, scale, w)
+    return QualityModel(good, bad, *rising(x, y))
 
 
-_LOADED: dict[str, tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]] = {}
+_LOADED: dict[str, Pairs] = {}
 
 
 def score_texts(model: QualityModel, texts: list[str | None]) -> np.ndarray:
@@ -116,22 +113,22 @@ def score_texts(model: QualityModel, texts: list[str | None]) -> np.ndarray:
     key = model.key()
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = compressor(model.good), compressor(model.bad)
-    x = np.array([features((t or "").encode("utf-8", "surrogatepass"), *_LOADED[key]) for t in texts]).reshape(-1, 3)
-    # outside what calibration saw the quadratic terms would run wild
-    z = np.clip((x - model.mean) / model.scale, -4, 4)
-    return 1 / (1 + np.exp(-np.clip(_terms(z) @ model.weights, -30, 30)))
+        _LOADED[key] = [(compressor(a), compressor(b)) for a, b in zip(model.good, model.bad)]
+    x = np.array([difference((t or "").encode("utf-8", "surrogatepass"), _LOADED[key]) for t in texts])
+    # the last millionth keeps the order of texts on a level stretch of the curve
+    return (1 - 1e-6) * np.interp(x, model.at, model.value) + 1e-6 / (1 + np.exp(-x))
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, key: str = "doc_id", text: str = "text",
-        label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> QualityModel:
-    """Learn from labelled rows whose key's fold is not ``held``: at most ``sample_rows`` rows of each label.
+        label: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> QualityModel:
+    """Learn from labelled rows whose key's fold is not ``held``: at most ``sample_rows`` rows of each label, and
+    ``sample_bytes`` of text in all.
 
     Rows with a null key, label or text are not learned from; repeated label rows count once each.
     """
     known = labels.select(key, label).where((fold(key, folds) != held) & F.col(label).isin(0, 1))
-    chosen = hashed_rows(known, label, key, sample_rows, 2)  # some thousands of keys
-    sample = collect_texts(docs.select(key, text).join(F.broadcast(chosen), key), label, text, sample_rows, SAMPLE_TEXT_BYTES)
+    chosen = hashed_rows(known, label, key, sample_rows)  # some thousands of keys
+    sample = collect_texts(docs.select(key, text).join(F.broadcast(chosen), key), label, text, sample_rows, sample_bytes)
     return train([(k, t.encode("utf-8", "surrogatepass")) for k, _, t in sample])
 
 
@@ -142,7 +139,7 @@ def score(df: DataFrame, model: QualityModel, text: str = "text", out: str = "sc
     """
     kept = [f for f in df.schema.fields if f.name != out and (keep is None or f.name in keep)]
     schema = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept] + [f"`{out}` double"])
-    shared = df.sparkSession.sparkContext.broadcast(model)  # two dictionaries of at most 110 KB
+    shared = df.sparkSession.sparkContext.broadcast(model)  # eight dictionaries of at most 32 KB
 
     def run(batch: pa.RecordBatch) -> dict:
         return {f.name: batch.column(f.name) for f in kept} | {out: pa.array(score_texts(shared.value, batch.column(text).to_pylist()), pa.float64())}
