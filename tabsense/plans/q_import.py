@@ -107,38 +107,43 @@ def q_scan_json(spark, d):
     return files.scan_json(spark, path)
 
 
-def _folder(path: str):
-    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+def _upload(path: str, key: str):
+    """The upload that a part file belongs to: (its kind, its key) from .../<kind>/<key>=<value>/part-..."""
+    return (F.regexp_extract(path, rf"([^/]*)/{key}=[^/]*/[^/]*$", 1).alias("upload"),
+            F.regexp_extract(path, rf"{key}=([^/]*)/[^/]*$", 1).alias(key))
 
 
 @query("admit_inputs", oracle="""
-SELECT * FROM (VALUES (true, CAST(NULL AS VARCHAR), CAST(2 AS BIGINT)), (false, 'unsupported_format', CAST(1 AS BIGINT))) AS t(accepted, reason, files)
-WHERE (SELECT count(*) FROM customer) > 0""")
+SELECT upload, CAST(c_nationkey AS BIGINT) AS c_nationkey, upload <> 'parquet' AS accepted,
+  CASE WHEN upload = 'parquet' THEN 'unsupported_format' END AS reason
+FROM (SELECT DISTINCT c_nationkey FROM customer), (SELECT unnest(['csv', 'json', 'parquet']) AS upload)""")
 def q_admit_inputs(spark, d):
-    """The customer table as a CSV, a JSON and a Parquet upload, each a folder of part files: uploads by verdict."""
+    """The customers of every nation as a CSV, a JSON and a Parquet upload, each of part files: the verdict on each upload
+    (refused when a part is, for the first reason in the alphabet)."""
     root = files.scratch_path(spark, "uploads")
     cust = read_table(spark, d, "customer")
     # parts of at most 100,000 rows stay below the size limit whatever the table
-    cust.write.option("header", True).option("maxRecordsPerFile", 100_000).csv(f"{root}/csv")
-    cust.write.option("maxRecordsPerFile", 100_000).json(f"{root}/json")
-    cust.write.option("maxRecordsPerFile", 100_000).parquet(f"{root}/parquet")
-    parts = files.admit_inputs(spark, f"{root}/*/part-*")
-    return parts.groupBy("accepted", "reason").agg(F.count_distinct(_folder("path")).alias("files"))
-
-
-@query("encoding_check", oracle="""
-SELECT * FROM (VALUES ('utf-8', CAST(1 AS BIGINT)), ('latin-1', CAST(1 AS BIGINT))) AS t(encoding, files)
-WHERE (SELECT count(*) FROM documents WHERE text <> '' AND length(text) < strlen(text)) > 0""")
+    write = lambda: cust.write.partitionBy("c_nationkey").option("maxRecordsPerFile", 100_000)
+    write().option("header", True).csv(f"{root}/csv")
+    write().json(f"{root}/json")
+    write().parquet(f"{root}/parquet")
+    parts = files.admit_inputs(spark, f"{root}/*/*/part-*")
+    verdicts = parts.select(*_upload("path", "c_nationkey"), "accepted", "reason").groupBy("upload", F.col("c_nationkey").cast("long").alias("c_nationkey"))
+    return verdicts.agg(F.bool_and("accepted").alias("accepted"), F.min("reason").alias("reason"))
+
+
+@query("encoding_check", oracle=r"""
+SELECT upload, lang, CASE WHEN upload = 'latin1' AND bool_or(regexp_matches(text, '[\x{80}-\x{FF}]')) THEN 'latin-1' ELSE 'utf-8' END AS encoding
+FROM documents, (SELECT unnest(['utf8', 'latin1']) AS upload) WHERE lang IS NOT NULL GROUP BY upload, lang""")
 def q_encoding_check(spark, d):
-    """The documents' texts written as a UTF-8 and as a Latin-1 upload, each a folder of part files: uploads by encoding
-    (an upload is UTF-8 when all its parts are)."""
+    """The texts of every language written as a UTF-8 and as a Latin-1 upload, each of part files: the encoding of each
+    upload (Latin-1 when a part is)."""
     root = files.scratch_path(spark, "enc")
-    texts = read_table(spark, d, "documents").select("text")
-    texts.write.text(f"{root}/utf8")
-    texts.write.option("encoding", "ISO-8859-1").option("header", False).csv(f"{root}/latin1")
-    parts = files.encoding_check(spark, f"{root}/*/part-*").groupBy(_folder("path").alias("upload"))
-    uploads = parts.agg(F.when(F.bool_or(F.col("encoding") == "latin-1"), "latin-1").otherwise(F.max("encoding")).alias("encoding"))
-    return uploads.groupBy("encoding").agg(F.count(F.lit(1)).alias("files"))
+    texts = read_table(spark, d, "documents").where("lang IS NOT NULL").select("lang", "text")
+    texts.write.partitionBy("lang").text(f"{root}/utf8")
+    texts.write.partitionBy("lang").option("encoding", "ISO-8859-1").option("header", False).csv(f"{root}/latin1")
+    parts = files.encoding_check(spark, f"{root}/*/*/part-*").select(*_upload("path", "lang"), "encoding")
+    return parts.groupBy("upload", "lang").agg(F.min("encoding").alias("encoding"))
 
 
 @query("map_types", oracle="""

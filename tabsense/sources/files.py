@@ -210,17 +210,33 @@ def admit_inputs(spark: SparkSession, pattern: str, max_mb: int = MAX_UPLOAD_MB)
     return files.select("path", "length", reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
+_COMPRESSED = (".gz", ".bz2", ".lz4", ".snappy", ".deflate", ".zst")
+
+
 def encoding_check(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, encoding): ``utf-8`` (``utf-8-sig`` with BOM) when the bytes are
-    valid UTF-8, else the ``latin-1`` fallback.  A distributed scan of lines
-    over any number of files; no file is held whole, no statistical charset
-    model.  The line reader drops a BOM, so its three bytes are those missing
-    from the lines (the last one may have no line end)."""
+    """(path, encoding) of every file: ``utf-16`` with its byte order mark,
+    ``utf-8`` (``utf-8-sig`` with a mark) when all bytes are valid UTF-8, else
+    the ``latin-1`` fallback.  A distributed scan of lines over any number of
+    files; no file is held whole, no statistical charset model.
+
+    The line reader drops a UTF-8 mark, so its three bytes are those missing
+    from the lines (the last one may have no line end); compressed files,
+    whose length says nothing, are ``utf-8`` with or without one.
+    """
     files = spark.read.format("binaryFile").load(pattern).select("path", "length", F.col("_metadata.file_path").alias("__file"))
-    lines = spark.read.option("lineSep", "\n").text(pattern).groupBy(F.col("_metadata.file_path").alias("__file")).agg(
-        F.bool_and(F.expr("is_valid_utf8(value)")).alias("valid"), F.sum(F.octet_length("value") + F.lit(1).cast("long")).alias("bytes"))
-    bom = (F.col("length") - F.coalesce("bytes", F.lit(0))).isin(2, 3)
-    enc = F.when(bom, F.lit("utf-8-sig")).when(F.coalesce("valid", F.lit(True)), F.lit("utf-8")).otherwise(F.lit("latin-1"))
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = (spark.read.option("lineSep", "\n").text(pattern)
+             .select(F.col("_metadata.file_path").alias("__file"), "value", place.alias("__place"))
+             .groupBy("__file").agg(F.bool_and(F.expr("is_valid_utf8(value)")).alias("valid"),
+                                    F.sum(F.octet_length("value") + F.lit(1).cast("long")).alias("bytes"),
+                                    F.min_by(F.hex(F.substring(F.col("value").cast("binary"), 1, 2)), "__place").alias("first")))
+    packed = F.lit(False)
+    for suffix in _COMPRESSED:
+        packed = packed | F.lower("path").endswith(suffix)
+    mark = ~packed & (F.col("length") - F.coalesce("bytes", F.lit(0))).isin(2, 3)
+    valid = F.coalesce("valid", F.lit(True))
+    enc = (F.when(F.col("first").isin("FFFE", "FEFF"), F.lit("utf-16")).when(valid & mark, F.lit("utf-8-sig"))
+           .when(valid, F.lit("utf-8")).otherwise(F.lit("latin-1")))
     return files.join(lines, "__file", "left").select("path", enc.alias("encoding"))
 
 

@@ -50,6 +50,17 @@ def test_encoding_and_admission(spark):
         fh.write(b"x")
     enc = {os.path.basename(r["path"]): r["encoding"] for r in files.encoding_check(spark, folder + "/*.*").collect()}
     assert enc["u.csv"] == "utf-8" and enc["l.CSV"] == "latin-1"
+    for name, data in (("bom.csv", b"\xef\xbb\xbfa,b\n1,2\n"), ("bom_end.csv", b"\xef\xbb\xbfa,b\n1,2"), ("bom_bad.csv", b"\xef\xbb\xbfa\n\xe9\n"),
+                       ("le.csv", "a,b\n1,é\n".encode("utf-16")), ("be.csv", b"\xfe\xff" + "a,b\n".encode("utf-16-be"))):
+        with open(os.path.join(folder, name), "wb") as fh:
+            fh.write(data)
+    import gzip
+    with gzip.open(os.path.join(folder, "z.csv.gz"), "wb") as fh:
+        fh.write("a\né\n".encode() * 50)
+    enc = {os.path.basename(r["path"]): r["encoding"] for r in files.encoding_check(spark, folder + "/*.*").collect()}
+    assert {k: enc[k] for k in ("bom.csv", "bom_end.csv", "bom_bad.csv", "le.csv", "be.csv", "z.csv.gz")} == {
+        "bom.csv": "utf-8-sig", "bom_end.csv": "utf-8-sig", "bom_bad.csv": "latin-1", "le.csv": "utf-16", "be.csv": "utf-16",
+        "z.csv.gz": "utf-8"}
     adm = {os.path.basename(r["path"]): (r["accepted"], r["reason"]) for r in files.admit_inputs(spark, folder + "/*").collect()}
     assert adm["u.csv"] == (True, None) and adm["l.CSV"] == (True, None)
     assert adm["m.xlsm"] == (False, "macro_excel") and adm["p.parquet"] == (False, "unsupported_format")
@@ -71,3 +82,12 @@ def test_entry_contract(spark):
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 100
+
+
+def test_entry_without_a_library_of_the_corpus_operators():
+    import subprocess
+    import sys
+    code = ("import sys; sys.modules['zstandard'] = None\n"
+            "import __spark_entry__ as e; q = e.queries(); assert len(q) >= 100 and not any(n.startswith('op') for n in q) and 'pipeline' not in q")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
