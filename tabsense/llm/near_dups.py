@@ -10,8 +10,9 @@ elements, not their weights.
 Bands of the signature give candidates, the exact multiset overlap verifies them, and verified links make classes.
 Texts with equal multisets are one text from the start.  Inside a bucket pairs are not expanded: every member is
 tried with the bucket's first member and with its neighbour in sorted order; then, only where a bucket still holds
-more than one class, the members outside its largest class are tried with the members of other classes.  So every
-link between two texts that share a bucket is tried, unless other links already put them in one class.
+more than one class, the members outside its largest class meet the members of other classes in blocks, which hand out
+one verified link a member and class at most.  So every link between two texts that share a bucket is tried, unless
+other links already put them in one class.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ BANDS, ROWS = 44, 7
 #: Places of the signature that estimate a similarity before texts are compared, and the standard deviations that an
 #: estimate may lie below the threshold (a link is passed over with probability below 1 in 100,000).
 SKETCH, SLACK = 256, 4.5
+#: Members of a block, each side, and bytes of their multisets.
+BLOCK_ROWS, BLOCK_BYTES = 4096, 64_000_000
 _SHINGLE_BASE = 0x9E6C63D0876A9A47
 
 
@@ -217,15 +220,10 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMIL
     rest = stored(apart(pairs.join(chosen, ["a", "b"], "left_anti").select("a", "b"), classes), "near-rest")
     links = stored(links.unionByName(verified(rest, texts, n, similarity)), "near-links")
     classes = components(links)
-    # then what mixed buckets still hold apart, again the most promising ones of each text first
-    sketches = distinct.select("doc", "sketch").join(members.select("doc").distinct(), "doc", "left_semi")
-    left = stored(across(members.select("key", "doc"), classes, sketches, similarity).join(pairs, ["a", "b"], "left_anti"), "near-across")
-    if not left.isEmpty():
-        best = Window.partitionBy("a").orderBy(F.desc("agreed"), "b")
-        chosen = stored(left.withColumn("place", F.row_number().over(best)).where("place <= 3").select("a", "b"), "near-chosen")
-        links = stored(links.unionByName(verified(chosen, texts, n, similarity)), "near-links")
-        rest = stored(apart(left.join(chosen, ["a", "b"], "left_anti").select("a", "b"), components(links)), "near-rest")
-        links = stored(links.unionByName(verified(rest, texts, n, similarity)), "near-links")
+    # then what mixed buckets still hold apart
+    left = across(members.select("key", "doc"), classes, distinct.select("doc", "keys", "sketch", "total"), texts, n, similarity)
+    if left is not None:
+        links = stored(links.unionByName(left), "near-links")
         classes = components(links)
     release(spark)
     reps = firsts.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left")
@@ -252,22 +250,90 @@ def apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.where("ca != cb").select("a", "b")
 
 
-def across(members: DataFrame, classes: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a > b) of different classes in one bucket whose signatures agree about often enough (``agreed`` places):
-    members outside the bucket's largest class with all others."""
+def multisets(texts: DataFrame, n: int) -> DataFrame:
+    """Rows (doc, elements, weights): the multiset of each text, as 64-bit and 32-bit numbers."""
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        ids = batch.column("doc")
+        for numbers, _, hashes, offsets, _, _ in batch_hashes(batch.column("text").to_pylist()):
+            sets = [multiset(hashes[offsets[j]:offsets[j + 1]], n) for j in range(len(numbers))]
+            yield {"doc": ids.take(pa.array(numbers)), "elements": [e.astype("<u8").tobytes() for e, _ in sets],
+                   "weights": [w.astype("<i4").tobytes() for _, w in sets]}
+
+    return arrow_map(texts, run, "doc long, elements binary, weights binary")
+
+
+def across(members: DataFrame, classes: DataFrame, sigs: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame | None:
+    """Verified links (a > b) between classes that share a bucket: members outside the bucket's largest class with all
+    others, for every such member and every other class one link if there is any; nothing when no bucket is mixed."""
     placed = (members.join(classes.withColumnRenamed("node", "doc"), "doc", "left")
               .select("key", "doc", F.coalesce("component", "doc").alias("c")))
     placed = stored(placed, "near-placed")
     sizes = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
     largest = (sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count(F.lit(1)).alias("classes"))
                .where("classes > 1").select("key", "main"))
-    mixed = stored(placed.join(largest, "key").join(sketches, "doc"), "near-mixed")
-    few = mixed.where("c != main").select("key", F.col("doc").alias("x"), F.col("c").alias("cx"), F.col("sketch").alias("sx"))
-    agreed = F.aggregate(F.zip_with("sx", "sketch", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, p: n + p)
+    mixed = stored(placed.join(largest, "key"), "near-mixed")
+    if mixed.isEmpty():
+        return None
+    docs = mixed.select("doc").distinct()
+    known = stored(sigs.join(docs, "doc", "left_semi").join(multisets(texts.join(docs, "doc", "left_semi"), n), "doc"), "near-multisets")
+    size = F.octet_length("elements") + F.octet_length("weights")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("size") / BLOCK_BYTES)).cast("int")
+    sized = mixed.join(known.select("doc", size.alias("size")), "doc")
+    ways = (sized.groupBy("key").agg(blocks.alias("na"))
+            .join(sized.where("c != main").groupBy("key").agg(blocks.alias("nf")), "key"))
+    whole = mixed.join(ways, "key").join(known, "doc")
+    salt = lambda m: F.pmod(F.xxhash64("doc"), F.col(m)).cast("int")
+    spread = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    columns = ["key", "sf", "sa", "doc", "c", "main", "keys", "sketch", "total", "elements", "weights"]
+    few = whole.where("c != main").withColumn("sf", salt("nf")).withColumn("sa", spread("na")).select(columns)
+    every = whole.withColumn("sa", salt("na")).withColumn("sf", spread("nf")).select(*[F.col(x).alias(f"y_{x}") for x in columns])
     least = int(SKETCH * similarity - SLACK * (SKETCH * similarity * (1 - similarity)) ** 0.5)
-    # of two minor members only one way round; of a pair outside and inside the largest class the only one there is
-    once = (F.col("c") == F.col("main")) | (F.col("x") > F.col("doc"))
-    both = few.join(mixed.select(F.col("key").alias("k"), "doc", "c", "main", "sketch"),
-                    (F.col("key") == F.col("k")) & (F.col("cx") != F.col("c")) & once & (agreed >= least))
-    return (both.select(F.greatest("x", "doc").alias("a"), F.least("x", "doc").alias("b"), agreed.alias("agreed"))
-            .groupBy("a", "b").agg(F.max("agreed").alias("agreed")))
+    cell = ["key", "sf", "sa"]
+
+    def block(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = _linked(left, right.rename_columns(left.column_names), similarity, least) if left.num_rows and right.num_rows else (np.zeros(0, np.int64),) * 2
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+    return few.groupBy(cell).cogroup(every.groupBy(*[f"y_{x}" for x in cell])).applyInArrow(block, "a long, b long")
+
+
+def _linked(left: pa.Table, right: pa.Table, similarity: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every row of ``left`` and every other class of ``right`` the best link.
+
+    A pair is looked at in the first bucket that it shares, and only when the sizes allow the similarity and the
+    signatures agree about often enough; then the multisets themselves decide.
+    """
+    def matrix(table: pa.Table, name: str, kind) -> np.ndarray:
+        return np.array(table[name].to_pylist(), kind)
+
+    key = left["key"][0].as_py()
+    keys_x, keys_y = matrix(left, "keys", np.int64), matrix(right, "keys", np.int64)
+    sketch_x, sketch_y = matrix(left, "sketch", np.int16), matrix(right, "sketch", np.int16)
+    x, cx, tx, main = (left[c].to_numpy() for c in ("doc", "c", "total", "main"))
+    y, cy, ty = (right[c].to_numpy() for c in ("doc", "c", "total"))
+    elements = [np.frombuffer(e, "<u8") for e in right["elements"].to_pylist()]
+    weights = [np.frombuffer(w, "<i4").astype(np.int64) for w in right["weights"].to_pylist()]
+    own = list(zip(left["elements"].to_pylist(), left["weights"].to_pylist()))
+    out_a, out_b = [], []
+    for i in range(len(x)):
+        # of two members outside the largest class only one way round
+        pick = np.flatnonzero((cy != cx[i]) & ((cy == main[i]) | (x[i] > y)) & (np.minimum(ty, tx[i]) >= similarity * np.maximum(ty, tx[i])))
+        pick = pick[(sketch_y[pick] == sketch_x[i]).sum(axis=1) >= least]
+        shared = keys_y[pick] == keys_x[i]
+        pick = pick[keys_x[i][shared.argmax(axis=1)] == key]
+        if not len(pick):
+            continue
+        e, w = np.frombuffer(own[i][0], "<u8"), np.frombuffer(own[i][1], "<i4").astype(np.int64)
+        flat, flat_w = np.concatenate([elements[j] for j in pick]), np.concatenate([weights[j] for j in pick])
+        at = np.minimum(np.searchsorted(e, flat), len(e) - 1)
+        low = np.where(e[at] == flat, np.minimum(w[at], flat_w), 0)
+        sizes = np.array([len(elements[j]) for j in pick])
+        both = np.add.reduceat(low, np.cumsum(sizes) - sizes)
+        alike = both / (tx[i] + ty[pick] - both)
+        good = alike >= similarity
+        pick, alike = pick[good], alike[good]
+        order = np.lexsort((y[pick], -alike))
+        _, first = np.unique(cy[pick][order], return_index=True)
+        out_a += [x[i]] * len(first)
+        out_b += y[pick][order][first].tolist()
+    return np.array(out_a, np.int64), np.array(out_b, np.int64)

@@ -90,7 +90,9 @@ def edited(words, times, seed):
     return w
 
 
-def test_near_duplicates_equal_brute_force(docs_of):
+@pytest.mark.parametrize("block_rows", [4096, 3])
+def test_near_duplicates_equal_brute_force(docs_of, monkeypatch, block_rows):
+    monkeypatch.setattr(near_dups, "BLOCK_ROWS", block_rows)
     texts = []
     for g in range(12):
         base = passage(g, 150)
