@@ -5,7 +5,8 @@ chunk of a batch is encoded once; chunks seen lately are remembered (bounded).
 
 ``before_spaces``  byte-level patterns of the kind ``' ?letters| ... |\\s+(?!\\S)|\\s+'`` without a normaliser
                    (see ``common.cuttable``; other texts go to the library whole);
-``at_spaces``      tokenisers that drop white space: cut at (and drop) blanks and line ends.
+``at_spaces``      tokenisers that drop white space: cut at (and drop) blanks, tabs and line ends.  Here a whole batch
+                   is cut, hashed and looked up in numpy (``WordIds``).
 
 Special strings hold no white space, so they stay inside one chunk and the library treats them as in the whole text.
 """
@@ -19,12 +20,88 @@ from itertools import chain, islice
 import numpy as np
 
 from tabsense.llm.common import cuttable
+from tabsense.llm.wordhash import batch_hashes
 
 REMEMBERED = 600_000
+#: Words of a ``WordIds`` table (some 150 bytes each).
+WORDS = 1_500_000
 #: Code points above which a text is worked off alone.
 LONG = 2_000_000
 
 
+class WordIds:
+    """Ids of words by their 64-bit hash: open addressing over numpy arrays, so a batch is looked up at once.
+
+    A hit has the stored word's length, and the first word of a batch that has a hash is compared with the stored bytes.
+    """
+
+    def __init__(self, encode, most: int = WORDS):
+        self.encode, self.most = encode, most
+        self.bits = max(4, (2 * most).bit_length())
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place = np.full(1 << self.bits, -1, np.int32)
+        self.hashes, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.starts, self.counts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.words: list[bytes] = []
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Entry of every hash, -1 where there is none."""
+        mask = np.uint64((1 << self.bits) - 1)
+        at = (hashes & mask).astype(np.int64)
+        entry = self.place[at]
+        if not len(self.hashes):
+            return entry
+        todo = np.flatnonzero((entry >= 0) & (self.hashes[entry] != hashes))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & int(mask)
+            entry[todo] = self.place[at[todo]]
+            todo = todo[(entry[todo] >= 0) & (self.hashes[entry[todo]] != hashes[todo])]
+        return entry
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        made = self.encode([w.decode("utf-8", "surrogatepass") for w in words])
+        counts = np.array([len(m) for m in made], np.int64)
+        first, mask = len(self.hashes), (1 << self.bits) - 1
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
+        self.counts, self.flat = np.concatenate([self.counts, counts]), np.concatenate([self.flat, *made])
+        self.hashes = np.concatenate([self.hashes, hashes])
+        self.sizes = np.concatenate([self.sizes, np.array([len(w) for w in words], np.int64)])
+        self.words += words
+        for i, h in enumerate(hashes.tolist()):
+            at = h & mask
+            while self.place[at] >= 0:
+                at = (at + 1) & mask
+            self.place[at] = first + i
+
+    def ids(self, data: bytes, hashes: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words at [first, end) of ``data``, one after the other, and how many each has."""
+        if not len(hashes):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        entry, known = self._find(hashes), len(self.hashes)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            distinct, where = np.unique(hashes[new], return_index=True)
+            if len(self.hashes) + len(distinct) > self.most and len(self.hashes):
+                self._clear()
+                known = 0
+                distinct, new = np.unique(hashes, return_index=True)
+                where = np.arange(len(new))
+            if len(distinct) > self.most:
+                self.bits = (2 * len(distinct)).bit_length()
+                self._clear()
+            self._learn(distinct, [data[first[i]:end[i]] for i in new[where]])
+            entry = self._find(hashes)
+        old = np.flatnonzero(entry < known)
+        some = old[np.unique(entry[old], return_index=True)[1]]
+        if (self.sizes[entry] != end - first).any() or any(self.words[entry[i]] != data[first[i]:end[i]] for i in some):
+            raise ValueError("two words have one 64-bit hash")
+        counts = self.counts[entry]
+        before = np.cumsum(counts) - counts
+        return self.flat[np.repeat(self.starts[entry] - before, counts) + np.arange(int(counts.sum()))], counts
+
+
 class ChunkedLibrary:
     """Ids of texts by ``rule``; with ``counts`` only their numbers."""
 
@@ -36,6 +113,7 @@ class ChunkedLibrary:
         self.tokenizer.no_truncation()
         self.rule, self.counts = rule, counts
         self.seen: dict[str, int | bytes] = {}
+        self.table = WordIds(self._lists)
 
     def _library(self, chunks: list[str]) -> list[int] | list[bytes]:
         made = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
@@ -43,6 +121,40 @@ class ChunkedLibrary:
             return list(map(len, made))
         return [np.array(e.ids, "<u4").tobytes() for e in made]
 
+    def _lists(self, chunks: list[str]) -> list[np.ndarray]:
+        """Ids of each chunk.  A thousand chunks go to the library as one text, parted by a special string, which no
+        token reaches across; chunks that hold such strings, and all of a tokeniser without one, go alone."""
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)}
+        out: list = [None] * len(chunks)
+        parting, odd = next(iter(special), None), [s for s in special if "<" not in s and ">" not in s]
+        plain = [] if parting is None else [i for i, c in enumerate(chunks) if "<" not in c and ">" not in c and not (odd and any(s in c for s in odd))]
+        for at in range(0, len(plain), 1000):
+            run = plain[at:at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([parting.join(chunks[i] for i in run)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == special[parting]), len(ids)).tolist()
+            start = 0
+            for i, end in zip(run, ends, strict=True):
+                out[i] = ids[start:end]
+                start = end + 1
+        rest = [i for i, o in enumerate(out) if o is None]
+        for at in range(0, len(rest), 20_000):
+            run = rest[at:at + 20_000]
+            for i, e in zip(run, self.tokenizer.encode_batch_fast([chunks[i] for i in run], add_special_tokens=False)):
+                out[i] = np.array(e.ids, "<u4")
+        return out
+
+    def _by_table(self, texts: list[str | None]) -> list[int] | list[bytes]:
+        out: list = []
+        for numbers, data, hashes, offsets, first, end in batch_hashes(texts):
+            ids, counts = self.table.ids(b" ".join(data), hashes, first, end)
+            cuts = np.concatenate(([0], np.cumsum(counts)))[offsets]
+            if self.counts:
+                out += np.diff(cuts).tolist()
+            else:
+                raw = memoryview(np.ascontiguousarray(ids)).cast("B")
+                out += [bytes(raw[4 * a:4 * b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        return out
+
     def _known(self, parts: list[list[str]], lead: str) -> dict:
         seen = self.seen
         if len(seen) > REMEMBERED:
@@ -55,15 +167,15 @@ class ChunkedLibrary:
 
     def encode(self, texts: list[str | None]) -> list[int] | list[bytes]:
         """For each text the number of its ids, or its ids as little-endian unsigned 32-bit integers."""
+        if self.rule == "at_spaces":
+            return self._by_table(texts)
         out: list = [None] * len(texts)
         add = sum if self.counts else b"".join
         held: list[tuple[int, list[str]]] = []
         size = 0
         for i, text in enumerate(texts):
             text = text or ""
-            if self.rule == "at_spaces":
-                held.append((i, text.replace("\n", " ").split(" ")))
-            elif cuttable(text):
+            if cuttable(text):
                 held.append((i, text.split(" ")))
             else:
                 out[i] = self._library([text])[0]
@@ -76,15 +188,10 @@ class ChunkedLibrary:
         return out
 
     def _give(self, held: list[tuple[int, list[str]]], out: list, add) -> None:
-        if self.rule == "at_spaces":
-            known = self._known([parts for _, parts in held], "")
-            for i, parts in held:
-                out[i] = add(map(known.__getitem__, parts))
-        else:
-            known = self._known([list(islice(parts, 1, None)) for _, parts in held], " ")
-            first = self._library([parts[0] for _, parts in held]) if held else []
-            for (i, parts), head in zip(held, first):
-                out[i] = add(chain((head,), map(known.__getitem__, islice(parts, 1, None))))
+        known = self._known([list(islice(parts, 1, None)) for _, parts in held], " ")
+        first = self._library([parts[0] for _, parts in held]) if held else []
+        for (i, parts), head in zip(held, first):
+            out[i] = add(chain((head,), map(known.__getitem__, islice(parts, 1, None))))
 
 
 _LOADED: dict[tuple[str, str, bool], ChunkedLibrary] = {}
