@@ -3,12 +3,12 @@
 k-means is Spark ML.  Ward runs in two stages: k-means micro-clusters on
 Spark, then an exact Ward merge of at most ``MICRO`` weighted centroids on
 the driver, mapped back by a broadcast join; ``ward_exact`` is the exact
-form for at most ``MICRO`` rows.  DBSCAN: identical points are merged into weighted
-points, neighbours are found by an equi-join on grid cells of side eps
-(3^m neighbour cells over the first m <= 3 dimensions, exact distance on
-all of them), components by min-label propagation with pointer jumping,
-checkpointed every round.  Quality indices are aggregates over points and
-a k x k table of centroids (k is small).
+form for at most ``MICRO`` rows.  DBSCAN: small cells whose points are all
+within eps of each other make dense regions units without a pair; the rest is
+compared in blocks that hand out counts and units, never pairs of points
+(see :func:`cluster_dbscan`).  The silhouette is the exact Euclidean one, by
+pairs of blocks; the squared form is linear.  The other indices are aggregates
+over points and a k x k table of centroids (k is small).
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
@@ -26,7 +27,7 @@ from tabsense.functions.numeric import col
 from tabsense.functions.schema import ROW_ID
 from tabsense.operators.models import SEED, assemble
 from tabsense.operators.rows import with_row_index
-from tabsense.session import materialize
+from tabsense.session import materialize, ship_package
 
 # Fixed values of the reference's clustering setup.
 N_CLUSTERS = 3          # k-means and Ward
@@ -34,7 +35,8 @@ EPS = 0.5               # DBSCAN radius
 MIN_SAMPLES = 5         # DBSCAN core threshold (the point itself included)
 # Our own parameters.
 MICRO = 256             # Ward micro-clusters
-GRID_DIMS = 3           # dimensions used for DBSCAN grid cells
+GRID_DIMS = 3           # dimensions used for DBSCAN's cells of side eps
+BLOCK_ROWS = 4096       # points of a block, each side
 
 
 def kmeans_model(df: DataFrame, features: list[str], k: int = N_CLUSTERS, seed: int = SEED):
@@ -132,38 +134,113 @@ def _components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return lab
 
 
+def _matrix(table: pa.Table, name: str = "v") -> np.ndarray:
+    lists = table[name].combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+
+
+def _close(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
+    """Which points of ``x`` and ``y`` are within eps: a matrix product settles all but the pairs near the border, whose
+    differences are squared."""
+    sx, sy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    far = sx[:, None] + sy - 2 * (x @ y.T) - eps * eps
+    close = far <= 0
+    i, j = np.nonzero(np.abs(far) <= 1e-9 * (sx[:, None] + sy + eps * eps))
+    if len(i):
+        close[i, j] = ((x[i] - y[j]) ** 2).sum(axis=1) <= eps * eps
+    return close
+
+
+def _in_blocks(left: DataFrame, right: DataFrame, eps_cells: int, fn, schema: str) -> DataFrame:
+    """``fn(left rows, right rows)`` for every point of ``left`` and all points of ``right`` in its cell or one beside it,
+    in blocks of at most about ``BLOCK_ROWS`` rows a side: a cell of any size is split."""
+    offsets = F.array(*[F.array(*[F.lit(x) for x in o]) for o in itertools.product((-1, 0, 1), repeat=eps_cells)])
+    beside = left.withColumn("off", F.explode(offsets)).withColumn("cell", F.zip_with("cell", "off", lambda x, y: x + y)).drop("off")
+    parts = lambda df, n: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(n))
+    ways = materialize(parts(beside, "nl").join(parts(right, "nr"), "cell"), "dbscan-cells")
+    salt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = beside.join(ways, "cell").withColumn("sl", salt("nl")).withColumn("sr", every("nr"))
+    b = right.join(ways, "cell").withColumn("sr", salt("nr")).withColumn("sl", every("nl"))
+    b = b.select(*[F.col(c).alias(f"r_{c}") for c in ("cell", "sl", "sr", "id", "v", "w", "unit")])
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        return fn(x, y.rename_columns([c[2:] for c in y.column_names]))
+
+    return (a.select("cell", "sl", "sr", "id", "v", "w", "unit").groupBy("cell", "sl", "sr")
+            .cogroup(b.groupBy("r_cell", "r_sl", "r_sr")).applyInArrow(run, schema))
+
+
 def cluster_dbscan(df: DataFrame, features: list[str], eps: float = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:
     """DBSCAN labels (noise = -1, clusters 0.. ordered by their first core
-    row).  Border points take the smallest neighbouring core label."""
+    row).  Border points take the smallest neighbouring core label.
+
+    Identical points are one weighted point.  Points in one cell of side
+    eps / sqrt(features), over all features, are within eps of each other: a
+    cell that holds ``min_samples`` is core as a whole, and one unit.  Only
+    points of sparser cells count their neighbours.  Units are joined where a
+    point of one is within eps of a core point of the other.  Both
+    comparisons run over blocks of cells of side eps (the first three
+    features; distances always over all) and give one row a point or a pair
+    of units, so no output grows with the pairs of points.
+    """
+    ship_package(df.sparkSession)
     m = min(len(features), GRID_DIMS)
-    vec = F.array(*[col(c).cast("double") for c in features])
-    pts = df.select(ROW_ID, vec.alias("v"))
-    # identical points are one weighted point: a value repeated in a third
-    # of all rows is a single node
+    pts = df.select(ROW_ID, F.array(*[col(c).cast("double") for c in features]).alias("v"))
+    side = eps / len(features) ** 0.5 * (1 - 1e-9)
     uniq = pts.groupBy("v").agg(F.min(ROW_ID).alias("id"), F.count(F.lit(1)).alias("w"))
-    cell = F.array(*[F.floor(F.col("v")[j] / eps).cast("long") for j in range(m)])
-    uniq = materialize(uniq.withColumn("cell", cell))
-    offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=m)]
-    probe = uniq.select(F.col("id").alias("a"), F.col("v").alias("va"),
-                        F.explode(F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets])).alias("off"),
-                        F.col("cell").alias("ca"))
-    probe = probe.withColumn("cell", F.zip_with("ca", "off", lambda x, y: x + y))
-    dist2 = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
-    pairs = materialize(probe.join(uniq.select(F.col("id").alias("b"), F.col("v").alias("vb"), "cell", "w"), "cell")
-                        .where(dist2 <= eps * eps).select("a", "b", "w"), "pairs")
-    counts = pairs.groupBy("a").agg(F.sum("w").alias("nbrs"))
-    core = counts.where(F.col("nbrs") >= min_samples).select(F.col("a").alias("id"))
-    core_edges = (pairs.join(core.withColumnRenamed("id", "a"), "a", "left_semi")
-                  .join(core.withColumnRenamed("id", "b"), "b", "left_semi").where("a < b"))
-    comp = _components(core_edges, core)
-    border = (pairs.join(core.withColumnRenamed("id", "b"), "b", "left_semi")
-              .join(core.withColumnRenamed("id", "a"), "a", "left_anti")
-              .join(comp.withColumnRenamed("id", "b"), "b")
-              .groupBy(F.col("a").alias("id")).agg(F.min("lab").alias("lab")))
-    labels = comp.unionByName(border)
-    # clusters numbered 0.. by their smallest core row, which is their label (one row per cluster)
+    fine = F.hash(F.transform("v", lambda x: F.floor(x / side))), F.xxhash64(F.transform("v", lambda x: F.floor(x / side)))
+    uniq = materialize(uniq.select("id", "v", "w", fine[0].alias("f1"), fine[1].alias("f2"),
+                                   F.array(*[F.floor(F.col("v")[j] / eps).cast("long") for j in range(m)]).alias("cell")), "dbscan-points")
+    dense = uniq.groupBy("f1", "f2").agg(F.sum("w").alias("n"), F.min("id").alias("unit")).where(F.col("n") >= min_samples).select("f1", "f2", "unit")
+    placed = materialize(uniq.join(dense, ["f1", "f2"], "left").drop("f1", "f2"), "dbscan-placed")
+
+    def count(x: pa.Table, y: pa.Table) -> pa.Table:
+        total = np.zeros(x.num_rows, np.int64)
+        if x.num_rows and y.num_rows:
+            v, other, w = _matrix(x), _matrix(y), y["w"].to_numpy()
+            for at in range(0, len(v), 256):
+                total[at:at + 256] = _close(v[at:at + 256], other, eps) @ w
+        return pa.table({"id": x["id"].cast(pa.int64()), "n": pa.array(total)})
+
+    sparse = placed.where("unit IS NULL")
+    counts = _in_blocks(sparse, placed, m, count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    core = counts.where(F.col("n") >= min_samples).select("id", F.col("id").alias("own"))
+    # every core point knows its unit: its dense cell, or itself
+    known = materialize(placed.join(core, "id", "left").withColumn("unit", F.coalesce("unit", "own")).drop("own"), "dbscan-core")
+
+    def touch(x: pa.Table, y: pa.Table) -> pa.Table:
+        out: set[tuple[int, int, bool]] = set()
+        if x.num_rows and y.num_rows:
+            v, other, units = _matrix(x), _matrix(y), y["unit"].to_numpy()
+            order = np.argsort(units, kind="stable")
+            other, units = other[order], units[order]
+            names, starts = np.unique(units, return_index=True)
+            own = np.array([-1 if u is None else u for u in x["unit"].to_pylist()])
+            ids = x["id"].to_numpy()
+            # a unit against a unit: blocks, until the first close pair; other points by themselves
+            for u in np.unique(own[own >= 0]):
+                mine = v[own == u]
+                for k, (name, start) in enumerate(zip(names, starts)):
+                    theirs = other[start:starts[k + 1] if k + 1 < len(starts) else len(other)]
+                    if name != u and not (name < u and (name, u, True) in out) and _touching(mine, theirs, eps):
+                        out.add((max(u, name), min(u, name), True))
+            for at in range(0, len(v), 256):
+                rows = np.flatnonzero(own[at:at + 256] < 0) + at
+                if len(rows):
+                    near = np.logical_or.reduceat(_close(v[rows], other, eps), starts, axis=1)
+                    out |= {(int(ids[rows[i]]), int(names[j]), False) for i, j in zip(*np.nonzero(near))}
+        a, b, both = zip(*out) if out else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "core": pa.array(both, pa.bool_())})
+
+    cores = known.where("unit IS NOT NULL")
+    links = materialize(_in_blocks(known, cores, m, touch, "a long, b long, core boolean").distinct(), "dbscan-links")
+    comp = _components(links.where("core").select("a", "b"), cores.select(F.col("unit").alias("id")).distinct())
+    border = links.where("NOT core").join(comp.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("lab").alias("lab"))
+    labelled = cores.select("id", "unit").join(comp.withColumnRenamed("id", "unit"), "unit").select("id", "lab").unionByName(border)
+    # a unit's name is its first row, so a component's label is its first core row: clusters are numbered by it
     order = with_row_index(comp.select("lab").distinct(), ["lab"], name="cluster")
-    node_label = labels.join(order.select("lab", F.col("cluster").cast("int").alias("cluster")), "lab")
+    node_label = labelled.join(order.select("lab", F.col("cluster").cast("int").alias("cluster")), "lab")
     uniq_lab = uniq.select("v", "id").join(node_label.select("id", "cluster"), "id", "left")
     return (pts.join(uniq_lab, "v", "left")
             .select(ROW_ID, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
@@ -171,9 +248,73 @@ def cluster_dbscan(df: DataFrame, features: list[str], eps: float = EPS, min_sam
             .select(ROW_ID, *features, "cluster"))
 
 
+def _touching(x: np.ndarray, y: np.ndarray, eps: float) -> bool:
+    """Whether two sets hold points within eps: boxes first, then blocks, nearest to the other set's middle first."""
+    gap = np.maximum(0, np.maximum(x.min(axis=0) - y.max(axis=0), y.min(axis=0) - x.max(axis=0)))
+    if (gap * gap).sum() > eps * eps * (1 + 1e-9):
+        return False
+    x, y = (p[np.argsort(((p - q.mean(axis=0)) ** 2).sum(axis=1))] for p, q in ((x, y), (y, x)))
+    for i in range(0, len(x), 256):
+        for j in range(0, len(y), 256):
+            if _close(x[i:i + 256], y[j:j + 256], eps).any():
+                return True
+    return False
+
+
 def silhouette(df: DataFrame, features: list[str], label: str = "cluster") -> float | None:
-    """Mean silhouette with squared Euclidean distance (Spark's linear-time
-    form; the reference uses plain Euclidean, which needs all pairs)."""
+    """Mean silhouette with Euclidean distance, exact: the sums of a point's
+    distances by cluster come from pairs of blocks of rows, each pair taken
+    once for both sides, so the output is a row a point, block and cluster.
+    The work grows with the square of the rows (the index is defined so);
+    :func:`silhouette_squared` is linear."""
+    ship_package(df.sparkSession)
+    data = df.where(col(label).isNotNull()).select(F.monotonically_increasing_id().alias("id"), col(label).cast("string").alias("k"),
+                                                   F.array(*[col(c).cast("double") for c in features]).alias("v"))
+    data = materialize(data, "silhouette-rows")
+    sizes = data.groupBy("k").agg(F.count(F.lit(1)).alias("size"))
+    if sizes.limit(2).count() < 2:
+        return None
+    blocks = max(1, -(-data.count() // BLOCK_ROWS))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    spread = data.withColumn("b", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = spread.select(F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), "b", "id", "k", "v")
+
+    def sums(key: tuple, rows: pa.Table) -> pa.Table:
+        i, j = (x.as_py() for x in key)
+        b = rows["b"].to_numpy()
+        sides = [rows.filter(pa.array(b == s)) for s in ((i,) if i == j else (i, j))]
+        out: dict[str, list] = {"id": [], "k": [], "sum": []}
+        for here, there in ((sides[0], sides[-1]),) if i == j else ((sides[0], sides[1]), (sides[1], sides[0])):
+            if not here.num_rows or not there.num_rows:
+                continue
+            x, y = _matrix(here), _matrix(there)
+            names, code = np.unique(there["k"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+            member = np.zeros((len(y), len(names)))
+            member[np.arange(len(y)), code] = 1
+            for at in range(0, len(x), 256):
+                p = x[at:at + 256]
+                d = np.sqrt(np.maximum((p * p).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * p @ y.T, 0))
+                if i == j:
+                    d[np.arange(len(p)), at + np.arange(len(p))] = 0.0
+                total = d @ member
+                out["id"] += np.repeat(here["id"].to_numpy()[at:at + 256], len(names)).tolist()
+                out["k"] += names.tolist() * len(p)
+                out["sum"] += total.ravel().tolist()
+        return pa.table({"id": pa.array(out["id"], pa.int64()), "k": pa.array(out["k"], pa.string()), "sum": pa.array(out["sum"], pa.float64())})
+
+    found = pairs.groupBy("i", "j").applyInArrow(sums, "id long, k string, sum double").groupBy("id", "k").agg(F.sum("sum").alias("sum"))
+    own = data.select("id", F.col("k").alias("own"))
+    rows = found.join(sizes, "k").join(own, "id")
+    mean = rows.groupBy("id").agg(
+        F.max(F.when((F.col("k") == F.col("own")) & (F.col("size") > 1), F.col("sum") / (F.col("size") - 1))).alias("a"),
+        F.min(F.when(F.col("k") != F.col("own"), F.col("sum") / F.col("size"))).alias("b"))
+    # a point alone in its cluster has silhouette 0
+    value = F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    return mean.agg(F.avg(value)).first()[0]
+
+
+def silhouette_squared(df: DataFrame, features: list[str], label: str = "cluster") -> float | None:
+    """Mean silhouette with squared Euclidean distance (Spark's linear-time form)."""
     data = assemble(df, features).withColumn(label, col(label).cast("double"))
     if data.select(label).distinct().limit(2).count() < 2:
         return None
@@ -245,19 +386,17 @@ def cluster_projection(df: DataFrame, features: list[str], label: str = "cluster
 
 def cluster_report(df: DataFrame, features: list[str], models: tuple[str, ...] = ("KMeans", "AgglomerativeClustering", "DBSCAN")) -> DataFrame:
     """One row per clustering model: number of valid clusters (noise
-    excluded), the three indices, or a note / an error."""
+    excluded) and the indices, or a note (any failure is raised).  The
+    Euclidean silhouette's work grows with the square of the rows."""
     rows = []
+    run = {"KMeans": cluster_kmeans, "AgglomerativeClustering": cluster_agglomerative, "DBSCAN": cluster_dbscan}
     for name in models:
-        try:
-            lab = materialize({"KMeans": cluster_kmeans, "AgglomerativeClustering": cluster_agglomerative,
-                               "DBSCAN": cluster_dbscan}[name](df, features), "labels")
-            k = lab.where("cluster <> -1").select("cluster").distinct().count()
-            if k >= 2:
-                rows.append((name, k, silhouette(lab, features), davies_bouldin(lab, features),
-                             calinski_harabasz(lab, features), None))
-            else:
-                rows.append((name, k, None, None, None, "fewer than 2 clusters"))
-        except Exception as exc:
-            rows.append((name, 0, None, None, None, str(exc).splitlines()[0][:500]))
+        lab = materialize(run[name](df, features), "labels")
+        k = lab.where("cluster <> -1").select("cluster").distinct().count()
+        if k >= 2:
+            rows.append((name, k, silhouette(lab, features), silhouette_squared(lab, features), davies_bouldin(lab, features),
+                         calinski_harabasz(lab, features), None))
+        else:
+            rows.append((name, k, None, None, None, None, "fewer than 2 clusters"))
     return df.sparkSession.createDataFrame(
-        rows, "model string, n_clusters long, silhouette_sq_euclidean double, davies_bouldin double, calinski_harabasz double, note string")
+        rows, "model string, n_clusters long, silhouette double, silhouette_sq_euclidean double, davies_bouldin double, calinski_harabasz double, note string")

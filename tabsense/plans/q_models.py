@@ -11,6 +11,8 @@ from tabsense.sources.tables import read_table
 
 _ML = duck_fixture("fx_ml")
 _FEATS = ["price", "cust_mod", "bal"]
+_E3 = ["e0", "e1", "e2"]
+_E64 = [f"e{i}" for i in range(64)]
 _H = "((row_id % 2147483648) * 2654435761 + 42) % 4294967296"
 _EMB_Z = """(SELECT vec_id AS row_id, label,
   (e0 - avg(e0) OVER ()) / stddev_pop(e0) OVER () AS e0, (e1 - avg(e1) OVER ()) / stddev_pop(e1) OVER () AS e1,
@@ -18,6 +20,11 @@ _EMB_Z = """(SELECT vec_id AS row_id, label,
   FROM (SELECT vec_id, label, list_sum(CAST(embedding[1:21] AS DOUBLE[])) AS e0,
         list_sum(CAST(embedding[22:42] AS DOUBLE[])) AS e1,
         list_sum(CAST(embedding[43:64] AS DOUBLE[])) AS e2 FROM embeddings))"""
+_Z64 = """(WITH u AS (SELECT vec_id AS row_id, label, i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 65) AS t(i)),
+st AS (SELECT i, avg(x) AS m, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS s FROM u GROUP BY i)
+SELECT row_id, any_value(label) AS label, list((x - m) / s ORDER BY u.i) AS z FROM u JOIN st ON st.i = u.i GROUP BY row_id)"""
+_CENT64 = f"""(SELECT k, any_value(n) AS n, list(c ORDER BY i) AS c FROM (SELECT label AS k, i, count(*) AS n, avg(z[i]) AS c
+  FROM {_Z64} AS zz, range(1, 65) AS t(i) GROUP BY label, i) GROUP BY k)"""
 _CENT = f"(SELECT label AS k, count(*) AS n, avg(e0) AS c0, avg(e1) AS c1, avg(e2) AS c2 FROM {_EMB_Z} GROUP BY label)"
 
 
@@ -163,10 +170,6 @@ def _dimensions(spark, d):
     return features.standardize(df, _E64)[0]
 
 
-_E3 = ["e0", "e1", "e2"]
-_E64 = [f"e{i}" for i in range(64)]
-
-
 @query("cluster_kmeans")
 def q_cluster_kmeans(spark, d):
     return clusters.cluster_kmeans(_dimensions(spark, d), _E64)
@@ -177,9 +180,13 @@ def q_cluster_agglomerative(spark, d):
     return clusters.cluster_agglomerative(_dimensions(spark, d), _E64)
 
 
-_DB_LABELS = f"""WITH RECURSIVE p AS (SELECT * FROM {_EMB_Z}),
-nb AS (SELECT a.row_id AS a, b.row_id AS b FROM p a JOIN p b
-       ON power(a.e0 - b.e0, 2) + power(a.e1 - b.e1, 2) + power(a.e2 - b.e2, 2) <= 0.25),
+_NEAR3 = "power(a.e0 - b.e0, 2) + power(a.e1 - b.e1, 2) + power(a.e2 - b.e2, 2) <= 0.25"
+_NEAR64 = "list_distance(a.z, b.z) <= 0.5"
+
+
+def _db_labels(points: str, near: str) -> str:
+    return f"""WITH RECURSIVE p AS (SELECT * FROM {points}),
+nb AS (SELECT a.row_id AS a, b.row_id AS b FROM p a JOIN p b ON {near}),
 core AS (SELECT a FROM nb GROUP BY a HAVING count(*) >= 5),
 ce AS (SELECT nb.a, nb.b FROM nb JOIN core c1 ON nb.a = c1.a JOIN core c2 ON nb.b = c2.a),
 reach(id, root) AS (SELECT a, a FROM core UNION SELECT ce.b, r.root FROM reach r JOIN ce ON ce.a = r.id),
@@ -190,10 +197,19 @@ labels AS (SELECT * FROM comp UNION ALL SELECT * FROM border),
 ord AS (SELECT lab, CAST(dense_rank() OVER (ORDER BY lab) - 1 AS INTEGER) AS cluster FROM labels GROUP BY lab)"""
 
 
-@query("cluster_dbscan", oracle=_DB_LABELS + """
+@query("cluster_dbscan", oracle=_db_labels(_Z64, _NEAR64) + f"""
+SELECT p.row_id, {", ".join(f"p.z[{i + 1}] AS {c}" for i, c in enumerate(_E64))}, coalesce(ord.cluster, -1) AS cluster
+FROM p LEFT JOIN labels ON labels.id = p.row_id LEFT JOIN ord ON ord.lab = labels.lab""", floats=tuple(_E64))
+def q_cluster_dbscan(spark, d):
+    """DBSCAN (eps 0.5, 5 samples) on all 64 standardised dimensions."""
+    return clusters.cluster_dbscan(_dimensions(spark, d), _E64)
+
+
+@query("cluster_dbscan_3d", oracle=_db_labels(_EMB_Z, _NEAR3) + """
 SELECT p.row_id, p.e0, p.e1, p.e2, coalesce(ord.cluster, -1) AS cluster
 FROM p LEFT JOIN labels ON labels.id = p.row_id LEFT JOIN ord ON ord.lab = labels.lab""", floats=("e0", "e1", "e2"))
-def q_cluster_dbscan(spark, d):
+def q_cluster_dbscan_3d(spark, d):
+    """DBSCAN on three sums of the dimensions, where points are close enough to make clusters."""
     return clusters.cluster_dbscan(_embedded(spark, d), _E3)
 
 
@@ -204,28 +220,27 @@ def _metric_row(spark, name, value):
 
 
 @query("davies_bouldin", oracle=f"""
-WITH s AS (SELECT c.k, avg(sqrt(power(p.e0 - c.c0, 2) + power(p.e1 - c.c1, 2) + power(p.e2 - c.c2, 2))) AS s
-           FROM {_EMB_Z} p JOIN {_CENT} c ON p.label = c.k GROUP BY c.k),
-r AS (SELECT a.k, max((sa.s + sb.s) / sqrt(power(a.c0 - b.c0, 2) + power(a.c1 - b.c1, 2) + power(a.c2 - b.c2, 2))) AS r
-      FROM {_CENT} a JOIN {_CENT} b ON a.k <> b.k JOIN s sa ON sa.k = a.k JOIN s sb ON sb.k = b.k GROUP BY a.k)
+WITH c AS (SELECT * FROM {_CENT64}), s AS (SELECT c.k, avg(list_distance(p.z, c.c)) AS s FROM {_Z64} p JOIN c ON p.label = c.k GROUP BY c.k),
+r AS (SELECT a.k, max((sa.s + sb.s) / list_distance(a.c, b.c)) AS r
+      FROM c a JOIN c b ON a.k <> b.k JOIN s sa ON sa.k = a.k JOIN s sb ON sb.k = b.k GROUP BY a.k)
 SELECT 'davies_bouldin' AS metric, avg(r) AS value FROM r""", floats=("value",))
 def q_davies_bouldin(spark, d):
-    return _metric_row(spark, "davies_bouldin", clusters.davies_bouldin(_embedded(spark, d), _E3, "label"))
+    return _metric_row(spark, "davies_bouldin", clusters.davies_bouldin(_dimensions(spark, d), _E64, "label"))
 
 
 @query("calinski_harabasz", oracle=f"""
-WITH g AS (SELECT count(*) AS n, avg(e0) AS g0, avg(e1) AS g1, avg(e2) AS g2 FROM {_EMB_Z}),
-b AS (SELECT sum(c.n * (power(c.c0 - g.g0, 2) + power(c.c1 - g.g1, 2) + power(c.c2 - g.g2, 2))) AS b, count(*) AS k FROM {_CENT} c, g),
-w AS (SELECT sum(power(p.e0 - c.c0, 2) + power(p.e1 - c.c1, 2) + power(p.e2 - c.c2, 2)) AS w FROM {_EMB_Z} p JOIN {_CENT} c ON p.label = c.k)
-SELECT 'calinski_harabasz' AS metric, (b.b / (b.k - 1)) / (w.w / (g.n - b.k)) AS value FROM b, w, g""", floats=("value",))
+WITH c AS (SELECT * FROM {_CENT64}), g AS (SELECT sum(n) AS n, count(*) AS k FROM c),
+o AS (SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(z[i]) AS m FROM {_Z64} AS zz, range(1, 65) AS t(i) GROUP BY i)),
+b AS (SELECT sum(c.n * power(list_distance(c.c, o.m), 2)) AS b FROM c, o),
+w AS (SELECT sum(power(list_distance(p.z, c.c), 2)) AS w FROM {_Z64} p JOIN c ON p.label = c.k)
+SELECT 'calinski_harabasz' AS metric, (b.b / (g.k - 1)) / (w.w / (g.n - g.k)) AS value FROM b, w, g""", floats=("value",))
 def q_calinski_harabasz(spark, d):
-    return _metric_row(spark, "calinski_harabasz", clusters.calinski_harabasz(_embedded(spark, d), _E3, "label"))
+    return _metric_row(spark, "calinski_harabasz", clusters.calinski_harabasz(_dimensions(spark, d), _E64, "label"))
 
 
 @query("dbscan_noise", oracle=f"""
-WITH p AS (SELECT * FROM {_EMB_Z}),
-nb AS (SELECT a.row_id AS a, b.row_id AS b FROM p a JOIN p b
-       ON power(a.e0 - b.e0, 2) + power(a.e1 - b.e1, 2) + power(a.e2 - b.e2, 2) <= 0.25),
+WITH p AS (SELECT * FROM {_Z64}),
+nb AS (SELECT a.row_id AS a, b.row_id AS b FROM p a JOIN p b ON {_NEAR64}),
 core AS (SELECT a FROM nb GROUP BY a HAVING count(*) >= 5),
 reach AS (SELECT DISTINCT nb.a FROM nb JOIN core ON nb.b = core.a)
 SELECT CAST(count(*) FILTER (WHERE reach.a IS NULL) AS BIGINT) AS noise_points,
@@ -233,20 +248,30 @@ SELECT CAST(count(*) FILTER (WHERE reach.a IS NULL) AS BIGINT) AS noise_points,
 FROM p LEFT JOIN reach ON reach.a = p.row_id""")
 def q_dbscan_noise(spark, d):
     """Noise / clustered point counts of DBSCAN (eps 0.5, 5 samples)."""
-    lab = clusters.cluster_dbscan(_embedded(spark, d), _E3)
+    lab = clusters.cluster_dbscan(_dimensions(spark, d), _E64)
     return lab.agg(F.count_if(F.col("cluster") == -1).alias("noise_points"),
                    F.count_if(F.col("cluster") != -1).alias("clustered_points"))
 
 
-@query("silhouette", oracle=f"""
-WITH p AS (SELECT * FROM {_EMB_Z}),
-s AS (SELECT a.row_id AS i, a.label AS li, b.label AS lj,
-        sum(power(a.e0 - b.e0, 2) + power(a.e1 - b.e1, 2) + power(a.e2 - b.e2, 2)) AS d, count(*) AS n
-      FROM p a JOIN p b ON true GROUP BY ALL),
-ab AS (SELECT i, max(CASE WHEN li = lj THEN d / (n - 1) END) AS a, min(CASE WHEN li <> lj THEN d / n END) AS b FROM s GROUP BY i)
-SELECT 'silhouette_sq_euclidean' AS metric, avg((b - a) / greatest(a, b)) AS value FROM ab""", floats=("value",))
+def _silhouette_sql(name: str, points: str, distance: str) -> str:
+    return f"""
+WITH p AS (SELECT * FROM {points}),
+s AS (SELECT a.row_id AS i, a.label AS li, b.label AS lj, sum({distance}) AS d, count(*) AS n FROM p a JOIN p b ON true GROUP BY ALL),
+ab AS (SELECT i, max(CASE WHEN li = lj AND n > 1 THEN d / (n - 1) END) AS a, min(CASE WHEN li <> lj THEN d / n END) AS b FROM s GROUP BY i)
+SELECT '{name}' AS metric, avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS value FROM ab"""
+
+
+@query("silhouette", oracle=_silhouette_sql("silhouette", _Z64, "list_distance(a.z, b.z)"), floats=("value",))
 def q_silhouette(spark, d):
-    return _metric_row(spark, "silhouette_sq_euclidean", clusters.silhouette(_embedded(spark, d), _E3, "label"))
+    """The exact Euclidean silhouette on all 64 dimensions."""
+    return _metric_row(spark, "silhouette", clusters.silhouette(_dimensions(spark, d), _E64, "label"))
+
+
+@query("silhouette_squared", oracle=_silhouette_sql("silhouette_sq_euclidean", _EMB_Z,
+       "power(a.e0 - b.e0, 2) + power(a.e1 - b.e1, 2) + power(a.e2 - b.e2, 2)"), floats=("value",))
+def q_silhouette_squared(spark, d):
+    """The linear form with squared distances, on three sums of the dimensions."""
+    return _metric_row(spark, "silhouette_sq_euclidean", clusters.silhouette_squared(_embedded(spark, d), _E3, "label"))
 
 
 @query("cluster_projection")
@@ -256,7 +281,7 @@ def q_cluster_projection(spark, d):
 
 @query("cluster_report")
 def q_cluster_report(spark, d):
-    return clusters.cluster_report(_embedded(spark, d), _E3)
+    return clusters.cluster_report(_dimensions(spark, d), _E64)
 
 
 _RAW = f"""(SELECT row_id,

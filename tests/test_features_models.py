@@ -172,7 +172,7 @@ def test_cluster_indices_against_brute_force(spark):
         a = d2[i, same].sum() / (same.sum() - 1)
         bb = d2[i, ~same].mean()
         sil.append((bb - a) / max(a, bb))
-    assert clusters.silhouette(df, ["x", "y"]) == pytest.approx(np.mean(sil), rel=1e-6)
+    assert clusters.silhouette_squared(df, ["x", "y"]) == pytest.approx(np.mean(sil), rel=1e-6)
 
 
 def test_encode_new_rows_errors(spark):
@@ -270,3 +270,46 @@ def test_gram_matrices_equal_numpy(spark):
     want = np.sort(np.linalg.eigvalsh(np.cov(z.T)))[::-1]
     eig = pca_table(df, [f"c{i}" for i in range(40)], standardize=True).toPandas()["eigenvalue"]
     assert np.allclose(eig, want, atol=1e-8)
+
+
+@pytest.mark.parametrize("block_rows", [4096, 40])
+def test_silhouette_equals_brute_force(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(clusters, "BLOCK_ROWS", block_rows)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(150, 7))
+    k = np.append(rng.integers(0, 3, 149), 9)  # the last one alone in its cluster
+    x[10:30] = x[10]
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(7)]).assign(row_id=range(150), cluster=k)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    want = []
+    for i in range(150):
+        own = (k == k[i]) & (np.arange(150) != i)
+        if not own.any():
+            want.append(0.0)
+            continue
+        a, b = d[i, own].mean(), min(d[i, k == c].mean() for c in set(k) - {k[i]})
+        want.append((b - a) / max(a, b))
+    got = clusters.silhouette(spark.createDataFrame(pdf), [f"c{i}" for i in range(7)])
+    assert got == pytest.approx(np.mean(want), rel=1e-6)
+    assert clusters.silhouette(spark.createDataFrame(pdf).withColumn("cluster", F.lit(1)), ["c0"]) is None
+
+
+@pytest.mark.parametrize("dims,block_rows", [(2, 4096), (5, 30)])
+def test_dbscan_of_blobs_chains_and_copies(spark, monkeypatch, dims, block_rows):
+    monkeypatch.setattr(clusters, "BLOCK_ROWS", block_rows)
+    rng = np.random.default_rng(dims)
+    chain = np.zeros((40, dims))
+    chain[:, 0] = np.arange(40) * 0.2 + 5
+    pts = np.vstack([rng.normal(0, 0.08, (150, dims)), rng.normal(0, 0.4, (120, dims)), chain, rng.uniform(-3, 3, (60, dims)), np.repeat([[2.5] * dims], 30, axis=0)])
+    pdf = pd.DataFrame(pts, columns=[f"c{i}" for i in range(dims)]).assign(row_id=np.arange(len(pts)))
+    got = clusters.cluster_dbscan(spark.createDataFrame(pdf).repartition(3), [f"c{i}" for i in range(dims)]).orderBy("row_id").toPandas()["cluster"]
+    assert got.tolist() == _brute_dbscan(pts, 0.5, 5).tolist()
+
+
+def test_dbscan_of_a_dense_blob(spark):
+    """10,000 distinct points within eps of each other, and a second such blob that touches it: no row a pair."""
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.uniform(0, 0.3, 10_000), rng.uniform(0.79, 1.0, 2_000), rng.uniform(9, 9.2, 500)])
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "row_id long, x double")
+    got = clusters.cluster_dbscan(df, ["x"]).groupBy("cluster").count().collect()
+    assert {r["cluster"]: r["count"] for r in got} == {0: 12_000, 1: 500}
