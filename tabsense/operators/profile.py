@@ -108,6 +108,18 @@ def preview(df: DataFrame, n: int = 3000) -> DataFrame:
     return df.orderBy(F.col(ROW_ID)).limit(n)
 
 
+def preview_json(df: DataFrame, n: int = 3000) -> DataFrame:
+    """One row: the table's rows and columns, and its first ``n`` rows by position as a JSON array of records (nulls
+    included)."""
+    names = [f.name for f in data_fields(df)]
+    first = preview(df, n).select(ROW_ID, F.to_json(F.struct(*[col(c) for c in names]), {"ignoreNullFields": "false"}).alias("j"))
+    rows = F.transform(F.sort_array(F.collect_list(F.struct(ROW_ID, "j"))), lambda x: x["j"])  # n rows at most
+    body = first.agg(F.concat(F.lit("["), F.array_join(rows, ","), F.lit("]")).alias("first_rows"))
+    counts = df.agg(F.count(F.lit(1)).alias("n_rows"))
+    return counts.withColumn("__one", F.lit(1)).join(body.withColumn("__one", F.lit(1)), "__one").select(
+        "n_rows", F.lit(len(names)).cast("long").alias("n_columns"), "first_rows")
+
+
 def _keys(df: DataFrame) -> list[str]:
     return [f.name for f in data_fields(df)]
 

@@ -157,7 +157,11 @@ def q_map_types(spark, d):
 
 @query("write_table", oracle="SELECT * FROM orders", floats=("o_totalprice",))
 def q_write_table(spark, d):
-    path = files.write_table(read_table(spark, d, "orders"), files.scratch_path(spark, "table"))
+    """Two versions of a table: the second replaces the first in one commit."""
+    path = files.scratch_path(spark, "table")
+    orders = read_table(spark, d, "orders")
+    files.write_table(orders.where("o_orderkey < 0"), path)
+    files.write_table(orders, path)
     return files.read_written(spark, path)
 
 
@@ -214,6 +218,16 @@ def q_latest_dataset(spark, d):
     return catalog.latest_dataset(fixture(spark, d, "fx_catalog_original"), fixture(spark, d, "fx_catalog_cleaned"))
 
 
+@query("open_latest_dataset", oracle="SELECT * FROM customer", floats=("c_acctbal",))
+def q_open_latest_dataset(spark, d):
+    """The customer table registered, written under its catalog name and opened as the latest dataset."""
+    root = files.scratch_path(spark, "datasets")
+    original, cleaned = fixture(spark, d, "fx_catalog_original"), fixture(spark, d, "fx_catalog_cleaned")
+    name = catalog.latest_dataset(original, cleaned).first()["read_table"]
+    files.write_table(read_table(spark, d, "customer"), f"{root}/{name}")
+    return catalog.open_latest_dataset(original, cleaned, root)
+
+
 @query("latest_transformed", oracle=f"""
 SELECT t.table_name_transformed, t.cleaned_table, c.original_table, t.target_column, t.uploaded_seq
 FROM (SELECT * FROM {_TRANS} ORDER BY uploaded_seq DESC LIMIT 1) t JOIN {_CLEAN} c ON c.table_name_cleaned = t.cleaned_table""")

@@ -65,6 +65,14 @@ def _dates_categories_sql() -> str:
     return union_all(parts)
 
 
+@query("preview_json", oracle="SELECT count(*) AS n_rows, CAST(5 AS BIGINT) AS n_columns, CAST(least(count(*), 3000) AS BIGINT) AS preview_rows FROM customer")
+def q_preview_json(spark, d):
+    """Row and column counts of customer, and the number of records in the JSON of its first rows."""
+    from tabsense.operators.rows import with_row_index
+    made = profile.preview_json(with_row_index(read_table(spark, d, "customer"), ["c_custkey"]))
+    return made.select("n_rows", "n_columns", F.json_array_length("first_rows").cast("long").alias("preview_rows"))
+
+
 @query("column_categories", oracle=_dates_categories_sql())
 def q_column_categories(spark, d):
     return profile.column_categories(fixture(spark, d, "fx_dates"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsense.functions.numeric import col
+from tabsense.sources import manifest
 
 NAME_SUFFIX_HEX = 8   # the reference draws 2 random hex digits; 8 from a hash avoid collisions
 
@@ -63,6 +64,24 @@ def latest_dataset(original: DataFrame, cleaned: DataFrame, order: str = "upload
         F.coalesce("table_name_cleaned", "table_name").alias("read_table"), order)
 
 
+def open_latest_dataset(original: DataFrame, cleaned: DataFrame, root: str, order: str = "uploaded_seq") -> DataFrame:
+    """The table that :func:`latest_dataset` names, opened: the newest version of ``root``/<table name>."""
+    newest = latest_dataset(original, cleaned, order).first()
+    if newest is None:
+        raise LookupError("the catalog is empty")
+    return manifest.open_table(original.sparkSession, f"{root.rstrip('/')}/{newest['read_table']}")
+
+
+def delete_tables(candidates: DataFrame, root: str) -> int:
+    """Delete the tables that :func:`retention_candidates` names (below ``root``); how many.  Names come to the driver a
+    partition at a time."""
+    deleted = 0
+    for row in candidates.select("table_name").distinct().toLocalIterator():
+        manifest.drop(candidates.sparkSession, f"{root.rstrip('/')}/{row['table_name']}")
+        deleted += 1
+    return deleted
+
+
 def latest_transformed(transformed: DataFrame, cleaned: DataFrame, order: str = "uploaded_seq") -> DataFrame:
     """The newest transform with its cleaned row and previous target."""
     newest = transformed.orderBy(F.col(order).desc()).limit(1)

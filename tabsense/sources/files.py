@@ -16,7 +16,7 @@ from tabsense.functions.numeric import col
 from tabsense.functions.schema import ROW_ID, storage_type, widen
 from tabsense.functions.text import NULL_TOKENS, READER_NULL_TOKENS
 from tabsense.session import checkpoint_dir, materialize
-from tabsense.sources import framing
+from tabsense.sources import framing, manifest
 
 # Fixed values of the reference's upload rules.
 SUPPORTED_SUFFIXES = (".csv", ".xlsx", ".json")
@@ -246,16 +246,15 @@ def map_types(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column string, storage_type string")
 
 
-def write_table(df: DataFrame, path: str) -> str:
-    """Full replace as a new version folder; the returned path is what the
-    catalog row points to, so readers never see a half-written table."""
-    version = f"{path.rstrip('/')}/v={uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(version)
-    return version
+def write_table(df: DataFrame, path: str) -> int:
+    """Full replace: ``df`` becomes the newest version of the table at
+    ``path`` in one commit (:mod:`manifest`); returns its number."""
+    return manifest.commit(df, path)
 
 
 def read_written(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The newest version of a table."""
+    return manifest.open_table(spark, path)
 
 
 def export_csv(df: DataFrame, path: str) -> str:
