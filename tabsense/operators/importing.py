@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from itertools import groupby
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsense.functions.dates import (DATE_SHARE_FOR_CATEGORY, PY_DATE_FORMATS, SPARK_DATE_FORMATS,
-                                      parse_any, parse_with)
+from tabsense.functions.dates import (DATE_SHARE_FOR_CATEGORY, PY_DATE_FORMATS, SPARK_DATE_FORMATS, first_runs,
+                                      parse_with, read_with, rule_of, shape)
 from tabsense.functions.numeric import col
 from tabsense.functions.schema import ROW_ID, data_fields, is_numeric, is_temporal
 from tabsense.functions.text import normalize_text, null_token
@@ -84,15 +84,48 @@ def _spark_format(py_fmt: str) -> str:
     return SPARK_DATE_FORMATS[PY_DATE_FORMATS.index(py_fmt)]
 
 
+def free_dates(df: DataFrame, cols: list[str]) -> dict[str, Column]:
+    """Expressions that read text columns as timestamps whatever their values
+    look like: month names, two-digit years, times, am/pm, fractions, zones
+    (as instants), weekdays.
+
+    One aggregate counts the shapes of all columns (shapes of what can be a
+    date are few); a rule is derived for each.  Whether 03/04 is a day and a
+    month or the reverse is settled a column: by whichever place holds more
+    values above 12, the day first when there are none; a value that has no
+    such day is read the other way.
+    """
+    if not cols:
+        return {}
+    items = [F.struct(F.lit(c).alias("c"), shape(col(c)).alias("s"), *[x.alias(f"r{i}") for i, x in enumerate(first_runs(col(c)))]) for c in cols]
+    known = (df.select(F.explode(F.array(*items)).alias("v")).where(F.col("v.s").isNotNull()).groupBy("v.c", "v.s")
+             .agg(F.count_if(F.col("v.r0") > 12).alias("first"), F.count_if(F.col("v.r1") > 12).alias("second")))
+    rules, votes = {c: [] for c in cols}, {c: 0 for c in cols}
+    for r in known.collect():
+        rule = rule_of(r["s"])
+        if rule:
+            rules[r["c"]].append((r["s"], rule))
+            votes[r["c"]] += (r["first"] - r["second"]) if rule.either else 0
+    out = {}
+    for c in cols:
+        by_rule: dict = {}
+        for text, rule in rules[c]:
+            by_rule.setdefault(rule, []).append(text)
+        parts = [F.when(shape(col(c)).isin(texts), read_with(col(c), rule, votes[c] >= 0)) for rule, texts in by_rule.items()]
+        out[c] = F.coalesce(*parts) if parts else F.lit(None).cast("timestamp")
+    return out
+
+
 def convert_date_columns(df: DataFrame) -> DataFrame:
     """Columns whose name contains ``date``: text is parsed with its
-    dominant format (or freely when there is none); integers are parsed
-    only as 8-digit ``yyyyMMdd``; failures become null."""
+    dominant format (or freely, see :func:`free_dates`, when there is none);
+    integers are parsed only as 8-digit ``yyyyMMdd``; failures become null."""
     dated = [f for f in data_fields(df) if "date" in f.name.lower()]
     formats = date_formats(df, [f.name for f in dated if isinstance(f.dataType, T.StringType)])
     exprs = {}
+    free = free_dates(df, [c for c, fmt in formats.items() if not fmt])
     for c, fmt in formats.items():
-        exprs[c] = parse_with(F.trim(col(c)), _spark_format(fmt)) if fmt else parse_any(col(c))
+        exprs[c] = parse_with(F.trim(col(c)), _spark_format(fmt)) if fmt else free[c]
     whole = [f.name for f in dated if is_numeric(f.dataType) and not isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     if whole:
         eight = [F.count_if((col(c) >= 10000101) & (col(c) <= 99991231)) for c in whole]
@@ -108,11 +141,11 @@ def normalize_dates(df: DataFrame, share: float = DATE_SHARE_FOR_CATEGORY) -> Da
     texts = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
     exprs = {f.name: F.date_format(col(f.name), "yyyy-MM-dd") for f in fields if is_temporal(f.dataType)}
     if texts:
-        r = df.agg(F.count(F.lit(1)).alias("n"),
-                   *[F.count(parse_any(col(c))).alias(f"p{i}") for i, c in enumerate(texts)]).first()
+        free = free_dates(df, texts)
+        r = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(free[c]).alias(f"p{i}") for i, c in enumerate(texts)]).first()
         for i, c in enumerate(texts):
             if r["n"] and r[f"p{i}"] >= share * r["n"]:
-                exprs[c] = F.date_format(parse_any(col(c)), "yyyy-MM-dd")
+                exprs[c] = F.date_format(free[c], "yyyy-MM-dd")
     return df.withColumns(exprs) if exprs else df
 
 
