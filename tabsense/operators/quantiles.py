@@ -1,14 +1,14 @@
-"""Exact order statistics without holding a column's values in one task.
+"""Exact order statistics in two scans.
 
 ``percentile``/``mode`` aggregates keep a hash map of every distinct value
 in the final (single) task of a global aggregate, which does not survive
-a column with billions of distinct values.  Here quantiles are found by
-histogram refinement: each pass is one scan with map-side aggregation
-into ``bins`` equal-width bins per open interval; a running sum over the bins
-(on the executors) picks the bin holding each wanted rank, so the driver
-only sees one row per wanted rank and narrows the interval to that bin.  A hot value (a third of all rows) ends in a bin whose
-min equals its max and is resolved at once.  Results equal pandas'
-linear-interpolation quantiles.
+a column with billions of distinct values.  Here one mergeable quantile
+sketch (``percentile_approx``) brackets every wanted rank between two values;
+one exact scan counts the rows between the brackets and the distinct values
+inside them, a small share of all rows; a running sum over those counts gives
+the values.  Infinities are ordinary values.  A hot value (a third of all
+rows) is both ends of its bracket, or one of the few values inside.  Results
+equal pandas' linear-interpolation quantiles.
 """
 
 from __future__ import annotations
@@ -16,17 +16,18 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsense.functions.numeric import col
 from tabsense.functions.schema import without_nan
 
-BINS = 1 << 15
-# An interval with at most this many rows is finished by counting its
-# distinct values (bounded by this number).
+# Columns with at most this many rows need no bracket: all values are inside.
 EXACT_LIMIT = 4096
-MAX_PASSES = 40
+# Accuracy of the sketch (a rank is off by rows / accuracy at most): at least,
+# one for so many rows, at most.
+ACCURACY, ACCURACY_ROWS, MAX_ACCURACY = 10_000, 100_000, 1_000_000
 
 
 # Aggregation buffers above ~100 fields switch whole-stage codegen off
@@ -56,72 +57,92 @@ def column_ranges(df: DataFrame, cols: list[str], extra=None, extra_fields: int
     return (ranges, row) if extra is not None else ranges
 
 
+def _rank_in(edges: list[float], x: Column, below: bool) -> Column:
+    """How many of the sorted edges are <= x (``below``: < x), by binary search."""
+    n, held = len(edges), F.lit(np.array(edges, float))
+    steps = [1 << b for b in reversed(range(n.bit_length()))]
+
+    def step(at: Column, width: Column) -> Column:
+        edge = F.get(held, at + width - 1)
+        return F.when((at + width <= n) & ((edge < x) if below else (edge <= x)), at + width).otherwise(at)
+
+    return F.aggregate(F.lit(np.array(steps, np.int32)), F.lit(0), step)
+
+
+def _brackets(df: DataFrame, wanted: dict[str, list[int]], ranges: dict, widen: int) -> dict[str, list[tuple[float, float]]]:
+    """For each column disjoint, rising intervals of values that hold the wanted ranks, from one sketch of all columns;
+    ``widen`` makes them that much wider."""
+    probs, ask = {}, []
+    for c, ranks in wanted.items():
+        n, lo, hi = ranges[c]
+        if n <= EXACT_LIMIT or widen > 100:
+            continue
+        accuracy = min(MAX_ACCURACY, max(ACCURACY, n // ACCURACY_ROWS))
+        margin = (2 * -(-n // accuracy) + 2) * widen
+        probs[c] = [(max(0.0, (k - margin) / n), min(1.0, (k + margin) / n)) for k in ranks]
+        ask.append(F.percentile_approx(col(c).cast("double"), [p for pair in probs[c] for p in pair], accuracy).alias(c))
+    found = df.agg(*ask).first() if ask else {}
+    out = {}
+    for c, ranks in wanted.items():
+        n, least, most = ranges[c]
+        pairs = [(least, most)]
+        if c in probs:
+            values = list(found[c])
+            pairs = [(least if p == 0.0 else a, most if q == 1.0 else b) for (p, q), a, b in zip(probs[c], values[::2], values[1::2])]
+        merged: list[tuple[float, float]] = []
+        for lo, hi in sorted(pairs):
+            if merged and lo <= merged[-1][1]:
+                merged[-1] = merged[-1][0], max(hi, merged[-1][1])
+            else:
+                merged.append((lo, hi))
+        out[c] = merged
+    return out
+
+
 def order_statistics(df: DataFrame, wanted: dict[str, set[int]],
                      ranges: dict[str, tuple[int, float, float]]) -> dict[tuple[str, int], float]:
     """Exact k-th smallest non-null value (0-based k) for each column/rank.
 
-    Each pass histograms every open interval into ``BINS`` bins (one scan,
-    map-side combine), finds the bin holding each wanted rank with a running
-    sum over the bins of its interval (on the executors), and returns only
-    those bins: the driver receives one row per wanted rank per pass.
+    A sketch of all columns brackets the ranks; then a scan counts, for each
+    column, the rows of every stretch between brackets and of every value
+    inside one (combined map-side, one element a row and column).  The driver
+    receives one row per wanted rank.  Should a sketch miss a rank, its column
+    is done again with wider brackets.
     """
-    spark = df.sparkSession
-    # state: (column, rank) -> [lo, hi, offset, exact_mode]
-    state: dict[tuple[str, int], list] = {}
+    spark, df = df.sparkSession, without_nan(df, list(wanted))
     done: dict[tuple[str, int], float] = {}
+    todo: dict[str, list[int]] = {}
     for c, ranks in wanted.items():
         n, lo, hi = ranges[c]
-        for k in ranks:
-            if n == 0:
-                continue
+        for k in sorted(ranks) if n else ():
             if lo == hi:
                 done[(c, k)] = lo
             else:
-                state[(c, k)] = [lo, hi, 0, n <= EXACT_LIMIT]
-    passes = 0
-    while state:
-        passes += 1
-        # ranks whose interval is the same share one histogram
-        intervals: dict[tuple, list[tuple[str, int]]] = defaultdict(list)
-        for (c, k), (lo, hi, off, exact) in state.items():
-            intervals[(c, lo, hi, off, exact)].append((c, k))
-        keys = list(intervals)
-        items, targets, tkeys = [], [], []
-        for i, (c, lo, hi, off, exact) in enumerate(keys):
+                todo.setdefault(c, []).append(k)
+    widen = 1
+    while todo:
+        names = list(todo)
+        brackets = _brackets(df, todo, ranges, widen)
+        items, targets = [], []
+        for i, c in enumerate(names):
             x = col(c).cast("double")
-            if exact or passes > MAX_PASSES:
-                b = x
-            else:
-                b = F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(BINS)),
-                            F.lit(BINS - 1)).cast("double")
-            items.append(F.when((x >= F.lit(lo)) & (x <= F.lit(hi)),
-                                F.struct(F.lit(i).alias("iv"), b.alias("b"), x.alias("v"))))
-            for t in intervals[(c, lo, hi, off, exact)]:
-                targets.append((i, len(tkeys), t[1] - off))
-                tkeys.append(t)
-        hist = (df.select(F.explode(F.array(*items)).alias("s"))
-                .where(F.col("s").isNotNull())
-                .groupBy("s.iv", "s.b")
-                .agg(F.count(F.lit(1)).alias("cnt"), F.min("s.v").alias("mn"), F.max("s.v").alias("mx")))
-        run = Window.partitionBy("iv").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-        hist = hist.withColumn("cum", F.sum("cnt").over(run))
-        tdf = spark.createDataFrame(targets, "iv int, tid int, kl long")
-        picked = (hist.join(F.broadcast(tdf), "iv")
-                  .where((F.col("cum") - F.col("cnt") <= F.col("kl")) & (F.col("kl") < F.col("cum")))
-                  .select("tid", "cnt", "mn", "mx", "cum").collect())
+            # stretches: 0 below the first bracket, 1 inside it, 2 between it and the second, ...
+            place = _rank_in([lo for lo, _ in brackets[c]], x, False) + _rank_in([hi for _, hi in brackets[c]], x, True)
+            items.append(F.when(x.isNotNull(), F.struct(F.lit(i).alias("c"), place.alias("at"), x.alias("v"))))
+            targets += [(i, k) for k in todo[c]]
+        rows = df.select(F.explode(F.array(*items)).alias("s")).where(F.col("s").isNotNull())
+        counts = (rows.select("s.c", "s.at", F.when(F.col("s.at") % 2 == 1, F.col("s.v")).alias("v"))
+                  .groupBy("c", "at", "v").agg(F.count(F.lit(1)).alias("cnt")))
+        run = Window.partitionBy("c").orderBy("at", "v").rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumn("cum", F.sum("cnt").over(run))
+        asked = spark.createDataFrame(targets, "c int, k long")
+        picked = (counts.join(F.broadcast(asked), "c")
+                  .where((F.col("v").isNotNull()) & (F.col("cum") - F.col("cnt") <= F.col("k")) & (F.col("k") < F.col("cum")))
+                  .select("c", "k", "v").collect())
         for r in picked:
-            target = tkeys[r["tid"]]
-            lo, hi, off, _exact = state[target]
-            before = off + r["cum"] - r["cnt"]
-            if r["mn"] == r["mx"]:
-                done[target] = r["mn"]
-                del state[target]
-            else:
-                stuck = (r["mn"] == lo and r["mx"] == hi)
-                state[target] = [r["mn"], r["mx"], before, r["cnt"] <= EXACT_LIMIT or stuck]
-        for t in tkeys:           # a rank outside the data cannot happen; guard the loop anyway
-            if t in state and t not in {tkeys[r["tid"]] for r in picked}:
-                del state[t]
+            done[(names[r["c"]], r["k"])] = r["v"]
+        todo = {c: left for c, ks in todo.items() if (left := [k for k in ks if (c, k) not in done])}
+        widen *= 10
     return done
 
 
@@ -151,7 +172,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
             h = (n - 1) * p
             a, b = stats[(c, math.floor(h))], stats[(c, math.ceil(h))]
             t = h - math.floor(h)
-            vals.append(a + (b - a) * t)
+            vals.append(a if a == b else a + (b - a) * t)  # two equal infinities have no difference
         out[c] = vals
     return out
 
