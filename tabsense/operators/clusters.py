@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsense.functions.numeric import col
@@ -324,52 +324,63 @@ def silhouette_squared(df: DataFrame, features: list[str], label: str = "cluster
 
 
 def _centroids(df: DataFrame, features: list[str], label: str) -> DataFrame:
-    return df.groupBy(col(label).alias("__k")).agg(F.count(F.lit(1)).alias("__n"),
-                                                   *[F.avg(col(c)).alias(f"__c{i}") for i, c in enumerate(features)])
+    """(__k, __n, __c): size and centroid (an array) of every cluster."""
+    return df.groupBy(col(label).alias("__k")).agg(F.count(F.lit(1)).alias("__n"), F.array(*[F.avg(col(c)) for c in features]).alias("__c"))
+
+
+def _square(x: Column, y: Column) -> Column:
+    """Squared distance of two arrays."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
 
 
 def davies_bouldin(df: DataFrame, features: list[str], label: str = "cluster") -> float | None:
-    """mean over i of max over j != i of (S_i + S_j) / d(c_i, c_j).  Points
-    are aggregated on Spark (centroids, scatter); the k x k centroid part is
-    evaluated on the driver in blocks of rows; it needs k centroids and
-    2048 x k x p numbers there, so it is for tens of thousands of clusters
-    at most."""
-    cents = _centroids(df, features, label)
-    d = F.sqrt(sum((col(c) - F.col(f"__c{i}")) ** 2 for i, c in enumerate(features)))
-    scat = {r["__k"]: r["s"] for r in
-            df.join(cents, col(label) == F.col("__k")).groupBy("__k").agg(F.avg(d).alias("s")).collect()}
-    rows = sorted(cents.collect(), key=lambda r: r["__k"])
-    k = len(rows)
-    if k < 2:
+    """mean over i of max over j != i of (S_i + S_j) / d(c_i, c_j); equal
+    centroids count as infinitely far apart.  Centroids and scatters are
+    aggregates; the k x k part runs over pairs of blocks of clusters and gives
+    a row a cluster and block, so any number of clusters stays distributed."""
+    ship_package(df.sparkSession)
+    cents = materialize(_centroids(df, features, label), "centroids")
+    point = F.array(*[col(c).cast("double") for c in features])
+    scatter = df.join(cents, col(label) == F.col("__k")).groupBy("__k").agg(F.avg(F.sqrt(_square(point, F.col("__c")))).alias("s"))
+    rows = with_row_index(cents.join(scatter, "__k").select(F.col("__k").cast("string").alias("k"), "s", F.col("__c").alias("v")), ["k"], name="id")
+    count = rows.count()
+    if count < 2:
         return None
-    c = np.array([[r[f"__c{t}"] for t in range(len(features))] for r in rows], dtype=float)
-    s = np.array([scat[r["__k"]] for r in rows], dtype=float)
-    worst = np.zeros(k)
-    block = 2048
-    for a in range(0, k, block):
-        dist = np.sqrt(((c[a:a + block, None, :] - c[None, :, :]) ** 2).sum(-1))
-        dist[dist == 0] = np.inf        # equal centroids count as infinitely far apart
-        with np.errstate(divide="ignore", invalid="ignore"):
-            r = (s[a:a + block, None] + s[None, :]) / dist
-        r[np.arange(r.shape[0]), np.arange(a, a + r.shape[0])] = -np.inf     # j != i
-        worst[a:a + block] = r.max(1)
-    return float(worst.mean())
+    blocks = -(-count // 2048)
+    left = rows.withColumn("i", F.pmod("id", F.lit(blocks))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = rows.withColumn("j", F.pmod("id", F.lit(blocks))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def worst(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return pa.table({"id": pa.array([], pa.int64()), "r": pa.array([], pa.float64())})
+        v, other = _matrix(x), _matrix(y.rename_columns([c.removeprefix("r_") for c in y.column_names]))
+        ids, theirs = x["id"].to_numpy(), y["r_id"].to_numpy()
+        out = np.empty(len(v))
+        for at in range(0, len(v), 64):
+            far = np.sqrt(((v[at:at + 64, None, :] - other[None, :, :]) ** 2).sum(-1))
+            far[far == 0] = np.inf
+            ratio = (x["s"].to_numpy()[at:at + 64, None] + y["r_s"].to_numpy()[None, :]) / far
+            ratio[ids[at:at + 64, None] == theirs[None, :]] = -np.inf  # j != i
+            out[at:at + 64] = ratio.max(axis=1)
+        return pa.table({"id": ids, "r": out})
+
+    named = right.select(*[F.col(c).alias(f"r_{c}") for c in ("i", "j", "id", "s", "v")])
+    found = left.select("i", "j", "id", "s", "v").groupBy("i", "j").cogroup(named.groupBy("r_i", "r_j")).applyInArrow(worst, "id long, r double")
+    return found.groupBy("id").agg(F.max("r").alias("r")).agg(F.avg("r")).first()[0]
 
 
 def calinski_harabasz(df: DataFrame, features: list[str], label: str = "cluster") -> float | None:
-    """(B / (k - 1)) / (W / (n - k)); 1.0 when W is 0."""
-    cents = _centroids(df, features, label)
-    overall = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(col(c)).alias(f"g{i}") for i, c in enumerate(features)]).first()
-    w = (df.join(cents, col(label) == F.col("__k"))
-         .agg(F.sum(sum((col(c) - F.col(f"__c{i}")) ** 2 for i, c in enumerate(features))).alias("w")).first()["w"])
-    rows = cents.collect()
-    k, n = len(rows), overall["n"]
-    if k < 2:
+    """(B / (k - 1)) / (W / (n - k)); 1.0 when W is 0.  Only sums reach the driver."""
+    cents = materialize(_centroids(df, features, label), "centroids")
+    mean = df.agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(col(c)) for c in features]).alias("g")).first()
+    between = cents.agg(F.sum(F.col("__n") * _square(F.col("__c"), F.lit(np.array(mean["g"], float)))).alias("b"), F.count(F.lit(1)).alias("k")).first()
+    if between["k"] < 2:
         return None
-    b = sum(r["__n"] * sum((r[f"__c{i}"] - overall[f"g{i}"]) ** 2 for i in range(len(features))) for r in rows)
-    if not w:
+    point = F.array(*[col(c).cast("double") for c in features])
+    within = df.join(cents, col(label) == F.col("__k")).agg(F.sum(_square(point, F.col("__c")))).first()[0]
+    if not within:
         return 1.0
-    return (b / (k - 1)) / (w / (n - k))
+    return (between["b"] / (between["k"] - 1)) / (within / (mean["n"] - between["k"]))
 
 
 def cluster_projection(df: DataFrame, features: list[str], label: str = "cluster") -> DataFrame:

@@ -10,6 +10,8 @@ single-task window); the map is broadcast only below a checked size.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,7 @@ from tabsense.functions.dates import DATE_SHARE_FOR_FEATURES, parse_any, parse_w
 from tabsense.functions.numeric import col
 from tabsense.functions.schema import ROW_ID, data_fields, is_numeric, is_temporal, numeric_cols, without_nan
 from tabsense.operators.decomposition import pca_table
+from tabsense.operators.quantiles import FIELD_BUDGET
 from tabsense.operators.rows import with_row_index
 
 # Fixed values of the reference's type heuristic.
@@ -115,12 +118,16 @@ def scaler_table(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, mean, scale) with population std; a constant column has
     scale 1 (scikit-learn's rule); NaN is missing."""
     df = without_nan(df, cols)
-    agg = df.agg(*[e for i, c in enumerate(cols) for e in (
-        F.avg(col(c).cast("double")).alias(f"m{i}"), F.stddev_pop(col(c).cast("double")).alias(f"s{i}"))])
-    items = [F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("mean"),
-                      F.when(F.col(f"s{i}") == 0, F.lit(1.0)).otherwise(F.col(f"s{i}")).alias("scale"))
-             for i, c in enumerate(cols)]
-    return agg.select(F.inline(F.array(*items)))
+    parts = []
+    for at in range(0, len(cols), FIELD_BUDGET // 4):  # wider aggregates lose code generation
+        some = cols[at:at + FIELD_BUDGET // 4]
+        agg = df.agg(*[e for i, c in enumerate(some) for e in (
+            F.avg(col(c).cast("double")).alias(f"m{i}"), F.stddev_pop(col(c).cast("double")).alias(f"s{i}"))])
+        items = [F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("mean"),
+                          F.when(F.col(f"s{i}") == 0, F.lit(1.0)).otherwise(F.col(f"s{i}")).alias("scale"))
+                 for i, c in enumerate(some)]
+        parts.append(agg.select(F.inline(F.array(*items))))
+    return reduce(DataFrame.unionByName, parts) if parts else df.sparkSession.createDataFrame([], "column string, mean double, scale double")
 
 
 def apply_scaler(df: DataFrame, scaler: DataFrame) -> DataFrame:
