@@ -80,13 +80,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> Da
     """Windows of ``docs`` (doc: distinct longs, text) that also start earlier: rows (doc, first, count), each for
     ``count`` windows starting at words ``first``, ``first + 1``, ...  "Earlier" is a smaller doc, or an earlier start."""
     runs = all_runs(docs, window, k)
-    often = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # what counts are joined with is written first: a join of two tables can split a hot anchor, one with an aggregate can't
+    often = stored(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "substring-often")
     seeds = stored(runs.join(often, "anchor", "left_semi"), "substring-seeds")
     release(docs.sparkSession)
     earliest = F.min(F.struct("doc", "first"))
     groups = stored(seeds.groupBy("anchor", "run").agg(earliest.alias("e"), F.count(F.lit(1)).alias("n")), "substring-groups")
     # anchors whose runs differ: their earliest runs are compared window by window
-    mixed = groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor")
+    mixed = stored(groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor"), "substring-mixed")
     shared = groups.where("n > 1").select("anchor", "run", F.col("e.doc").alias("e_doc"), F.col("e.first").alias("e_first"))
     again = seeds.join(shared, ["anchor", "run"]).where("doc != e_doc OR first != e_first").select("doc", "first", "count")
     whole = stored(again, "substring-runs")
@@ -96,7 +97,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> Da
     windows = stored(_windows(docs, edges, window), "substring-windows")
     release(docs.sparkSession)
     two = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "at")).alias("e"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    two = two.select("w1", "w2", F.col("e.doc").alias("e_doc"), F.col("e.at").alias("e_at"))
+    two = stored(two.select("w1", "w2", F.col("e.doc").alias("e_doc"), F.col("e.at").alias("e_at")), "substring-repeated")
     single = windows.join(two, ["w1", "w2"]).where("doc != e_doc OR at != e_at").select("doc", F.col("at").alias("first"), F.lit(1).alias("count"))
     single = stored(single, "substring-single")
     release(docs.sparkSession)
