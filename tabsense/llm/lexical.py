@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +24,9 @@ from tabsense.operators.rows import with_row_index
 
 #: Documents of an index segment at most (local numbers are 16 bits).
 SEGMENT_DOCS = 8192
-#: Items that go through the documents together; more items take further passes.
-ITEMS_A_PASS = 4096
+#: Items that go through the documents together (their accumulators for one segment fit a task); more items take
+#: further passes.
+ITEMS_A_PASS = 1024
 #: Bytes of text split into terms at once.
 CHUNK_BYTES = 4_000_000
 #: Share of all postings that the owners up to each stage hold together.
@@ -169,7 +171,7 @@ def owners(holding: np.ndarray, shares: tuple[float, ...] = OWNERS) -> np.ndarra
 
 def _add(bundles: pa.Table, postings: pa.Table, plan: dict[int, list[int]], weights: np.ndarray, average: tuple[int, int]):
     """Head of a segment, and its items' accumulators with one owner's contributions added."""
-    head = next((r for r in bundles.to_pylist() if r["item"] is None))
+    head = bundles.slice(pc.index(bundles["item"].is_null(), True).as_py(), 1).to_pylist()[0]
     n = np.frombuffer(head["scores"], "<i8")
     m = 50 + (50 * n * average[0]) // max(1, average[1])
     held = {}
