@@ -1,9 +1,9 @@
 """Clustering (k-means, Ward agglomerative, DBSCAN) and cluster quality.
 
-k-means is Spark ML.  Ward runs in two stages: k-means micro-clusters on
-Spark, then an exact Ward merge of at most ``MICRO`` weighted centroids on
-the driver, mapped back by a broadcast join; ``ward_exact`` is the exact
-form for at most ``MICRO`` rows.  DBSCAN: small cells whose points are all
+k-means is Spark ML.  Ward runs over clustering features, summed up by task and
+merged, that stand for rows within a radius (0 for up to ``CELLS`` distinct
+rows, where the result is exact); ``ward_exact`` is the plain form for at most
+``MICRO`` rows.  DBSCAN: small cells whose points are all
 within eps of each other make dense regions units without a pair; the rest is
 compared in blocks that hand out counts and units, never pairs of points
 (see :func:`cluster_dbscan`).  The silhouette is the exact Euclidean one, by
@@ -34,7 +34,8 @@ N_CLUSTERS = 3          # k-means and Ward
 EPS = 0.5               # DBSCAN radius
 MIN_SAMPLES = 5         # DBSCAN core threshold (the point itself included)
 # Our own parameters.
-MICRO = 256             # Ward micro-clusters
+MICRO = 256             # rows of the plain exact Ward
+CELLS = 1024            # clustering features that Ward runs over at most
 GRID_DIMS = 3           # dimensions used for DBSCAN's cells of side eps
 BLOCK_ROWS = 4096       # points of a block, each side
 
@@ -95,20 +96,140 @@ def ward_exact(df: DataFrame, features: list[str], k: int = N_CLUSTERS, most: in
     return df.join(F.broadcast(lab), ROW_ID).select(ROW_ID, *features, "cluster")
 
 
-def cluster_agglomerative(df: DataFrame, features: list[str], k: int = N_CLUSTERS, micro: int = MICRO) -> DataFrame:
-    """Ward clustering into ``k`` clusters over ``micro`` k-means micro-clusters,
-    at every size (see :func:`ward_exact` for few rows)."""
-    spark = df.sparkSession
-    data = assemble(df, features)
-    km = KMeans(k=micro, seed=SEED, featuresCol="features", predictionCol="micro").fit(data)
-    assigned = km.transform(data)
-    stats = assigned.groupBy("micro").agg(F.count(F.lit(1)).alias("w"), F.min(ROW_ID).alias("first")).collect()
-    centers = km.clusterCenters()
-    ids = sorted((r["first"], r["micro"], r["w"]) for r in stats)          # order by first row
-    pts = np.array([centers[m] for _, m, _ in ids])
-    labels = _ward(pts, np.array([w for _, _, w in ids], dtype=float), min(k, len(ids)))
-    lab = spark.createDataFrame([(int(m), int(x)) for (_, m, _), x in zip(ids, labels)], "micro int, cluster int")
-    return assigned.join(F.broadcast(lab), "micro").select(ROW_ID, *features, "cluster")
+class Features:
+    """Clustering features: sums of bounded number, each of points near each other (weight, mean, squares around the mean,
+    first row).  A point or feature joins the nearest one while the root mean square distance to the common mean stays
+    within ``radius``; when there are more than ``most``, the radius grows until they are few enough again."""
+
+    def __init__(self, dims: int, radius: float, most: int):
+        self.radius, self.most, self.count = radius, most, 0
+        self.n, self.mean, self.square = np.zeros(2 * most), np.zeros((2 * most, dims)), np.zeros(2 * most)
+        self.first = np.zeros(2 * most, np.int64)
+
+    def add(self, n: np.ndarray, mean: np.ndarray, square: np.ndarray, first: np.ndarray) -> None:
+        for i in range(len(n)):
+            if self.count:
+                far = ((self.mean[:self.count] - mean[i]) ** 2).sum(axis=1)
+                at = int(np.argmin(far))
+                total = self.n[at] + n[i]
+                spread = self.square[at] + square[i] + self.n[at] * n[i] / total * far[at]
+                if spread <= self.radius ** 2 * total:
+                    self.mean[at] += (mean[i] - self.mean[at]) * (n[i] / total)
+                    self.n[at], self.square[at], self.first[at] = total, spread, min(self.first[at], first[i])
+                    continue
+            at, self.count = self.count, self.count + 1
+            self.n[at], self.mean[at], self.square[at], self.first[at] = n[i], mean[i], square[i], first[i]
+            if self.count > self.most:
+                self._shrink()
+
+    def _shrink(self) -> None:
+        """A larger radius, about the typical distance to the nearest other one, and all features anew."""
+        old = [a[:self.count].copy() for a in (self.n, self.mean, self.square, self.first)]
+        some = old[1][:: max(1, self.count // 256)]
+        far = ((some[:, None, :] - old[1][None, :, :]) ** 2).sum(-1)
+        far[far == 0] = np.inf
+        self.radius = max(2 * self.radius, float(np.sqrt(np.median(far.min(axis=1)))) / 2)
+        self.count = 0
+        self.add(*old)
+
+    def rows(self) -> tuple[np.ndarray, ...]:
+        return tuple(a[:self.count] for a in (self.n, self.mean, self.square, self.first))
+
+
+def ward_chain(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+    """Ward labels of weighted points by nearest-neighbour chains: time grows with the square of the points, memory with
+    the points.  Merges are found out of order and then made cheapest first, which gives the same tree."""
+    m, size, mean = len(points), weights.astype(float).copy(), points.astype(float).copy()
+    alive, merges, chain = np.ones(m, bool), [], []
+    for _ in range(m - 1):
+        if not chain:
+            chain = [int(np.argmax(alive))]
+        while True:
+            a = chain[-1]
+            cost = size * size[a] / (size + size[a]) * ((mean - mean[a]) ** 2).sum(axis=1)
+            cost[~alive] = np.inf
+            cost[a] = np.inf
+            b = int(np.argmin(cost))
+            if len(chain) > 1 and cost[chain[-2]] <= cost[b]:
+                b = chain[-2]
+                break
+            chain.append(b)
+        merges.append((float(cost[b]), a, b))
+        chain = chain[:-2]
+        keep, gone = min(a, b), max(a, b)
+        total = size[a] + size[b]
+        mean[keep] = (size[a] * mean[a] + size[b] * mean[b]) / total
+        size[keep], alive[gone] = total, False
+    root = list(range(m))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for _, a, b in sorted(merges, key=lambda t: t[0])[:max(0, m - k)]:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return np.unique([find(i) for i in range(m)], return_inverse=True)[1]
+
+
+def cluster_agglomerative(df: DataFrame, features: list[str], k: int = N_CLUSTERS, radius: float = 0.0, cells: int = CELLS) -> DataFrame:
+    """Ward clustering into ``k`` clusters over clustering features.
+
+    Each task sums its rows up to features of at most ``radius`` (0: equal
+    rows only), the tasks' features are summed up in groups and then in one
+    task, and Ward's method runs over them; rows take the cluster of the
+    nearest feature.  Up to ``cells`` distinct rows a radius of 0 holds, and
+    the result is exact Ward; beyond, the radius grows until there are at
+    most ``cells`` features.  Clusters are numbered by their first row.
+    """
+    ship_package(df.sparkSession)
+    width = len(features)
+    rows = df.select(ROW_ID, F.array(*[col(c).cast("double") for c in features]).alias("v"))
+    kind = "n double, mean array<double>, square double, first long, radius double"
+    names = ["n", "mean", "square", "first", "radius"]
+
+    def table(held: Features) -> list[pa.Array]:
+        n, mean, square, first = held.rows()
+        return [pa.array(n), pa.array(list(mean), pa.list_(pa.float64())), pa.array(square), pa.array(first), pa.array(np.full(len(n), held.radius))]
+
+    def local(batches):
+        held = Features(width, radius, cells)
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+                held.add(np.ones(len(x)), x, np.zeros(len(x)), batch.column(0).to_numpy())
+        yield pa.RecordBatch.from_arrays(table(held), names=names)
+
+    def merged(parts: pa.Table) -> pa.Table:
+        held = Features(width, max(parts["radius"].to_pylist(), default=radius), cells)
+        order = np.argsort(parts["first"].to_numpy())
+        held.add(parts["n"].to_numpy()[order], _matrix(parts, "mean")[order], parts["square"].to_numpy()[order], parts["first"].to_numpy()[order])
+        return pa.Table.from_arrays(table(held), names=names)
+
+    def clustered(parts: pa.Table) -> pa.Table:
+        held = merged(parts)
+        mean, first = _matrix(held, "mean"), held["first"].to_numpy()
+        label = ward_chain(mean, held["n"].to_numpy(), min(k, len(mean)))
+        lowest = np.array([first[label == c].min() for c in range(label.max() + 1)])
+        return pa.table({"mean": held["mean"], "cluster": pa.array(np.argsort(np.argsort(lowest))[label].astype(np.int32))})
+
+    made = materialize(rows.mapInArrow(local, kind).withColumn("part", F.spark_partition_id()), "ward-features")
+    groups = max(1, int(made.select("part").distinct().count() ** 0.5))
+    fewer = made.groupBy(F.pmod("part", F.lit(groups)).alias("g")).applyInArrow(merged, kind)
+    final = materialize(fewer.groupBy(F.lit(0).alias("g")).applyInArrow(clustered, "mean array<double>, cluster int"), "ward-clusters").collect()
+    centres, labels = np.array([r["mean"] for r in final]).reshape(len(final), width), np.array([r["cluster"] for r in final], np.int32)
+
+    def nearest(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+                at = np.concatenate([((x[i:i + 64, None, :] - centres[None, :, :]) ** 2).sum(-1).argmin(axis=1) for i in range(0, len(x), 64)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels[at])], names=[ROW_ID, "cluster"])
+
+    found = rows.mapInArrow(nearest, f"{ROW_ID} long, cluster int")  # at most ``cells`` centres travel with it
+    return df.join(found, ROW_ID).select(ROW_ID, *features, "cluster")
 
 
 def _components(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -313,3 +313,33 @@ def test_dbscan_of_a_dense_blob(spark):
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "row_id long, x double")
     got = clusters.cluster_dbscan(df, ["x"]).groupBy("cluster").count().collect()
     assert {r["cluster"]: r["count"] for r in got} == {0: 12_000, 1: 500}
+
+
+def _ward_cost(x, labels):
+    return sum(((x[labels == c] - x[labels == c].mean(0)) ** 2).sum() for c in set(labels))
+
+
+def test_ward_over_features_is_exact_with_radius_0(spark):
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.normal(c, 0.7, (60, 3)) for c in (0, 2, 5)] + [np.repeat([[1.0, 1.0, 1.0]], 40, axis=0)])
+    rng.shuffle(x)
+    pdf = pd.DataFrame(x, columns=list("abc")).assign(row_id=range(len(x)))
+    for k in (2, 3, 7):
+        got = clusters.cluster_agglomerative(spark.createDataFrame(pdf).repartition(5), list("abc"), k).orderBy("row_id").toPandas()["cluster"].to_numpy()
+        want = clusters._ward(x, np.ones(len(x)), k)
+        firsts = [int(np.flatnonzero(want == c)[0]) for c in sorted(set(want), key=lambda c: np.flatnonzero(want == c)[0])]
+        assert got.tolist() == [firsts.index(int(np.flatnonzero(want == c)[0])) for c in want]
+
+
+def test_ward_over_few_features_is_near_exact(spark):
+    rng = np.random.default_rng(10)
+    x = np.vstack([rng.normal(c, 1.0, (300, 4)) for c in (0, 4, 9)])
+    pdf = pd.DataFrame(x, columns=list("abcd")).assign(row_id=range(len(x)))
+    got = clusters.cluster_agglomerative(spark.createDataFrame(pdf).repartition(4), list("abcd"), 3, cells=60).orderBy("row_id").toPandas()["cluster"].to_numpy()
+    exact = clusters.ward_chain(x, np.ones(len(x)), 3)
+    assert _ward_cost(x, got) <= 1.1 * _ward_cost(x, exact)
+    held = clusters.Features(4, 0.0, 60)
+    held.add(np.ones(900), x, np.zeros(900), np.arange(900))
+    n, mean, square, first = held.rows()
+    assert n.sum() == 900 and len(n) <= 60 and np.allclose((n[:, None] * mean).sum(0), x.sum(0)) and held.radius > 0
+    assert np.allclose(square.sum() + (n[:, None] * mean ** 2).sum(), (x ** 2).sum())
