@@ -45,9 +45,11 @@ def kmeans_model(df: DataFrame, features: list[str], k: int = N_CLUSTERS, seed:
 
 
 def cluster_kmeans(df: DataFrame, features: list[str], k: int = N_CLUSTERS) -> DataFrame:
-    """row_id + features + ``cluster`` (0..k-1)."""
-    m = kmeans_model(df, features, k)
-    return m.transform(assemble(df, features)).drop("features").select(ROW_ID, *features, "cluster")
+    """row_id + features + ``cluster`` (0..k-1).  The vectors are written
+    once: the fit and the labels read them instead of the columns' plans."""
+    data = materialize(assemble(df, features), "kmeans-rows")
+    m = KMeans(k=k, seed=SEED, featuresCol="features", predictionCol="cluster").fit(data)
+    return m.transform(data).select(ROW_ID, *features, "cluster")
 
 
 def _ward(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
