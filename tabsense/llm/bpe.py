@@ -24,7 +24,7 @@ from tabsense.llm.common import arrow_map, cuttable, powers, splitmix
 
 _P1, _P2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Chunks (a word with the space before it), and merged pre-tokens, that a worker remembers before it forgets them all.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 #: Chunks or pre-tokens in hand at once.
 RUN = 400_000
 
