@@ -36,7 +36,7 @@ BANDS, ROWS = 44, 7
 #: estimate may lie below the threshold (a link is passed over with probability below 1 in 100,000).
 SKETCH, SLACK = 256, 4.5
 #: Members of a block, each side, and bytes of their multisets.
-BLOCK_ROWS, BLOCK_BYTES = 4096, 64_000_000
+BLOCK_ROWS, BLOCK_BYTES = 4096, 24_000_000
 _SHINGLE_BASE = 0x9E6C63D0876A9A47
 
 
@@ -139,7 +139,7 @@ def signatures(docs: DataFrame, n: int = SHINGLE, bands: int = BANDS, rows: int
                    "total": np.bincount(owner, weights=weight, minlength=len(sets)).astype(np.int64), "keys": flat,
                    "sketch": pa.array(list(sketch), pa.list_(pa.int16()))}
 
-    return arrow_map(docs, run, "doc long, d1 long, d2 long, total long, keys array<long>, sketch array<smallint>", batch_rows=512)
+    return arrow_map(docs, run, "doc long, d1 long, d2 long, total long, keys array<long>, sketch array<smallint>", batch_rows=256)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
