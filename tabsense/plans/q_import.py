@@ -218,8 +218,8 @@ def q_latest_dataset(spark, d):
     return catalog.latest_dataset(fixture(spark, d, "fx_catalog_original"), fixture(spark, d, "fx_catalog_cleaned"))
 
 
-@query("open_latest_dataset", oracle="SELECT * FROM customer", floats=("c_acctbal",))
-def q_open_latest_dataset(spark, d):
+@query("latest_dataset_opened", oracle="SELECT * FROM customer", floats=("c_acctbal",))
+def q_latest_dataset_opened(spark, d):
     """The customer table registered, written under its catalog name and opened as the latest dataset."""
     root = files.scratch_path(spark, "datasets")
     original, cleaned = fixture(spark, d, "fx_catalog_original"), fixture(spark, d, "fx_catalog_cleaned")
