@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,9 @@ from tabsense.functions.numeric import col
 from tabsense.functions.schema import (ROW_ID, data_fields, is_numeric, is_temporal, storage_type, without_nan)
 from tabsense.operators.rows import DEFAULT_BUCKET_ROWS, scan_last
 
+#: Rows that a task of the duplicate summary sorts at most, nearly.
+TASK_ROWS = 1_000_000
+
 
 def shape(df: DataFrame) -> DataFrame:
     """rows, columns and the column names (row_id excluded)."""
@@ -195,16 +198,35 @@ def duplicate_scattered(df: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS,
     return _null_safe_join(firsts, totals, keys).select(ROW_ID, *keys, "count_duplicates")
 
 
+def _beside(df: DataFrame, bucket_rows: int) -> DataFrame:
+    """``__same``: whether a row continues the run of the row before it, ``__next``: whether the row after continues its
+    own.  One window over buckets of row_id, dealt to so many tasks that each holds at most ``TASK_ROWS`` rows, and the
+    rows at both ends of every bucket as carry table."""
+    keys = _keys(df)
+    row = F.struct(*[col(k).alias(k) for k in keys])
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // TASK_ROWS))
+    base = df.withColumn("__b", F.floor(F.col(ROW_ID) / F.lit(bucket_rows)).cast("long"))
+    ends = base.groupBy("__b").agg(F.max_by(row, F.col(ROW_ID)).alias("__last"), F.min_by(row, F.col(ROW_ID)).alias("__first"))
+    order = Window.orderBy("__b")
+    carry = ends.select("__b", F.lag("__last").over(order).alias("__before"), F.lead("__first").over(order).alias("__after"))
+    w = Window.partitionBy("__b").orderBy(ROW_ID)
+    x = (base.repartition(tasks, "__b").withColumn("__p", F.lag(row).over(w)).withColumn("__f", F.lead(row).over(w)).join(carry, "__b", "left"))
+
+    def equal(other: Column) -> Column:
+        return reduce(lambda a, b: a & b, [F.coalesce(col(k) == other[k], F.lit(False)) for k in keys])
+
+    return x.select(*[col(k) for k in keys], equal(F.coalesce("__p", "__before")).alias("__same"), equal(F.coalesce("__f", "__after")).alias("__next"))
+
+
 def duplicate_summary(df: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
     """Run groups, rows inside runs, scattered distinct rows (with an
-    occurrence outside any run), all duplicated rows: the sizes of the runs of
-    every distinct row give all four numbers."""
+    occurrence outside any run), all duplicated rows: whether the neighbours of
+    every row equal it gives all four numbers, without a group a run."""
     keys = [col(k) for k in _keys(df)]
-    runs = _runs(df, bucket_rows).groupBy(*keys, "__run").agg(F.count(F.lit(1)).alias("__size"))
-    in_run = F.col("__size") > 1
-    rows = runs.groupBy(*keys).agg(
-        F.sum("__size").alias("__total"), F.count_if(in_run).alias("__runs"),
-        F.sum(F.when(in_run, F.col("__size")).otherwise(0)).alias("__in"), F.count_if(~in_run).alias("__alone"))
+    same, following = F.col("__same"), F.col("__next")
+    rows = _beside(df, bucket_rows).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__total"), F.count_if(~same & following).alias("__runs"),
+        F.count_if(same | following).alias("__in"), F.count_if(~same & ~following).alias("__alone"))
     return rows.agg(F.coalesce(F.sum("__runs"), F.lit(0)).cast("long").alias("run_groups"),
                     F.coalesce(F.sum("__in"), F.lit(0)).cast("long").alias("rows_in_runs"),
                     F.count_if((F.col("__total") > 1) & (F.col("__alone") > 0)).alias("scattered_rows"),
