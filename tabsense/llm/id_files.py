@@ -40,6 +40,8 @@ LANES = 8192
 _HASHED = 1 << 18
 _MIX = 4096
 _STEP_COUNT = 24
+#: The next confidence after a miss (from 0 to 15) and after a hit.
+_SURER = np.array([c >> 1 for c in range(16)] + [min(c + 1, 15) for c in range(16)])
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _TOP, _BOT, _WORD, _TOP_SHIFT = np.uint64(1 << 48), np.uint64(1 << 40), np.uint64(16), np.uint64(48)
 
@@ -51,10 +53,12 @@ class Model:
         v = self.v = vocabulary
         self.count = np.ones(v, np.int64)
         self.fresh: list[np.ndarray] = []
+        self.below = np.zeros(v + 1, np.int64)
+        self.freq = np.zeros(v + 1, np.int64)  # as of the last recount, with 0 for "none"
         self.recount()
-        # candidate v stands for "none": beyond all ids, no order-0 count
-        self.next1, self.sure1 = np.full(v + 1, v, np.int32), np.zeros(v + 1, np.int32)
-        self.next2, self.sure2 = np.full(_HASHED, v, np.int32), np.zeros(_HASHED, np.int32)
+        # the id that followed a context times 16, and how often it did in a row (0 to 15); candidate v stands for
+        # "none": beyond all ids, no order-0 count
+        self.after1, self.after2 = np.full(v + 1, v << 4, np.int64), np.full(_HASHED, v << 4, np.int64)
         self.right2, self.right1, self.seen = np.full(512, 0.4), np.full(512, 0.2), np.full(512, 1.0)
         self.before1 = np.full(lanes, v, np.int64)
         self.before2 = np.full(lanes, v, np.int64)
@@ -66,55 +70,58 @@ class Model:
             self.fresh = []
         if self.count.sum() > 1 << 21:
             self.count = (self.count + 1) >> 1
-        self.below = np.zeros(self.v + 1, np.int64)
         np.cumsum(self.count, out=self.below[1:])
-        self.freq = np.append(self.count, 0)  # as of this recount, with 0 for "none"
+        self.freq[:-1] = self.count
         self.total0 = int(self.below[-1])
 
     def predict(self, k: int) -> None:
         """Predictions for the first ``k`` lanes."""
         one = self.at1 = self.before1[:k]
         two = self.at2 = ((self.before2[:k] * 0x9E3779B1 + one * 0x85EBCA6B) >> 7) & (_HASHED - 1)
-        s1, s2 = self.next1[one], self.next2[two]
-        same = s1 == s2
-        cell = self.cell = (self.sure2[two] * 16 + self.sure1[one]) * 2 + same
+        a1, a2 = self.held1, self.held2 = self.after1.take(one), self.after2.take(two)
+        s1, s2 = self.s1, self.s2 = a1 >> 4, a2 >> 4
+        self.sure1, self.sure2 = a1 & 15, a2 & 15
+        cell = self.cell = (self.sure2 * 16 + self.sure1) * 2 + (s1 == s2)
         share = (_MIX - 32) / self.seen
-        m2 = np.where(s2 < self.v, (self.right2 * share).astype(np.int64)[cell], 0)
-        m1 = np.where((s1 < self.v) & ~same, (self.right1 * share).astype(np.int64)[cell], 0)
-        self.s1, self.s2, self.m1, self.m2 = s1, s2, m1, m2
-        self.m0 = _MIX - m1 - m2
+        weight2, weight1 = (self.right2 * share).astype(np.int64), (self.right1 * share).astype(np.int64)
+        weight1[1::2] = 0  # cells of equal candidates
+        self.m2, self.m1 = weight2.take(cell) * (s2 < self.v), weight1.take(cell) * (s1 < self.v)
+        self.m0 = _MIX - self.m1 - self.m2
 
     def interval(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Low end and length of each lane's id, out of ``_MIX * total0``."""
-        low = self.m0 * self.below[s] + ((self.s1 < s) * self.m1 + (self.s2 < s) * self.m2) * self.total0
-        size = self.m0 * self.freq[s] + ((self.s1 == s) * self.m1 + (self.s2 == s) * self.m2) * self.total0
+        low = self.m0 * self.below.take(s) + ((self.s1 < s) * self.m1 + (self.s2 < s) * self.m2) * self.total0
+        size = self.m0 * self.freq.take(s) + ((self.s1 == s) * self.m1 + (self.s2 == s) * self.m2) * self.total0
         return low, size
 
-    def symbol(self, value: np.ndarray) -> np.ndarray:
-        """The id whose interval holds each lane's value: below, at, between, at or above the two candidates."""
-        swap = self.s1 < self.s2
-        a, b = np.where(swap, self.s1, self.s2), np.where(swap, self.s2, self.s1)
-        wa, wb = np.where(swap, self.m1, self.m2) * self.total0, np.where(swap, self.m2, self.m1) * self.total0
-        low_a, low_b = self.m0 * self.below[a], self.m0 * self.below[b]
-        past_a = value >= low_a + self.m0 * self.freq[a] + wa
-        in_a = (value >= low_a) & ~past_a
-        rest = value - wa * past_a
-        past_b = past_a & (rest >= low_b + self.m0 * self.freq[b] + wb)
-        in_b = past_a & (rest >= low_b) & ~past_b
-        rest = rest - wb * past_b
-        found = np.searchsorted(self.below, rest // self.m0, side="right") - 1
-        return np.where(in_a, a, np.where(in_b, b, found))
+    def symbol(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The id whose interval holds each lane's value, and the interval: one of the candidates', or by order 0."""
+        low1, size1 = self.interval(self.s1)
+        low2, size2 = self.interval(self.s2)
+        in1, in2 = (value >= low1) & (value < low1 + size1), (value >= low2) & (value < low2 + size2)
+        s, low, size = np.where(in1, self.s1, self.s2), np.where(in1, low1, low2), np.where(in1, size1, size2)
+        lane = np.flatnonzero(~(in1 | in2))
+        if len(lane):
+            value, m0 = value[lane], self.m0[lane]
+            lead = ((value >= low1[lane]) * self.m1[lane] + (value >= low2[lane]) * self.m2[lane]) * self.total0
+            # in order, neighbours are searched next to each other
+            order = np.sort(((value - lead) // m0) * len(s) + lane)
+            found = np.empty(len(s), np.int64)
+            found[order % len(s)] = np.searchsorted(self.below, order // len(s), side="right") - 1
+            s[lane] = own = found[lane]
+            low[lane], size[lane] = m0 * self.below.take(own) + lead, m0 * self.freq.take(own)
+        return s, low, size
 
     def update(self, s: np.ndarray) -> None:
         k = len(s)
         hit1, hit2 = self.s1 == s, self.s2 == s
-        self.seen += np.bincount(self.cell, minlength=512)
-        self.right2 += np.bincount(self.cell[hit2], minlength=512)
-        self.right1 += np.bincount(self.cell[hit1], minlength=512)
-        for at, hit, cand, follow, sure in ((self.at1, hit1, self.s1, self.next1, self.sure1), (self.at2, hit2, self.s2, self.next2, self.sure2)):
-            level = sure[at]
-            follow[at] = np.where(hit | (level > 1), cand, s)
-            sure[at] = np.where(hit, np.minimum(level + 1, 15), level >> 1)
+        seen = np.bincount(self.cell + (hit1 * 512 + hit2 * 1024), minlength=2048).reshape(2, 2, 512)
+        self.seen += seen.sum(axis=(0, 1))
+        self.right2 += seen[1].sum(axis=0)
+        self.right1 += seen[:, 1].sum(axis=0)
+        own = s << 4
+        for at, hit, held, sure, after in ((self.at1, hit1, self.held1, self.sure1, self.after1), (self.at2, hit2, self.held2, self.sure2, self.after2)):
+            after[at] = np.where(hit | (sure > 1), held - sure, own) + _SURER.take(hit * 16 + sure)
         self.fresh.append(s)
         self.steps += 1
         if self.steps < 16 or self.steps % 4 == 0:
@@ -132,76 +139,79 @@ def code_ids(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     lanes = lanes_for(n)
     steps = -(-n // lanes)
-    padded = np.zeros(steps * lanes, np.int64)
+    padded = np.zeros(steps * lanes, np.uint32)
     padded[:n] = ids
     grid = np.ascontiguousarray(padded.reshape(lanes, steps).T)  # a lane holds consecutive ids
     model = Model(vocabulary, lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, _ALL)
-    out = np.zeros((lanes, 3 * steps + 8), np.uint16)
-    at = np.zeros(lanes, np.int64)
+    out = np.zeros((3 * steps + 8) * lanes, np.uint16)  # word after word, of every lane
+    at = np.arange(lanes)
     for t in range(steps):
         k = min(lanes, -(-(n - t) // steps))
-        s = grid[t, :k]
+        s = grid[t, :k].astype(np.int64)
         model.predict(k)
         start, size = model.interval(s)
         unit = span[:k] // np.uint64(_MIX * model.total0)
-        low[:k] += unit * start.astype(np.uint64)
-        span[:k] = unit * size.astype(np.uint64)
-        for lane in _settled(low, span, np.arange(k)):
-            out[lane, at[lane]] = low[lane] >> _TOP_SHIFT
-            at[lane] += 1
-            low[lane] <<= _WORD
-            span[lane] <<= _WORD
+        low[:k] += unit * start.view(np.uint64)
+        span[:k] = unit * size.view(np.uint64)
+        for lane, a in _settled(low, span, k):
+            place = at[lane]
+            out[place] = a >> _TOP_SHIFT
+            at[lane] = place + lanes
         model.update(s)
     for _ in range(4):
-        out[np.arange(lanes), at] = low >> _TOP_SHIFT
-        at += 1
+        out[at] = low >> _TOP_SHIFT
+        at += lanes
         low <<= _WORD
-    return at.astype("<u4"), out[np.arange(out.shape[1]) < at[:, None]].astype("<u2")
-
-
-def _settled(low: np.ndarray, span: np.ndarray, lane: np.ndarray) -> Iterator[np.ndarray]:
-    """Lanes whose top word can move out now, again and again until none can; too short a span is cut to a word's edge."""
-    while len(lane):
-        a, r = low[lane], span[lane]
-        agreed = (a ^ (a + r)) < _TOP
-        short = ~agreed & (r < _BOT)
+    counts = at // lanes
+    used = int(counts.max())
+    return counts.astype("<u4"), out[:used * lanes].reshape(used, lanes).T[np.arange(used) < counts[:, None]].astype("<u2")
+
+
+def _settled(low: np.ndarray, span: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of the first ``k`` lanes those whose top word can move out now, and their low ends before it does, again and
+    again until there are none; too short a span is cut to a word's edge."""
+    lane, a, r = None, low[:k], span[:k]
+    while True:
+        short = r < _BOT
+        moved = np.flatnonzero(((a ^ (a + r)) < _TOP) | short)
+        if not len(moved):
+            return
+        lane, a, r, short = moved if lane is None else lane[moved], a[moved], r[moved], short[moved]
         if short.any():
-            span[lane[short]] = (~a[short] + np.uint64(1)) & (_BOT - np.uint64(1))
-        lane = lane[agreed | short]
-        if len(lane):
-            yield lane
+            short &= (a ^ (a + r)) >= _TOP
+            r[short] = (~a[short] + np.uint64(1)) & (_BOT - np.uint64(1))
+        yield lane, a
+        a, r = a << _WORD, r << _WORD
+        low[lane], span[lane] = a, r
 
 
 def decode_ids(n: int, vocabulary: int, counts: np.ndarray, words: np.ndarray) -> np.ndarray:
     """The ``n`` ids that ``code_ids`` coded."""
     lanes = lanes_for(n)
     steps = -(-n // lanes)
-    starts = np.concatenate(([0], np.cumsum(counts.astype(np.int64))[:-1]))
-    words = np.concatenate([words.astype(np.uint64), np.zeros(8, np.uint64)])
-    at = starts.copy()
+    words = np.concatenate([words, np.zeros(8, "<u2")])
+    at = np.concatenate(([0], np.cumsum(counts.astype(np.int64))[:-1]))
     code = np.zeros(lanes, np.uint64)
     for _ in range(4):
         code = (code << _WORD) | words[at]
         at += 1
     model = Model(vocabulary, lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, _ALL)
-    out = np.zeros((steps, lanes), np.int64)
+    out = np.zeros((steps, lanes), np.uint32)
     for t in range(steps):
         k = min(lanes, -(-(n - t) // steps))
         model.predict(k)
         whole = np.uint64(_MIX * model.total0)
         unit = span[:k] // whole
-        value = np.minimum((code[:k] - low[:k]) // unit, whole - np.uint64(1)).astype(np.int64)
-        s = model.symbol(value)
-        start, size = model.interval(s)
-        low[:k] += unit * start.astype(np.uint64)
-        span[:k] = unit * size.astype(np.uint64)
-        for lane in _settled(low, span, np.arange(k)):
-            code[lane] = (code[lane] << _WORD) | words[at[lane]]
-            at[lane] += 1
-            low[lane] <<= _WORD
-            span[lane] <<= _WORD
+        value = np.minimum((code[:k] - low[:k]) // unit, whole - np.uint64(1)).view(np.int64)
+        s, start, size = model.symbol(value)
+        low[:k] += unit * start.view(np.uint64)
+        span[:k] = unit * size.view(np.uint64)
+        for lane, _ in _settled(low, span, k):
+            place = at[lane]
+            code[lane] = (code[lane] << _WORD) | words[place]
+            at[lane] = place + 1
         model.update(s)
         out[t, :k] = s
     return out.T.reshape(-1)[:n]

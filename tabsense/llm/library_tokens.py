@@ -6,7 +6,7 @@ chunk of a batch is encoded once; chunks seen lately are remembered (bounded).
 ``before_spaces``  byte-level patterns of the kind ``' ?letters| ... |\\s+(?!\\S)|\\s+'`` without a normaliser
                    (see ``common.cuttable``; other texts go to the library whole);
 ``at_spaces``      tokenisers that drop white space: cut at (and drop) blanks, tabs and line ends.  Here a whole batch
-                   is cut, hashed and looked up in numpy (``WordIds``).
+                   is cut, hashed by eight bytes at a time and looked up in numpy (``WordIds``).
 
 Special strings hold no white space, so they stay inside one chunk and the library treats them as in the whole text.
 """
@@ -15,24 +15,78 @@ from __future__ import annotations
 
 import hashlib
 import os
+from collections.abc import Iterator
 from itertools import chain, islice
 
 import numpy as np
 
-from tabsense.llm.common import cuttable
-from tabsense.llm.wordhash import batch_hashes
+from tabsense.llm.common import cuttable, splitmix
+from tabsense.llm.wordhash import byte_runs, word_places
 
 REMEMBERED = 600_000
-#: Words of a ``WordIds`` table (some 150 bytes each).
+#: Words of a ``WordIds`` table (some 100 bytes each).
 WORDS = 1_500_000
+#: Bytes above which a word is hashed and compared alone.
+LONG_WORD = 64
 #: Code points above which a text is worked off alone.
 LONG = 2_000_000
 
 
+_PIECE = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_PIECE_BASE = np.uint64(0x9FB21C651E98DF25)
+
+
+class Grown:
+    """A numpy array that rows are added to, at a cost in proportion to them."""
+
+    def __init__(self, dtype, most: int = 1024):
+        self.held, self.n = np.zeros(most, dtype), 0
+
+    def add(self, rows: np.ndarray) -> None:
+        if self.n + len(rows) > len(self.held):
+            self.held = np.concatenate([self.held[:self.n], np.zeros(self.n + 2 * len(rows), self.held.dtype)])
+        self.held[self.n:self.n + len(rows)] = rows
+        self.n += len(rows)
+
+    @property
+    def rows(self) -> np.ndarray:
+        return self.held[:self.n]
+
+
+class Words:
+    """Words at [first, end) of ``data``, read eight bytes at a time."""
+
+    def __init__(self, data: bytes, first: np.ndarray, end: np.ndarray):
+        padded = data + bytes(8)
+        self.data, self.first, self.end, self.sizes = data, first, end, end - first
+        self.eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+        self.head = self.eights.take(first) & _PIECE.take(np.minimum(self.sizes, 8))
+        self.long = np.flatnonzero(self.sizes > LONG_WORD)
+
+    def __getitem__(self, i: int) -> bytes:
+        return self.data[self.first[i]:self.end[i]]
+
+    def tails(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For 8, 16, ... the words of more bytes (but not the long ones), and their eight bytes from there on."""
+        at, some = 8, np.flatnonzero((self.sizes > 8) & (self.sizes <= LONG_WORD))
+        while len(some):
+            yield at, some, self.eights.take(self.first[some] + at) & _PIECE.take(np.minimum(self.sizes[some] - at, 8))
+            at += 8
+            some = some[self.sizes[some] > at]
+
+    def hashes(self) -> np.ndarray:
+        out = splitmix(self.head * _PIECE_BASE + self.sizes.astype(np.uint64))
+        for _, some, piece in self.tails():
+            out[some] = splitmix(out[some] * _PIECE_BASE + piece)
+        for i in self.long:
+            out[i] = int.from_bytes(hashlib.blake2b(self[i], digest_size=8).digest(), "little")
+        return out
+
+
 class WordIds:
     """Ids of words by their 64-bit hash: open addressing over numpy arrays, so a batch is looked up at once.
 
-    A hit has the stored word's length, and the first word of a batch that has a hash is compared with the stored bytes.
+    All bytes of every word found are compared with the stored word's.
     """
 
     def __init__(self, encode, most: int = WORDS):
@@ -42,64 +96,85 @@ class WordIds:
 
     def _clear(self) -> None:
         self.place = np.full(1 << self.bits, -1, np.int32)
-        self.hashes, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.starts, self.counts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
-        self.words: list[bytes] = []
+        self.hashes, self.heads, self.sizes = Grown(np.uint64), Grown(np.uint64), Grown(np.int32)
+        self.starts, self.counts, self.flat = Grown(np.int64), Grown(np.int32), Grown("<u4")
+        self.spots, self.bytes = Grown(np.int64), Grown(np.uint8)
+
+    def __len__(self) -> int:
+        return self.hashes.n
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Entry of every hash, -1 where there is none."""
         mask = np.uint64((1 << self.bits) - 1)
         at = (hashes & mask).astype(np.int64)
-        entry = self.place[at]
-        if not len(self.hashes):
+        entry, known = self.place.take(at), self.hashes.rows
+        if not len(known):
             return entry
-        todo = np.flatnonzero((entry >= 0) & (self.hashes[entry] != hashes))
+        todo = np.flatnonzero((entry >= 0) & (known.take(entry, mode="wrap") != hashes))
         while len(todo):
             at[todo] = (at[todo] + 1) & int(mask)
             entry[todo] = self.place[at[todo]]
-            todo = todo[(entry[todo] >= 0) & (self.hashes[entry[todo]] != hashes[todo])]
+            todo = todo[(entry[todo] >= 0) & (known[entry[todo]] != hashes[todo])]
         return entry
 
-    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        made = self.encode([w.decode("utf-8", "surrogatepass") for w in words])
+    def _learn(self, hashes: np.ndarray, words: Words, some: np.ndarray) -> None:
+        raw = [words[i] for i in some]
+        made = self.encode([w.decode("utf-8", "surrogatepass") for w in raw])
         counts = np.array([len(m) for m in made], np.int64)
-        first, mask = len(self.hashes), (1 << self.bits) - 1
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
-        self.counts, self.flat = np.concatenate([self.counts, counts]), np.concatenate([self.flat, *made])
-        self.hashes = np.concatenate([self.hashes, hashes])
-        self.sizes = np.concatenate([self.sizes, np.array([len(w) for w in words], np.int64)])
-        self.words += words
+        first, mask = len(self), (1 << self.bits) - 1
+        self.starts.add(self.flat.n + np.cumsum(counts) - counts)
+        self.counts.add(counts)
+        self.flat.add(np.concatenate(made))
+        self.hashes.add(hashes)
+        self.heads.add(words.head[some])
+        sizes = words.sizes[some]
+        self.sizes.add(sizes)
+        self.spots.add(self.bytes.n + np.cumsum(sizes) - sizes)
+        self.bytes.add(np.frombuffer(b"".join(raw) + bytes(8), np.uint8))  # the last word is read by eights, too
         for i, h in enumerate(hashes.tolist()):
             at = h & mask
             while self.place[at] >= 0:
                 at = (at + 1) & mask
             self.place[at] = first + i
 
-    def ids(self, data: bytes, hashes: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _same(self, words: Words, entry: np.ndarray) -> bool:
+        """Whether every word is its entry's, byte by byte."""
+        if (self.sizes.rows.take(entry) != words.sizes).any() or (self.heads.rows.take(entry) != words.head).any():
+            return False
+        held = np.ndarray(self.bytes.n - 7, "<u8", self.bytes.held, strides=(1,))
+        for at, some, piece in words.tails():
+            if ((held.take(self.spots.rows[entry[some]] + at) & _PIECE.take(np.minimum(words.sizes[some] - at, 8))) != piece).any():
+                return False
+        for i in words.long:
+            spot = int(self.spots.rows[entry[i]])
+            if self.bytes.held[spot:spot + int(words.sizes[i])].tobytes() != words[i]:
+                return False
+        return True
+
+    def ids(self, data: bytes, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words at [first, end) of ``data``, one after the other, and how many each has."""
-        if not len(hashes):
+        if not len(first):
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)
-        entry, known = self._find(hashes), len(self.hashes)
+        words = Words(data, first, end)
+        hashes = words.hashes()
+        entry = self._find(hashes)
         new = np.flatnonzero(entry < 0)
         if len(new):
             distinct, where = np.unique(hashes[new], return_index=True)
-            if len(self.hashes) + len(distinct) > self.most and len(self.hashes):
+            if len(self) + len(distinct) > self.most and len(self):
                 self._clear()
-                known = 0
                 distinct, new = np.unique(hashes, return_index=True)
                 where = np.arange(len(new))
             if len(distinct) > self.most:
                 self.bits = (2 * len(distinct)).bit_length()
                 self._clear()
-            self._learn(distinct, [data[first[i]:end[i]] for i in new[where]])
+            self._learn(distinct, words, new[where])
             entry = self._find(hashes)
-        old = np.flatnonzero(entry < known)
-        some = old[np.unique(entry[old], return_index=True)[1]]
-        if (self.sizes[entry] != end - first).any() or any(self.words[entry[i]] != data[first[i]:end[i]] for i in some):
+        if not self._same(words, entry):
             raise ValueError("two words have one 64-bit hash")
-        counts = self.counts[entry]
+        counts = self.counts.rows.take(entry).astype(np.int64)
         before = np.cumsum(counts) - counts
-        return self.flat[np.repeat(self.starts[entry] - before, counts) + np.arange(int(counts.sum()))], counts
+        return self.flat.rows.take(np.repeat(self.starts.rows.take(entry) - before, counts) + np.arange(int(counts.sum()))), counts
 
 
 class ChunkedLibrary:
@@ -113,6 +188,7 @@ class ChunkedLibrary:
         self.tokenizer.no_truncation()
         self.rule, self.counts = rule, counts
         self.seen: dict[str, int | bytes] = {}
+        self.parting = self._parting() if rule == "at_spaces" else None
         self.table = WordIds(self._lists)
 
     def _library(self, chunks: list[str]) -> list[int] | list[bytes]:
@@ -121,21 +197,33 @@ class ChunkedLibrary:
             return list(map(len, made))
         return [np.array(e.ids, "<u4").tobytes() for e in made]
 
+    def _parting(self) -> tuple[str, int] | None:
+        """A control character that stays one id of its own between blanks, and the id."""
+        for sign in "\x01\x02\x03":
+            alone, between = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in (sign, f"a {sign} a"))
+            letter = self.tokenizer.encode("a", add_special_tokens=False).ids
+            if len(alone) == 1 and between == [*letter, *alone, *letter]:
+                return sign, alone[0]
+        return None
+
     def _lists(self, chunks: list[str]) -> list[np.ndarray]:
-        """Ids of each chunk.  A thousand chunks go to the library as one text, parted by a special string, which no
-        token reaches across; chunks that hold such strings, and all of a tokeniser without one, go alone."""
-        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)}
+        """Ids of each chunk.  A thousand chunks go to the library as one text, parted by a control character between
+        blanks, where it cuts anyway; chunks that hold it or could be part of a special string, and all of a tokeniser
+        that has no such character, go alone."""
+        special = [c for t in self.tokenizer.get_added_tokens_decoder().values() for c in (t.content[:1], t.content[-1:])]
         out: list = [None] * len(chunks)
-        parting, odd = next(iter(special), None), [s for s in special if "<" not in s and ">" not in s]
-        plain = [] if parting is None else [i for i, c in enumerate(chunks) if "<" not in c and ">" not in c and not (odd and any(s in c for s in odd))]
-        for at in range(0, len(plain), 1000):
-            run = plain[at:at + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([parting.join(chunks[i] for i in run)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == special[parting]), len(ids)).tolist()
-            start = 0
-            for i, end in zip(run, ends, strict=True):
-                out[i] = ids[start:end]
-                start = end + 1
+        if self.parting is not None:
+            sign, own = self.parting
+            apart = {sign, *special}
+            plain = [i for i, c in enumerate(chunks) if apart.isdisjoint(c)]
+            for at in range(0, len(plain), 1000):
+                run = plain[at:at + 1000]
+                ids = np.array(self.tokenizer.encode_batch_fast([f" {sign} ".join(chunks[i] for i in run)], add_special_tokens=False)[0].ids, "<u4")
+                ends = np.append(np.flatnonzero(ids == own), len(ids)).tolist()
+                start = 0
+                for i, end in zip(run, ends, strict=True):
+                    out[i] = ids[start:end]
+                    start = end + 1
         rest = [i for i, o in enumerate(out) if o is None]
         for at in range(0, len(rest), 20_000):
             run = rest[at:at + 20_000]
@@ -145,9 +233,12 @@ class ChunkedLibrary:
 
     def _by_table(self, texts: list[str | None]) -> list[int] | list[bytes]:
         out: list = []
-        for numbers, data, hashes, offsets, first, end in batch_hashes(texts):
-            ids, counts = self.table.ids(b" ".join(data), hashes, first, end)
-            cuts = np.concatenate(([0], np.cumsum(counts)))[offsets]
+        for _, data in byte_runs(texts):
+            joined = b" ".join(data)
+            first, end = word_places(joined)
+            ids, counts = self.table.ids(joined, first, end)
+            starts = np.cumsum([0] + [len(d) + 1 for d in data])
+            cuts = np.concatenate(([0], np.cumsum(counts)))[np.searchsorted(first, starts)]
             if self.counts:
                 out += np.diff(cuts).tolist()
             else:

@@ -33,9 +33,8 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return splitmix(np.add.reduceat(terms, first) + lengths.astype(np.uint64)), first, end
 
 
-def batch_hashes(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For runs of texts of bounded size (one text at least): their numbers, their bytes, the word hashes of all,
-    the offset of each text's first word (and the end), and the words' places in the joined bytes."""
+def byte_runs(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Runs of texts of bounded size (one text at least): their numbers and their bytes."""
     at = 0
     while at < len(texts):
         numbers, data, size = [], [], 0
@@ -44,12 +43,28 @@ def batch_hashes(texts: list[str | None]) -> Iterator[tuple[list[int], list[byte
             data.append((texts[at] or "").encode("utf-8", "surrogatepass"))
             size += len(data[-1]) + 1
             at += 1
+        yield numbers, data
+
+
+def batch_hashes(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of texts of bounded size (one text at least): their numbers, their bytes, the word hashes of all,
+    the offset of each text's first word (and the end), and the words' places in the joined bytes."""
+    for numbers, data in byte_runs(texts):
         joined = b" ".join(data)
         hashes, first, end = word_hashes(joined)
         starts = np.cumsum([0] + [len(d) + 1 for d in data])
         yield numbers, data, hashes, np.searchsorted(first, starts), first, end
 
 
+def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes' places and ends of the words of UTF-8 text."""
+    raw = np.frombuffer(data, np.uint8)
+    inside = np.zeros(len(raw) + 2, bool)
+    inside[1:-1] = (raw != 0x20) & (raw - np.uint8(0x09) > 4)
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    return edge[::2], edge[1::2]
+
+
 class RunHasher:
     """Hash of any run of words [s, e) of a sequence, independent of where it stands."""
 

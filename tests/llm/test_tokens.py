@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tabsense.llm import bpe, id_files, library_tokens, token_counts
+from tabsense.llm import bpe, id_files, library_tokens, token_counts, wordhash
 
 BPE, PATH3, PATH10 = (P.path(f) for f in ("byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json", "word_bpe_49k.json"))
 SPACED = st.text(st.sampled_from("ab'sé́ \n\t \x1c　!12Σ|<>"), max_size=40)
@@ -92,6 +92,61 @@ def test_token_counts_and_cache(spark, docs_of, odd_rows, tmp_path):
     assert token_counts.count_tokens(df.limit(0), str(tmp_path / "none"), PATH3, "before_spaces").collect() == []
 
 
+def word_table(most=1000):
+    asked = []
+
+    def lengths(words):
+        asked.extend(words)
+        return [np.array([len(w), ord(w[0])], "<u4") for w in words]
+
+    return library_tokens.WordIds(lengths, most), asked
+
+
+def test_word_table_of_all_lengths():
+    words = [c * n for n in (1, 2, 7, 8, 9, 15, 16, 17, 63, 64, 65, 200) for c in "abé"] + ["a" * 64 + "b", "a" * 63 + "b", "aaaaaaaab", "a\0"]
+    table, asked = word_table()
+    text = " ".join([*words, *reversed(words)])
+    for _ in range(2):
+        ids, counts = table.ids(text.encode(), *wordhash.word_places(text.encode()))
+        assert ids.reshape(-1, 2).tolist() == [[len(w), ord(w[0])] for w in text.split(" ")] and set(counts.tolist()) == {2}
+    assert sorted(asked) == sorted(words)  # each once
+    small, again = word_table(4)  # starts anew when full, and grows for a batch that is larger
+    for run in ("a b c", "d e f", "a b c d e f g h"):
+        ids, _ = small.ids(run.encode(), *wordhash.word_places(run.encode()))
+        assert ids.reshape(-1, 2)[:, 1].tolist() == [ord(w) for w in run.split()]
+    assert len(again) == 14
+
+
+@pytest.mark.parametrize("other", ["cd ab", "abcdefghi abcdefghj", "x" * 70 + " " + "x" * 69 + "y"])
+def test_word_table_compares_every_word(monkeypatch, other):
+    """Also those that share a hash with a word of the same batch."""
+    monkeypatch.setattr(library_tokens.Words, "hashes", lambda self: self.sizes.astype(np.uint64))
+    with pytest.raises(ValueError, match="one 64-bit hash"):
+        word_table()[0].ids(other.encode(), *wordhash.word_places(other.encode()))
+
+
+def test_new_words_go_to_the_library_together(monkeypatch):
+    """By blanks and a control character, not one by one; words that hold it or a special string's ends go alone."""
+    own = library_tokens.ChunkedLibrary(PATH10, "at_spaces", False)
+    calls = []
+
+    class Told:
+        def __getattr__(self, name):
+            return getattr(plain, name)
+
+        def encode_batch_fast(self, texts, **more):
+            calls.append(texts)
+            return plain.encode_batch_fast(texts, **more)
+
+    plain = own.tokenizer
+    own.tokenizer = Told()
+    words = [f"wörd{i}'s" for i in range(1500)] + ["\x01", "a\x01b", "<|endoftext|>", "x<y", "\x02", "Σ\u0301", "\u0301a"]
+    got = own.encode([" ".join(words), None, ""])
+    assert np.frombuffer(got[0], "<u4").tolist() == [i for w in words for i in plain.encode(w, add_special_tokens=False).ids]
+    assert got[1:] == [b"", b""]
+    assert [len(c) for c in calls] == [1, 1, 4] and calls[0][0].count(" \x01 ") == 999
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 60), max_size=200), max_size=6), st.integers(0, 3))
 def test_blocks_round_trip(docs, repeat):
@@ -116,6 +171,16 @@ def test_blocks_compress_and_tell_damage():
         id_files.pack_block([1], [common], 10)
 
 
+def test_block_bytes_stay():
+    """Blocks written earlier are read, and the same ids give the same bytes."""
+    x = np.arange(150_000, dtype=np.int64)
+    ids = np.where(x % 3, (x * x // 7) % 97, (x // 5) * 2654435761 % 3001).astype(np.uint32)
+    block = id_files.pack_block([7, None], [ids[:60_001], ids[60_001:]], 3001)
+    assert hashlib.sha256(block).hexdigest() == "fbf354d5067678c6573e095aeccbaed6177cb872d8dbf94ef2d45ae3940e9783"
+    keys, docs = id_files.unpack_block(block)
+    assert keys == [7, None] and (np.concatenate(docs) == ids).all()
+
+
 def test_id_files(spark, docs_of, odd_rows, tmp_path):
     folder = str(tmp_path / "ids")
     id_files.write_ids(docs_of(odd_rows), folder, PATH10, 49_408, end_id=2, parts=3)
