@@ -6,7 +6,9 @@ chunk of a batch is encoded once; chunks seen lately are remembered (bounded).
 ``before_spaces``  byte-level patterns of the kind ``' ?letters| ... |\\s+(?!\\S)|\\s+'`` without a normaliser
                    (see ``common.cuttable``; other texts go to the library whole);
 ``at_spaces``      tokenisers that drop white space: cut at (and drop) blanks, tabs and line ends.  Here a whole batch
-                   is cut, hashed by eight bytes at a time and looked up in numpy (``WordIds``).
+                   is cut, hashed by eight bytes at a time and looked up in numpy (``WordIds``).  Where the file has
+                   exactly the normaliser and pattern of ``FINER``, words are also cut between ASCII letters, digits
+                   and signs and looked up in lower case.
 
 Special strings hold no white space, so they stay inside one chunk and the library treats them as in the whole text.
 """
@@ -14,6 +16,7 @@ Special strings hold no white space, so they stay inside one chunk and the libra
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from itertools import chain, islice
@@ -21,13 +24,18 @@ from itertools import chain, islice
 import numpy as np
 
 from tabsense.llm.common import cuttable, splitmix
-from tabsense.llm.wordhash import byte_runs, word_places
+from tabsense.llm.wordhash import byte_runs, lowered, piece_places, word_places
 
 REMEMBERED = 600_000
 #: Words of a ``WordIds`` table (some 100 bytes each).
 WORDS = 1_500_000
 #: Bytes above which a word is hashed and compared alone.
 LONG_WORD = 64
+#: Normaliser and pre-tokeniser under which no token reaches across ``piece_places`` and ASCII letters count in lower case.
+FINER = ({"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+         {"type": "Sequence", "pretokenizers": [
+             {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+             {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]})
 #: Code points above which a text is worked off alone.
 LONG = 2_000_000
 
@@ -57,10 +65,9 @@ class Words:
     """Words at [first, end) of ``data``, read eight bytes at a time."""
 
     def __init__(self, data: bytes, first: np.ndarray, end: np.ndarray):
-        padded = data + bytes(8)
         self.data, self.first, self.end, self.sizes = data, first, end, end - first
-        self.eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
-        self.head = self.eights.take(first) & _PIECE.take(np.minimum(self.sizes, 8))
+        self.eights = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))  # at every byte
+        self.head = self.eights[first] & _PIECE.take(np.minimum(self.sizes, 8))
         self.long = np.flatnonzero(self.sizes > LONG_WORD)
 
     def __getitem__(self, i: int) -> bytes:
@@ -70,7 +77,7 @@ class Words:
         """For 8, 16, ... the words of more bytes (but not the long ones), and their eight bytes from there on."""
         at, some = 8, np.flatnonzero((self.sizes > 8) & (self.sizes <= LONG_WORD))
         while len(some):
-            yield at, some, self.eights.take(self.first[some] + at) & _PIECE.take(np.minimum(self.sizes[some] - at, 8))
+            yield at, some, self.eights[self.first[some] + at] & _PIECE.take(np.minimum(self.sizes[some] - at, 8))
             at += 8
             some = some[self.sizes[some] > at]
 
@@ -131,11 +138,12 @@ class WordIds:
         self.sizes.add(sizes)
         self.spots.add(self.bytes.n + np.cumsum(sizes) - sizes)
         self.bytes.add(np.frombuffer(b"".join(raw) + bytes(8), np.uint8))  # the last word is read by eights, too
-        for i, h in enumerate(hashes.tolist()):
-            at = h & mask
-            while self.place[at] >= 0:
-                at = (at + 1) & mask
-            self.place[at] = first + i
+        at, todo = (hashes & np.uint64(mask)).astype(np.int64), np.arange(len(hashes))
+        while len(todo):
+            free = todo[self.place[at[todo]] < 0]
+            self.place[at[free]] = first + free  # of two that meet, the later one stays
+            todo = todo[self.place[at[todo]] != first + todo]
+            at[todo] = (at[todo] + 1) & mask
 
     def _same(self, words: Words, entry: np.ndarray) -> bool:
         """Whether every word is its entry's, byte by byte."""
@@ -143,7 +151,7 @@ class WordIds:
             return False
         held = np.ndarray(self.bytes.n - 7, "<u8", self.bytes.held, strides=(1,))
         for at, some, piece in words.tails():
-            if ((held.take(self.spots.rows[entry[some]] + at) & _PIECE.take(np.minimum(words.sizes[some] - at, 8))) != piece).any():
+            if ((held[self.spots.rows[entry[some]] + at] & _PIECE.take(np.minimum(words.sizes[some] - at, 8))) != piece).any():
                 return False
         for i in words.long:
             spot = int(self.spots.rows[entry[i]])
@@ -188,7 +196,11 @@ class ChunkedLibrary:
         self.tokenizer.no_truncation()
         self.rule, self.counts = rule, counts
         self.seen: dict[str, int | bytes] = {}
-        self.parting = self._parting() if rule == "at_spaces" else None
+        at_spaces = rule == "at_spaces"
+        self.parting, self.ends = self._parting() if at_spaces else None, self._ends() if at_spaces else None
+        added, made = self.tokenizer.get_added_tokens_decoder().values(), json.loads(self.tokenizer.to_str())
+        self.special = [t.content.encode() for t in added]
+        self.finer = at_spaces and (made["normalizer"], made["pre_tokenizer"]) == FINER and not any(t.normalized for t in added)
         self.table = WordIds(self._lists)
 
     def _library(self, chunks: list[str]) -> list[int] | list[bytes]:
@@ -206,19 +218,41 @@ class ChunkedLibrary:
                 return sign, alone[0]
         return None
 
+    def _ends(self) -> np.ndarray | None:
+        """Of every id whether it ends a pre-token; nothing if the model doesn't mark that."""
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if not suffix:
+            return None
+        vocabulary = self.tokenizer.get_vocab()
+        out = np.zeros(max(vocabulary.values()) + 1, bool)
+        out[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        return out
+
+    def _together(self, chunks: list[str], between: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([between.join(chunks)], add_special_tokens=False)[0].ids, "<u4")
+
     def _lists(self, chunks: list[str]) -> list[np.ndarray]:
-        """Ids of each chunk.  A thousand chunks go to the library as one text, parted by a control character between
-        blanks, where it cuts anyway; chunks that hold it or could be part of a special string, and all of a tokeniser
-        that has no such character, go alone."""
+        """Ids of each chunk.  A thousand chunks go to the library as one text: those of letters only parted by blanks,
+        if that gives as many ends of pre-tokens as there are chunks; others parted by a control character between
+        blanks, where the library cuts anyway.  Chunks that hold it or could be part of a special string, and all of a
+        tokeniser that has no such character, go alone."""
         special = [c for t in self.tokenizer.get_added_tokens_decoder().values() for c in (t.content[:1], t.content[-1:])]
         out: list = [None] * len(chunks)
         if self.parting is not None:
             sign, own = self.parting
             apart = {sign, *special}
-            plain = [i for i, c in enumerate(chunks) if apart.isdisjoint(c)]
+            letters = [i for i, c in enumerate(chunks) if c.isalpha() and apart.isdisjoint(c)] if self.ends is not None else []
+            for at in range(0, len(letters), 1000):
+                run = letters[at:at + 1000]
+                ids = self._together([chunks[i] for i in run], " ")
+                cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+                if len(cuts) == len(run) and cuts[-1] == len(ids):
+                    for i, start, end in zip(run, [0, *cuts], cuts):
+                        out[i] = ids[start:end]
+            plain = [i for i, c in enumerate(chunks) if out[i] is None and apart.isdisjoint(c)]
             for at in range(0, len(plain), 1000):
                 run = plain[at:at + 1000]
-                ids = np.array(self.tokenizer.encode_batch_fast([f" {sign} ".join(chunks[i] for i in run)], add_special_tokens=False)[0].ids, "<u4")
+                ids = self._together([chunks[i] for i in run], f" {sign} ")
                 ends = np.append(np.flatnonzero(ids == own), len(ids)).tolist()
                 start = 0
                 for i, end in zip(run, ends, strict=True):
@@ -235,7 +269,12 @@ class ChunkedLibrary:
         out: list = []
         for _, data in byte_runs(texts):
             joined = b" ".join(data)
-            first, end = word_places(joined)
+            lower = lowered(joined) if self.finer else joined
+            if self.finer and not any(s in joined or s in lower for s in self.special):
+                joined = lower
+                first, end = piece_places(joined)
+            else:
+                first, end = word_places(joined)
             ids, counts = self.table.ids(joined, first, end)
             starts = np.cumsum([0] + [len(d) + 1 for d in data])
             cuts = np.concatenate(([0], np.cumsum(counts)))[np.searchsorted(first, starts)]

@@ -65,6 +65,39 @@ def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+_OTHER, _BLANK, _LETTER, _DIGIT, _SIGN, _QUOTE = range(6)
+_KIND = bytearray(256)
+for _c in range(0x21, 0x7F):
+    _KIND[_c] = _LETTER if chr(_c).isalpha() else _DIGIT if chr(_c).isdigit() else _QUOTE if _c == 0x27 else _SIGN
+for _c in (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D):
+    _KIND[_c] = _BLANK
+#: Whether to cut between a byte of one kind and the next byte's kind: around blanks, digits and where letters end or,
+#: but not after a quote, begin.
+_CUT = np.zeros((8, 8), bool)
+_CUT[_LETTER, [_DIGIT, _SIGN, _QUOTE]] = _CUT[_SIGN, [_LETTER, _DIGIT]] = _CUT[_QUOTE, _DIGIT] = _CUT[_DIGIT, _LETTER:] = True
+_CUT[:, _BLANK] = _CUT[_BLANK] = True
+_CUTS = bytes(_CUT.reshape(-1).astype(np.uint8)) + bytes(192)
+
+
+def piece_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes' places and ends of the pieces of the words of UTF-8 text: runs of ASCII letters, single ASCII digits,
+    and runs of other ASCII signs with, after an apostrophe, the letters that follow it.  Nothing is cut beside other
+    characters."""
+    kinds = np.frombuffer(b"\x01" + data.translate(bytes(_KIND)) + b"\x01", np.uint8)
+    pairs = (kinds[:-1] << 3) | kinds[1:]
+    edge = np.flatnonzero(np.frombuffer(pairs.tobytes().translate(_CUTS), bool))
+    inside = kinds[1:].take(edge[:-1]) != _BLANK
+    return edge[:-1][inside], edge[1:][inside]
+
+
+def lowered(data: bytes) -> bytes:
+    """UTF-8 text with A-Z in lower case where no other than an ASCII character follows (none that could join them)."""
+    raw = np.frombuffer(data, np.uint8)
+    upper = raw - np.uint8(0x41) < 26
+    upper[:-1] &= raw[1:] < 0x80
+    return (raw + upper * np.uint8(0x20)).tobytes()
+
+
 class RunHasher:
     """Hash of any run of words [s, e) of a sequence, independent of where it stands."""
 

@@ -128,7 +128,7 @@ def test_word_table_compares_every_word(monkeypatch, other):
 def test_new_words_go_to_the_library_together(monkeypatch):
     """By blanks and a control character, not one by one; words that hold it or a special string's ends go alone."""
     own = library_tokens.ChunkedLibrary(PATH10, "at_spaces", False)
-    calls = []
+    own.finer, calls = False, []
 
     class Told:
         def __getattr__(self, name):
@@ -171,6 +171,26 @@ def test_blocks_compress_and_tell_damage():
         id_files.pack_block([1], [common], 10)
 
 
+ODD = st.text(st.one_of(st.sampled_from("abJKISD'strevmlld.,!=<|>-_3٣Ⅷ é\u030c\u0301\u0338\u0307\u20e3İǰſΣσς\x00\x01\x1c\x7f\x85\u3000\u1100\u1161 \t"), st.characters(exclude_categories=["Cs"])), max_size=30)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.one_of(ODD, st.sampled_from(["<|ENDOFTEXT|>", "x<|endoftext|>y, Z", "it's We'Ll, O'Dog 3's '3"])), max_size=5))
+def test_finer_pieces_equal_library(texts):
+    own = library_tokens.load(PATH10, "at_spaces")
+    assert own.finer
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_pieces_meet_once_in_any_case():
+    own = library_tokens.ChunkedLibrary(PATH10, "at_spaces", False)
+    texts = ["Word, word. (WORD) word;word 1word2", "WORD!word's Word'S İstanbul Istanbul J\u030c j\u030c", None]
+    got = own.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [own.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    found = {bytes(own.table.bytes.held[s:s + n]).decode() for s, n in zip(own.table.spots.rows, own.table.sizes.rows)}
+    assert found == {"word", ",", ".", "(", ")", ";", "1", "2", "!", "'s", "İstanbul", "istanbul", "J\u030c", "j\u030c"} and len(own.table) == len(found)
+
+
 def test_block_bytes_stay():
     """Blocks written earlier are read, and the same ids give the same bytes."""
     x = np.arange(150_000, dtype=np.int64)
