@@ -36,6 +36,8 @@ _SHAPES = {
     "yyyy-M-d H:m:s": r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$",
     "yyyy-M-d'T'H:m:s": r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$",
 }
+# What all shapes have in common.
+_SHORTEST, _ANY_SHAPE = 8, r"^\d[\d/.:T -]+\d$"
 
 
 def parse_with(c: Column, spark_fmt: str) -> Column:
@@ -47,7 +49,9 @@ def parse_any(c: Column) -> Column:
     """Free parsing: the first format of the list that fits, then ISO
     date-times.  (Our documented contract for pandas' free parser.)"""
     s = F.trim(c.cast("string"))
-    return F.coalesce(*[parse_with(s, f) for f in SPARK_DATE_FORMATS + SPARK_ISO_TIMES])
+    # other texts meet one pattern instead of one a format
+    may_be = (F.length(s) >= _SHORTEST) & s.rlike(_ANY_SHAPE)
+    return F.when(may_be, F.coalesce(*[parse_with(s, f) for f in SPARK_DATE_FORMATS + SPARK_ISO_TIMES]))
 
 
 def duck_parse_any(expr: str) -> str:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tabsense.functions.numeric import col
 from tabsense.functions.schema import numeric_cols, text_cols, without_nan
 from tabsense.operators.quantiles import column_ranges, exact_quantiles, quartile_fences
+from tabsense.session import materialize
 
 
 def top_k_per_group(df: DataFrame, group: str, order: list, k: int) -> DataFrame:
@@ -38,10 +39,21 @@ def _one_row_per_column(agg: DataFrame, cols: list[str], fields: dict[str, str])
     return agg.select(F.inline(F.array(*items)))
 
 
-def describe_numeric(df: DataFrame, cols: list[str] | None = None, quartiles: dict | None = None) -> DataFrame:
+def moments(df: DataFrame, cols: list[str]) -> tuple[dict, dict]:
+    """Ranges and all moments that the two tables below need, from one scan for both."""
+    def extra(i, c):
+        x = col(c).cast("double")
+        return [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"), F.var_pop(x).alias(f"vpop{i}"),
+                F.skewness(x).alias(f"g1_{i}"), F.kurtosis(x).alias(f"g2_{i}")]
+    return column_ranges(df, cols, extra, extra_fields=17)
+
+
+def describe_numeric(df: DataFrame, cols: list[str] | None = None, quartiles: dict | None = None,
+                     found: tuple[dict, dict] | None = None) -> DataFrame:
     """count, mean, std (n-1), min, 25 %, 50 %, 75 %, max per numeric column.
     Moments, counts and ranges come from one scan; the quartiles from the
-    refinement passes (or the caller, who may need them elsewhere, too)."""
+    refinement passes (or the caller, who may need them elsewhere, too;
+    ``found``: from :func:`moments`)."""
     cols = cols if cols is not None else numeric_cols(df)
     df = without_nan(df, cols)
     schema = ("column string, count long, mean double, std double, min double, "
@@ -49,14 +61,15 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None, quartiles: di
     def extra(i, c):
         x = col(c).cast("double")
         return [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}")]
-    ranges, r = column_ranges(df, cols, extra, extra_fields=5)
+    ranges, r = found or column_ranges(df, cols, extra, extra_fields=5)
     qs = quartiles or exact_quantiles(df, cols, [0.25, 0.5, 0.75], ranges)
     rows = [(c, ranges[c][0], r[f"mean{i}"], r[f"std{i}"], ranges[c][1], *qs[c], ranges[c][2])
             for i, c in enumerate(cols)]
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def describe_advanced(df: DataFrame, cols: list[str] | None = None, quartiles: dict | None = None) -> DataFrame:
+def describe_advanced(df: DataFrame, cols: list[str] | None = None, quartiles: dict | None = None,
+                      found: tuple[dict, dict] | None = None) -> DataFrame:
     """median, variance, std, coefficient of variation, skew, kurtosis.
 
     The scan computes plain moments only (Spark's central-moment
@@ -69,7 +82,7 @@ def describe_advanced(df: DataFrame, cols: list[str] | None = None, quartiles: d
         x = col(c).cast("double")
         return [F.avg(x).alias(f"mean{i}"), F.var_pop(x).alias(f"vpop{i}"),
                 F.skewness(x).alias(f"g1_{i}"), F.kurtosis(x).alias(f"g2_{i}")]
-    ranges, r = column_ranges(df, cols, extra, extra_fields=14)
+    ranges, r = found or column_ranges(df, cols, extra, extra_fields=14)
     medians = {c: v[1:2] for c, v in quartiles.items()} if quartiles else exact_quantiles(df, cols, [0.5], ranges)
     rows = []
     for i, c in enumerate(cols):
@@ -119,12 +132,17 @@ def _stack_text(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(F.explode(F.array(*items)).alias("s")).select("s.column", "s.value")
 
 
-def text_uniques(df: DataFrame, cols: list[str] | None = None, k: int = 20) -> DataFrame:
+def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, value, n): how often every non-null value occurs in each column."""
+    return _stack_text(df, cols).where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def text_uniques(df: DataFrame, cols: list[str] | None = None, k: int = 20, counted: DataFrame | None = None) -> DataFrame:
     """Number of distinct non-null values and the first ``k`` in sorted order
     (joined by ", ").  The distinct set is one shuffle; the k smallest per
     column come from a per-column top-k (see :func:`top_k_per_group`)."""
     cols = cols if cols is not None else text_cols(df)
-    distinct = _stack_text(df, cols).where(F.col("value").isNotNull()).groupBy("column", "value").count()
+    distinct = counted if counted is not None else value_counts(df, cols)
     counts = distinct.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
     firsts = top_k_per_group(distinct, "column", [F.col("value")], k).select("column", "value")
     listed = firsts.groupBy("column").agg(
@@ -132,12 +150,11 @@ def text_uniques(df: DataFrame, cols: list[str] | None = None, k: int = 20) -> D
     return counts.join(listed, "column")
 
 
-def text_describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def text_describe(df: DataFrame, cols: list[str] | None = None, counted: DataFrame | None = None) -> DataFrame:
     """pandas ``describe()`` of text columns: count, unique, top, freq.
     Ties for ``top`` go to the smallest value."""
     cols = cols if cols is not None else text_cols(df)
-    stacked = _stack_text(df, cols).where(F.col("value").isNotNull())
-    freq = stacked.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    freq = counted if counted is not None else value_counts(df, cols)
     per = freq.groupBy("column").agg(
         F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"),
         F.min(F.struct((-F.col("n")).alias("neg"), F.col("value").alias("v"))).alias("m"))
@@ -149,9 +166,15 @@ def _words(c):
     return F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != F.lit(""))
 
 
-def avg_word_count(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Mean number of whitespace-separated words over non-null values."""
+def avg_word_count(df: DataFrame, cols: list[str] | None = None, counted: DataFrame | None = None) -> DataFrame:
+    """Mean number of whitespace-separated words over non-null values; with ``counted`` (from :func:`value_counts`) every
+    distinct value is split once."""
     cols = cols if cols is not None else text_cols(df)
+    if counted is not None:
+        sized = counted.select("column", "n", (F.size(_words(F.col("value"))) * F.col("n")).alias("words"))
+        agg = sized.agg(*[F.try_divide(F.sum(F.when(F.col("column") == c, F.col("words"))), F.sum(F.when(F.col("column") == c, F.col("n"))))
+                          .alias(f"avg_words{i}") for i, c in enumerate(cols)])
+        return _one_row_per_column(agg, cols, {"avg_words": "double"})
     agg = df.agg(*[F.avg(F.size(_words(col(c)))).alias(f"avg_words{i}") for i, c in enumerate(cols)])
     return _one_row_per_column(agg, cols, {"avg_words": "double"})
 
@@ -184,7 +207,8 @@ def pca_scaled(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def profile_all(df: DataFrame) -> DataFrame:
     """Every statistic above as one tidy table (section, column, metric,
-    value, text): numbers in ``value`` (double), words in ``text``."""
+    value, text): numbers in ``value`` (double), words in ``text``.  What several
+    of them need is found once: moments, quartiles, the counts of text values."""
     from tabsense.operators.profile import categories_of, null_profile
     cats = categories_of(df)
     num, txt = cats["numeric"], cats["text"]
@@ -199,15 +223,17 @@ def profile_all(df: DataFrame) -> DataFrame:
         return frame.select(F.lit(section).alias("section"), "column", F.inline(F.array(*items)))
 
     if num:
-        quartiles = exact_quantiles(df, num, [0.25, 0.5, 0.75])  # once for all three tables
-        parts.append(tidy("describe", describe_numeric(df, num, quartiles),
+        found = moments(df, num)
+        quartiles = exact_quantiles(df, num, [0.25, 0.5, 0.75], found[0])
+        parts.append(tidy("describe", describe_numeric(df, num, quartiles, found),
                           ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]))
-        parts.append(tidy("advanced", describe_advanced(df, num, quartiles),
+        parts.append(tidy("advanced", describe_advanced(df, num, quartiles, found),
                           ["median", "variance", "std", "cv", "skew", "kurtosis"]))
         parts.append(tidy("outliers", outlier_counts(df, num, quartiles=quartiles), ["outliers"]))
     if txt:
-        parts.append(tidy("text_uniques", text_uniques(df, txt), ["n_unique", "first_values"]))
-        parts.append(tidy("text_describe", text_describe(df, txt), ["count", "unique", "top", "freq"]))
-        parts.append(tidy("text_words", avg_word_count(df, txt), ["avg_words"]))
+        counted = materialize(value_counts(df, txt), "values")
+        parts.append(tidy("text_uniques", text_uniques(df, txt, counted=counted), ["n_unique", "first_values"]))
+        parts.append(tidy("text_describe", text_describe(df, txt, counted), ["count", "unique", "top", "freq"]))
+        parts.append(tidy("text_words", avg_word_count(df, txt, counted), ["avg_words"]))
     parts.append(tidy("missing", null_profile(df), ["null_count"]))
     return reduce(DataFrame.unionByName, parts)

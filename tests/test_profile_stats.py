@@ -1,8 +1,10 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from tabsense.operators import profile, stats
+from tabsense.functions import dates
+from tabsense.operators import profile, quantiles, stats
 from tabsense.plans.fixtures import fixture
 from tabsense.sources.tables import read_table
 
@@ -118,3 +120,42 @@ def test_duplicate_summary_groups_no_runs(spark, monkeypatch):
             len({v for v, n in runs if n == 1 and total[v] > 1}), sum(n for n in total.values() if n > 1))
     for bucket in (1, 7, 1 << 20):
         assert tuple(profile.duplicate_summary(df, bucket).first()) == want
+
+
+def test_profile_all_scans_once_for_what_tables_share(spark, monkeypatch):
+    """Moments come from one scan for all tables that need them, text values from one count."""
+    rows = [(i, None if i % 7 == 0 else float(i % 50), None if i % 5 == 0 else f"w{i % 3} {'x ' * (i % 4)}", None, "2020-01-0%d" % (1 + i % 9)) for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id long, a double, t string, empty string, day string")
+    want = {("describe", "a", "mean"): stats.describe_numeric(df).first()["mean"], ("advanced", "a", "skew"): stats.describe_advanced(df).first()["skew"]}
+    for r in stats.text_describe(df, ["t", "empty"]).collect():
+        want |= {("text_describe", r["column"], m): r[m] for m in ("count", "unique", "top", "freq")}
+    want |= {("text_words", r["column"], "avg_words"): r["avg_words"] for r in stats.avg_word_count(df, ["t", "empty"]).collect()}
+    want |= {("text_uniques", r["column"], "first_values"): r["first_values"] for r in stats.text_uniques(df, ["t", "empty"]).collect()}
+    calls = []
+    for name in ("column_ranges", "_stack_text"):
+        monkeypatch.setattr(stats, name, lambda *a, _f=getattr(stats, name), _n=name, **k: calls.append(_n) or _f(*a, **k))
+    monkeypatch.setattr(quantiles, "column_ranges", lambda *a, **k: pytest.fail("ranges are known"))
+    got = {(r["section"], r["column"], r["metric"]): r["text"] if r["value"] is None else r["value"] for r in stats.profile_all(df).collect()}
+    assert sorted(calls) == ["_stack_text", "column_ranges"]
+    assert got["missing", "empty", "null_count"] == 400 and ("text_describe", "day", "count") not in got  # a date column
+    for at, value in want.items():
+        assert got[at] == (pytest.approx(value) if isinstance(value, float) else value)
+
+
+def test_ranks_among_few_and_many_edges(spark, monkeypatch):
+    values = [float("-inf"), -1.0, 0.0, 0.5, 1.0, 2.0, float("inf"), None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    edges = [float("-inf"), 0.0, 0.0, 1.0, float("inf")]
+    ask = lambda: [tuple(r) for r in df.select(quantiles._rank_in(edges, F.col("x"), False), quantiles._rank_in(edges, F.col("x"), True)).collect()][:-1]
+    few = ask()
+    assert few == [(sum(e <= v for e in edges), sum(e < v for e in edges)) for v in values[:-1]]
+    monkeypatch.setattr(quantiles, "FEW_EDGES", 0)
+    assert ask() == few
+
+
+def test_texts_that_are_no_dates_meet_one_pattern(spark):
+    texts = ["2020-1-1", "1/1/2020", "20200131", " 31.12.1999 ", "2020-01-02 03:04:05", "2020-01-02T3:4:5", "2020-13-45", "99999999", "1/1/20", "", "a", "2020-01-0x", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    each = F.coalesce(*[dates.parse_with(F.trim("t"), f) for f in dates.SPARK_DATE_FORMATS + dates.SPARK_ISO_TIMES])
+    rows = df.orderBy("i").select(dates.parse_any(F.col("t")).cast("string").alias("a"), each.cast("string").alias("b")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows] and [r["a"] is not None for r in rows] == [True] * 6 + [False] * 7
