@@ -25,6 +25,8 @@ from tabsense.llm.common import arrow_map, cuttable, powers, splitmix
 _P1, _P2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Chunks (a word with the space before it), and merged pre-tokens, that a worker remembers before it forgets them all.
 REMEMBERED = 600_000
+#: The same for a worker that has other steps' work to do as well (a remembered one takes some 340 bytes).
+REMEMBERED_BESIDE = 100_000
 #: Chunks or pre-tokens in hand at once.
 RUN = 400_000
 
@@ -160,8 +162,8 @@ def merge_linked(token: list[int], pairs: dict[int, int]) -> tuple[int, ...]:
 class ByteBpe:
     """Encoder and decoder of one vocabulary (tokens in rank order, all 256 bytes among them)."""
 
-    def __init__(self, tokens: list[bytes], pattern: str):
-        self.tokens = tokens
+    def __init__(self, tokens: list[bytes], pattern: str, remembered: int | None = None):
+        self.tokens, self.remembered = tokens, remembered
         self.ranks = {t: i for i, t in enumerate(tokens)}
         self.pairs = pair_table(self.ranks)
         self.byte_rank = [self.ranks[bytes([b])] for b in range(256)]
@@ -173,7 +175,7 @@ class ByteBpe:
     def lookup(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
         """Ids of distinct pre-tokens: the perfect hash for those in the vocabulary, merges for the others."""
         pairs, of, merged = self.pairs, self.byte_rank, self.merged
-        if len(merged) > REMEMBERED:
+        if len(merged) > (self.remembered or REMEMBERED):
             merged.clear()
         found = {p: merged[p] for p in pieces if p in merged}
         asked = [p for p in pieces if p not in found]
@@ -216,7 +218,7 @@ class ByteBpe:
     def _give(self, held: list[list[str]]) -> Iterator[Iterator[list[int]]]:
         """``held``: texts split at spaces; a part but the first of its text stands for the part with its space."""
         seen, split = self.seen, self.split
-        if len(seen) > REMEMBERED:
+        if len(seen) > (self.remembered or REMEMBERED):
             seen.clear()
         new = [(p, split.findall(" " + p)) for p in dict.fromkeys(chain.from_iterable(islice(x, 1, None) for x in held)) if p not in seen]
         first = [split.findall(x[0]) for x in held]
@@ -232,14 +234,14 @@ class ByteBpe:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_LOADED: dict[tuple[str, str], ByteBpe] = {}
+_LOADED: dict[tuple[str, str, int | None], ByteBpe] = {}
 
 
-def load(path: str, pattern: str) -> ByteBpe:
-    """The codec of a rank file, built once in each process."""
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = ByteBpe(read_ranks(path), pattern)
-    return _LOADED[path, pattern]
+def load(path: str, pattern: str, remembered: int | None = None) -> ByteBpe:
+    """The codec of a rank file, built once in each process; ``remembered`` instead of ``REMEMBERED``."""
+    if (path, pattern, remembered) not in _LOADED:
+        _LOADED[path, pattern, remembered] = ByteBpe(read_ranks(path), pattern, remembered)
+    return _LOADED[path, pattern, remembered]
 
 
 def encode_column(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -309,7 +311,7 @@ def encoded_documents(df: DataFrame, path: str, pattern: str, text: str = "text"
                        + ["ids array<int>", "n_tokens long", "decoded_sha256 string"])
 
     def run(batch: pa.RecordBatch) -> dict:
-        codec = load(path, pattern)
+        codec = load(path, pattern, REMEMBERED_BESIDE)
         arrays, digests = [], []
         for runs in codec.encode_batch(batch.column(text).to_pylist()):
             over, own = hashlib.sha256(), []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 import os
@@ -92,6 +93,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a Python worker lives on after its task, beside the next steps' tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(ctypes.CDLL(None), "malloc_trim"):  # glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``materialize`` with no more files than keep every core busy (four a core): a table of many tiny partitions
     would cost a file, its checksum file and their permissions each."""
@@ -111,6 +119,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dic
                     arrays = [pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], pa.Array)
                               else columns[f.name].cast(f.type) for f in arrow]
                     yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        trim()
 
     return df.mapInArrow(run, schema)
 

@@ -37,6 +37,8 @@ BANDS, ROWS = 44, 7
 SKETCH, SLACK = 256, 4.5
 #: Members of a block, each side, and bytes of their multisets.
 BLOCK_ROWS, BLOCK_BYTES = 4096, 64_000_000
+#: Texts that get their signatures at once, and elements of a block's multisets that are compared with a text's at once.
+BATCH_ROWS, COMPARED = 64, 500_000
 _SHINGLE_BASE = 0x9E6C63D0876A9A47
 
 
@@ -139,7 +141,7 @@ def signatures(docs: DataFrame, n: int = SHINGLE, bands: int = BANDS, rows: int
                    "total": np.bincount(owner, weights=weight, minlength=len(sets)).astype(np.int64), "keys": flat,
                    "sketch": pa.array(list(sketch), pa.list_(pa.int16()))}
 
-    return arrow_map(docs, run, "doc long, d1 long, d2 long, total long, keys array<long>, sketch array<smallint>", batch_rows=512)
+    return arrow_map(docs, run, "doc long, d1 long, d2 long, total long, keys array<long>, sketch array<smallint>", batch_rows=BATCH_ROWS)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
@@ -297,6 +299,15 @@ def across(members: DataFrame, classes: DataFrame, sigs: DataFrame, texts: DataF
     return few.groupBy(cell).cogroup(every.groupBy(*[f"y_{x}" for x in cell])).applyInArrow(block, "a long, b long")
 
 
+def _common(e: np.ndarray, w: np.ndarray, elements: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
+    """What the multiset (e, w) has in common with each of some others, none empty."""
+    flat, flat_w = np.concatenate(elements), np.concatenate(weights)
+    at = np.minimum(np.searchsorted(e, flat), len(e) - 1)
+    low = np.where(e[at] == flat, np.minimum(w[at], flat_w), 0).astype(np.int64)
+    sizes = np.array([len(x) for x in elements])
+    return np.add.reduceat(low, np.cumsum(sizes) - sizes)
+
+
 def _linked(left: pa.Table, right: pa.Table, similarity: float, least: int) -> tuple[np.ndarray, np.ndarray]:
     """For every row of ``left`` and every other class of ``right`` the best link.
 
@@ -304,16 +315,19 @@ def _linked(left: pa.Table, right: pa.Table, similarity: float, least: int) -> t
     signatures agree about often enough; then the multisets themselves decide.
     """
     def matrix(table: pa.Table, name: str, kind) -> np.ndarray:
-        return np.array(table[name].to_pylist(), kind)
+        return table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(table.num_rows, -1)
+
+    def views(table: pa.Table, name: str, kind: str) -> list[np.ndarray]:
+        return [np.frombuffer(x.as_buffer(), kind) for x in table[name]]
 
     key = left["key"][0].as_py()
     keys_x, keys_y = matrix(left, "keys", np.int64), matrix(right, "keys", np.int64)
     sketch_x, sketch_y = matrix(left, "sketch", np.int16), matrix(right, "sketch", np.int16)
     x, cx, tx, main = (left[c].to_numpy() for c in ("doc", "c", "total", "main"))
     y, cy, ty = (right[c].to_numpy() for c in ("doc", "c", "total"))
-    elements = [np.frombuffer(e, "<u8") for e in right["elements"].to_pylist()]
-    weights = [np.frombuffer(w, "<i4").astype(np.int64) for w in right["weights"].to_pylist()]
-    own = list(zip(left["elements"].to_pylist(), left["weights"].to_pylist()))
+    elements, weights = views(right, "elements", "<u8"), views(right, "weights", "<i4")
+    lengths = np.array([len(e) for e in elements])
+    own = list(zip(views(left, "elements", "<u8"), views(left, "weights", "<i4")))
     out_a, out_b = [], []
     for i in range(len(x)):
         # of two members outside the largest class only one way round
@@ -323,12 +337,10 @@ def _linked(left: pa.Table, right: pa.Table, similarity: float, least: int) -> t
         pick = pick[keys_x[i][shared.argmax(axis=1)] == key]
         if not len(pick):
             continue
-        e, w = np.frombuffer(own[i][0], "<u8"), np.frombuffer(own[i][1], "<i4").astype(np.int64)
-        flat, flat_w = np.concatenate([elements[j] for j in pick]), np.concatenate([weights[j] for j in pick])
-        at = np.minimum(np.searchsorted(e, flat), len(e) - 1)
-        low = np.where(e[at] == flat, np.minimum(w[at], flat_w), 0)
-        sizes = np.array([len(elements[j]) for j in pick])
-        both = np.add.reduceat(low, np.cumsum(sizes) - sizes)
+        e, w = own[i]
+        ends = np.cumsum(lengths[pick])
+        parts = np.split(pick, np.searchsorted(ends, np.arange(COMPARED, ends[-1], COMPARED)))
+        both = np.concatenate([_common(e, w, [elements[j] for j in p], [weights[j] for j in p]) for p in parts if len(p)])
         alike = both / (tx[i] + ty[pick] - both)
         good = alike >= similarity
         pick, alike = pick[good], alike[good]

@@ -1,9 +1,11 @@
 import collections
 import hashlib
 import random
+import tracemalloc
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,3 +174,44 @@ def test_fingerprint_chain(docs_of, odd_rows):
     assert fingerprints.fingerprint_chain(docs_of([])).collect() == []
     alone = fingerprints.fingerprint_chain(docs_of([(1, "abcd efgh")])).first()
     assert alone["near_next"] == 1.0
+
+
+def _peak_mb(work):
+    """What ``work`` gives, and the most memory it held beyond what was there."""
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_signatures_hold_few_texts_at_once(docs_of, monkeypatch):
+    made = {}
+    monkeypatch.setattr(near_dups, "arrow_map", lambda df, fn, schema, batch_rows=256: made.update(fn=fn, rows=batch_rows))
+    near_dups.signatures(docs_of([]))
+    texts = [" ".join(passage(i, 400)) for i in range(512)]
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(512)), "text": texts})
+    parts, peak = _peak_mb(lambda: [len(d["doc"]) for at in range(0, 512, made["rows"]) for d in made["fn"](batch.slice(at, made["rows"]))])
+    assert sum(parts) == 512
+    assert peak < 50
+
+
+def test_block_links_compare_few_elements_at_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    n, size = 400, 2000
+    sets = [np.sort(rng.choice(np.arange(size + 60, dtype=np.uint64), size, replace=False)) for _ in range(n)]
+
+    def table(docs):
+        return pa.table({"key": [7] * len(docs), "sf": [0] * len(docs), "sa": [0] * len(docs), "doc": docs, "c": docs, "main": [n] * len(docs),
+                         "keys": pa.array([[7, 1]] * len(docs)), "sketch": pa.array([[1] * 256] * len(docs), pa.list_(pa.int16())), "total": [size] * len(docs),
+                         "elements": [sets[d].tobytes() for d in docs], "weights": [np.ones(size, "<i4").tobytes()] * len(docs)})
+    left, right = table([n - 1]), table(list(range(n)))
+    whole = near_dups._linked(left, right, 0.8, 0)
+    assert whole[1].tolist() == list(range(n - 1))
+    monkeypatch.setattr(near_dups, "COMPARED", 7000)
+    (a, b), peak = _peak_mb(lambda: near_dups._linked(left, right, 0.8, 0))
+    assert (a == n - 1).all() and b.tolist() == whole[1].tolist()
+    assert peak < 3
+    for limit in (1, size, size + 1, n * size):
+        monkeypatch.setattr(near_dups, "COMPARED", limit)
+        assert near_dups._linked(left, right, 0.8, 0)[1].tolist() == whole[1].tolist()

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -42,6 +43,18 @@ def test_bpe_long_pieces_and_batches(tiktoken_codec, monkeypatch):
     assert ids_of(texts) == [tiktoken_codec.encode_ordinary(t or "") for t in texts]
 
 
+def test_documents_are_encoded_with_few_words_remembered(docs_of, monkeypatch):
+    made = {}
+    monkeypatch.setattr(bpe, "arrow_map", lambda df, fn, schema: made.update(fn=fn))
+    monkeypatch.setattr(bpe, "REMEMBERED_BESIDE", 300)
+    bpe.encoded_documents(docs_of([]).select("doc_id", "text"), BPE, P.PATTERN)
+    texts = [" ".join(f"zq{i}x{j}" for j in range(100)) for i in range(40)] + [None, "the end"]
+    got = [made["fn"](pa.RecordBatch.from_pydict({"doc_id": [i], "text": pa.array([t], pa.string())}))["ids"].to_pylist()[0] for i, t in enumerate(texts)]
+    assert got == ids_of(texts)
+    codec = bpe.load(BPE, P.PATTERN, 300)
+    assert max(len(codec.seen), len(codec.merged)) <= 300 + 200  # and those of the last text
+
+
 def test_perfect_hash_is_minimal_and_knows_strangers():
     keys = [f"k{i}".encode() for i in range(3000)]
     h = bpe.PerfectHash(keys)
